@@ -9,9 +9,10 @@ whose minimum is a smaller doc_id are removed, all judged on the input.
 A document whose whole word sequence equals that of a smaller doc_id loses
 every word of a window without any of this, so copies cost one row each.
 
-The repeated anchors (and the copies) are broadcast as sorted hashes while they
-number at most BROADCAST_KEYS; beyond that bound the anchors are joined by
-shuffle and copies are treated as other documents.
+The repeated anchors (and the copies) lie in files of the shared folder.  While
+they number at most BROADCAST_KEYS each worker reads them as one sorted array,
+past the driver; beyond that bound the anchors are joined by shuffle and copies
+are treated as other documents.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +58,32 @@ def anchors(words: K.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at, full[at], least
 
 
-def _collect(df: DataFrame, column: str, most: int) -> np.ndarray | None:
-    """A column of hashes as a sorted array, or None beyond ``most`` rows."""
-    if df.count() > most:
-        return None
-    out = df.select(column).toPandas()[column].to_numpy(np.int64).view(_U)
-    return np.sort(out)
+class KeyFile:
+    """Hashes in a table of the shared folder, read by the workers themselves.
+
+    ``load`` gives a sorted array, kept for the worker's next task; None stands
+    for more than ``most`` hashes.
+    """
+
+    _kept: dict[str, np.ndarray] = {}  # two tables at most are in use at a time
+
+    def __init__(self, table: DataFrame, column: str, most: int):
+        self.fits = table.count() <= most
+        self.path, self.column = table.inputFiles()[:1], column
+        self.folder = self.path[0].rsplit("/", 1)[0] if self.path else None
+
+    def load(self) -> np.ndarray | None:
+        if not self.fits:
+            return None
+        if self.folder is None:
+            return np.zeros(0, _U)
+        if self.folder not in KeyFile._kept:
+            files, path = pa.fs.FileSystem.from_uri(self.folder)
+            if len(KeyFile._kept) > 1:
+                KeyFile._kept.clear()
+            found = pyarrow.dataset.dataset(path, filesystem=files, format="parquet").to_table([self.column])
+            KeyFile._kept[self.folder] = np.sort(found[self.column].to_numpy().view(_U))
+        return KeyFile._kept[self.folder]
 
 
 def _slices(batch, at: int):
@@ -94,16 +117,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     rows = stage(docs.mapInArrow(sequence, "doc_id long, seq long, key long"), "substring_rows")
     first = rows.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stage(rows.join(first, "seq").where("doc_id > first").select("doc_id", "key").distinct(), "substring_copies")
-    copy_keys = _collect(copies, "key", most)
-    skip = spark.sparkContext.broadcast(copy_keys)
+    skip = KeyFile(copies, "key", most)
 
     def each(batches, start):
         """Window starts, hashes, anchors of documents that are no copies, a batch's slice at a time."""
+        copied = skip.load()
         for batch in batches:
             for i, j, words, ids, null, seq in _slices(batch, start):
                 at, full, least = anchors(words, window, gram)
                 doc = words.doc[at]
-                bad = null | _isin(_row_key(ids, seq), skip.value)
+                bad = null | _isin(_row_key(ids, seq), copied)
                 ok = ~bad[doc]
                 yield ids, doc[ok], full[ok], least[ok]
 
@@ -122,13 +145,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
 
     shared = docs.mapInArrow(count, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     shared = stage(shared, "substring_anchors")
-    keys = _collect(shared, "anchor", most)
-    table = spark.sparkContext.broadcast(keys)
+    keys = KeyFile(shared, "anchor", most)
 
     def windows(batches):
+        table = keys.load()
         for batch in batches:
             for ids, doc, full, least in each([batch], 1):
-                ok = _isin(least, table.value) if table.value is not None else np.ones(len(least), bool)
+                ok = _isin(least, table) if table is not None else np.ones(len(least), bool)
                 d, h, a = ids[doc[ok]], full[ok], least[ok]
                 order = np.lexsort((h, d))
                 d, h, a = d[order], h[order], a[order]
@@ -137,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(d[new]), pa.array(a[new].view(np.int64))], names=["hash", "doc_id", "anchor"])
 
     found = docs.mapInArrow(windows, "hash long, doc_id long, anchor long")
-    if keys is None:
+    if not keys.fits:
         found = found.join(shared, "anchor", "left_semi")
     found = found.drop("anchor")
     # Copies stand for their first document, which is smaller and not skipped.
