@@ -1,0 +1 @@
+"""DataFrame operators over tables of images."""
