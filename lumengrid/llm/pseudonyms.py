@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import put_back, replace_spans
+from .spans import let, put_back, replace_spans
 
 ROUNDS = 8
 DATE_FROM, DATE_DAYS = "1900-01-01", (319, 229)  # 319 * 229 = 73,051 days; to 2100-01-03
@@ -33,11 +33,6 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = r"[0-9][0-9. ()-]{0,3}[0-9]|@"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it appears."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column, back: bool = False) -> Column:
     """Permutes (left, right) with left below a and right below b: struct (l, r).
 

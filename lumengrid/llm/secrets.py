@@ -20,16 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .spans import find_spans
+from .spans import find_spans, let
 
 # Fixed values of the contract: pattern and least length by kind, in order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
-HEX = r"[0-9a-f]{32,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 ASSIGN_LENGTH = 8
 
 #: Maximal runs of encoding characters, with room for the tests to have power.
-CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 BINS = 50
 #: Upper ends of the length classes.
 LENGTHS = (32, 48, 64, 96, 128, 256)
@@ -45,9 +45,9 @@ B64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 def base_spans(text: Column) -> Column:
     """Array of (start, rank, end, kind) of the three patterns, by start then kind."""
-    assign = F.filter(find_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= ASSIGN_LENGTH)
+    assign = F.filter(find_spans(text, ASSIGN, "[:=]"), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= ASSIGN_LENGTH)
     tag = lambda spans, rank, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.sort_array(F.concat(tag(assign, 0, "assign"), tag(find_spans(text, ACCESS), 1, "access"), tag(find_spans(text, HEX), 2, "hex")))
+    return F.sort_array(F.concat(tag(assign, 0, "assign"), tag(find_spans(text, ACCESS, "AKIA"), 1, "access"), tag(find_spans(text, HEX, "[0-9a-f]{8}"), 2, "hex")))
 
 
 def encoding_size(s: Column) -> Column:
@@ -77,7 +77,8 @@ def p_value(s: Column) -> Column:
         n = F.size(sym).cast("double")
         seen = F.array_distinct(sym)
         squares = F.aggregate(seen, F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(sym, lambda x: x == c)).cast("double"), F.lit(2.0)))
-        chi, df = squares * a / n - n, a - 1.0
+        df = a - 1.0
+        chi = squares * a / n - n
         h = 2.0 / (9.0 * df)
         z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1.0 - h)) / F.sqrt(h)
         p_chi = F.when(z_chi > 0, two_sided(z_chi) / 2).otherwise(1 - two_sided(z_chi) / 2)
@@ -99,7 +100,7 @@ def p_value(s: Column) -> Column:
     letters = F.when(size == 16, F.lit(HEX_SYMBOLS)).when(size == 32, F.lit(B32_SYMBOLS)).otherwise(F.lit(B64_SYMBOLS))
     folded = F.when(size == 16, F.lower(plain)).otherwise(plain)
     symbols = F.transform(F.split(folded, ""), lambda c: F.position(c, letters) - 1)
-    return F.when(size.isNotNull(), battery(symbols, size.cast("double")))
+    return F.when(size.isNotNull(), let(F.struct(symbols.alias("sym"), size.cast("double").alias("a")), lambda x: battery(x["sym"], x["a"])))
 
 
 def _length_class(n: Column) -> Column:
@@ -131,7 +132,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     free = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    raw = docs.select("doc_id", base_spans(text).alias("base"), find_spans(text, CANDIDATE).alias("runs"))
+    raw = docs.select("doc_id", base_spans(text).alias("base"), find_spans(text, CANDIDATE, "[0-9]").alias("runs"))
     scored = F.transform(F.filter("runs", lambda s: free(s, F.col("base"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _length_class(s["end"] - s["start"]).alias("stratum"), p_value(s["text"]).alias("p")))
     found = stage(raw.select("doc_id", "base", F.filter(scored, lambda c: c["p"].isNotNull()).alias("candidates")), "secret_spans")
     least = {r[0]: r[1] for r in thresholds(found, rate).collect()}  # one row per length class

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 EMPTY = "array<struct<start:int,end:int,text:string>>"
 
 
-def find_spans(text: Column, pattern: str) -> Column:
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it appears."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def find_spans(text: Column, pattern: str, hint: str | None = None) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, text), end exclusive.
 
     The pieces between matches and the matches themselves alternate, so
     positions are running sums of their lengths.  The pattern must not match
-    the empty string.  Null text has no matches.
+    the empty string.  Null text has no matches.  ``hint`` is a cheap pattern
+    that every text with a match holds.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
@@ -24,7 +30,8 @@ def find_spans(text: Column, pattern: str) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, step)["spans"]).otherwise(F.array().cast(EMPTY))
+    some = text.rlike(pattern) if hint is None else F.when(text.rlike(hint), text.rlike(pattern)).otherwise(False)
+    return F.when(some, F.aggregate(pairs, begin, step)["spans"]).otherwise(F.array().cast(EMPTY))
 
 
 def replace_spans(text: Column, pattern: str, change) -> Column:
