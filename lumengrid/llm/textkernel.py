@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -30,7 +30,7 @@ from .common import scratch_path, ship
 
 END = 2
 #: Pieces a worker remembers, and ids of all of them, before it starts anew.
-CACHE_PIECES, CACHE_IDS = 1_000_000, 6_000_000
+CACHE_PIECES, CACHE_IDS = 1_500_000, 8_000_000
 NULL_ID = -(1 << 63)
 
 #: Bytes after a space that surely begin a pre-token with it: printable ASCII
@@ -102,6 +102,17 @@ class PieceEncoder:
         return out, np.diff(ends)
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file, with what it has learnt so far."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Puts the end id behind each document's ids."""
     stop = np.cumsum(sizes)
@@ -130,7 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         starts, ids, total = [0], [], 0
         for batch in batches:
             if out is None:
-                encoder = PieceEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 out = files.open_output_stream(f"{path}/tokens-{name}.bin")
             data, offs = K.string_buffer(batch.column(1))
             for i, j in K.slices(offs, 4 << 20):
