@@ -21,6 +21,8 @@ from .common import BLANK, attach, stage
 
 #: Digests of one filter shard, on average; its memory follows this figure.
 SHARD_KEYS = 400_000
+#: Pairs (two ids and a digest each) that may be broadcast for the byte check.
+BROADCAST_PAIRS = 200_000
 _U = np.uint64
 
 
@@ -181,17 +183,21 @@ def _verified(snapshot: Snapshot, docs: DataFrame, screened: DataFrame) -> DataF
     """
     pairs = screened.select("digest", F.col("first_id").alias("new_id")).join(snapshot.table.select("digest", F.col("first_id").alias("old_id")), "digest")
     pairs = stage(pairs.distinct(), "dedup_pairs")
-    both = _with_text(_with_text(pairs, docs, "new_id"), snapshot.docs, "old_id")
+    few = pairs.count() <= BROADCAST_PAIRS
+    new, old = _texts(pairs, docs, "new_id", few), _texts(pairs, snapshot.docs, "old_id", few)
+    both = new.join(old.select("digest", "old_id_text"), "digest")
     bad = both.where(F.col("new_id_text") != F.col("old_id_text"))
-    checked = bad.select("digest", F.col("new_id").alias("first_id"), F.raise_error(F.lit("one digest, two texts")).cast("long").alias("n"))
-    return checked
+    return bad.select("digest", F.col("new_id").alias("first_id"), F.raise_error(F.lit("one digest, two texts")).cast("long").alias("n"))
 
 
-def _with_text(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Adds the normalised text of the named id whose digest is the pair's."""
+def _texts(pairs: DataFrame, docs: DataFrame, name: str, few: bool) -> DataFrame:
+    """The pairs with the normalised text of the named id whose digest is the pair's.
+
+    Few pairs are broadcast, so that only texts in pairs are ever shuffled.
+    """
     text = normalised(F.col("text"))
     side = docs.select(F.col("doc_id").alias(name), text.alias(f"{name}_text"), F.sha2(text, 256).alias("digest"))
-    return pairs.join(side, [name, "digest"])
+    return side.join(F.broadcast(pairs) if few else pairs, [name, "digest"])
 
 
 def halves(docs: DataFrame) -> list[DataFrame]:
