@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm import decontamination, langid, mixing, ngram_join, tokens
-from lumengrid.llm.common import stage
+from lumengrid.llm.common import free_name, quoted, stage
 from lumengrid.llm.queries import tokenizer_path
 
 #: Least share-weighted score of the language identifier.
@@ -24,13 +24,18 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*map(quoted, docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no learned language fits.
 
     Rows keep their columns; null and empty texts go.
     """
-    found = langid.identify(docs, langid.fit(docs), docs.columns)
-    return found.where((F.col("language.label") != langid.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select(*docs.columns)
+    into = free_name(docs, "language")
+    found = langid.identify(docs, langid.fit(docs), docs.columns, into)
+    return _same(found.where((F.col(f"{into}.label") != langid.UNKNOWN) & (F.col(f"{into}.score") >= LEAST_SCORE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,22 +45,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = stage(ngram_join.join(docs, n=5, percent=80).select("doc_id", "component_id"), "pipeline_components")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = _same(docs.join(_bounded(gone), "doc_id", "left_anti"), docs)
     ids = found.where("doc_id is not null")
     return kept.dropDuplicates(["doc_id", "text"]) if ids.count() != ids.distinct().count() else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return found.where("hits.n_hit = 0").select(*docs.columns)
+    into = free_name(docs, "hits")
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns, into)
+    return _same(found.where(F.col(f"{into}.n_hit") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (whole passes; none, one or two)."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("passes").alias("_passes")).withColumnRenamed("doc_id", "_doc_id")
-    out = docs.join(_bounded(taken), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return out.withColumn("_pass", F.explode(F.array_repeat(F.lit(1), F.col("_passes")))).select(*docs.columns)
+    key, passes, one = free_name(docs, "_key"), free_name(docs, "_passes"), free_name(docs, "_pass")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("passes").alias(passes))
+    out = docs.join(_bounded(taken), F.col("doc_id").eqNullSafe(F.col(key)))
+    return _same(out.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(passes)))), docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,24 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def forget(shared) -> None:
+    """Drops a worker's copy of a broadcast value; the next use reads it from disk again."""
+    shared.__dict__.pop("_value", None)
+
+
 def map_text(docs: DataFrame, keep: list[str], results: str, make, most: int | None = None) -> DataFrame:
     """Adds columns computed from slices of whole texts, without a shuffle.
 
@@ -93,21 +112,20 @@ def map_text(docs: DataFrame, keep: list[str], results: str, make, most: int | N
 
     ship(docs.sparkSession)
     size = most or K.SLICE
-    picked = docs.select(*keep, F.col("text").alias("__text"))
+    picked = docs.select(*[quoted(c).alias(f"_{k}") for k, c in enumerate(keep)], F.col("text").alias("_text"))
     extra = docs.sparkSession.createDataFrame([], results).schema
-    schema = type(picked.schema)([f for f in picked.schema.fields if f.name != "__text"] + extra.fields)
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(keep, picked.schema.fields)] + extra.fields)
 
     def run(batches):
         work = make()
+        n = len(keep)
         for batch in batches:
-            kept = batch.select(keep)
-            text = batch.column(batch.schema.names.index("__text"))
+            kept, text = batch.columns[:n], batch.column(n)
             nulls = text.is_null().to_numpy(zero_copy_only=False)
             data, offs = K.string_buffer(text)
             for i, j in K.slices(offs, size):
                 found = work(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], nulls[i:j])
                 columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in found]
-                part = kept.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*keep, *extra.names])
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in kept], *columns], names=[*keep, *extra.names])
 
     return picked.mapInArrow(run, schema)

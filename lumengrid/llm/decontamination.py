@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_text
+from .common import forget, map_text
 
 WINDOW, GRAM = 10, 5
 BLOCK_WORDS = 4_000_000
@@ -106,8 +106,8 @@ def _blocks(bench: DataFrame, most: int):
         yield ids, texts
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"], window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds ``hits``: struct of n_words, n_hit, items (distinct ids, as strings) and
+def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"], into: str = "hits", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Adds the column ``into``: struct of n_words, n_hit, items (distinct ids, as strings) and
     spans (hit word ranges, end exclusive), beside the columns of ``keep``.
 
     Null and empty texts have no words and no hits.  A null item id reads as
@@ -133,7 +133,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"
                     for p in pair.tolist():
                         found[p >> 32].add(index.ids[p & 0xFFFFFFFF])
                 if len(shared) > 1:
-                    b.unpersist()
+                    forget(b)
             hit = (np.cumsum(cover)[:total] > 0).astype(np.int8)
             n_words = np.diff(words.first)
             n_hit = (np.r_[0, np.cumsum(hit)])[words.first]
@@ -152,4 +152,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"
 
         return work
 
-    return map_text(docs, keep, "hits struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>", make)
+    return map_text(docs, keep, f"`{into}` struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>", make)

@@ -218,8 +218,8 @@ def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float
     return words, path, total
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"], penalty: float = SWITCH) -> DataFrame:
-    """Adds ``language``: struct of label, score (0 to 1) and spans (lang, first and
+def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"], into: str = "language", penalty: float = SWITCH) -> DataFrame:
+    """Adds the column ``into``: struct of label, score (0 to 1) and spans (lang, first and
     end word), beside the columns of ``keep``.
 
     The label is the language of most bytes; ``und`` with score 0 for null
@@ -262,4 +262,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"],
 
         return work
 
-    return map_text(docs, keep, "language struct<label:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>", make, 1 << 20)
+    return map_text(docs, keep, f"`{into}` struct<label:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>", make, 1 << 20)

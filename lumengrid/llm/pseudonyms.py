@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .spans import let, put_back, replace_spans
 
 ROUNDS = 8
-DATE_FROM, DATE_DAYS = "1900-01-01", (319, 229)  # 319 * 229 = 73,051 days; to 2100-01-03
+DATE_FROM, DATE_DAYS = "1900-01-01", (4297, 17)  # 4297 * 17 = 73,049 days, to 2099-12-31
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<![\w+])(?=[+\d])\+?\d{1,3}[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
 NUMBER = r"(?<![A-Za-z0-9])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:[ -]?\d{1,3})?(?![A-Za-z0-9])"
@@ -169,7 +169,10 @@ CHANGES = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": lambda m, k, b:
 def _kind(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        out = F.when(m.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
+        fits = m.rlike(f"^(?:{KINDS[kind]})$")
+        if kind == "date":
+            fits &= F.try_to_date(m, "yyyy-MM-dd").isNotNull()
+        out = F.when(fits, kind).otherwise(out)
     return out
 
 
@@ -204,4 +207,4 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("_kinds", lambda x: x == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     new = F.when(F.size("_found") > 0, put_back(F.col("text"), ANY, F.transform("_found", _change(key, False)))).otherwise(F.col("text"))
-    return found.select("doc_id", new.alias("text"), *counts, F.size("_kinds").cast("long").alias("n_found"))
+    return found.select("doc_id", new.alias("text"), *counts, F.size(F.filter("_kinds", lambda x: x.isNotNull())).cast("long").alias("n_found"))
