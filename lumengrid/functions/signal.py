@@ -179,9 +179,7 @@ def resample_poly(x, up, down, axis=-1, win=("kaiser", 5.0)):
     h = firwin(2 * half + 1, 1 / max(up, down), win) * up
     pre = down - half % down
     keep = (half + pre) // down
-    post = 0
-    while (((n - 1) * up + len(h) + pre + post) - 1) // down + 1 < want + keep:
-        post += 1
+    post = max(0, (want + keep - 1) * down + 1 - ((n - 1) * up + len(h) + pre))  # enough output to keep ``want`` samples
     y = upfirdn(np.r_[np.zeros(pre), h, np.zeros(post)], x, up, down, axis)
     cut = [slice(None)] * y.ndim
     cut[axis] = slice(keep, keep + want)
