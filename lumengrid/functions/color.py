@@ -319,3 +319,24 @@ def deltaE_ciede2000(p: Column, q: Column, kL=1, kC=1, kH=1) -> Column:
     g = 1 + 0.5 * (1 - F.sqrt(cm / (cm + seven)))
     start = F.struct(p["a"].alias("l1"), p["b"].alias("a1"), p["c"].alias("b1"), q["a"].alias("l2"), q["b"].alias("a2"), q["c"].alias("b2"), g.alias("g"))
     return let(let(let(start, stretched), means), final)
+
+
+#: Colours for labels, in turn.
+LABEL_COLOURS = ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 0.0), (1.0, 0.0, 1.0), (0.0, 0.5, 0.0), (0.29, 0.0, 0.51), (1.0, 0.55, 0.0), (0.0, 1.0, 1.0), (1.0, 0.75, 0.8), (0.6, 0.8, 0.2))
+
+
+def label2rgb(label: Column, gray: Column | None = None, alpha: float = 0.3, background: int = 0, colours=LABEL_COLOURS) -> Column:
+    """A colour a label, laid over a grey image; the background shows the image."""
+    palette = F.array(*[triple(*c) for c in colours])
+    base = F.lit(0.0) if gray is None else gray
+    part = 1.0 if gray is None else alpha
+    own = F.get(palette, F.pmod(label - 1, F.lit(len(colours))).cast("int"))
+    mixed = triple(*[part * own[k] + (1 - part) * base for k in "abc"])
+    return F.when(label == background, triple(base, base, base)).otherwise(mixed)
+
+
+def adapt_rgb(x: Column, change, how: str = "each_channel") -> Column:
+    """Applies a grey column function to each channel, or to the value of HSV."""
+    if how == "each_channel":
+        return triple(*[change(v) for v in _parts(x)])
+    return let(rgb2hsv(x), lambda h: hsv2rgb(triple(h["a"], h["b"], change(h["c"]))))

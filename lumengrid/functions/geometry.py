@@ -207,3 +207,106 @@ def integrate(integral: Column, width: int, r0, c0, r1, c1) -> Column:
     get = lambda r, c: F.when((r >= 0) & (c >= 0), F.get(integral, r * width + c)).otherwise(0.0)
     r0, c0, r1, c1 = (F.lit(v) for v in (r0, c0, r1, c1))
     return get(r1, c1) - get(r0 - 1, c1) - get(r1, c0 - 1) + get(r0 - 1, c0 - 1)
+
+
+def convex_hull(points):
+    """Corners of the hull, counter-clockwise, by the monotone chain."""
+    p = np.unique(np.asarray(points, float), axis=0)
+    if len(p) < 3:
+        return p
+
+    def half(rows):
+        out = []
+        for q in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def convex_area(mask) -> float:
+    """Area of the hull of a mask's pixel squares."""
+    at = np.argwhere(mask)
+    if not len(at):
+        return 0.0
+    corners = (at[:, None, :] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2)
+    h = convex_hull(corners)
+    x, y = h.T
+    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+
+
+def feret_diameter_max(mask) -> float:
+    """Greatest distance between corners of a mask's pixels, over the hull only."""
+    at = np.argwhere(mask)
+    if not len(at):
+        return 0.0
+    h = convex_hull((at[:, None, :] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2))
+    return float(np.sqrt(((h[:, None] - h[None]) ** 2).sum(-1)).max())
+
+
+def delaunay(points):
+    """Triangles (indices) whose circumcircles hold no other point: insertion one by one."""
+    p = np.asarray(points, float)
+    c, r = p.mean(0), max(np.ptp(p, 0).max(), 1.0) * 1e3
+    q = np.vstack([p, c + r * np.array([[-1, -1], [1, -1], [0, 1.5]])])
+    tri = [(len(p), len(p) + 1, len(p) + 2)]
+    for k in range(len(p)):
+        bad = [t for t in tri if _in_circle(q, t, q[k])]
+        edges: dict = {}
+        for t in bad:
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
+                key = tuple(sorted(e))
+                edges[key] = edges.get(key, 0) + 1
+        tri = [t for t in tri if t not in bad] + [(*e, k) for e, n in edges.items() if n == 1]
+    return [t for t in tri if max(t) < len(p)]
+
+
+def _in_circle(q, t, at):
+    a, b, c = q[list(t)] - at
+    turn = (q[t[1]][0] - q[t[0]][0]) * (q[t[2]][1] - q[t[0]][1]) - (q[t[1]][1] - q[t[0]][1]) * (q[t[2]][0] - q[t[0]][0])
+    d = np.linalg.det(np.array([[*v, v @ v] for v in (a, b, c)]))
+    return d * np.sign(turn) > 1e-12
+
+
+class PiecewiseAffineTransform:
+    """An affine map on each Delaunay triangle of the source points; outside of all, -1."""
+
+    def estimate(self, src, dst) -> bool:
+        src, dst = np.asarray(src, float), np.asarray(dst, float)
+        self.maps = []
+        for t in delaunay(src):
+            i = list(t)
+            inv = np.linalg.inv(np.c_[src[i], np.ones(3)].T)
+            self.maps.append((inv, dst[i].T))
+        return bool(self.maps)
+
+    def __call__(self, points):
+        h = np.c_[np.asarray(points, float), np.ones(len(points))].T
+        out = np.full((len(points), 2), -1.0)
+        for inv, dst in self.maps:
+            w = inv @ h
+            inside = (w >= -1e-9).all(0)
+            out[inside] = (dst @ w[:, inside]).T
+        return out
+
+
+TRANSFORMS["piecewise-affine"] = PiecewiseAffineTransform
+
+
+def subdivide_polygon(points, degree=2, preserve_ends=False):
+    """One round of B-spline subdivision."""
+    # Even and odd masks of each degree, the rows of Pascal's triangle dealt in turn.
+    masks = {1: ([1, 1], [2]), 2: ([3, 1], [1, 3]), 3: ([1, 6, 1], [4, 4]), 4: ([5, 10, 1], [1, 10, 5]), 5: ([1, 15, 15, 1], [6, 20, 6]), 6: ([7, 35, 21, 1], [1, 21, 35, 7]), 7: ([1, 28, 70, 28, 1], [8, 56, 56, 8])}
+    p = np.asarray(points, float)
+    closed = np.allclose(p[0], p[-1])
+    if closed:
+        p = np.vstack([p[-degree:-1], p[:-1], p[:degree]]) if degree > 1 else p
+    even, odd = (np.stack([np.convolve(c, np.array(m) / 2**degree, "valid") for c in p.T], 1) for m in masks[degree])
+    n = min(len(even), len(odd))
+    out = np.empty((2 * n, 2))
+    out[::2], out[1::2] = even[:n], odd[:n]
+    if closed:
+        return np.vstack([out, out[:1]])
+    return np.vstack([p[:1], out, p[-1:]]) if preserve_ends else out

@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, filters, interpolate, morphology, scalar, signal, vision
-from ..operators import histograms, regions
+from ..functions import color, filters, geometry, interpolate, morphology, scalar, signal, vision
+from ..operators import histograms, regions, tiles
 from ..operators.runtime import map_images, map_pairs, pixels
 from ..sources.images import embedding_images, event_signals
 from . import twins as T
@@ -387,3 +387,23 @@ register("labeled_comprehension", lambda spark, sf: regions.labeled_comprehensio
 register("histogramdd", lambda spark, sf: histograms.histogramdd(spark.read.parquet(f"{sf}/lineitem.parquet"), {"l_quantity": (5, 0.0, 50.0), "l_extendedprice": (4, 0.0, 100000.0)}), "SELECT least(floor(l_quantity / 50.0 * 5), 4)::INT AS bin_l_quantity, least(floor(l_extendedprice / 100000.0 * 4), 3)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1, 2")
 register("labelled_histogram", lambda spark, sf: histograms.histogram(spark.read.parquet(f"{sf}/lineitem.parquet"), 10, 0.0, 50.0, "l_suppkey", "l_quantity"), "SELECT l_suppkey, least(floor(l_quantity / 50.0 * 10), 9)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 2")
 register("ravel_multi_index", lambda spark, sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", scalar.ravel_multi_index([F.col("o_orderkey") - 100, F.col("o_custkey")], [7, 11]).alias("flat")), "SELECT o_orderkey, (((o_orderkey - 100) % 7 + 7) % 7) * 11 + o_custkey % 11 AS flat FROM orders")
+
+# Tiles, overlays, descriptors ---------------------------------------------------------
+
+
+def _tiled(spark: SparkSession, sf: str) -> DataFrame:
+    parts = tiles.split(embedding_images(spark, sf).select("image_id", "shape", "img"), 3, 1)
+    px = tiles.tile_pixels(tiles.map_tiles(parts, filters.uniform_filter, 1))
+    return px.withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+register("tiled_uniform_filter", _tiled, ORACLE_SQL["uniform_filter"])
+on_images("mark_boundaries", lambda x: vision.mark_boundaries(x, morphology.label(x > 0)))
+on_images("daisy", lambda x: vision.daisy(x, 2, 2, 1, 4, 4).reshape(len(x), -1, 20))
+per_image("moments_hu", lambda x: vision.image_moments_hu(x + 1))
+per_image("convex_area", lambda x: [geometry.convex_area(i > 0) for i in x])
+per_image("feret_diameter_max", lambda x: [geometry.feret_diameter_max(i > 0) for i in x])
+on_pairs("masked_registration", lambda a, b: vision.masked_registration(a, b, a > -0.2, b > -0.2).reshape(len(a), 1, 2))
+on_colours("adapt_rgb_hsv_value", lambda x: color.adapt_rgb(x, lambda v: v * v, "hsv_value"))
+on_colours("adapt_rgb_each_channel", lambda x: color.adapt_rgb(x, lambda v: v * v), f"WITH {_RGB}, o AS (SELECT l_suppkey, r * r AS c0, g * g AS c1, b * b AS c2 FROM c) {_MEAN}")
+register("label2rgb", lambda spark, sf: _labelled(spark, sf).select("image_id", "y", "x", color.label2rgb(F.col("label"), (F.col("v") + 1) / 2).alias("c")).select("image_id", "y", "x", *[F.round(f"c.{k}", 6).alias(k) for k in "abc"]))

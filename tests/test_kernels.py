@@ -160,3 +160,21 @@ def test_vision():
     assert vision.euler_number(square)[0] == 1 and vision.perimeter(square)[0] == 12
     square[0, 3, 3] = False
     assert vision.euler_number(square)[0] == 0
+
+
+def test_hulls_triangles_and_moments():
+    square = np.zeros((8, 8), bool)
+    square[2:5, 1:7] = True
+    assert geometry.convex_area(square) == 18 and math.isclose(geometry.feret_diameter_max(square), math.hypot(3, 6))
+    p = np.random.default_rng(4).random((20, 2)) * 10
+    t = geometry.PiecewiseAffineTransform()
+    assert t.estimate(p, 2 * p + 1)
+    q = p[geometry.delaunay(p)[0], :].mean(0, keepdims=True)
+    assert np.allclose(t(q), 2 * q + 1) and (t(np.array([[99.0, 99.0]])) == -1).all()
+    a, b = X[:1], np.rot90(X[:1], 1, (1, 2))
+    assert np.allclose(vision.image_moments_hu(a)[0, :4], vision.image_moments_hu(b)[0, :4])
+    big = np.zeros((1, 20, 20))
+    big[0, 5:12, 6:14] = np.random.default_rng(0).random((7, 8))
+    moved = np.roll(big, (2, -3), (1, 2))
+    full = np.ones(big.shape, bool)
+    assert (vision.masked_registration(big, moved, full, full) == [-2, 3]).all()
