@@ -15,6 +15,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 #: A key is hot when it holds more than this share of all rows, so at most
 #: HOT_SHARE keys are hot whatever the input: the proven bound of a broadcast.
 HOT_SHARE = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -72,9 +73,16 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did."""
+    """Lets Python workers import this package from where the driver did.
+
+    Whole texts are long rows: where the session has Spark's own batch size,
+    batches are made smaller, so that a worker's buffers stay small.
+    """
     import pathlib
 
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
+
     root = str(pathlib.Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
