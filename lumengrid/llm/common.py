@@ -124,6 +124,7 @@ def map_text(docs: DataFrame, keep: list[str], results: str, make, most: int | N
     extra = docs.sparkSession.createDataFrame([], results).schema
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(keep, picked.schema.fields)] + extra.fields)
 
+    @K.tidy
     def run(batches):
         work = make()
         n = len(keep)

@@ -166,6 +166,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     sample = labelled.where(chance < F.element_at(rate, F.col("lang")))
     number = {k: i for i, k in enumerate(order)}
 
+    @K.tidy
     def count(batches):
         counts = scripts = 0
         for batch in batches:

@@ -108,6 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    @K.tidy
     def sequence(batches):
         for batch in batches:
             for i, j, words, ids, null, seq in _slices(batch, 1):
@@ -130,6 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
                 ok = ~bad[doc]
                 yield ids, doc[ok], full[ok], least[ok]
 
+    @K.tidy
     def count(batches):
         for batch in batches:
             many: list[np.ndarray] = []
@@ -147,6 +149,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     shared = stage(shared, "substring_anchors")
     keys = KeyFile(shared, "anchor", most)
 
+    @K.tidy
     def windows(batches):
         table = keys.load()
         for batch in batches:
@@ -169,6 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     marks = gone.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes")).join(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")), "doc_id", "full")
     joined = docs.join(marks, "doc_id", "left").select("doc_id", "text", "hashes", "copies")
 
+    @K.tidy
     def result(batches):
         for batch in batches:
             lists = [batch.column(k) for k in (2, 3)]

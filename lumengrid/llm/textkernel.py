@@ -13,6 +13,10 @@ document), never the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +40,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def tidy(task):
+    """A task over batches that hands freed memory back when it ends.
+
+    Python workers live on between tasks; what the allocators keep would count
+    against the next task's and the JVM's share of the executor.
+    """
+    @functools.wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def _pow_table(base: int, n: int) -> np.ndarray:
     out = np.ones(1, _U)
     while len(out) < n:

@@ -133,6 +133,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     ship(spark)
     folder = folder or scratch_path(spark, "tokens")
 
+    @K.tidy
     def write(batches):
         files, path = _open(folder)
         files.create_dir(path, recursive=True)
@@ -181,6 +182,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
 
+    @K.tidy
     def read(batches):
         files, path = _open(folder)
         for batch in batches:
