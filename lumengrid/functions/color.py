@@ -340,3 +340,25 @@ def adapt_rgb(x: Column, change, how: str = "each_channel") -> Column:
     if how == "each_channel":
         return triple(*[change(v) for v in _parts(x)])
     return let(rgb2hsv(x), lambda h: hsv2rgb(triple(h["a"], h["b"], change(h["c"]))))
+
+
+def gray2rgba(v: Column, alpha: Column | float = 1.0) -> Column:
+    """Grey as r, g, b and alpha."""
+    a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
+    return F.struct(v.alias("a"), v.alias("b"), v.alias("c"), a.alias("alpha"))
+
+
+rgb2grey, grey2rgb = rgb2gray, gray2rgb
+
+
+def get_xyz_coords(illuminant: str, observer: str) -> tuple[float, float, float]:
+    """Tristimulus of a white point."""
+    try:
+        return WHITE[illuminant.upper(), observer]
+    except KeyError:
+        raise ValueError(f"unknown white point {illuminant}, {observer}") from None
+
+
+def is_rgb_like(shape) -> bool:
+    """Whether a shape is that of an image with three or four channels."""
+    return len(shape) == 3 and shape[-1] in (3, 4)

@@ -333,3 +333,66 @@ def wiener_local(x, size=3, noise=None):
     with np.errstate(divide="ignore", invalid="ignore"):
         out = m + (x - m) * (1 - noise / v)
     return np.where(v < noise, m, out)
+
+
+def convolve_separable(x, weights, axes=None, mode="reflect", cval=0.0):
+    """One 1-D filter over every axis, or one filter per axis."""
+    axes = range(1, x.ndim) if axes is None else [a + 1 if a >= 0 else a for a in axes]
+    each = weights if np.ndim(weights[0]) else [weights] * len(axes)
+    for axis, w in zip(axes, each, strict=True):
+        x = convolve1d(x, w, axis, mode, cval)
+    return x
+
+
+def smooth_with_function_and_mask(x, function, mask):
+    """Smooths the pixels under the mask alone: what others would have added is divided out."""
+    mask = np.broadcast_to(np.asarray(mask, bool), x.shape)
+    share = function(mask.astype(float))
+    return function(np.where(mask, x, 0.0)) / (share + np.finfo(float).eps)
+
+
+def masked_edges(kernel, x, mask):
+    """An edge filter's result where the whole 3x3 neighbourhood lies under the mask, else 0."""
+    mask = np.broadcast_to(np.asarray(mask, bool), x.shape)
+    sure = minimum_filter(mask.astype(float), 3, mode="constant", cval=0.0) > 0
+    return np.where(sure, kernel(x), 0.0)
+
+
+def sobel_h(x):
+    return _edge(x, 0, SOBEL)
+
+
+def sobel_v(x):
+    return _edge(x, 1, SOBEL)
+
+
+def scharr_h(x):
+    return _edge(x, 0, SCHARR)
+
+
+def scharr_v(x):
+    return _edge(x, 1, SCHARR)
+
+
+def prewitt_h(x):
+    return _edge(x, 0, PREWITT)
+
+
+def prewitt_v(x):
+    return _edge(x, 1, PREWITT)
+
+
+def farid_h(x):
+    return directional(x, 0, FARID_SMOOTH, FARID_EDGE)
+
+
+def farid_v(x):
+    return directional(x, 1, FARID_SMOOTH, FARID_EDGE)
+
+
+def roberts_pos_diag(x):
+    return roberts_diagonals(x)[0]
+
+
+def roberts_neg_diag(x):
+    return roberts_diagonals(x)[1]

@@ -265,3 +265,16 @@ def interpn(points, values, xi, method="linear", bounds_error=True, fill_value=n
                 w = w * (f if e else 1 - f)
             out = out + w * values[tuple(i + e for i, e in zip(where, edge))]
     return np.where(bad, fill_value, out) if fill_value is not None and not bounds_error else out
+
+
+class RegularGridInterpolator:
+    """Values on a rectilinear grid as a function of points."""
+
+    def __init__(self, points, values, method="linear", bounds_error=True, fill_value=np.nan):
+        if any((np.diff(p) <= 0).any() for p in map(np.asarray, points)):
+            raise ValueError("grid points must ascend strictly")
+        self.grid, self.values, self.method = points, np.asarray(values, float), method
+        self.bounds = {"bounds_error": bounds_error, "fill_value": fill_value}
+
+    def __call__(self, xi, method=None):
+        return interpn(self.grid, self.values, xi, method or self.method, **self.bounds)

@@ -238,3 +238,17 @@ def hysteresis(x, low, high):
         keep[0] = False
         out[k] = keep[lab[k]]
     return out
+
+
+def ellipse(width, height):
+    y, x = np.mgrid[-height : height + 1, -width : width + 1]
+    return (y / (height + 1)) ** 2 + (x / (width + 1)) ** 2 < 1
+
+
+def star(a):
+    """A square of side 2a + 1 together with the square turned by 45 degrees."""
+    if a == 1:
+        return np.ones((3, 3), bool)
+    c = a + a // 2
+    y, x = np.mgrid[-c : c + 1, -c : c + 1]
+    return (np.maximum(abs(y), abs(x)) <= a) | (abs(y) + abs(x) <= c)

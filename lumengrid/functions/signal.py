@@ -311,3 +311,62 @@ def laplacian(ndim, shape):
             at[axis] = k
             r[tuple(at)] = -1.0
     return ir2tf(r, shape), r
+
+
+def correlate2d(x, kernel, mode="full", boundary="fill", fillvalue=0.0):
+    return convolve2d(x, np.conj(np.asarray(kernel)[::-1, ::-1]), mode, boundary, fillvalue)
+
+
+# Filters given by an impulse response f(r, c) --------------------------------------
+
+
+class LPIFilter2D:
+    """A linear filter by its impulse response, sampled on an odd grid around the origin.
+
+    Spectra are padded to twice the image, so nothing wraps around.
+    """
+
+    def __init__(self, impulse_response):
+        self.response = impulse_response
+
+    def spectrum(self, shape):
+        odd = [n + 1 - n % 2 for n in shape]
+        r, c = np.meshgrid(*[np.arange(n) - n // 2 for n in odd], indexing="ij")
+        return ir2tf(np.asarray(self.response(r, c), float), tuple(2 * n - 1 for n in odd))
+
+    def _apply(self, x, change):
+        f = self.spectrum(x.shape[1:])
+        out = np.fft.ifft2(np.fft.fft2(x, f.shape, axes=(1, 2)) * change(f), axes=(1, 2))
+        return np.abs(out[:, : x.shape[1], : x.shape[2]])
+
+    def __call__(self, x):
+        return self._apply(x, lambda f: f)
+
+    def inverse(self, x, max_gain=2.0):
+        """Divides by the spectrum; no frequency is amplified by more than ``max_gain``."""
+
+        def change(f):
+            size = np.maximum(np.abs(f), np.finfo(float).tiny)
+            return np.conj(f) / size * np.minimum(1 / size, max_gain)
+
+        return self._apply(x, change)
+
+    def wiener(self, x, k=0.25):
+        """Least mean square inverse for a noise-to-signal ratio ``k``."""
+        return self._apply(x, lambda f: np.conj(f) / (np.abs(f) ** 2 + k))
+
+
+def ufft2(x):
+    return np.fft.fft2(x, norm="ortho")
+
+
+def uifft2(x):
+    return np.fft.ifft2(x, norm="ortho")
+
+
+def urfft2(x):
+    return np.fft.rfft2(x, norm="ortho")
+
+
+def uirfft2(x, shape=None):
+    return np.fft.irfft2(x, s=shape, norm="ortho")

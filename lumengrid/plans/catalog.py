@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, filters, geometry, interpolate, morphology, scalar, signal, vision
-from ..operators import histograms, regions, tiles
+from ..operators import histograms, regions, shapes, tiles, views
 from ..operators.runtime import map_images, map_pairs, pixels
 from ..sources.images import embedding_images, event_signals
 from . import twins as T
@@ -407,3 +407,56 @@ on_pairs("masked_registration", lambda a, b: vision.masked_registration(a, b, a
 on_colours("adapt_rgb_hsv_value", lambda x: color.adapt_rgb(x, lambda v: v * v, "hsv_value"))
 on_colours("adapt_rgb_each_channel", lambda x: color.adapt_rgb(x, lambda v: v * v), f"WITH {_RGB}, o AS (SELECT l_suppkey, r * r AS c0, g * g AS c1, b * b AS c2 FROM c) {_MEAN}")
 register("label2rgb", lambda spark, sf: _labelled(spark, sf).select("image_id", "y", "x", color.label2rgb(F.col("label"), (F.col("v") + 1) / 2).alias("c")).select("image_id", "y", "x", *[F.round(f"c.{k}", 6).alias(k) for k in "abc"]))
+
+# Region shapes, views, slices ----------------------------------------------------------
+
+_MOMENTS = ["centroid_0", "centroid_1", *[f"mu_{k}" for k in ("2_0", "1_1", "0_2", "3_0", "2_1", "1_2", "0_3")], *[f"nu_{k}" for k in ("2_0", "1_1", "0_2", "3_0", "0_3")], *[f"hu_{k}" for k in range(7)]]
+
+
+def _region_moments(weight):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        found = shapes.region_moments(_labelled(spark, sf).where("label > 0"), weight and weight())
+        return found.select("image_id", "label", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _MOMENTS])
+
+    return query
+
+
+register("region_moments", _region_moments(None))
+register("region_moments_weighted", _region_moments(lambda: F.col("v") + 1), _LABELS + """, t AS (SELECT px.image_id, l.label, px.y::DOUBLE AS y, px.x::DOUBLE AS x, px.v + 1 AS w FROM px JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x),
+c AS (SELECT image_id, label, sum(w) AS m, sum(w * y) / sum(w) AS cy, sum(w * x) / sum(w) AS cx FROM t GROUP BY 1, 2),
+d AS (SELECT image_id, label, m, cy, cx, w, y - cy AS a, x - cx AS b FROM t JOIN c USING (image_id, label)),
+g AS (SELECT image_id, label, m, cy AS centroid_0, cx AS centroid_1, sum(w * a * a) AS mu_2_0, sum(w * a * b) AS mu_1_1, sum(w * b * b) AS mu_0_2, sum(w * a * a * a) AS mu_3_0, sum(w * a * a * b) AS mu_2_1, sum(w * a * b * b) AS mu_1_2, sum(w * b * b * b) AS mu_0_3 FROM d GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT *, mu_2_0 / pow(m, 2) AS nu_2_0, mu_1_1 / pow(m, 2) AS nu_1_1, mu_0_2 / pow(m, 2) AS nu_0_2, mu_3_0 / pow(m, 2.5) AS nu_3_0, mu_2_1 / pow(m, 2.5) AS nu_2_1, mu_1_2 / pow(m, 2.5) AS nu_1_2, mu_0_3 / pow(m, 2.5) AS nu_0_3 FROM g),
+h AS (SELECT *, nu_3_0 + nu_1_2 AS p, nu_2_1 + nu_0_3 AS q, nu_3_0 - 3 * nu_1_2 AS r, 3 * nu_2_1 - nu_0_3 AS s, nu_2_0 - nu_0_2 AS e FROM n),
+i AS (SELECT *, nu_2_0 + nu_0_2 AS hu_0, e * e + 4 * nu_1_1 * nu_1_1 AS hu_1, r * r + s * s AS hu_2, p * p + q * q AS hu_3, r * p * (p * p - 3 * q * q) + s * q * (3 * p * p - q * q) AS hu_4, e * (p * p - q * q) + 4 * nu_1_1 * p * q AS hu_5, s * p * (p * p - 3 * q * q) - r * q * (3 * p * p - q * q) AS hu_6 FROM h)
+SELECT image_id, label, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _MOMENTS) + " FROM i")
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    labels = map_images(embedding_images(spark, sf).select("image_id", "shape", "img"), lambda x: m.label(x > 0))
+    found = shapes.region_shapes(labels)
+    return found.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+register("region_shapes", _shapes)
+register("crop", lambda spark, sf: views.crop(image_pixels(spark, sf), ((1, 2), (2, 1)), (8, 8)), f"WITH {T.PX} SELECT image_id, y - 1 AS y, x - 2 AS x, v FROM px WHERE y BETWEEN 1 AND 5 AND x BETWEEN 2 AND 6")
+register("view_as_blocks", lambda spark, sf: views.view_as_blocks(image_pixels(spark, sf), (2, 4)), f"WITH {T.PX} SELECT image_id, y // 2 AS by, x // 4 AS bx, y % 2 AS y, x % 4 AS x, v FROM px")
+register("view_as_windows", lambda spark, sf: views.view_as_windows(image_pixels(spark, sf), (3, 2), (8, 8), 2), f"WITH {T.PX} SELECT image_id, a.k AS wy, b.k AS wx, y - 2 * a.k AS y, x - 2 * b.k AS x, v FROM px, range(0, 3) AS a(k), range(0, 4) AS b(k) WHERE y BETWEEN 2 * a.k AND 2 * a.k + 2 AND x BETWEEN 2 * b.k AND 2 * b.k + 1")
+register("apply_along_axis", lambda spark, sf: pixels(views.apply_along_axis(embedding_images(spark, sf).select("image_id", "shape", "img"), np.sort, 1)), f"WITH {T.PX} SELECT image_id, y, (row_number() OVER (PARTITION BY image_id, y ORDER BY v) - 1)::INT AS x, round(v, 6) + 0.0 AS v FROM px")
+register("is_low_contrast", lambda spark, sf: views.is_low_contrast(image_pixels(spark, sf), 0.55), f"WITH {T.PX} SELECT image_id, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) < 0.55 AS low_contrast FROM px GROUP BY image_id")
+register("intensity_range", lambda spark, sf: views.intensity_range(image_pixels(spark, sf)), f"WITH {T.PX} SELECT image_id, min(v) AS low, max(v) AS high FROM px GROUP BY image_id")
+register("entropy", lambda spark, sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), base=2).select("image_id", F.round("entropy", 9).alias("entropy")), f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(2.0), 9) AS entropy FROM p GROUP BY image_id")
+register("relative_entropy", lambda spark, sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), F.col("x") + 1).select("image_id", F.round("entropy", 9).alias("entropy")), f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p, (x + 1) / sum(x + 1) OVER (PARTITION BY image_id) AS r FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN p * ln(p / r) ELSE 0 END), 9) AS entropy FROM p GROUP BY image_id")
+register("histogram2d", lambda spark, sf: views.histogram2d(spark.read.parquet(f"{sf}/lineitem.parquet"), ("l_quantity", 7, 1.0, 50.0), ("l_extendedprice", 9, 0.0, 90000.0), ["l_returnflag"]), "SELECT l_returnflag, least(floor((l_quantity - 1.0::DOUBLE) / 49.0::DOUBLE * 7), 6)::INT AS bin_l_quantity, least(floor(l_extendedprice / 90000.0::DOUBLE * 9), 8)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 0 AND 90000 GROUP BY 1, 2, 3")
+on_images("convolve_separable", lambda x: f.convolve_separable(x, (0.25, 0.5, 0.25)), T.linear(T.outer(_tap((0.25, 0.5, 0.25)), _tap((0.25, 0.5, 0.25)))))
+on_images("smooth_with_function_and_mask", lambda x: f.smooth_with_function_and_mask(x, lambda a: f.correlate(a, np.full((3, 3), 1 / 9)), x > 0), T.pixels(T.step("px", "f", T.BOX, "sum(CASE WHEN q.v > 0 THEN w * q.v ELSE 0 END) / (sum(CASE WHEN q.v > 0 THEN w ELSE 0 END) + 2.220446049250313e-16)")))
+on_images("sobel_masked", lambda x: f.masked_edges(lambda a: f.edge_magnitude(a, f.SOBEL), x, x > -0.2))
+on_images("correlate2d", lambda x: signal.correlate2d(x, [[1.0, 2, 0], [0, -1, 3], [0.5, 0, 1]], "same"), T.linear([(-1, -1, 1), (-1, 0, 2), (0, 0, -1), (0, 1, 3), (1, -1, 0.5), (1, 1, 1)], "constant"))
+_box = lambda r, c: ((abs(r) <= 1) & (abs(c) <= 1)) / 9
+on_images("lpi_forward", lambda x: signal.LPIFilter2D(_box)(x), T.pixels(T.step("px", "f", T.BOX, "sum(w * q.v)", "constant"), value="abs(v)"))
+on_images("lpi_inverse", lambda x: signal.LPIFilter2D(_box).inverse(x))
+on_images("lpi_wiener", lambda x: signal.LPIFilter2D(_box).wiener(x))
+on_images("hessian_ridges", lambda x: vision.hessian_ridges(x, (1,)))
+on_images("hessian_eigenvalues", lambda x: vision.compute_hessian_eigenvalues(x, 1.0, "abs")[1])
+on_images("dilation_star", lambda x: m.grey_dilation(x, footprint=m.star(2)), T.chain("max", taps=[(a, b, 1) for a in range(-3, 4) for b in range(-3, 4) if max(abs(a), abs(b)) <= 2 or abs(a) + abs(b) <= 3]))
+on_images("erosion_ellipse", lambda x: m.grey_erosion(x, footprint=m.ellipse(2, 1)), T.chain("min", taps=[(a, b, 1) for a in (-1, 0, 1) for b in range(-2, 3) if a * a / 4 + b * b / 9 < 1]))
