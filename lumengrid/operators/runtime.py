@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +25,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; in a temporary one where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
+    return df.checkpoint()
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     values = column.flatten().to_numpy(zero_copy_only=False)
     size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()

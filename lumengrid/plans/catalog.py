@@ -398,6 +398,14 @@ def _tiled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("tiled_uniform_filter", _tiled, ORACLE_SQL["uniform_filter"])
+
+
+def _tiled_label(spark: SparkSession, sf: str) -> DataFrame:
+    parts = tiles.split(embedding_images(spark, sf).select("image_id", "shape", "img"), 3, 0)
+    return tiles.label_tiles(parts.withColumn("img", F.transform("img", lambda v: (v > 0).cast("double"))))
+
+
+register("tiled_label", _tiled_label, _LABELS + " SELECT image_id, y, x, label FROM l")
 on_images("mark_boundaries", lambda x: vision.mark_boundaries(x, morphology.label(x > 0)))
 on_images("daisy", lambda x: vision.daisy(x, 2, 2, 1, 4, 4).reshape(len(x), -1, 20))
 per_image("moments_hu", lambda x: vision.image_moments_hu(x + 1))
