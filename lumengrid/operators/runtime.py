@@ -59,6 +59,15 @@ def stacks(shapes: pa.Array, images: pa.Array):
         i = j
 
 
+def _gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with rows of one shape side by side, so that mixed shapes (tiles) still make large stacks."""
+    sv, so = _lists(batch.column("shape"))
+    shapes = [tuple(sv[so[k] : so[k + 1]].tolist()) for k in range(len(batch))]
+    if sum(a != b for a, b in zip(shapes, shapes[1:])) < len(set(shapes)):
+        return batch
+    return batch.take(pa.array(sorted(range(len(shapes)), key=shapes.__getitem__), pa.int64()))
+
+
 def _as_lists(rows: list) -> tuple[pa.Array, pa.Array]:
     shapes = pa.array([None if r is None else list(r.shape) for r in rows], pa.list_(pa.int32()))
     off = np.r_[0, np.cumsum([0 if r is None else r.size for r in rows])].astype(np.int32)
@@ -78,7 +87,7 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], ke
     picked = images.select(*keep, F.col("shape").cast("array<int>"), F.col("img").cast("array<double>"))
 
     def run(batches):
-        for batch in batches:
+        for batch in map(_gathered, batches):
             rows: list = [None] * len(batch)
             for cut, stack in stacks(batch.column("shape"), batch.column("img")):
                 if stack is not None:

@@ -19,6 +19,9 @@ def test_map_images_handles_shapes_nulls_and_empties(spark):
     got = {r.image_id: r.img for r in map_images(df, lambda x: filters.maximum_filter(x)).collect()}
     assert got == {1: [4.0] * 4, 2: [5.0, 5.0, 5.0], 3: None, 4: None, 5: [7.0]}
     assert map_images(df.limit(0), filters.maximum_filter).count() == 0
+    mixed = [(k, [1 + k % 3, 2], [float(k + j) for j in range(2 + 2 * (k % 3))]) for k in range(20)]
+    df = spark.createDataFrame(mixed, df.schema).coalesce(1)
+    assert {r.image_id: r.img for r in map_images(df, lambda x: x + 1).collect()} == {k: [v + 1 for v in img] for k, _, img in mixed}
 
 
 def test_flagship_counts_every_labelled_pixel(spark):
