@@ -131,7 +131,10 @@ def count_table(docs: DataFrame, n: int, counters: int = COUNTERS) -> np.ndarray
 
 
 def postings(docs: DataFrame, n: int, percent: int, table: np.ndarray, part_rows: int = PART_ROWS) -> DataFrame:
-    """(shingle, part, cls, pos, size): the prefix of every class, once per slice."""
+    """(shingle, part, cls, pos, size): the prefix of every class, once per slice.
+
+    Part 0 is a whole bucket; the parts of a dealt one are numbered from 1.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(table)
@@ -159,7 +162,8 @@ def postings(docs: DataFrame, n: int, percent: int, table: np.ndarray, part_rows
                 ok = pos < prefix[d]
                 d, h, c, pos = d[ok], h[ok], c[ok], pos[ok]
                 own = cls[d]
-                part = (own >> _U(33)) % (c.astype(_U) // _U(part_rows) + _U(1))
+                parts = c.astype(_U) // _U(part_rows) + _U(1)
+                part = (own >> _U(33)) % parts + (parts > 1)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(size[d].astype(np.int32))], names=["shingle", "part", "cls", "pos", "size"])
 
     return docs.select("text").mapInArrow(run, "shingle long, part int, cls long, pos int, size int")
@@ -237,7 +241,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, counters: int = COUNTER
     bucket = Window.partitionBy("shingle", "part")
     lead = F.min(F.struct("pos", "cls", "size")).over(bucket)
     wide = rows.withColumn("lead", lead).withColumn("last", F.max("cls").over(bucket)).withColumn("first", F.min("cls").over(bucket))
-    # A shingle dealt into parts may be alone in one of them.
+    # A class may be alone in a part of a dealt shingle, and still share the shingle with other parts.
     wide = stage(wide.where("first != last or part > 0").select("shingle", "part", "cls", "pos", "size", "lead"), "join_postings")
     first = wide.select(F.struct("cls", "pos", "size").alias("x"), F.col("lead").alias("y")).where("x.cls != y.cls").where(_may_link("x", "y", percent)).select(*_pair("x", "y")).distinct()
     links = verify(first, classes, docs, n, percent)

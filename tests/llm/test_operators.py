@@ -231,6 +231,17 @@ def test_ngram_join(spark, docs, n, percent, part_rows):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(str, brute_components(ROWS, n, percent)))
 
 
+def test_ngram_join_across_parts(spark):
+    """Two classes that share dealt shingles link, whichever parts they fall into."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = ["w%d" % rng.randrange(10**6) for _ in range(60)]
+        rows += [(10 * k + i, " ".join(base)) for i in range(3)] + [(10 * k + 5, " ".join(base[:-1] + ["other"]))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, counters=1 << 16, part_rows=3).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(str, brute_components(rows, 4, 85)))
+
+
 def test_ngram_join_of_nothing(empty):
     assert ngram_join.join(empty, 4, 85, counters=1 << 12).count() == 0
 
