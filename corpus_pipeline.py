@@ -13,8 +13,8 @@ from lumengrid.llm import decontamination, langid, mixing, ngram_join, tokens
 from lumengrid.llm.common import free_name, quoted, stage
 from lumengrid.llm.queries import tokenizer_path
 
-#: Least share-weighted score of the language identifier.
-LEAST_SCORE = 0.5
+#: Least fit of a text (langid.identify): chosen between the texts of the given tables and sentences of other languages.
+LEAST_FIT = -0.47
 #: Ids that may be broadcast; beyond this the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -31,11 +31,12 @@ def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no learned language fits.
 
+    The fit is absolute and follows the spans, so mixtures of learned languages stay.
     Rows keep their columns; null and empty texts go.
     """
     into = free_name(docs, "language")
     found = langid.identify(docs, langid.fit(docs), docs.columns, into)
-    return _same(found.where((F.col(f"{into}.label") != langid.UNKNOWN) & (F.col(f"{into}.score") >= LEAST_SCORE)), docs)
+    return _same(found.where((F.col(f"{into}.label") != langid.UNKNOWN) & (F.col(f"{into}.fit") >= LEAST_FIT)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,10 @@ class Model:
         self.langs = langs
         total = counts.sum(1, keepdims=True)
         self.logp = np.log((counts + 0.5) / (total + 0.5 * BUCKETS)).astype(np.float32)
+        #: Mean log-probability of a byte of each language's training texts.
+        self.usual = (counts * self.logp).sum(1) / np.maximum(total[:, 0], 1)
+        #: From there down to a trigram never seen; it grows with the training texts.
+        self.depth = self.usual - np.log(0.5 / (total[:, 0] + 0.5 * BUCKETS))
         share = scripts / np.maximum(scripts[:, -1:], 1)
         bits = (share[:, :N_SCRIPTS] >= SCRIPT_SHARE).astype(np.uint16)
         self.scripts = (bits << np.arange(N_SCRIPTS, dtype=np.uint16)).sum(1).astype(np.uint16)
@@ -93,6 +97,25 @@ class Model:
         out[barred] += BARRED
         return out
 
+    def fit_of(self, scores: np.ndarray, path: np.ndarray, data: np.ndarray, words: K.Words, n_docs: int) -> np.ndarray:
+        """Mean log-probability per byte of each document along its path: 0 as in the languages' training texts, -1 as trigrams never seen.
+
+        A word in a script that no language admits loses BARRED.  Words with digits
+        (numbers, keys, addresses) may belong to no language: the better of
+        the means with and without them counts.
+        """
+        if not len(path):
+            return np.zeros(n_docs)
+        size = (words.end - words.start + 1).astype(np.float64)
+        own = scores[path, np.arange(len(path))] - self.usual[path] * size
+        s = word_scripts(words, data)
+        own[np.stack([(s & ~m) != 0 for m in self.scripts]).all(0)] += BARRED
+        own /= self.depth[path]
+        plain = ~np.logical_or.reduceat((data >= 0x30) & (data <= 0x39), words.start)
+        mean = lambda w: np.bincount(words.doc, weights=own * w, minlength=n_docs) / np.maximum(np.bincount(words.doc, weights=size * w, minlength=n_docs), 1)
+        some = np.bincount(words.doc, weights=plain, minlength=n_docs) > 0
+        return np.where(some, np.maximum(mean(plain), mean(1.0 + 0 * plain)), mean(1.0 + 0 * plain))
+
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best language per word of one document; ties go to the earlier language."""
@@ -202,8 +225,8 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float = SWITCH) -> tuple[K.Words, np.ndarray, np.ndarray]:
-    """Words, the language of each, and how many documents were decoded word by word."""
+def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float = SWITCH) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the language of each, every language's total by document, and each document's fit."""
     text, at = padded(data, offs)
     words = K.split_words(text[: at[-1]], at)
     words.data = text
@@ -216,12 +239,13 @@ def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float
     for i in hard:
         a, b = words.first[i], words.first[i + 1]
         path[a:b] = viterbi(scores[:, a:b], penalty)
-    return words, path, total
+    return words, path, total, model.fit_of(scores, path, text, words, len(at) - 1)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"], into: str = "language", penalty: float = SWITCH) -> DataFrame:
-    """Adds the column ``into``: struct of label, score (0 to 1) and spans (lang, first and
-    end word), beside the columns of ``keep``.
+    """Adds the column ``into``: struct of label, score (0 to 1), spans (lang, first and end
+    word) and fit (log-probability per byte: 0 as the training texts, -1 as unseen), beside the
+    columns of ``keep``.
 
     The label is the language of most bytes; ``und`` with score 0 for null
     texts, texts without a letter, and without a model.  Empty tables give no
@@ -236,9 +260,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"],
             n = len(nulls)
             letters = has_letter(data, offs)
             if model is None:
-                names, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+                names, score, fits, spans = [UNKNOWN] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
             else:
-                words, path, total = label_words(model, data, offs, penalty)
+                words, path, total, fits = label_words(model, data, offs, penalty)
                 doc, length = words.doc, (words.end - words.start).astype(np.float64)
                 weight = np.stack([np.bincount(doc[path == k], weights=length[path == k], minlength=n) for k in range(len(model.langs))])
                 label = weight.argmax(0)
@@ -259,8 +283,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"],
                 spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), one)
             if isinstance(spans, list):
                 spans = pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-            return [pa.StructArray.from_arrays([pa.array(list(names), pa.string()), pa.array(np.asarray(score, np.float64)), spans], names=["label", "score", "spans"])]
+            return [pa.StructArray.from_arrays([pa.array(list(names), pa.string()), pa.array(np.asarray(score, np.float64)), spans, pa.array(fits)], names=["label", "score", "spans", "fit"])]
 
         return work
 
-    return map_text(docs, keep, f"`{into}` struct<label:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>", make, 1 << 20)
+    return map_text(docs, keep, f"`{into}` struct<label:string,score:double,spans:array<struct<lang:string,start:int,end:int>>,fit:double>", make, 1 << 20)

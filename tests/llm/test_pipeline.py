@@ -50,6 +50,24 @@ def test_stages_keep_columns_and_take_effect(spark, docs):
     assert len(rows) == now.count() and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
 
 
+def test_language_stage_rejects_by_fit(spark):
+    """Languages never learned go; a mixture of three learned ones stays."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    texts = {g: next(t for t, h in real.select("text", "lang").collect() if h == g and len(t.split()) > 80 and not re.search(r"\d|!!", t)) for g in ("de", "en", "es")}
+    rows = [
+        (-1, "Вчера вечером мы гуляли по старому городу и смотрели на реку", None),
+        (-2, "昨天 晚上 我们 在 老城 散步 看 河水", None),
+        (-3, "Wczoraj wieczorem spacerowaliśmy po starym mieście i patrzyliśmy na rzekę, która płynęła spokojnie", None),
+        (-4, "Eilen illalla kävelimme vanhassa kaupungissa ja katselimme jokea joka virtasi rauhallisesti", None),
+        (-6, "Ieri sera abbiamo passeggiato nella città vecchia e guardato il fiume che scorreva", None),
+        (-7, "Tegnap este sétáltunk az óvárosban, és néztük a csendesen folyó vizet", None),
+        (-5, " ".join(w for g, n in (("de", 40), ("en", 33), ("es", 33)) for w in texts[g].split()[:n]), None),
+    ]
+    got = {r.doc_id for r in P.language(spark, real.unionByName(spark.createDataFrame(rows, real.schema)), SF).select("doc_id").collect()}
+    assert {i for i in got if i < 0} == {-5}
+    assert len(got) - 1 > 0.99 * real.count()
+
+
 def test_stages_of_nothing(spark, docs):
     now = docs.limit(0)
     for _, stage in P.STAGES:
