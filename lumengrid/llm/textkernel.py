@@ -4,11 +4,12 @@ A batch of documents is one byte buffer with offsets.  Words are maximal runs
 of "word bytes"; every class used here is a set of ASCII bytes or all bytes
 from 0x80, so splitting bytes is the same as splitting code points.
 
-A word's hash is the polynomial sum of its bytes modulo 2**64, read off a
-prefix sum over the whole buffer, then mixed with its length.  N-gram hashes
-combine word hashes in order.  Buffers are cut at document borders into slices
-of about ``SLICE`` bytes, so memory follows the slice (or the longest single
-document), never the Arrow batch.
+A word's hash takes its bytes eight at a time through a bijective mixer, so it
+is not linear in them and patterns in a text give no collisions; words of up to
+eight bytes and one length never collide.  N-gram and sequence hashes mix at
+every step too.  Buffers are cut at document borders into slices of about
+``SLICE`` bytes, so memory follows the slice (or the longest single document),
+never the Arrow batch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import hashlib
 
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +27,12 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 _U = np.uint64
-_M = 0x9E3779B97F4A7C15 | 1
+_A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
-_INV = pow(_M, -1, 1 << 64)
-_powers = np.ones(1, _U), np.ones(1, _U)
+#: The low bytes of a chunk that belong to a word, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Bytes hashed with array operations; the rest of a longer word goes through BLAKE2.
+_CHUNKED = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,22 +64,6 @@ def tidy(task):
     return run
 
 
-def _pow_table(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, _U)
-    while len(out) < n:
-        step = pow(base, len(out), 1 << 64)
-        out = np.concatenate([out, out * _U(step)])
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M**i and M**-i modulo 2**64 for i < n; kept for the next call."""
-    global _powers
-    if len(_powers[0]) < n:
-        _powers = _pow_table(_M, n), _pow_table(_INV, n)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -108,16 +96,44 @@ def slices(offs: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def chunk_view(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as little-endian numbers; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, 0, (1,))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    size = end - start
+    chunks = chunk_view(data)
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(_U) * _A)
+        h = mix(h ^ (chunks[start] & _LOW[np.minimum(size, 8)]))
+        some = np.flatnonzero(size > 8)
+        for k in range(8, _CHUNKED, 8):
+            if not len(some):
+                break
+            h[some] = mix(h[some] ^ (chunks[start[some] + k] & _LOW[np.minimum(size[some] - k, 8)]))
+            some = some[size[some] > k + 8]
+    if len(some):
+        raw = memoryview(np.ascontiguousarray(data))
+        rest = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip((start[some] + _CHUNKED).tolist(), end[some].tolist())]
+        h[some] = mix(h[some] ^ np.array(rest, _U))
+    return h
+
+
 @dataclass
 class Words:
-    """Words of some documents: byte ranges, hashes, and first word of each."""
+    """Words of some documents: byte ranges, first word of each document, and hashes when asked for."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     first: np.ndarray  # word index at which each document begins; one more at the end
 
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        return byte_hashes(self.data, self.start, self.end)
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -136,27 +152,38 @@ def split_words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = NOT_SPACE
     begin[edge] = inside[edge]
     finish[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    up, down = powers(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=total[1:])
-        hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
-    return Words(data, start, end, hashes, np.searchsorted(start, offs))
+    return Words(data, start, end, np.searchsorted(start, offs))
+
+
+def _then(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of sequences x and y, one after the other."""
+    t = x * _A
+    t ^= t >> _U(32)
+    t += y
+    t *= _B
+    return t
 
 
 def ngram_hashes(words: Words, n: int) -> np.ndarray:
     """Hash of the n words from each word on; 0 where the document has fewer.
 
-    A real hash is never 0.
+    A real hash is never 0.  Hashes of 1, 2, 4, ... words are put together.
     """
-    out = np.zeros(len(words.hash), _U)
-    m = len(words.hash) - n + 1
+    out = np.zeros(len(words.start), _U)
+    m = len(words.start) - n + 1
     if m <= 0:
         return out
     with np.errstate(over="ignore"):
-        acc = words.hash[:m].copy()
-        for j in range(1, n):
-            acc = acc * _U(_M) + words.hash[j : j + m]
+        levels, k = [words.hash], 1
+        while 2 * k <= n:
+            levels.append(_then(levels[-1][:-k], levels[-1][k:]))
+            k *= 2
+        acc, done = levels[-1][:m], k
+        for level in reversed(levels[:-1]):
+            k //= 2
+            if n & k:
+                acc = _then(acc, level[done : done + m])
+                done += k
         acc = mix(acc + _U(n))
     acc[acc == 0] = 1
     out[:m] = acc
@@ -166,12 +193,20 @@ def ngram_hashes(words: Words, n: int) -> np.ndarray:
     return out
 
 
+def window_checks(words: Words, at: np.ndarray, n: int) -> np.ndarray:
+    """A second hash of the n words from each of some words on, independent of the first."""
+    with np.errstate(over="ignore"):
+        acc = np.full(len(at), n, _U)
+        for j in range(n):
+            acc = (acc ^ (acc >> _U(29))) * _B + words.hash[at + j]
+        return mix(acc)
+
+
 def sequence_hash(words: Words) -> np.ndarray:
-    """One hash for the whole word sequence of each document."""
-    w = words.hash
-    up, down = powers(len(w) + 1)
+    """One hash for the whole word sequence of each document: words mixed with their places, summed."""
+    a, b = words.first[:-1], words.first[1:]
+    place = np.arange(len(words.start)) - np.repeat(a, b - a)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(w) + 1, _U)
-        np.cumsum(w * up[: len(w)], out=total[1:])
-        a, b = words.first[:-1], words.first[1:]
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(_U))
+        total = np.zeros(len(place) + 1, _U)
+        np.cumsum(mix(words.hash ^ (place.astype(_U) * _A)), out=total[1:])
+        return mix((total[b] - total[a]) * _A + (b - a).astype(_U))
