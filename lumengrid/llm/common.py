@@ -15,16 +15,23 @@ BLANK = r"[\x20\x09-\x0D]+"
 #: A key is hot when it holds more than this share of all rows, so at most
 #: HOT_SHARE keys are hot whatever the input: the proven bound of a broadcast.
 HOT_SHARE = 1000
+#: Below this no key is worth treating apart.
+SMALL_ROWS = 10_000
+#: Rows of a key that one task may receive in a spread join.
+PART_ROWS = 10_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder takes its place.
+    Where the setting is absent a local session gets a temporary folder; a
+    cluster, whose machines share none, has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,24 +59,52 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int | None = None) -> DataFrame:
     """Left join to a table with one row per key, hot keys apart.
 
-    ``right[weight]`` counts the left rows of a key.  Keys above 1/HOT_SHARE of
-    all rows (fewer than HOT_SHARE of them) are broadcast, so no task ever
-    receives the rows of a hot key; the others are shuffled.  Null keys stay
-    unmatched.
+    ``right[weight]`` counts the left rows of a key, ``rows`` all left rows (or
+    those of right's keys, if not given).  Keys above 1/HOT_SHARE of them
+    (fewer than HOT_SHARE) are broadcast.  Their rows, and rows with a null
+    key, which stay unmatched, are dealt by a hash of the whole row, so no task
+    receives the rows of a hot key.  The left side is computed once.
     """
+    if rows is None:
+        rows = right.agg(F.sum(weight)).first()[0] or 0
+    if rows < SMALL_ROWS:
+        return left.join(right, key, "left")
     limit = max(1, rows // HOT_SHARE)
     names = [c for c in right.columns if c != key]
-    if rows < 200_000:
-        return left.join(right, key, "left")
     hot = right.where(F.col(weight) > limit)
     cold = right.where(F.col(weight) <= limit)
-    one = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    a = one.where("_hot").drop("_hot")
-    b = one.where("_hot is null").select(*left.columns).join(cold, key, "left")
-    return a.unionByName(b.select(*left.columns, *names))
+    pack = lambda df: df.select(key, F.struct(*[quoted(c) for c in names]).alias("_found"))
+    one = left.join(F.broadcast(pack(hot)), key, "left")
+    apart = F.col("_found").isNotNull() | quoted(key).isNull()
+    spread = F.xxhash64(*[quoted(c) for c in left.columns if not isinstance(left.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))], F.lit("spread"))
+    kind = right.schema[key].dataType
+    one = one.withColumn("_key", F.when(apart, spread.cast(kind)).otherwise(quoted(key))).withColumn("_apart", apart)
+    out = one.join(pack(cold).select(F.col(key).alias("_key"), F.lit(False).alias("_apart"), F.col("_found").alias("_cold")), ["_key", "_apart"], "left")
+    found = F.coalesce("_found", "_cold")
+    return out.select(*[quoted(c) for c in left.columns], *[found[c].alias(c) for c in names])
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], counted: DataFrame | None = None, per_part: int = PART_ROWS) -> DataFrame:
+    """Inner join in which no task receives more than a part of a key's left rows.
+
+    A key with more than ``per_part`` left rows (and more than 1/HOT_SHARE of
+    all rows of such keys, so fewer than HOT_SHARE keys) is dealt over parts by
+    a hash of the columns ``spread``, and its right rows are copied to every
+    part.  ``counted`` holds the left rows' keys where it is cheaper to read.
+    """
+    sizes = (left if counted is None else counted).groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > per_part)
+    sizes = stage(sizes, "join_sizes")
+    total = sizes.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return left.join(right, on)
+    limit = max(per_part, total // HOT_SHARE)
+    hot = F.broadcast(sizes.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    x = left.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    y = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return x.join(y, [*on, "_part"]).drop("_part")
 
 
 def ship(spark: SparkSession) -> None:

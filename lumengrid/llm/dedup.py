@@ -4,8 +4,10 @@ A snapshot is a table of distinct texts (digest, smallest doc_id, count) that
 never changes, split into shards by digest; each shard has a static binary
 fuse filter (three probes, 16-bit fingerprints).  A new batch is first grouped
 by digest, so copies inside it meet before any probe.  Its distinct digests
-then probe the filter of their shard; only positives join the snapshot's exact
-buckets, where the texts themselves are compared byte for byte.
+then probe the filter of their shard.  Positives join the snapshot's exact
+buckets, where the texts themselves are compared byte for byte; what is found
+there joins the group of the snapshot.  Negatives never touch the snapshot:
+they become the batch's own groups, and the next snapshot.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, attach, stage
+from .common import BLANK, attach, ship, stage
 
 #: Digests of one filter shard, on average; its memory follows this figure.
 SHARD_KEYS = 400_000
@@ -106,7 +108,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-def _filters(snapshot: DataFrame, shards: int) -> DataFrame:
+def _filters(snapshot: DataFrame) -> DataFrame:
     def build(key, table):
         fuse = build_fuse(table["key"].to_numpy().view(_U))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "seed": pa.array([fuse["seed"]], pa.int32()), "segment": pa.array([fuse["segment"]], pa.int32()), "segments": pa.array([fuse["segments"]], pa.int32()), "cells": pa.array([fuse["table"].tobytes()], pa.binary())})
@@ -123,23 +125,31 @@ def _screen(key, left, right):
 
 
 class Snapshot:
-    """Distinct texts of an immutable batch with their filter shards, in scratch tables."""
+    """Distinct texts of an immutable batch with their filter shards, in scratch tables.
 
-    def __init__(self, docs: DataFrame, rows: DataFrame):
+    ``table`` has one row per digest: digest, first_id, n; ``docs`` holds the texts.
+    """
+
+    def __init__(self, docs: DataFrame, table: DataFrame):
         self.docs = docs
-        n = rows.count()
-        self.shards = max(1, -(-n // SHARD_KEYS))
-        self.table = stage(self.sharded(grouped(rows)), "dedup_snapshot")
-        self.filters = stage(_filters(self.table, self.shards), "dedup_filters")
+        self.shards = max(1, -(-table.count() // SHARD_KEYS))
+        self.table = stage(self.sharded(table), "dedup_snapshot")
+        self.filters = stage(_filters(self.table), "dedup_filters")
 
     def sharded(self, table: DataFrame) -> DataFrame:
         key = _key64(F.col("digest"))
         return table.withColumn("key", key).withColumn("shard", F.pmod(F.shiftrightunsigned(key, 40), F.lit(self.shards)).cast("int"))
 
-    def screen(self, batch: DataFrame) -> DataFrame:
-        """The digests of a grouped batch that the filters can't rule out."""
-        batch = self.sharded(batch)
-        return batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_screen, batch.schema)
+    def screen(self, batch: DataFrame, size: int) -> DataFrame:
+        """The digests of a grouped batch of ``size`` rows that the filters can't rule out.
+
+        A shard's part of a large batch is dealt over several tasks, each with the filter.
+        """
+        ship(batch.sparkSession)
+        parts = max(1, -(-size // (self.shards * SHARD_KEYS)))
+        batch = self.sharded(batch).withColumn("part", F.pmod(F.col("key"), F.lit(parts)).cast("int"))
+        filters = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return batch.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(_screen, batch.schema)
 
 
 def exact_dedup(batches: list[DataFrame]) -> DataFrame:
@@ -151,53 +161,63 @@ def exact_dedup(batches: list[DataFrame]) -> DataFrame:
     all kept rows of one group; a null doc_id is kept only in a group with no
     other id.  Empty batches give no rows; other columns are ignored.
     """
-    staged = [stage(digests(b), "dedup_digests") for b in batches]
-    known: DataFrame | None = None
     snapshots: list[Snapshot] = []
-    for docs, rows in zip(batches, staged):
-        fresh = grouped(rows)
-        if snapshots:
-            hits = None
-            for s in snapshots:
-                some = _verified(s, docs, stage(s.screen(fresh), "dedup_screened"))
-                hits = some if hits is None else hits.unionByName(some)
-            known = known.unionByName(fresh).unionByName(hits)
-        else:
-            known = fresh
-        if docs is not batches[-1]:
-            snapshots.append(Snapshot(docs, rows))
-    groups = known.groupBy("digest").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    every = staged[0]
-    for s in staged[1:]:
-        every = every.unionByName(s)
-    out = attach(every, stage(groups, "dedup_groups"), "digest", "group_size", every.count())
+    rows, own, found = [], [], []  # by batch: digests of rows, groups begun here, matches by snapshot
+    for k, docs in enumerate(batches):
+        rows.append(stage(digests(docs), "dedup_digests"))
+        fresh = stage(grouped(rows[-1]), "dedup_fresh") if snapshots else grouped(rows[-1])
+        size = fresh.count() if snapshots else 0
+        found.append([matches(s, docs, stage(s.screen(fresh, size), "dedup_screened")) for s in snapshots])
+        for some in found[-1]:
+            fresh = fresh.join(some.select("digest"), "digest", "left_anti")
+        if k + 1 < len(batches):
+            snapshots.append(Snapshot(docs, fresh))
+            fresh = snapshots[-1].table.select("digest", "first_id", "n")
+        own.append(fresh)
+    # A snapshot's groups take in what later batches were matched to them.
+    groups = []
+    for k, table in enumerate(own):
+        for later in found[k + 1 :]:
+            table = table.unionByName(later[k])
+        groups.append(stage(table.groupBy("digest").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup_groups"))
+    out = None
+    for k, every in enumerate(rows):
+        table = groups[k]
+        for j, some in enumerate(found[k]):
+            table = table.unionByName(groups[j].join(some.select("digest"), "digest", "left_semi"))
+        some = attach(every, table, "digest", "group_size", every.count())
+        out = some if out is None else out.unionByName(some)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _verified(snapshot: Snapshot, docs: DataFrame, screened: DataFrame) -> DataFrame:
-    """Positives found in the exact buckets whose texts differ after all, as a correction.
+def matches(snapshot: Snapshot, docs: DataFrame, screened: DataFrame) -> DataFrame:
+    """(digest, first_id, n) of the positives that a snapshot's exact buckets hold.
 
-    A positive and the snapshot's text of equal digest are compared as whole
-    texts.  Equal digests of unequal texts would raise: such a pair has never
-    been found for SHA-256, and merging the two would lose a text.
+    The batch's text and the snapshot's are compared byte for byte.  Equal
+    digests of unequal texts would raise: such a pair has never been found for
+    SHA-256, and merging the two would lose a text.
     """
-    pairs = screened.select("digest", F.col("first_id").alias("new_id")).join(snapshot.table.select("digest", F.col("first_id").alias("old_id")), "digest")
-    pairs = stage(pairs.distinct(), "dedup_pairs")
+    pairs = screened.select("digest", F.col("first_id").alias("new_id"), "n").join(snapshot.table.select("digest", F.col("first_id").alias("old_id")), "digest")
+    pairs = stage(pairs, "dedup_pairs")
     few = pairs.count() <= BROADCAST_PAIRS
     new, old = _texts(pairs, docs, "new_id", few), _texts(pairs, snapshot.docs, "old_id", few)
-    both = new.join(old.select("digest", "old_id_text"), "digest")
-    bad = both.where(F.col("new_id_text") != F.col("old_id_text"))
-    return bad.select("digest", F.col("new_id").alias("first_id"), F.raise_error(F.lit("one digest, two texts")).cast("long").alias("n"))
+    both = new.join(old, "digest")
+    same = F.when(F.col("new_id_text") == F.col("old_id_text"), True).otherwise(F.raise_error(F.lit("one digest, two texts")).cast("boolean"))
+    return stage(pairs.join(both.where(same).select("digest"), "digest").select("digest", F.col("new_id").alias("first_id"), "n"), "dedup_matches")
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, name: str, few: bool) -> DataFrame:
-    """The pairs with the normalised text of the named id whose digest is the pair's.
+    """(digest, normalised text) of the rows with the pairs' ids, null ids too, one a digest.
 
     Few pairs are broadcast, so that only texts in pairs are ever shuffled.
     """
     text = normalised(F.col("text"))
-    side = docs.select(F.col("doc_id").alias(name), text.alias(f"{name}_text"), F.sha2(text, 256).alias("digest"))
-    return side.join(F.broadcast(pairs) if few else pairs, [name, "digest"])
+    side = docs.select(F.col("doc_id").alias("_id"), text.alias("_text"), F.sha2(text, 256).alias("_digest"))
+    wanted = pairs.select("digest", name)
+    if not few:  # repeated rows meet in their own tasks before they move
+        side = side.groupBy("_id", "_digest").agg(F.first("_text").alias("_text"))
+    found = side.join(F.broadcast(wanted) if few else wanted, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col(name)))
+    return found.groupBy("digest").agg(F.first("_text").alias(f"{name}_text"))
 
 
 def halves(docs: DataFrame) -> list[DataFrame]:

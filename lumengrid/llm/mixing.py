@@ -11,6 +11,10 @@ of the source's cumulative schedule turns demand into a training position.
 Prefix sums never need a source in one task: documents fall into buckets by
 the first digits of their order key, buckets are summed first, and a window
 runs only inside (source, bucket).  The number of digits follows the row count.
+Rows of one source, doc_id and size are interchangeable: they are counted
+before they move and one row stands for them, so ids that repeat, or are null,
+fill no bucket.  The table of sources itself is sorted in one task: it has one
+row per source, thousands at most.
 """
 
 from __future__ import annotations
@@ -88,7 +92,8 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix"
 
     Columns: doc_id, source, size (words), source_size, target, taken (words,
     repeats counted), passes (whole copies, rounded), position (training time
-    of its first word; null if nothing is taken).  ``schedules`` adds ``knots``
+    of its first word; null if nothing is taken), positions (the same for each
+    pass that takes words).  ``schedules`` adds ``knots``
     to the table of sources.  The document at a source's limit gives only the
     words still due, so each source's taken words are its target, rounded down.
 
@@ -104,20 +109,22 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix"
     plan = stage(water_fill(plan, share, repeats).select("sk", "source_size", "target", "weight", "segments", "_rows"), "mix_plan")
     rows = plan.agg(F.sum("_rows")).first()[0] or 0
     digits = max(2, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS + 1, 16)))
-    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
+    sized = sized.groupBy("sk", "source", "doc_id", "key", "size").agg(F.count("*").alias("_same"))
+    sized = sized.withColumn("bucket", F.substring("key", 1, digits)).withColumn("_all", F.col("_same") * F.col("size"))
     base = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sized.groupBy("sk", "bucket").agg(F.sum("size").alias("_size"))
+    buckets = sized.groupBy("sk", "bucket").agg(F.sum("_all").alias("_size"))
     buckets = buckets.join(plan.drop("_rows"), "sk").withColumn("base", F.coalesce(F.sum("_size").over(base), F.lit(0)))
     inner = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(buckets.drop("_size"), ["sk", "bucket"])
+    out = sized.withColumn("_in", F.coalesce(F.sum("_all").over(inner), F.lit(0))).join(buckets.drop("_size"), ["sk", "bucket"])
+    out = out.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("_same").cast("int"))).alias("_nth", "_"))
     due = F.floor("target").cast("long")
-    at = F.col("base") + F.col("_in")
+    at = F.col("base") + F.col("_in") + F.col("_nth") * F.col("size")
     taken = lambda p: F.least(F.greatest(due - F.col("source_size") * p - at, F.lit(0)), F.col("size"))
+    place = lambda p: F.when(taken(p) > 0, F.round(invert_schedule(F.col("segments"), F.col("weight"), (at + F.col("source_size") * p) / F.col("target")), 9))
     out = out.withColumn("taken", sum((taken(F.lit(p)) for p in range(1, repeats)), taken(F.lit(0))).cast("long"))
-    part = F.when(F.col("taken") > 0, at / F.col("target"))
-    position = F.round(invert_schedule(F.col("segments"), F.col("weight"), part), 9)
+    out = out.withColumn("positions", F.array_compact(F.array(*[place(F.lit(p)) for p in range(repeats)])))
     passes = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", passes.alias("passes"), position.alias("position"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", passes.alias("passes"), F.get("positions", F.lit(0)).alias("position"), "positions")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@
     the histograms, then exact sets.  So no link between components is lost.
 
 Buckets that the counts expect to be large are dealt into parts by class for
-the leader step, so no bucket needs to fit one task.
+the leader step, so no bucket needs to fit one task.  A text in many pairs, and
+a shingle with many classes in step 4, is dealt over parts too.  Classes are
+sets with two equal 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import attach, map_text, ship, stage
+from .common import attach, map_text, ship, spread_join, stage
 from .components import components
 
 COUNTERS = 1 << 22
@@ -66,28 +68,42 @@ def shingle_sets(words: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], h[new]
 
 
-def _class_hash(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+def _class_hash(d: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, size, second hash) of each document's set."""
     size = np.bincount(d, minlength=n)
     first = np.searchsorted(d, np.arange(n + 1))
+
+    def total(salt: int) -> np.ndarray:
+        run = np.r_[_U(0), np.cumsum(K.mix(h ^ _U(salt)))]
+        return K.mix((run[first[1:]] - run[first[:-1]]) + size.astype(_U))
+
     with np.errstate(over="ignore"):
-        total = np.r_[_U(0), np.cumsum(K.mix(h ^ _U(0x5851F42D4C957F2D)))]
-        return K.mix((total[first[1:]] - total[first[:-1]]) + size.astype(_U)), size
+        return total(0x5851F42D4C957F2D), size, total(0x2545F4914F6CDD1D)
+
+
+def split_clashes(cls: np.ndarray, check: np.ndarray, clashes: dict[int, int]) -> np.ndarray:
+    """Gives sets that share a class, but not the second hash kept for it, a class of their own."""
+    if clashes:
+        keep = np.array([clashes.get(c, k) for c, k in zip(cls.view(np.int64).tolist(), check.view(np.int64).tolist())], np.int64)
+        cls = np.where(check.view(np.int64) == keep, cls, K.mix(cls ^ check))
+    return cls
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, cells) of every row; cls is null for an empty set."""
+def describe(docs: DataFrame, n: int, clashes: dict[int, int] = {}) -> DataFrame:
+    """(doc_id, n_shingles, cls, check, cells) of every row; cls is null for an empty set."""
     def make():
         def work(data, offs, nulls):
             words = K.split_words(data, offs, lower=True)
             d, h = shingle_sets(words, n)
-            cls, size = _class_hash(d, h, len(nulls))
+            cls, size, check = _class_hash(d, h, len(nulls))
+            cls = split_clashes(cls, check, clashes)
             cell = np.bincount(d * CELLS + (h & _U(CELLS - 1)).astype(np.int64), minlength=CELLS * len(nulls)).astype(np.int32)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cell) + 1, CELLS, dtype=np.int32)), pa.array(cell))
-            return [size.astype(np.int64), pa.array(cls.view(np.int64), mask=size == 0), cells]
+            return [size.astype(np.int64), pa.array(cls.view(np.int64), mask=size == 0), check.view(np.int64), cells]
 
         return work
 
-    return map_text(docs, ["doc_id"], "n_shingles long, cls long, cells array<int>", make)
+    return map_text(docs, ["doc_id"], "n_shingles long, cls long, check long, cells array<int>", make)
 
 
 def count_table(docs: DataFrame, n: int, counters: int = COUNTERS) -> np.ndarray:
@@ -130,7 +146,7 @@ def count_table(docs: DataFrame, n: int, counters: int = COUNTERS) -> np.ndarray
     return out
 
 
-def postings(docs: DataFrame, n: int, percent: int, table: np.ndarray, part_rows: int = PART_ROWS) -> DataFrame:
+def postings(docs: DataFrame, n: int, percent: int, table: np.ndarray, part_rows: int = PART_ROWS, clashes: dict[int, int] = {}) -> DataFrame:
     """(shingle, part, cls, pos, size): the prefix of every class, once per slice.
 
     Part 0 is a whole bucket; the parts of a dealt one are numbered from 1.
@@ -147,7 +163,8 @@ def postings(docs: DataFrame, n: int, percent: int, table: np.ndarray, part_rows
             for i, j in K.slices(offs):
                 words = K.split_words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower=True)
                 d, h = shingle_sets(words, n)
-                cls, size = _class_hash(d, h, j - i)
+                cls, size, check = _class_hash(d, h, j - i)
+                cls = split_clashes(cls, check, clashes)
                 once = np.zeros(j - i, bool)
                 once[np.unique(cls, return_index=True)[1]] = True
                 keep = once[d]
@@ -193,8 +210,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
     some = wanted.count()
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if some <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
     texts = stage(texts, "join_texts")
+    narrow = pairs
     for x in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")), f"rep_{x}")
+        pairs = spread_join(pairs, texts.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")), [f"rep_{x}"], ["a", "b"], narrow)
 
     @K.tidy
     def check(batches):
@@ -222,6 +240,23 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
     return stage(pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "join_links")
 
 
+def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Every row's description, one row per class, and the classes that two sets shared at first.
+
+    Of m sets m**2 / 2**65 pairs clash: none, or a few hundred among 10**11.
+    """
+    clashes: dict[int, int] = {}
+    for _ in range(2):
+        info = stage(describe(docs, n, clashes), "join_info")
+        classes = info.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.count("*").alias("n_copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        classes = stage(classes, "join_classes")
+        found = classes.where("lo != hi").select("cls", "lo").limit(100_000).collect()
+        if not found:
+            break
+        clashes = dict(map(tuple, found))
+    return info.drop("check"), classes.drop("lo", "hi"), clashes
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80, counters: int = COUNTERS, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, cls, component_id, n_copies, n_links.
 
@@ -233,11 +268,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, counters: int = COUNTER
     and is its own component.  A class whose doc_ids are all null keeps to
     itself; null and repeated doc_ids are ordinary rows otherwise.
     """
-    info = stage(describe(docs, n), "join_info")
-    classes = info.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.count("*").alias("n_copies"))
-    classes = stage(classes, "join_classes")
+    info, classes, clashes = _classes(docs, n)
     table = count_table(docs, n, counters)
-    rows = postings(docs, n, percent, table, part_rows).distinct()
+    rows = postings(docs, n, percent, table, part_rows, clashes).distinct()
     bucket = Window.partitionBy("shingle", "part")
     lead = F.min(F.struct("pos", "cls", "size")).over(bucket)
     wide = rows.withColumn("lead", lead).withColumn("last", F.max("cls").over(bucket)).withColumn("first", F.min("cls").over(bucket))
@@ -248,15 +281,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, counters: int = COUNTER
     found = components(links, "a", "b")
     label = lambda df: df.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rest = label(wide.select("shingle", "cls", "pos", "size"))
-    groups = rest.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
-    rest = rest.join(groups.where("parts > 1").drop("parts"), "shingle")
+    groups = rest.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"))
+    rest = attach(rest, stage(groups.where("parts > 1").drop("parts"), "join_groups"), "shingle", "k").where("main is not null").drop("k")
     # A partner's size lies within the length filter, so each class looks in the size bins that this allows.
     bin_of = lambda x: F.floor(F.log(x.cast("double")) / abs(np.log(percent / 100)))
     rest = stage(rest.withColumn("bin", bin_of(F.col("size"))), "join_rest")
-    few = rest.where("component != main").withColumn("near", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    x, y = few.alias("x"), rest.alias("y")
-    twice = (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    more = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.near") == F.col("y.bin")) & (F.col("x.component") != F.col("y.component")) & twice & _may_link("x", "y", percent))
+    one = F.struct("cls", "pos", "size", "component")
+    few = rest.where("component != main").select("shingle", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), one.alias("x"))
+    every = rest.select("shingle", "bin", "main", one.alias("y"), "cls")
+    twice = (F.col("y.component") == F.col("main")) | (F.col("x.cls") < F.col("y.cls"))
+    more = spread_join(every, few, ["shingle", "bin"], ["cls"], rest).where((F.col("x.component") != F.col("y.component")) & twice & _may_link("x", "y", percent))
     more = more.select(*_pair("x", "y")).distinct()
     links = stage(links.unionByName(verify(more, classes, docs, n, percent)).distinct(), "join_links")
     found = components(links, "a", "b")

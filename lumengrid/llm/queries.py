@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixing.in_training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position"))
+    return mixing.in_training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position", F.get("positions", F.lit(1)).alias("position_2")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,9 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+#: Training time of a demand x under the schedule w0 + slope * t.
+_TIME = "round(least(greatest(CASE WHEN w0 + sqrt(greatest(w0 * w0 + 2 * slope * {x}, 0)) > 0 THEN 2 * {x} / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * {x}, 0))) ELSE 0.0 END, 0.0), 1.0), 9) + (CASE WHEN {x} IS NULL THEN NULL ELSE 0.0 END)"
+
 ORACLE_SQL = {
     "op1_mix_sources": r"""
 WITH sized AS (
@@ -94,10 +97,8 @@ d AS (SELECT sized.*, source_size, weight, w0, slope, target, floor(target)::BIG
              coalesce(sum(size) OVER (PARTITION BY sized.sk ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
       FROM sized JOIN t ON sized.sk = t.sk),
 e AS (SELECT *, (least(greatest(due - prior, 0), size) + least(greatest(due - source_size - prior, 0), size))::BIGINT AS taken FROM d),
-p AS (SELECT *, CASE WHEN taken > 0 THEN prior / target * weight END AS x FROM e)
-SELECT doc_id, size, source_size, target, taken,
-       round(least(greatest(0.0 + CASE WHEN w0 + sqrt(greatest(w0 * w0 + 2 * slope * x, 0)) > 0 THEN 2 * x / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * x, 0))) ELSE CASE WHEN x IS NOT NULL THEN 0.0 END END, 0.0), 1.0), 9) + (CASE WHEN x IS NULL THEN NULL ELSE 0.0 END) AS position
-FROM p""",
+p AS (SELECT *, CASE WHEN taken > 0 THEN prior / target * weight END AS x, CASE WHEN due - source_size - prior > 0 AND size > 0 THEN (prior + source_size) / target * weight END AS x2 FROM e)
+SELECT doc_id, size, source_size, target, taken, """ + _TIME.format(x="x") + " AS position, " + _TIME.format(x="x2") + " AS position_2 FROM p",
     "op2_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

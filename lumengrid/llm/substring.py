@@ -8,6 +8,7 @@ whose minimum is a smaller doc_id are removed, all judged on the input.
 
 A document whose whole word sequence equals that of a smaller doc_id loses
 every word of a window without any of this, so copies cost one row each.
+Windows and whole sequences are equal when two independent 64-bit hashes are.
 
 The repeated anchors (and the copies) lie in files of the shared folder.  While
 they number at most BROADCAST_KEYS each worker reads them as one sorted array,
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_text, ship, stage
+from .common import attach, ship, stage
 
 WINDOW, GRAM = 13, 7
 BROADCAST_KEYS = 8_000_000
@@ -86,6 +87,16 @@ class KeyFile:
         return KeyFile._kept[self.folder]
 
 
+def _second(words: K.Words) -> np.ndarray:
+    """A second hash of whole sequences, from windows of two words and their places."""
+    pair = K.window_checks(words, np.arange(max(len(words.start) - 1, 0)), 2)
+    a, b = words.first[:-1], words.first[1:]
+    place = np.arange(len(pair)) - np.repeat(a, b - a)[: len(pair)]
+    with np.errstate(over="ignore"):
+        total = np.r_[_U(0), np.cumsum(K.mix(pair + K.mix(place.astype(_U))))]
+        return total[np.maximum(b - 1, a)] - total[np.minimum(a, len(pair))]
+
+
 def _slices(batch, at: int):
     """(row range, words, doc_ids, whole-sequence hashes) of a batch with doc_id first."""
     ids = batch.column(0).cast(pa.int64())
@@ -102,7 +113,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
 
     Kept words are joined by one space.  Null and empty texts have no words.
     A null doc_id is neither smaller nor larger than another: such rows lose
-    and cost nothing.  Rows with equal doc_ids don't remove each other's words.
+    and cost nothing.  Rows with equal doc_ids, repeated ones too, don't remove
+    each other's words.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -113,11 +125,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
         for batch in batches:
             for i, j, words, ids, null, seq in _slices(batch, 1):
                 ok = ~null & (np.diff(words.first) >= window)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(seq[ok].view(np.int64)), pa.array(_row_key(ids, seq)[ok].view(np.int64))], names=["doc_id", "seq", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(seq[ok].view(np.int64)), pa.array(_second(words)[ok].view(np.int64)), pa.array(_row_key(ids, seq)[ok].view(np.int64))], names=["doc_id", "seq", "check", "key"])
 
-    rows = stage(docs.mapInArrow(sequence, "doc_id long, seq long, key long"), "substring_rows")
-    first = rows.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = stage(rows.join(first, "seq").where("doc_id > first").select("doc_id", "key").distinct(), "substring_copies")
+    rows = stage(docs.mapInArrow(sequence, "doc_id long, seq long, check long, key long"), "substring_rows")
+    # A hash shared by different sequences makes no copies; their windows are compared.
+    first = rows.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    first = stage(first.where("first < last and lo = hi").select("seq", "first", "n"), "substring_sequences")
+    copies = stage(attach(rows.select("doc_id", "seq", "key"), first, "seq", "n").where("doc_id > first").select("doc_id", "key").distinct(), "substring_copies")
     skip = KeyFile(copies, "key", most)
 
     def each(batches, start):
@@ -129,13 +143,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
                 doc = words.doc[at]
                 bad = null | _isin(_row_key(ids, seq), copied)
                 ok = ~bad[doc]
-                yield ids, doc[ok], full[ok], least[ok]
+                yield words, ids, at[ok], doc[ok], full[ok], least[ok]
 
     @K.tidy
     def count(batches):
         for batch in batches:
             many: list[np.ndarray] = []
-            for ids, doc, full, least in each([batch], 1):
+            for _, ids, _, doc, _, least in each([batch], 1):
                 order = np.lexsort((doc, least))
                 a, d = least[order], ids[doc[order]]
                 new = np.ones(len(a), bool)
@@ -153,31 +167,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     def windows(batches):
         table = keys.load()
         for batch in batches:
-            for ids, doc, full, least in each([batch], 1):
+            for words, ids, at, doc, full, least in each([batch], 1):
                 ok = _isin(least, table) if table is not None else np.ones(len(least), bool)
-                d, h, a = ids[doc[ok]], full[ok], least[ok]
+                d, h, a, at = ids[doc[ok]], full[ok], least[ok], at[ok]
                 order = np.lexsort((h, d))
-                d, h, a = d[order], h[order], a[order]
+                d, h, a, at = d[order], h[order], a[order], at[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(d[new]), pa.array(a[new].view(np.int64))], names=["hash", "doc_id", "anchor"])
+                check = K.window_checks(words, at[new], window)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(check.view(np.int64)), pa.array(d[new]), pa.array(a[new].view(np.int64))], names=["hash", "check", "doc_id", "anchor"])
 
-    found = docs.mapInArrow(windows, "hash long, doc_id long, anchor long")
+    found = docs.mapInArrow(windows, "hash long, check long, doc_id long, anchor long")
     if not keys.fits:
         found = found.join(shared, "anchor", "left_semi")
     found = found.drop("anchor")
     # Copies stand for their first document, which is smaller and not skipped.
-    least = found.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    gone = found.join(least, "hash").where("doc_id > first").select("doc_id", "hash")
+    least = found.groupBy("hash", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    least = stage(least.where("first < last").select("hash", F.col("check").alias("same"), "first", "n"), "substring_windows")
+    gone = attach(found, least, "hash", "n").where("doc_id > first and check = same").select("doc_id", "hash")
     marks = gone.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes")).join(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")), "doc_id", "full")
-    joined = docs.join(marks, "doc_id", "left").select("doc_id", "text", "hashes", "copies")
+    # Rows without a doc_id match nothing; dealt by text, they don't share a task.
+    keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+    joined = keyed.join(marks.withColumnRenamed("doc_id", "_key").withColumn("_null", F.lit(False)), ["_key", "_null"], "left").select("doc_id", "text", "hashes", "copies")
 
     @K.tidy
     def result(batches):
         for batch in batches:
             lists = [batch.column(k) for k in (2, 3)]
             for i, j, words, ids, null, seq in _slices(batch, 1):
-                n, total = j - i, len(words.hash)
+                n, total = j - i, len(words.start)
                 at, full, _ = anchors(words, window, gram)
                 doc = words.doc
                 flat = []
