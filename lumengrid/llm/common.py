@@ -87,8 +87,8 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int |
     return out.select(*[quoted(c) for c in left.columns], *[found[c].alias(c) for c in names])
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], counted: DataFrame | None = None, per_part: int = PART_ROWS) -> DataFrame:
-    """Inner join in which no task receives more than a part of a key's left rows.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], counted: DataFrame | None = None, per_part: int = PART_ROWS, how: str = "inner") -> DataFrame:
+    """Inner or left join in which no task receives more than a part of a key's left rows.
 
     A key with more than ``per_part`` left rows (and more than 1/HOT_SHARE of
     all rows of such keys, so fewer than HOT_SHARE keys) is dealt over parts by
@@ -99,12 +99,12 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     sizes = stage(sizes, "join_sizes")
     total = sizes.agg(F.sum("_n")).first()[0]
     if total is None:
-        return left.join(right, on)
+        return left.join(right, on, how)
     limit = max(per_part, total // HOT_SHARE)
     hot = F.broadcast(sizes.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     x = left.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     y = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return x.join(y, [*on, "_part"]).drop("_part")
+    return x.join(y, [*on, "_part"], how).drop("_part")
 
 
 def ship(spark: SparkSession) -> None:
