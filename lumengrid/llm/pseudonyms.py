@@ -4,11 +4,17 @@ A validated number or date is split into two halves, each a number below its
 own modulus, and eight alternating rounds add a keyed hash of one half to the
 other.  That is a permutation of the format for any pair of moduli: equal
 values become equal pseudonyms in every document, different values different
-ones, and ``decode`` runs the rounds backwards.  Validation by kind: payment
-card and account numbers (13 to 19 digits; one that passes Luhn's check gets a
-new check digit that passes it too), telephone numbers, IPv4 addresses (four
-octets), social security numbers, ISO dates that exist, and the local part of
-e-mail addresses (letters and digits permuted in their places).
+ones, and ``decode`` runs the rounds backwards.
+
+Validation by kind: card numbers (13 to 19 digits, or 4-4-4-4 and 4-6-5 groups)
+must pass Luhn's check, and so does the pseudonym; digits that a word such as
+"account" announces need no check, and keep their distance from Luhn's digit;
+IBANs must pass their check modulo 97 and get new check digits; social security
+numbers must have an area, group and serial that are issued, and are permuted
+among those; dates must exist (1900 to 2099; 1990-12-31, 12/31/1990 or
+31.12.1990); IPv4 addresses have four octets; telephone numbers keep their
+country code or trunk 0; in e-mail addresses letters and digits of the local
+part are permuted in their places.  Digits that fit no kind stay as they are.
 Everything is column expressions: no Python runs on executors.
 """
 
@@ -22,16 +28,27 @@ from .spans import let, put_back, replace_spans
 ROUNDS = 8
 DATE_FROM, DATE_DAYS = "1900-01-01", (4297, 17)  # 4297 * 17 = 73,049 days, to 2099-12-31
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![\w+])(?=[+\d])\+?\d{1,3}[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
-NUMBER = r"(?<![A-Za-z0-9])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:[ -]?\d{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
-DATE = r"(?<!\d)(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)"
-KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "number": NUMBER}
+DAY, MONTH, YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d{2}"
+#: Date formats by their separator.
+DATES = {"-": (f"{YEAR}-{MONTH}-{DAY}", "yyyy-MM-dd"), "/": (f"{MONTH}/{DAY}/{YEAR}", "MM/dd/yyyy"), ".": (rf"{DAY}\.{MONTH}\.{YEAR}", "dd.MM.yyyy")}
+DATE = r"(?<![\d/.-])(?:" + "|".join(x for x, _ in DATES.values()) + r")(?![\d/]|[.-]\d)"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: International (compact, or country code, area and groups), with the area in brackets, dashed or dotted, or with a trunk 0.
+PHONE = r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\d{1,3}[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{4})(?![\w-]|\.\d)"
+NUMBER = r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![A-Za-z0-9])"
+ACCOUNT = r"(?<![A-Za-z])(?i:account|acct|a/c|card|konto(?:nummer)?|compte|cuenta)(?i: ?(?:no|nr|number|num))?[.:# ]{1,4}\d(?:[ -]?\d){7,18}(?![A-Za-z0-9])"
+KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "iban": IBAN, "account": ACCOUNT, "phone": PHONE, "number": NUMBER}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every match holds; texts without it are passed over quickly.
 HINT = r"[0-9][0-9. ()-]{0,3}[0-9]|@"
 
+# Telephone country codes (E.164) of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Least and most digits of a telephone number.
+PHONE_DIGITS = (8, 15)
+
 
 def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column, back: bool = False) -> Column:
     """Permutes (left, right) with left below a and right below b: struct (l, r).
@@ -130,8 +147,51 @@ def _digits_in_place(m: Column, key: str, tweak: str, back: bool) -> Column:
     return refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), key, F.lit(tweak), back))
 
 
+def _digit_count(m: Column) -> Column:
+    return F.regexp_count(m, F.lit("[0-9]"))
+
+
+def _passes_luhn(m: Column) -> Column:
+    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _luhn_sum(d) % 10 == 0)
+
+
 def _phone(m: Column, key: str, back: bool) -> Column:
-    return let(F.regexp_extract(m, r"^\+?\d{1,3}", 0), lambda country: F.concat(country, let(F.substr(m, F.length(country) + 1, F.length(m)), lambda rest: _digits_in_place(rest, key, "phone", back))))
+    prefix = F.when(m.startswith("+"), F.regexp_extract(m, COUNTRY, 0)).otherwise(F.regexp_extract(m, r"^\d{1,3}(?=[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$)|^0(?=\d{2,4} )", 0))
+    return let(prefix, lambda kept: F.concat(kept, let(F.substr(m, F.length(kept) + 1, F.length(m)), lambda rest: _digits_in_place(rest, key, "phone", back))))
+
+
+# Issued social security numbers: areas 001 to 665 and 667 to 899, groups 01 to 99, serials 0001 to 9999.
+SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
+
+
+def _ssn(m: Column, key: str, back: bool) -> Column:
+    def run(x: Column) -> Column:
+        area = x[0] - F.when(x[0] > 666, 2).otherwise(1)
+        h = feistel(area, (x[1] - 1) * SSN_SERIALS + x[2] - 1, F.lit(SSN_AREAS), F.lit(SSN_GROUPS * SSN_SERIALS), key, F.lit("ssn"), back)
+        number = lambda y, n: F.lpad(y.cast("long").cast("string"), n, "0")
+        return let(h, lambda h: F.concat_ws("-", number(h["l"] + F.when(h["l"] >= 665, 2).otherwise(1), 3), number(F.floor(h["r"] / SSN_SERIALS) + 1, 2), number(h["r"] % SSN_SERIALS + 1, 4)))
+
+    return let(F.transform(F.split(m, "-"), lambda p: p.cast("long")), run)
+
+
+def _mod97(s: Column) -> Column:
+    """Remainder by 97 of digits and letters, A for 10 to Z for 35."""
+    value = lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(s, ""), F.lit(0), lambda acc, c: (acc * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _passes_iban(m: Column) -> Column:
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda d: _mod97(F.concat(F.substr(d, F.lit(5)), F.substr(d, F.lit(1), F.lit(4)))) == 1)
+
+
+def _iban(m: Column, key: str, back: bool) -> Column:
+    """Permutes the digits behind the check digits, and makes those anew."""
+    def run(rest: Column) -> Column:
+        country = F.substr(m, F.lit(1), F.lit(2))
+        check = 98 - _mod97(F.concat(F.replace(rest, F.lit(" "), F.lit("")), country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
+
+    return let(let(F.substr(m, F.lit(5)), lambda rest: _digits_in_place(rest, key, "iban", back)), run)
 
 
 def _ipv4(m: Column, key: str, back: bool) -> Column:
@@ -142,15 +202,24 @@ def _ipv4(m: Column, key: str, back: bool) -> Column:
     return let(F.transform(F.split(m, r"\."), lambda o: o.cast("long")), run)
 
 
+def _separator(m: Column) -> Column:
+    return F.regexp_extract(m, "[^0-9]", 0)
+
+
+def _day_of(m: Column) -> Column:
+    """The date in any of the formats, null if it doesn't exist."""
+    return F.coalesce(*[F.when(_separator(m) == sep, F.try_to_date(m, form)) for sep, (_, form) in DATES.items()])
+
+
 def _date(m: Column, key: str, back: bool) -> Column:
     a, b = DATE_DAYS
     origin = F.lit(DATE_FROM).cast("date")
 
     def run(day: Column) -> Column:
         h = feistel(F.floor(day / b), day % b, F.lit(a), F.lit(b), key, F.lit("date"), back)
-        return let(h, lambda h: F.date_format(F.date_add(origin, (h["l"] * b + h["r"]).cast("int")), "yyyy-MM-dd"))
+        return let(let(h, lambda h: F.date_add(origin, (h["l"] * b + h["r"]).cast("int"))), lambda new: F.coalesce(*[F.when(_separator(m) == sep, F.date_format(new, form)) for sep, (_, form) in DATES.items()]))
 
-    return F.coalesce(let(F.datediff(F.try_to_date(m, "yyyy-MM-dd"), origin), lambda day: F.when(day.isNotNull(), run(day))), m)
+    return let(F.datediff(_day_of(m), origin), run)
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -163,15 +232,17 @@ def _email(m: Column, key: str, back: bool) -> Column:
     return let(F.struct(local.alias("local"), F.regexp_extract(m, "@.*$", 0).alias("domain"), F.regexp_replace(local, "[^0-9]", "").alias("digits"), F.lower(F.regexp_replace(local, "[^A-Za-z]", "")).alias("letters")), run)
 
 
-CHANGES = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": lambda m, k, b: _digits_in_place(m, k, "ssn", b), "phone": _phone, "number": _number}
+CHANGES = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "iban": _iban, "account": _number, "phone": _phone, "number": _number}
+#: What a match of a kind's pattern has to pass.
+CHECKS = {"date": lambda m: _day_of(m).isNotNull(), "iban": _passes_iban, "phone": lambda m: _digit_count(m).between(*PHONE_DIGITS), "number": _passes_luhn}
 
 
 def _kind(m: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
         fits = m.rlike(f"^(?:{KINDS[kind]})$")
-        if kind == "date":
-            fits &= F.try_to_date(m, "yyyy-MM-dd").isNotNull()
+        if kind in CHECKS:
+            fits &= CHECKS[kind](m)
         out = F.when(fits, kind).otherwise(out)
     return out
 

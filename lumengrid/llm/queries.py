@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, dedup, htmltext, langid, mixing, ngram_join, pseudonyms, secrets, substring, tokens
 
-#: Key of the pseudonym permutations; a deployment passes its own.
-PSEUDONYM_KEY = "registered-query"
+#: Setting that names the secret key of the pseudonyms.
+PSEUDONYM_SETTING = "spark.lumengrid.pseudonym.key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's secret key; without one the word "test", which protects nothing and says so."""
+    key = spark.conf.get(PSEUDONYM_SETTING, None)
+    if not key:
+        warnings.warn(f"{PSEUDONYM_SETTING} is unset: pseudonyms of synthetic test data only")
+    return key or "test"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixing.in_training_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position", F.get("positions", F.lit(1)).alias("position_2")))
@@ -65,7 +75,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.replace_personal_data(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pseudonyms.replace_personal_data(_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_language_id, op5_token_output, op6_html_extraction, op7_ngram_join, op8_substring_dedup, op9_decontaminate, op10_pseudonyms)}
