@@ -7,9 +7,11 @@ hardly ever seen with them; the others score the word.  Viterbi with a fixed
 penalty for a change of language then labels every word.
 
 Almost every document stays in one language, and that can be proven without
-the sequential pass: if no other language ever gains SWITCH over any run of
-words, no path with a change can win.  Only documents that fail this test are
-decoded word by word.  Both give the same labels.
+the sequential pass: if no other language ever gains half of SWITCH over any
+run of words, a path with r runs in other languages gains less than r halves
+and pays for at least r changes (or r - 1, if r is 2 or more), so it can't win.
+Only documents that fail this test are decoded word by word.  Both give the
+same labels.
 """
 
 from __future__ import annotations
@@ -32,11 +34,54 @@ SCRIPT_SHARE = 0.002
 BARRED = -60.0
 UNKNOWN = "und"
 
-#: Script number by first byte of a UTF-8 character (0: common).
-SCRIPTS = np.zeros(256, np.uint16)
-for _bit, (_lo, _hi) in enumerate([(0xC3, 0xC9), (0xCD, 0xCF), (0xD0, 0xD4), (0xD5, 0xD5), (0xD6, 0xD7), (0xD8, 0xDD), (0xE0, 0xE0), (0xE1, 0xE1), (0xE3, 0xE9), (0xEA, 0xED)]):
-    SCRIPTS[_lo : _hi + 1] = 1 << _bit
-N_SCRIPTS = 10
+# Code-point ranges of scripts (Unicode blocks), one number a script.  Plain ASCII is common to all.
+SCRIPT_RANGES = [
+    [(0xC0, 0x24F), (0x1E00, 0x1EFF)],  # Latin beyond ASCII
+    [(0x370, 0x3FF), (0x1F00, 0x1FFF)],  # Greek
+    [(0x400, 0x52F)],  # Cyrillic
+    [(0x530, 0x58F)],  # Armenian
+    [(0x590, 0x5FF)],  # Hebrew
+    [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF)],  # Arabic
+    [(0x700, 0x74F)],  # Syriac
+    [(0x900, 0x97F)],  # Devanagari
+    [(0x980, 0x9FF)],  # Bengali
+    [(0xA00, 0xA7F)],  # Gurmukhi
+    [(0xA80, 0xAFF)],  # Gujarati
+    [(0xB00, 0xB7F)],  # Oriya
+    [(0xB80, 0xBFF)],  # Tamil
+    [(0xC00, 0xC7F)],  # Telugu
+    [(0xC80, 0xCFF)],  # Kannada
+    [(0xD00, 0xD7F)],  # Malayalam
+    [(0xD80, 0xDFF)],  # Sinhala
+    [(0xE00, 0xE7F)],  # Thai
+    [(0xE80, 0xEFF)],  # Lao
+    [(0xF00, 0xFFF)],  # Tibetan
+    [(0x1000, 0x109F)],  # Myanmar
+    [(0x10A0, 0x10FF)],  # Georgian
+    [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],  # Hangul
+    [(0x1200, 0x139F)],  # Ethiopic
+    [(0x1780, 0x17FF)],  # Khmer
+    [(0x1800, 0x18AF)],  # Mongolian
+    [(0x3040, 0x30FF), (0x31F0, 0x31FF)],  # Kana
+    [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],  # Han
+]
+N_SCRIPTS = len(SCRIPT_RANGES)
+#: Labels that the training rows may have; more are refused, since each costs a pass over the text.
+MOST_LANGS = 1000
+
+
+def _script_table() -> np.ndarray:
+    """Script bit by the first two bytes of a UTF-8 character: exact for two-byte characters, by 64 code points for three."""
+    table = np.zeros(1 << 16, np.uint64)
+    for bit, ranges in enumerate(SCRIPT_RANGES):
+        for lo, hi in ranges:
+            for cp in range(lo, hi + 1, 1 if hi < 0x800 else 64):
+                b = chr(cp).encode("utf-8")
+                table[b[0] << 8 | b[1]] |= np.uint64(1 << bit)
+    return table
+
+
+SCRIPT_OF = _script_table()
 
 
 def held_out(docs: DataFrame):
@@ -63,11 +108,17 @@ def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scripts(words: K.Words, data: np.ndarray) -> np.ndarray:
-    if not len(words.start):
-        return np.zeros(0, np.uint16)
-    marks = SCRIPTS[data]
-    inside = np.bitwise_or.reduceat(marks, words.start)
-    return inside
+    """The scripts of each word's characters, one bit each."""
+    out = np.zeros(len(words.start), np.uint64)
+    lead = np.flatnonzero(data[:-1] >= 0xC0)
+    word = np.searchsorted(words.start, lead, "right") - 1
+    bits = SCRIPT_OF[data[lead].astype(np.int64) << 8 | data[lead + 1]]
+    some = (word >= 0) & (bits != 0)
+    word, bits = word[some], bits[some]
+    if len(word):
+        edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[edge]] = np.bitwise_or.reduceat(bits, edge)
+    return out
 
 
 class Model:
@@ -80,24 +131,26 @@ class Model:
         #: From there down to a trigram never seen; it grows with the training texts.
         self.depth = self.usual - np.log(0.5 / (total[:, 0] + 0.5 * BUCKETS))
         share = scripts / np.maximum(scripts[:, -1:], 1)
-        bits = (share[:, :N_SCRIPTS] >= SCRIPT_SHARE).astype(np.uint16)
-        self.scripts = (bits << np.arange(N_SCRIPTS, dtype=np.uint16)).sum(1).astype(np.uint16)
+        bits = (share[:, :N_SCRIPTS] >= SCRIPT_SHARE).astype(np.uint64)
+        self.scripts = (bits << np.arange(N_SCRIPTS, dtype=np.uint64)).sum(1).astype(np.uint64)
+
+    def barred(self, words: K.Words, data: np.ndarray) -> np.ndarray:
+        """Languages by words: which ones the word's scripts rule out."""
+        s = word_scripts(words, data)
+        return np.stack([(s & ~m) != 0 for m in self.scripts])
 
-    def word_scores(self, data: np.ndarray, words: K.Words) -> np.ndarray:
-        """Languages by words; barred where the word's scripts rule the language out."""
+    def word_scores(self, data: np.ndarray, words: K.Words, barred: np.ndarray) -> np.ndarray:
+        """Languages by words; the ones that a word's scripts rule out lose BARRED, unless all are."""
         t = trigrams(data)
         out = np.empty((len(self.langs), len(words.start)), np.float64)
         for k, row in enumerate(self.logp):
             c = np.zeros(len(data) + 1)
             np.cumsum(row[t], out=c[1:], dtype=np.float64)
             out[k] = c[words.end] - c[words.start - 1] if len(words.start) else 0
-        s = word_scripts(words, data)
-        barred = np.stack([(s & ~m) != 0 for m in self.scripts]) if len(self.scripts) else np.zeros((0, len(s)), bool)
-        barred &= ~barred.all(0)
-        out[barred] += BARRED
+        out[barred & ~barred.all(0)] += BARRED
         return out
 
-    def fit_of(self, scores: np.ndarray, path: np.ndarray, data: np.ndarray, words: K.Words, n_docs: int) -> np.ndarray:
+    def fit_of(self, scores: np.ndarray, path: np.ndarray, data: np.ndarray, words: K.Words, barred: np.ndarray, n_docs: int) -> np.ndarray:
         """Mean log-probability per byte of each document along its path: 0 as in the languages' training texts, -1 as trigrams never seen.
 
         A word in a script that no language admits loses BARRED.  Words with digits
@@ -108,8 +161,7 @@ class Model:
             return np.zeros(n_docs)
         size = (words.end - words.start + 1).astype(np.float64)
         own = scores[path, np.arange(len(path))] - self.usual[path] * size
-        s = word_scripts(words, data)
-        own[np.stack([(s & ~m) != 0 for m in self.scripts]).all(0)] += BARRED
+        own[barred.all(0)] += BARRED
         own /= self.depth[path]
         plain = ~np.logical_or.reduceat((data >= 0x30) & (data <= 0x39), words.start)
         mean = lambda w: np.bincount(words.doc, weights=own * w, minlength=n_docs) / np.maximum(np.bincount(words.doc, weights=size * w, minlength=n_docs), 1)
@@ -117,27 +169,39 @@ class Model:
         return np.where(some, np.maximum(mean(plain), mean(1.0 + 0 * plain)), mean(1.0 + 0 * plain))
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language per word of one document; ties go to the earlier language."""
-    n_lang, n = scores.shape
-    v = scores[:, 0].copy()
-    back = np.empty((n, n_lang), np.int32)
-    own = np.arange(n_lang)
-    for t in range(1, n):
-        best = int(v.argmax())
-        jump = v[best] - penalty
-        stay = v >= jump
-        back[t] = np.where(stay, own, best)
-        v = np.where(stay, v, jump) + scores[:, t]
-    path = np.empty(n, np.int32)
-    path[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+def viterbi(scores: np.ndarray, penalty: float, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Best language per word of some documents, a word of each at a time; ties go to the earlier language.
+
+    ``first`` and ``size`` give the documents' words among the columns of
+    ``scores``.  Returns the languages of all of them, one document after the other.
+    """
+    order = np.argsort(-size, kind="stable")
+    at, n = first[order], size[order]
+    n_lang, own = len(scores), np.arange(len(scores))[:, None]
+    begin = np.cumsum(n) - n  # place of each document's words in the tables below
+    back = np.empty((int(n.sum()), n_lang), np.int32)
+    v = scores[:, at].copy()
+    active = [int(x) for x in np.searchsorted(-n, -np.arange(1, n[0]), "left")]  # documents with more than t words
+    for t, k in enumerate(active, 1):
+        now = v[:, :k]
+        best = now.argmax(0)
+        jump = now[best, np.arange(k)] - penalty
+        stay = now >= jump
+        back[begin[:k] + t] = np.where(stay, own, best).T
+        v[:, :k] = np.where(stay, now, jump) + scores[:, at[:k] + t]
+    path = np.empty(len(back), np.int32)
+    path[begin + n - 1] = v.argmax(0)
+    for t in range(len(active), 0, -1):
+        p = begin[: active[t - 1]] + t
+        path[p - 1] = back[p, path[p]]
+    out = np.empty(len(first), object)
+    for i, k in enumerate(order.tolist()):
+        out[k] = path[begin[i] : begin[i] + n[i]]
+    return np.concatenate(out)
 
 
 def steady(scores: np.ndarray, best: np.ndarray, doc: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """Documents in which no language gains ``penalty`` over the best one in any run of words."""
+    """Documents in which no language gains half of ``penalty`` over the best one in any run of words."""
     n_docs = len(first) - 1
     out = np.ones(n_docs, bool)
     if not len(doc):
@@ -151,7 +215,7 @@ def steady(scores: np.ndarray, best: np.ndarray, doc: np.ndarray, first: np.ndar
         lift = -2.0 * reach * doc
         low = np.minimum.accumulate(before + lift) - lift
         most = np.maximum.reduceat(gain - low, np.minimum(first[:-1], len(doc) - 1))
-        out &= (most < penalty - 1e-6) | (np.diff(first) == 0)
+        out &= (most < penalty / 2 - 1e-6) | (np.diff(first) == 0)
     return out
 
 
@@ -180,7 +244,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     chosen by a hash of doc_id, give the trigram counts.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(docs) & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     order = sorted(sizes)
     if not order:
         return None
@@ -230,16 +296,17 @@ def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float
     text, at = padded(data, offs)
     words = K.split_words(text[: at[-1]], at)
     words.data = text
-    scores = model.word_scores(text, words)
+    barred = model.barred(words, text)
+    scores = model.word_scores(text, words, barred)
     doc = words.doc
     total = np.stack([np.bincount(doc, weights=row, minlength=len(at) - 1) for row in scores])
     best = total.argmax(0)
     path = best[doc]
     hard = np.flatnonzero(~steady(scores, best, doc, words.first, penalty))
-    for i in hard:
-        a, b = words.first[i], words.first[i + 1]
-        path[a:b] = viterbi(scores[:, a:b], penalty)
-    return words, path, total, model.fit_of(scores, path, text, words, len(at) - 1)
+    if len(hard):
+        first, size = words.first[hard], np.diff(words.first)[hard]
+        path[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())] = viterbi(scores, penalty, first, size)
+    return words, path, total, model.fit_of(scores, path, text, words, barred, len(at) - 1)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"], into: str = "language", penalty: float = SWITCH) -> DataFrame:
