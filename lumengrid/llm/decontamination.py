@@ -6,10 +6,12 @@ both sides makes every shared span share a kept fingerprint.  A document's
 fingerprints look up the benchmark's, each hit is extended to the windows
 around it, and windows that agree in full mark the document's words.
 
-The benchmark's index is cut into blocks of at most BLOCK_WORDS words, a
-proven bound on what a task holds at a time; each block is broadcast and the
-documents are one pass, without a shuffle.  Items shorter than a window are
-matched as one n-gram of their own length.
+A benchmark of at most BLOCK_WORDS words, counted first, is indexed and
+broadcast, and the documents are one pass, without a shuffle.  A larger one is
+joined with the documents by fingerprint: distinct texts and items that share a
+fingerprint meet, frequent fingerprints dealt over parts, and each pair is
+extended on its own.  Items shorter than a window are matched as one n-gram of
+their own length.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import forget, map_text
+from .common import attach, map_text, quoted, ship, spread_join, stage
 
 WINDOW, GRAM = 10, 5
+#: Words of a benchmark that is broadcast, at most.
 BLOCK_WORDS = 4_000_000
+#: Words of the contract, before letters are lowered.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def fingerprints(h: np.ndarray, whole: np.ndarray, run: int) -> np.ndarray:
@@ -92,18 +98,26 @@ def hits(words: K.Words, index: Index, window: int, gram: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _blocks(bench: DataFrame, most: int):
-    """Items in blocks of about ``most`` words, one block at a time on the driver."""
-    ids, texts, n = [], [], 0
-    for row in bench.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        ids.append(row[0] or "")
-        texts.append(row[1] or "")
-        n += len(texts[-1]) // 2 + 1
-        if n >= most:
-            yield ids, texts
-            ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
+def _ranges(hit: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hit words as (document, first word, end) within the document."""
+    doc = words.doc
+    begin, finish = hit.copy(), hit.copy()
+    begin[1:] &= ~(hit[:-1] & (doc[1:] == doc[:-1]))
+    finish[:-1] &= ~(hit[1:] & (doc[1:] == doc[:-1]))
+    s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    return doc[s], s - words.first[doc[s]], e - words.first[doc[s]]
+
+
+def _covered(start: np.ndarray, length: np.ndarray, total: int) -> np.ndarray:
+    cover = np.zeros(total + 1, np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + length, -1)
+    return np.cumsum(cover)[:total] > 0
+
+
+def _lists(doc: np.ndarray, n: int, arrays: list[np.ndarray], names: list[str]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in arrays], names=names))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"], into: str = "hits", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -111,45 +125,108 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"
     spans (hit word ranges, end exclusive), beside the columns of ``keep``.
 
     Null and empty texts have no words and no hits.  A null item id reads as
-    the empty string; equal ids count once.  An empty benchmark hits nothing.
+    the empty string; equal ids count once; null and repeated doc_ids are
+    ordinary rows.  An empty benchmark hits nothing, an empty table gives no
+    rows.  Other columns are ignored, whatever their names.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(Index(ids, texts, window, gram)) for ids, texts in _blocks(bench, block_words)]
+    bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if (bench.select(F.sum(F.regexp_count("text", F.lit(WORDS)) + 1)).first()[0] or 0) > block_words:
+        return _joined(docs, bench, keep, into, window, gram)
+    rows = bench.collect()  # at most block_words words
+    shared = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
 
     def make():
+        index = shared.value
+
         def work(data, offs, nulls):
             words = K.split_words(data, offs, K.ALNUM, lower=True)
-            total = len(words.hash)
-            cover = np.zeros(total + 1, np.int64)
-            doc = words.doc
+            start, length, item = hits(words, index, window, gram)
             found: list[set] = [set() for _ in nulls]
-            for b in shared:
-                index = b.value
-                start, length, item = hits(words, index, window, gram)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + length, -1)
-                if len(start):
-                    pair = np.unique(doc[start].astype(np.int64) << 32 | item)
-                    for p in pair.tolist():
-                        found[p >> 32].add(index.ids[p & 0xFFFFFFFF])
-                if len(shared) > 1:
-                    forget(b)
-            hit = (np.cumsum(cover)[:total] > 0).astype(np.int8)
-            n_words = np.diff(words.first)
-            n_hit = (np.r_[0, np.cumsum(hit)])[words.first]
-            n_hit = np.diff(n_hit)
-            begin = hit.astype(bool)
-            finish = begin.copy()
-            begin[1:] &= ~(hit[:-1].astype(bool) & (doc[1:] == doc[:-1]))
-            finish[:-1] &= ~(hit[1:].astype(bool) & (doc[1:] == doc[:-1]))
-            s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-            base = words.first[doc[s]] if len(s) else s
-            per = np.bincount(doc[s], minlength=len(nulls)) if len(s) else np.zeros(len(nulls), int)
-            offsets = np.r_[0, np.cumsum(per)].astype(np.int32)
-            spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))], names=["start", "end"]))
+            for p in np.unique(words.doc[start].astype(np.int64) << 32 | item).tolist():
+                found[p >> 32].add(index.ids[p & 0xFFFFFFFF])
+            hit = _covered(start, length, len(words.start))
+            n_hit = np.diff(np.r_[0, np.cumsum(hit)][words.first])
+            doc, s, e = _ranges(hit, words)
             items = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
-            return [pa.StructArray.from_arrays([pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), items, spans], names=["n_words", "n_hit", "items", "spans"])]
+            return [pa.StructArray.from_arrays([pa.array(np.diff(words.first).astype(np.int64)), pa.array(n_hit.astype(np.int64)), items, _lists(doc, len(nulls), [s, e], ["start", "end"])], names=["n_words", "n_hit", "items", "spans"])]
 
         return work
 
-    return map_text(docs, keep, f"`{into}` struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:int,end:int>>>", make)
+    return map_text(docs, keep, f"`{into}` struct<n_words:long,n_hit:long,items:array<string>,spans:{SPANS}>", make)
+
+
+def _joined(docs: DataFrame, bench: DataFrame, keep: list[str], into: str, window: int, gram: int) -> DataFrame:
+    """The same through a join of fingerprints, for a benchmark of any size.
+
+    Equal texts are one (by SHA-256), so copies are matched once.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    picked = docs.select(*[quoted(c).alias(f"_{k}") for k, c in enumerate(keep)], text.alias("text"), F.sha2(text, 256).alias("doc"))
+    owners = stage(bench.select("item_id", F.sha2("text", 256).alias("item")).distinct(), "bench_items")
+    items = stage(bench.select(F.sha2("text", 256).alias("item"), "text").distinct(), "bench_texts")
+    sizes = items.select(F.regexp_count("text", F.lit(WORDS)).alias("n")).where(f"n between 1 and {window - 1}")
+    short = sorted(r[0] for r in sizes.distinct().collect())  # fewer than window values
+
+    def prints(side: str):
+        """(print, key): fingerprints of full windows, and whole n-grams of the lengths of short items."""
+        @K.tidy
+        def run(batches):
+            for batch in batches:
+                data, offs = K.string_buffer(batch.column(1))
+                for i, j in K.slices(offs):
+                    words = K.split_words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], K.ALNUM, lower=True)
+                    g = K.ngram_hashes(words, gram)
+                    at = fingerprints(g, K.ngram_hashes(words, window) != 0, window - gram + 1)
+                    values, doc = [g[at]], [words.doc[at]]
+                    count = np.diff(words.first)
+                    for n in short:
+                        h = K.ngram_hashes(words, n)
+                        at = words.first[:-1][count == n] if side == "item" else np.flatnonzero(h)
+                        values.append(K.mix(h[at] + np.uint64(n)))
+                        doc.append(words.doc[at])
+                    both = np.unique(np.stack([np.concatenate(doc).astype(np.uint64), np.concatenate(values)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[1].view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(both[0].astype(np.int64)))], names=["print", side])
+
+        return run
+
+    theirs = items.select("item", "text").mapInArrow(prints("item"), "print long, item string").distinct()
+    ours = picked.select("doc", "text").mapInArrow(prints("doc"), "print long, doc string").distinct()
+    pairs = stage(spread_join(ours, theirs, ["print"], ["doc"]).select("doc", "item").distinct(), "bench_pairs")
+    # One text per key: copies meet in their own tasks before they move.
+    texts = picked.join(pairs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    wide = spread_join(pairs, texts, ["doc"], ["item"])
+    wide = spread_join(wide, items.withColumnRenamed("text", "item_text"), ["item"], ["doc"], pairs).select("doc", "item", "text", "item_text")
+
+    @K.tidy
+    def extend(batches):
+        for batch in batches:
+            out = []
+            for doc, item, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                words = K.split_words(*K.string_buffer(pa.array([text], pa.large_string())), K.ALNUM, lower=True)
+                start, length, _ = hits(words, Index([item], [own], window, gram), window, gram)
+                if len(start):
+                    _, s, e = _ranges(_covered(start, length, len(words.start)), words)
+                    out.append((doc, item, [{"start": int(x), "end": int(y)} for x, y in zip(s, e)]))
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc", "item", "spans"])
+
+    found = stage(wide.mapInArrow(extend, f"doc string, item string, spans {SPANS}"), "bench_found")
+
+    def merge(acc, s):
+        """Adds a span in order of start: overlapping and touching ones become one."""
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when(last.isNotNull() & (s["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(s)))
+
+    spans = found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")).select("doc", F.aggregate("spans", F.array().cast(SPANS), merge).alias("spans"))
+    ids = found.join(owners, "item").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    rows = picked.groupBy("doc").agg(F.count("*").alias("copies"))
+    hit = stage(spans.join(ids, "doc").join(rows, "doc"), "bench_hits")
+    kept = [f"_{k}" for k in range(len(keep))]
+    counted = picked.select(*kept, "doc", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"))
+    out = attach(counted, hit, "doc", "copies")
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("long"))
+    result = F.struct("n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return out.select(*[F.col(x).alias(c) for x, c in zip(kept, keep)], result.alias(into))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .spans import find_spans, let
+from .spans import clear_of, find_spans, let
 
 # Fixed values of the contract: pattern and least length by kind, in order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,9 +131,8 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     rows; an empty table gives none; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    free = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     raw = docs.select("doc_id", base_spans(text).alias("base"), find_spans(text, CANDIDATE, "[0-9]").alias("runs"))
-    scored = F.transform(F.filter("runs", lambda s: free(s, F.col("base"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _length_class(s["end"] - s["start"]).alias("stratum"), p_value(s["text"]).alias("p")))
+    scored = F.transform(clear_of(F.col("runs"), F.col("base")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _length_class(s["end"] - s["start"]).alias("stratum"), p_value(s["text"]).alias("p")))
     found = stage(raw.select("doc_id", "base", F.filter(scored, lambda c: c["p"].isNotNull()).alias("candidates")), "secret_spans")
     least = {r[0]: r[1] for r in thresholds(found, rate).collect()}  # one row per length class
     limit = F.create_map(*[F.lit(x) for k in range(len(LENGTHS) + 1) for x in (k, float(least.get(k, 2.0)))])
