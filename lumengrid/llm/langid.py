@@ -99,12 +99,12 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A space before and after each document, so that words have their edges."""
+    """A space before and after each document, so that words have their edges and no trigram of a word reaches the next document."""
     n = len(offs) - 1
-    out = np.full(len(data) + n + 1, 0x20, np.uint8)
-    shift = np.repeat(np.arange(1, n + 1), np.diff(offs))
+    out = np.full(len(data) + 2 * n, 0x20, np.uint8)
+    shift = np.repeat(2 * np.arange(n) + 1, np.diff(offs))
     out[np.arange(len(data)) + shift] = data
-    return out, offs + np.arange(n + 1)
+    return out, offs + 2 * np.arange(n + 1)
 
 
 def word_scripts(words: K.Words, data: np.ndarray) -> np.ndarray:
@@ -223,13 +223,14 @@ def _train_counts(data, offs, langs, order):
     text, at = padded(data, offs)
     t = trigrams(text)
     owner = np.repeat(langs, np.diff(at))
-    words = K.split_words(text[: at[-1]], at)
+    owner[at[1:] - 1] = -1  # these begin behind the last word
+    words = K.split_words(text, at)
     s = word_scripts(words, text)
     counts = np.zeros((len(order), BUCKETS), np.int64)
     scripts = np.zeros((len(order), N_SCRIPTS + 1), np.int64)
     lang_of_word = langs[words.doc]
     for k in range(len(order)):
-        counts[k] = np.bincount(t[: at[-1]][owner == k], minlength=BUCKETS)
+        counts[k] = np.bincount(t[owner == k], minlength=BUCKETS)
         mine = s[lang_of_word == k]
         scripts[k, -1] = len(mine)
         for bit in range(N_SCRIPTS):
@@ -294,7 +295,7 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def label_words(model: Model, data: np.ndarray, offs: np.ndarray, penalty: float = SWITCH) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, the language of each, every language's total by document, and each document's fit."""
     text, at = padded(data, offs)
-    words = K.split_words(text[: at[-1]], at)
+    words = K.split_words(text, at)
     words.data = text
     barred = model.barred(words, text)
     scores = model.word_scores(text, words, barred)

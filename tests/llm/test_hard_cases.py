@@ -246,7 +246,7 @@ def test_language_labels_by_brute_force(spark):
     model = langid.fit(docs)
     got = {r.doc_id: r.language for r in langid.identify(docs, model).collect()}
     for r in docs.collect():
-        own, at = b" " + (r.text or "").encode() + b" ", 0
+        own = b" " + (r.text or "").encode() + b" "
         parts = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", own)]
         if not parts or len(parts) > 400:
             continue
