@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrid.llm import decontamination, langid, mixing, ngram_join, tokens
-from lumengrid.llm.common import free_name, quoted, stage
+from lumengrid.llm.common import free_name, quoted, spread_join, stage
 from lumengrid.llm.queries import tokenizer_path
 
 #: Least fit of a text (langid.identify): chosen between the texts of the given tables and sentences of other languages.
@@ -32,7 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no learned language fits.
 
     The fit is absolute and follows the spans, so mixtures of learned languages stay.
-    Rows keep their columns; null and empty texts go.
+    Null and empty texts go; null doc_ids and repeated rows are judged by their
+    text.  Other columns are kept as they are; an empty table stays empty, and
+    without a labelled row every text goes.
     """
     into = free_name(docs, "language")
     found = langid.identify(docs, langid.fit(docs), docs.columns, into)
@@ -42,32 +44,58 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies (5 words, 0.8).
 
-    Repeated rows of a doc_id and text become one.  Rows without a doc_id stay.
+    Rows that repeat a doc_id and its text become one.  Rows without a doc_id stay,
+    and so do texts without words, which are copies of nothing.  Other columns,
+    whatever their names, are kept as they are; an empty table stays empty.
     """
     found = stage(ngram_join.join(docs, n=5, percent=80).select("doc_id", "component_id"), "pipeline_components")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = _same(docs.join(_bounded(gone), "doc_id", "left_anti"), docs)
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    kept = _same(named.join(_bounded(gone), "doc_id", "left_anti"), docs).unionByName(_same(nameless, docs))
     ids = found.where("doc_id is not null")
     return kept.dropDuplicates(["doc_id", "text"]) if ids.count() != ids.distinct().count() else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay, as do null doc_ids; each of
+    repeated rows is judged alike.  Other columns are kept as they are; an
+    empty table stays empty, and an empty benchmark drops nothing.
+    """
     into = free_name(docs, "hits")
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns, into)
     return _same(found.where(F.col(f"{into}.n_hit") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (whole passes; none, one or two)."""
-    key, passes, one = free_name(docs, "_key"), free_name(docs, "_passes"), free_name(docs, "_pass")
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("passes").alias(passes))
-    out = docs.join(_bounded(taken), F.col("doc_id").eqNullSafe(F.col(key)))
+    """Each document as often as the mix takes it (whole passes; none, one or two).
+
+    Rows of one doc_id and source, repeated ones and those without a doc_id,
+    all take the same number of passes: their share of words, rounded.  Texts
+    without words take one.  A null source is a source.  Other columns are kept
+    as they are; an empty table stays empty.
+    """
+    key, own, passes, one = (free_name(docs, x) for x in ("_key", "_own", "_passes", "_pass"))
+    name = lambda: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    source = lambda: F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))
+    share = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size")).cast("int")).otherwise(1)
+    taken = mixing.mix(docs).groupBy(name().alias(key), source().alias(own)).agg(share.alias(passes))
+    named = docs.withColumn(key, name()).withColumn(own, source())
+    taken = stage(taken, "pipeline_passes")
+    if taken.count() <= BROADCAST_IDS:
+        out = named.join(F.broadcast(taken), [key, own])
+    else:
+        out = spread_join(named, taken, [key, own], ["text"], named.select(key, own))
     return _same(out.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(passes)))), docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in doc_id order, and per document what they hold."""
+    """Token files in doc_id order, and per document what they hold.
+
+    Null texts hold only the end id; null doc_ids come first; repeated rows are
+    all written.  Other columns are left out; an empty table gives no rows.
+    """
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
 
 
