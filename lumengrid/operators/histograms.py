@@ -72,9 +72,10 @@ def threshold_yen(hist: DataFrame, key: str = "image_id") -> DataFrame:
     w = Window.partitionBy(key)
     up = w.orderBy("bin")
     p = hist.withColumn("p", F.col("n") / F.sum("n").over(w))
-    p = p.withColumn("P", F.sum("p").over(up)).withColumn("q0", F.sum(F.col("p") * F.col("p")).over(up)).withColumn("q1", F.sum(F.col("p") * F.col("p")).over(w) - F.col("q0")).withColumn("_last", F.max("bin").over(w))
+    # Names differ by more than case: Spark would take "P" for "p".
+    p = p.withColumn("below", F.sum("p").over(up)).withColumn("q0", F.sum(F.col("p") * F.col("p")).over(up)).withColumn("q1", F.sum(F.col("p") * F.col("p")).over(w) - F.col("q0")).withColumn("_last", F.max("bin").over(w))
     good = (F.col("bin") < F.col("_last")) & (F.col("q1") > 1e-12)
-    score = F.when(good, F.round(-F.log(F.col("q0") * F.col("q1")) + 2 * F.log(F.col("P") * (1 - F.col("P"))), 9))
+    score = F.when(good, F.round(-F.log(F.col("q0") * F.col("q1")) + 2 * F.log(F.col("below") * (1 - F.col("below"))), 9))
     return _first_best(p.withColumn("score", score).where("score is not null or bin = _last"), key, "score")
 
 
@@ -92,7 +93,9 @@ def equalize_hist(px: DataFrame, bins: int, lo: float, hi: float, key: str = "im
     """Each value by the cdf interpolated between bin centres."""
     cdf = cumulative_distribution(histogram(px, bins, lo, hi, key, value), key)
     width = (hi - lo) / bins
-    dense = cdf.select(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b"), "bin", "cdf").where("bin <= b").groupBy(key, "b").agg(F.max("cdf").alias("cdf"))
+    # An occupied bin holds up to the next one: at most ``bins`` rows an image.
+    until = F.coalesce(F.lead("bin").over(Window.partitionBy(key).orderBy("bin")) - 1, F.lit(bins - 1))
+    dense = cdf.withColumn("_until", until).select(key, "cdf", F.explode(F.sequence("bin", "_until")).alias("b"))
     curve = dense.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "cdf"))).alias("curve"))
     at = (F.col(value) - lo) / width - 0.5
     left = F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -102,14 +105,50 @@ def equalize_hist(px: DataFrame, bins: int, lo: float, hi: float, key: str = "im
     return px.join(curve, key).withColumn("eq", get(left) + (get(right) - get(left)) * part).drop("curve")
 
 
+#: Parts of a value range, and of quantiles, that prefix sums and lookups are dealt over.
+PARTS = 256
+
+
+def quantiles(values: DataFrame, value: str = "v") -> DataFrame:
+    """(value, q): every distinct value with the share of rows up to it.
+
+    Counts are grouped first; values are cut at PARTS approximate quantiles, so
+    that the running sum goes part by part with PARTS known offsets.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    cuts = counts.select(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)])).first()[0] or []
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    counts = counts.withColumn("_part", F.size(F.filter(bounds, lambda b: b < F.col(value))))
+    sizes, total = {r[0]: r[1] for r in counts.groupBy("_part").agg(F.sum("n")).collect()}, 0  # PARTS rows
+    base = {}
+    for k in sorted(sizes):
+        base[k], total = total, total + sizes[k]
+    offsets = F.create_map(*[F.lit(x) for k in base for x in (k, base[k])]) if base else F.lit(None).cast("map<int,bigint>")
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy(value)) + F.element_at(offsets, F.col("_part"))
+    return counts.select(value, (upto / max(total, 1)).alias("q"))
+
+
 def match_histograms(px: DataFrame, reference: DataFrame, key: str = "image_id", value: str = "v") -> DataFrame:
-    """Maps each image's values to those of equal quantile in the reference (one set of values)."""
+    """Maps each image's values to those of equal quantile in the reference (one set of values).
+
+    Between two quantiles of the reference values are interpolated.  Each step
+    of the reference is listed under the PARTS of the quantile range that it
+    touches, so the lookup is an equi-join.  An empty reference gives no rows.
+    """
     w = Window.partitionBy(key)
     own = px.groupBy(key, value).agg(F.count("*").alias("n")).withColumn("q", F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w))
-    one = reference.groupBy(value).agg(F.count("*").alias("n")).withColumn("q", F.sum("n").over(Window.orderBy(value)) / F.sum("n").over(Window.partitionBy()))
-    lead = Window.orderBy("q")
-    steps = one.select(F.col("q").alias("q0"), F.col(value).alias("v0"), F.lead("q").over(lead).alias("q1"), F.lead(value).over(lead).alias("v1"))
-    first = one.agg(F.min("q").alias("first_q"), F.min(value).alias("first_v"))
-    hit = own.join(F.broadcast(first)).join(steps, (F.col("q") >= F.col("q0")) & (F.col("q") < F.coalesce("q1", F.lit(2.0))), "left")
-    new = F.when(F.col("q") <= F.col("first_q"), F.col("first_v")).otherwise(F.col("v0") + F.coalesce((F.col("v1") - F.col("v0")) * (F.col("q") - F.col("q0")) / (F.col("q1") - F.col("q0")), F.lit(0.0)))
+    part = lambda q: F.least(F.floor(q * PARTS), F.lit(PARTS - 1)).cast("int")
+    one = quantiles(reference, value).withColumn("_part", part(F.col("q")))
+    # The step before: the last of this part's, or of the nearest part before it, of which one row each is needed.
+    ends = one.groupBy("_part").agg(F.max(F.struct("q", F.col(value).alias("v"))).alias("e")).collect()  # PARTS rows
+    before = {k: max((tuple(r[1]) for r in ends if r[0] < k), default=None) for k in {r[0] for r in ends}}
+    known = {k: v for k, v in before.items() if v}
+    last = F.create_map(*[x for k, (q, v) in known.items() for x in (F.lit(k), F.struct(F.lit(q).alias("q"), F.lit(float(v)).alias("v")))]) if known else F.lit(None).cast("map<int,struct<q:double,v:double>>")
+    inside = Window.partitionBy("_part").orderBy("q")
+    prior = F.coalesce(F.lag(F.struct("q", F.col(value).cast("double").alias("v"))).over(inside), F.try_element_at(last, F.col("_part")))
+    steps = one.select(F.col("q").alias("q1"), F.col(value).alias("v1"), prior.alias("p"))
+    steps = steps.select("q1", "v1", F.coalesce(F.col("p.q"), F.lit(0.0)).alias("q0"), F.coalesce(F.col("p.v"), F.col("v1")).alias("v0"))
+    steps = steps.withColumn("_part", F.explode(F.sequence(part(F.col("q0")), part(F.col("q1")))))
+    hit = own.withColumn("_part", part(F.col("q"))).join(steps, "_part").where((F.col("q") > F.col("q0")) & (F.col("q") <= F.col("q1")))
+    new = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("q") - F.col("q0")) / (F.col("q1") - F.col("q0"))
     return px.join(hit.select(key, value, new.alias("matched")), [key, value])

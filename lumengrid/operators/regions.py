@@ -9,17 +9,30 @@ KEYS = ["image_id", "label"]
 
 
 def label_stats(px: DataFrame, keys: list[str] = KEYS, value: str = "v") -> DataFrame:
-    """Sum, mean, variance, extrema with positions (first in raster order), median, centre of mass."""
-    v, at = F.col(value), F.struct(F.col("y"), F.col("x"))
-    first = lambda best: F.min(F.when(v == best, at))
-    w = Window.partitionBy(*keys)
-    px = px.withColumn("_lo", F.min(v).over(w)).withColumn("_hi", F.max(v).over(w))
-    return px.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("standard_deviation"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.median(v).alias("median"),
-        first(F.col("_lo")).alias("_pmin"), first(F.col("_hi")).alias("_pmax"), F.sum(v * F.col("y")).alias("_vy"), F.sum(v * F.col("x")).alias("_vx"),
-    ).select(
-        *keys, "n", "sum", "mean", "variance", "standard_deviation", "minimum", "maximum", "median", F.col("_pmin.y").alias("min_y"), F.col("_pmin.x").alias("min_x"), F.col("_pmax.y").alias("max_y"), F.col("_pmax.x").alias("max_x"),
-        F.when(F.col("sum") != 0, F.col("_vy") / F.when(F.col("sum") != 0, F.col("sum"))).alias("com_y"), F.when(F.col("sum") != 0, F.col("_vx") / F.when(F.col("sum") != 0, F.col("sum"))).alias("com_x"),
+    """Sum, mean, variance, extrema with positions (first in raster order), median, centre of mass.
+
+    One partial aggregation of the pixels; the median comes from counts of
+    distinct values, so no task receives the pixels of a label.
+    """
+    v = F.col(value)
+    g = px.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("standard_deviation"),
+        F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("y").alias("y"), F.col("x").alias("x")))).alias("_lo"), F.max(F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))).alias("_hi"),
+        F.sum(v * F.col("y")).alias("_vy"), F.sum(v * F.col("x")).alias("_vx"),
+    )
+    counts = px.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    upto, whole = F.sum("_n").over(own.orderBy("_v")), F.sum("_n").over(own)
+    ranked = counts.withColumn("_to", upto).withColumn("_all", whole)
+    # The one or two values in the middle: ranks (n + 1) / 2 rounded down and up.
+    middle = [F.min(F.when(F.col("_to") >= F.floor((F.col("_all") + k) / 2), F.col("_v"))) for k in (1, 2)]
+    medians = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(((middle[0] + middle[1]) / 2).alias("median"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    g = g.join(medians, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    mass = F.when(F.col("sum") != 0, F.col("sum"))
+    return g.select(
+        *keys, "n", "sum", "mean", "variance", "standard_deviation", F.col("_lo.v").alias("minimum"), F.col("_hi.v").alias("maximum"), "median", F.col("_lo.y").alias("min_y"), F.col("_lo.x").alias("min_x"), (-F.col("_hi.y")).alias("max_y"), (-F.col("_hi.x")).alias("max_x"),
+        (F.col("_vy") / mass).alias("com_y"), (F.col("_vx") / mass).alias("com_x"),
     )
 
 
@@ -51,7 +64,7 @@ def region_table(px: DataFrame, keys: list[str] = KEYS, value: str = "v") -> Dat
     e0, e1 = F.col("inertia_eigval_0"), F.col("inertia_eigval_1")
     box = (F.col("bbox_2") - F.col("bbox_0")) * (F.col("bbox_3") - F.col("bbox_1"))
     # Inertia tensor rows (a, b), (b, c) with a about the row axis.
-    turn = F.when(F.abs(a - c) < 1e-12, F.when(b < -1e-12, -3.141592653589793 / 4).otherwise(3.141592653589793 / 4)).otherwise(0.5 * F.atan2(-2 * b, c - a))
+    turn = F.when(F.abs(a - c) < 1e-12, F.when(b < -1e-12, -3.141592653589793 / 4).otherwise(3.141592653589793 / 4)).when(F.abs(b) < 1e-12, F.when(c < a, -3.141592653589793 / 2).otherwise(0.0)).otherwise(0.5 * F.atan2(-2 * b, c - a))
     return g.select(
         *keys, "area", "bbox_0", "bbox_1", "bbox_2", "bbox_3", box.alias("bbox_area"), (n / box).alias("extent"), "centroid_0", "centroid_1", F.sqrt(4 * n / 3.141592653589793).alias("equivalent_diameter"),
         "min_intensity", "max_intensity", "mean_intensity", a.alias("inertia_0_0"), b.alias("inertia_0_1"), c.alias("inertia_1_1"), e0.alias("inertia_eigval_0"), e1.alias("inertia_eigval_1"),

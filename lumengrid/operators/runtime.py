@@ -26,10 +26,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; in a temporary one where it is unset."""
+    """Cuts lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
     return df.checkpoint()
 
 

@@ -37,6 +37,11 @@ def per_image(name: str, kernel, sql: str | None = None) -> None:
     on_images(name, lambda x: np.asarray(kernel(x), float).reshape(len(x), 1, -1), sql)
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to some digits, since engines sum in different orders."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return pixels(embedding_images(spark, sf), digits=None)
 
@@ -208,7 +213,7 @@ register("threshold_yen", lambda spark, sf: histograms.threshold_yen(_hist(spark
 register("threshold_mean", lambda spark, sf: histograms.threshold_mean(image_pixels(spark, sf)).select("image_id", (F.round("threshold", 9) + F.lit(0.0)).alias("threshold")), f"WITH {T.PX} SELECT image_id, round(avg(v), 9) + 0.0 AS threshold FROM px GROUP BY 1")
 register("shannon_entropy", lambda spark, sf: histograms.shannon_entropy(levels(spark, sf)).select("image_id", F.round("entropy", 9).alias("entropy")), _H + ", p AS (SELECT image_id, n / sum(n) OVER (PARTITION BY image_id) AS p FROM h) SELECT image_id, round(-sum(p * ln(p)) / ln(2.0), 9) AS entropy FROM p GROUP BY 1")
 register("equalize_hist", lambda spark, sf: histograms.equalize_hist(image_pixels(spark, sf), 64, -1.0, 1.0).select("image_id", "y", "x", F.round("eq", 6).alias("v")))
-register("match_histograms", lambda spark, sf: histograms.match_histograms(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("double").alias("v")), levels(spark, sf).where("image_id < 10").select(F.col("q").cast("double").alias("v"))).select("image_id", "y", "x", F.round("matched", 6).alias("v")))
+register("match_histograms", lambda spark, sf: histograms.match_histograms(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("double").alias("v")), levels(spark, sf).select(F.col("q").cast("double").alias("v"))).select("image_id", "y", "x", (F.round("matched", 6) + F.lit(0.0)).alias("v")))
 for _name, _kernel in (("threshold_li", vision.threshold_li), ("threshold_multiotsu", lambda x: [vision.threshold_multiotsu(np.bincount(q, minlength=256)) for q in np.clip(np.floor((x.reshape(len(x), -1) + 1) / 2 * 255.5), 0, 255).astype(int)]), ("threshold_triangle", lambda x: [vision.threshold_triangle(np.bincount(q, minlength=256)) for q in np.clip(np.floor((x.reshape(len(x), -1) + 1) / 2 * 255.5), 0, 255).astype(int)])):
     per_image(_name, _kernel)
 for _name, _kernel in (("threshold_local", lambda x: vision.threshold_local(x, 3, "mean")), ("threshold_niblack", lambda x: vision.threshold_niblack(x, 3)), ("threshold_sauvola", lambda x: vision.threshold_sauvola(x, 3)), ("equalize_adapthist", vision.equalize_adapthist)):
@@ -220,7 +225,7 @@ register("integral_image", lambda spark, sf: regions.integral_image(image_pixels
 register("block_reduce", lambda spark, sf: regions.block_reduce(image_pixels(spark, sf), (2, 4), F.max).select("image_id", "y", "x", F.round("v", 6).alias("v")), f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 4)::INT AS x, round(max(v), 6) AS v FROM px GROUP BY ALL")
 on_images("downscale_local_mean", lambda x: interpolate.downscale_local_mean(x, (2, 2)), f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(v), 6) + 0.0 AS v FROM px GROUP BY ALL")
 register("rank_order", lambda spark, sf: regions.rank_order(levels(spark, sf), "image_id", "q").select("image_id", "y", "x", "rank"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY q) - 1 AS rank FROM qx")
-register("map_array", lambda spark, sf: regions.map_array(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v")), spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 128").select(F.col("p_partkey").alias("in_val"), F.col("p_size").alias("out_val"))).select("image_id", "y", "x", F.col("v").cast("int").alias("v")), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, coalesce(p_size, 0)::INT AS v FROM qx LEFT JOIN part ON p_partkey = q AND p_partkey < 128")
+register("map_array", lambda spark, sf: regions.map_array(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v")), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("in_val"), F.col("p_size").alias("out_val"))).select("image_id", "y", "x", F.col("v").cast("int").alias("v")), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, coalesce(p_size, 0)::INT AS v FROM qx LEFT JOIN part ON p_partkey = q")
 register("relabel_sequential", lambda spark, sf: regions.relabel_sequential(levels(spark, sf).withColumn("label", F.floor(F.col("q") / 8).cast("int"))).select("image_id", "y", "x", "new_label"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, CASE WHEN q // 8 = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY image_id ORDER BY q // 8) END AS new_label FROM qx")
 register("join_segmentations", lambda spark, sf: regions.join_segmentations(levels(spark, sf).withColumn("a", (F.col("q") > 127).cast("int")).withColumn("b", F.floor(F.col("y") / 4).cast("int")), "a", "b").select("image_id", "y", "x", "joint"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY (q > 127)::INT, y // 4) AS joint FROM qx")
 register("remove_small_objects", lambda spark, sf: regions.remove_small_objects(_labelled(spark, sf), 4).select("image_id", "y", "x", "label"), _LABELS + " SELECT px.image_id, px.y, px.x, CASE WHEN l.label IS NULL OR count(l.label) OVER (PARTITION BY px.image_id, l.label) < 4 THEN 0 ELSE l.label END AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x")

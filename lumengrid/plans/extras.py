@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import catalog as C
 from . import twins as T
 from . import weights as W
@@ -94,8 +96,6 @@ _GABOR = []
 _SD = (0.6931471805599453 / 2) ** 0.5 / 3.141592653589793 * 3 / 0.3
 for _a in range(-6, 7):
     for _b in range(-6, 7):
-        import math
-
         _GABOR.append((-_a, -_b, math.exp(-0.5 * (_a * _a + _b * _b) / _SD**2) / (2 * math.pi * _SD**2) * math.cos(2 * math.pi * 0.3 * _b)))
 SQL["gabor"] = T.linear(_GABOR)
 SQL["wiener_local"] = W.picture("m AS MATERIALIZED (SELECT p.image_id, p.y, p.x, sum(q.v) / 9 AS m, sum(q.v * q.v) / 9 - sum(q.v) / 9 * sum(q.v) / 9 AS s, any_value(p.v) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL)", "f AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN s < avg(s) OVER (PARTITION BY image_id) THEN m ELSE m + (v - m) * (1 - avg(s) OVER (PARTITION BY image_id) / s) END AS v FROM m)", source="f")
@@ -103,3 +103,115 @@ SQL["threshold_sauvola"] = T.pixels(T.step("px", "f", T.ONE, "avg(q.v) * (1 + 0.
 _SOBEL = SQL["sobel"]
 SQL["sobel_masked"] = f"WITH e AS ({_SOBEL}), {W.PX}, k AS (SELECT p.image_id, p.y, p.x, count(*) AS n FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.v > -0.2 GROUP BY ALL) SELECT e.image_id, e.y, e.x, CASE WHEN k.n = 9 THEN e.v ELSE 0 END AS v FROM e LEFT JOIN k USING (image_id, y, x)"
 SQL["structural_similarity"] = f"WITH {W.PX}, j AS (SELECT p.image_id // 2 AS image_id, p.y, p.x, p.v AS a, q.v AS b FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0), m AS (SELECT c.image_id, c.y, c.x, avg(w.a) AS ua, avg(w.b) AS ub, 9.0 / 8 * (avg(w.a * w.a) - avg(w.a) * avg(w.a)) AS va, 9.0 / 8 * (avg(w.b * w.b) - avg(w.b) * avg(w.b)) AS vb, 9.0 / 8 * (avg(w.a * w.b) - avg(w.a) * avg(w.b)) AS vab FROM j c JOIN j w ON w.image_id = c.image_id AND abs(w.y - c.y) <= 1 AND abs(w.x - c.x) <= 1 WHERE c.y BETWEEN 1 AND 6 AND c.x BETWEEN 1 AND 6 GROUP BY ALL) SELECT image_id, 0 AS y, 0 AS x, round(avg((2 * ua * ub + 0.0004::DOUBLE) * (2 * vab + 0.0036::DOUBLE) / ((ua * ua + ub * ub + 0.0004::DOUBLE) * (va + vb + 0.0036::DOUBLE))), 6) + 0.0 AS v FROM m GROUP BY image_id"
+
+# Morphology ------------------------------------------------------------------------------------
+
+_BIT = "bx AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN v > 0 THEN 1 ELSE 0 END AS v FROM px)"
+_DIAGONAL = "(VALUES (-1, -1), (-1, 1), (1, -1), (1, 1))"
+_PLUS = "(VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))"
+SQL["binary_hit_or_miss"] = W.picture(_BIT, f"f AS (SELECT p.image_id, p.y, p.x, CASE WHEN sum(CASE WHEN abs(q.y - p.y) + abs(q.x - p.x) <= 1 THEN q.v ELSE 0 END) = 5 AND sum(CASE WHEN abs(q.y - p.y) + abs(q.x - p.x) = 2 THEN 1 - q.v ELSE 0 END) = 4 THEN 1 ELSE 0 END AS v FROM bx p JOIN bx q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL)", source="f")
+SQL["binary_propagation"] = SQL["apply_hysteresis_threshold"]
+SQL["binary_fill_holes"] = W.picture("r AS (SELECT image_id, y, x FROM px WHERE v <= 0 AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT n.image_id, n.y, n.x FROM r JOIN px n ON n.image_id = r.image_id AND abs(n.y - r.y) + abs(n.x - r.x) = 1 WHERE n.v <= 0)", "f AS (SELECT px.image_id, px.y, px.x, CASE WHEN r.y IS NULL THEN 1 ELSE 0 END AS v FROM px LEFT JOIN r USING (image_id, y, x))", source="f", recursive=True)
+_HOLES = C._LABELS.replace("WHERE v > 0", "WHERE v <= 0")
+SQL["remove_small_holes"] = _HOLES + " SELECT px.image_id, px.y, px.x, CASE WHEN l.label IS NULL OR count(l.label) OVER (PARTITION BY px.image_id, l.label) < 3 THEN 1.0 ELSE 0.0 END AS v FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x"
+_FULL = C._LABELS + ", lab AS MATERIALIZED (SELECT px.image_id, px.y, px.x, px.v, coalesce(l.label, 0) AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x)"
+_BORDER = _FULL + ", e AS (SELECT p.image_id, p.y, p.x, p.v, max(q.label) <> min(q.label) AS edge FROM lab p JOIN lab q ON q.image_id = p.image_id AND abs(q.y - p.y) + abs(q.x - p.x) <= 1 GROUP BY ALL)"
+SQL["find_boundaries"] = _BORDER + " SELECT image_id, y, x, CASE WHEN edge THEN 1.0 ELSE 0.0 END AS v FROM e"
+SQL["mark_boundaries"] = _BORDER + " SELECT image_id, y, x, CASE WHEN edge THEN 1.0 ELSE round(v, 6) + 0.0 END AS v FROM e"
+
+
+def _steps(first: str, step: str, times: int) -> str:
+    """CTEs s0 to s<times>, each made of the one before ({0})."""
+    return ", ".join([f"s0 AS MATERIALIZED ({first})"] + [f"s{k + 1} AS MATERIALIZED ({step.format(f's{k}')})" for k in range(times)])
+
+
+SQL["grey_reconstruction"] = W.picture(_steps("SELECT image_id, y, x, v - 0.1::DOUBLE AS v, v AS top FROM px", "SELECT p.image_id, p.y, p.x, least(max(q.v), p.top) AS v, p.top FROM {0} p JOIN {0} q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY p.image_id, p.y, p.x, p.top", 40), source="s40")
+_NEAR = ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+
+def _curve(source: str, name: str, inner: str, outer: str) -> str:
+    """Least (or greatest) of each of four lines through a pixel, then the greatest (or least) of the four."""
+    lines = ("d.dy = d.dx", "d.dy = -d.dx", "d.dx = 0", "d.dy = 0")
+    return f"{name} AS MATERIALIZED (SELECT p.image_id, p.y, p.x, {outer}({', '.join(f'{inner}(CASE WHEN {line} THEN q.v END)' for line in lines)}) AS v FROM {source} p CROSS JOIN (VALUES {_NEAR}) AS d(dy, dx) JOIN {source} q ON q.image_id = p.image_id AND q.y = least(greatest(p.y + d.dy, 0), 7) AND q.x = least(greatest(p.x + d.dx, 0), 7) GROUP BY ALL)"
+
+
+def _level_sets(first: str, force, times: int, before: str = "") -> str:
+    """Five rounds or so: a force on the level set, then one smoothing of its curve."""
+    out = [*([before] if before else []), f"u0 AS MATERIALIZED ({first})"]
+    for k in range(times):
+        out.append(force(f"u{k}", f"m{k}"))
+        a, b = (("max", "least"), ("min", "greatest")) if k % 2 == 0 else (("min", "greatest"), ("max", "least"))
+        out += [_curve(f"m{k}", f"c{k}", *a), _curve(f"c{k}", f"u{k + 1}", *b)]
+    return W.picture(*out, source=f"u{times}")
+
+
+def _slopes(source: str, name: str) -> str:
+    at = lambda axis, by: f"least(greatest(p.{axis} + {by}, 0), 7)"
+    side = lambda n, axis, by: f"JOIN {source} {n} ON {n}.image_id = p.image_id AND {n}.y = {at('y', by) if axis == 'y' else 'p.y'} AND {n}.x = {at('x', by) if axis == 'x' else 'p.x'}"
+    return f"{name} AS MATERIALIZED (SELECT p.image_id, p.y, p.x, p.v AS u, (b.v - a.v)::DOUBLE / (b.y - a.y) AS gy, (d.v - c.v)::DOUBLE / (d.x - c.x) AS gx FROM {source} p {side('a', 'y', -1)} {side('b', 'y', 1)} {side('c', 'x', -1)} {side('d', 'x', 1)})"
+
+
+def _chan_vese(source: str, name: str) -> str:
+    whole = "OVER (PARTITION BY image_id)"
+    moved = f"(abs(gy) + abs(gx)) * (pow(v - sum(v * u) {whole} / (sum(u) {whole} + 1e-8), 2) - pow(v - sum(v * (1 - u)) {whole} / (sum(1 - u) {whole} + 1e-8), 2))"
+    return f"{_slopes(source, name + 'g')}, {name} AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN f < 0 THEN 1 WHEN f > 0 THEN 0 ELSE u END AS v FROM (SELECT image_id, y, x, u, {moved} AS f FROM {name}g JOIN px USING (image_id, y, x)))"
+
+
+def _geodesic(source: str, name: str) -> str:
+    return f"{_slopes(source, name + 'g')}, {name} AS MATERIALIZED (SELECT a.image_id, a.y, a.x, CASE WHEN a.gy * e.gy + a.gx * e.gx > 0 THEN 1 WHEN a.gy * e.gy + a.gx * e.gx < 0 THEN 0 ELSE a.u END AS v FROM {name}g a JOIN edge e USING (image_id, y, x))"
+
+
+SQL["morphological_chan_vese"] = _level_sets("SELECT image_id, y, x, CASE WHEN (y // 5 + x // 5) % 2 = 1 THEN 1 ELSE 0 END AS v FROM px", _chan_vese, 5)
+_D1 = [t * w for t, w in zip(range(-4, 5), W.bell(1.0))]
+_NEAREST = lambda values: W.taps(values, mode="nearest")
+_INVERSE = ", ".join([W.both("px", "ny", _NEAREST(_D1), _NEAREST(W.bell(1.0))), W.both("px", "nx", _NEAREST(W.bell(1.0)), _NEAREST(_D1)), "gg AS MATERIALIZED (SELECT image_id, y, x, 1 / sqrt(1 + 10 * sqrt(ny.v * ny.v + nx.v * nx.v)) AS v FROM ny JOIN nx USING (image_id, y, x))"])
+SQL["morphological_geodesic_active_contour"] = _level_sets("SELECT image_id, y, x, CASE WHEN 3 - sqrt((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) > 0 THEN 1 ELSE 0 END AS v FROM px", _geodesic, 5, f"{_INVERSE}, {_slopes('gg', 'edge')}")
+_TEN = "1 / 9.0::DOUBLE"
+SQL["richardson_lucy"] = W.picture(
+    _steps("SELECT image_id, y, x, 0.5::DOUBLE AS v, (v + 1) / 2 AS s FROM px", "SELECT p.image_id, p.y, p.x, p.v * sum(r.r) / 9 AS v, p.s FROM {0} p JOIN (SELECT a.image_id, a.y, a.x, a.s / (sum(b.v) / 9 + 1e-12) AS r FROM {0} a JOIN {0} b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY a.image_id, a.y, a.x, a.s) r ON r.image_id = p.image_id AND abs(r.y - p.y) <= 1 AND abs(r.x - p.x) <= 1 GROUP BY p.image_id, p.y, p.x, p.v, p.s", 5),
+    source="s5",
+    value="least(greatest(v, -1), 1)",
+)
+_CODE = f"WITH {T.PX}, b AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE v > 0), e AS MATERIALIZED (SELECT b.image_id, b.y, b.x FROM b JOIN b n ON n.image_id = b.image_id AND abs(n.y - b.y) + abs(n.x - b.x) <= 1 GROUP BY ALL HAVING count(*) < 5), k AS (SELECT px.image_id, px.y, px.x, sum(CASE abs(e.y - px.y) + abs(e.x - px.x) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) AS c FROM px JOIN e ON e.image_id = px.image_id AND abs(e.y - px.y) <= 1 AND abs(e.x - px.x) <= 1 GROUP BY ALL), i AS (SELECT DISTINCT image_id FROM px)"
+SQL["perimeter"] = _CODE + " SELECT i.image_id, 0 AS y, 0 AS x, round(coalesce(sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2.0::DOUBLE) WHEN c IN (13, 23) THEN (1 + sqrt(2.0::DOUBLE)) / 2 ELSE 0 END), 0), 6) + 0.0 AS v FROM i LEFT JOIN k USING (image_id) GROUP BY 1"
+_LINES = " + ".join(f"{w} * count(*) FILTER (WHERE (n.y - b.y, n.x - b.x) IN (({a}, {c}), ({-a}, {-c})))" for a, c, w in ((0, 1, "1.0"), (1, 0, "1.0"), (1, 1, "sqrt(0.5::DOUBLE)"), (1, -1, "sqrt(0.5::DOUBLE)")))
+_EACH = "2 + 2 + 4 * sqrt(0.5::DOUBLE)"
+SQL["perimeter_crofton"] = f"WITH {T.PX}, b AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE v > 0), i AS (SELECT DISTINCT image_id FROM px), n AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1), t AS (SELECT b.image_id, {_LINES} AS t FROM b JOIN b n ON n.image_id = b.image_id AND abs(n.y - b.y) <= 1 AND abs(n.x - b.x) <= 1 AND (n.y <> b.y OR n.x <> b.x) GROUP BY 1) SELECT image_id, 0 AS y, 0 AS x, round(pi() / 4 / 2 * (coalesce(n, 0) * ({_EACH}) - coalesce(t, 0)), 6) + 0.0 AS v FROM i LEFT JOIN n USING (image_id) LEFT JOIN t USING (image_id)"
+
+# Thresholds and histograms -------------------------------------------------------------------------
+
+_AS_PIXEL = "SELECT image_id, 0 AS y, 0 AS x, round({0}::DOUBLE, 6) + 0.0 AS v FROM {1}"
+SQL["threshold_yen"] = C._H + ", p AS (SELECT image_id, bin, n / sum(n) OVER (PARTITION BY image_id) AS p FROM h), r AS (SELECT image_id, bin, sum(p) OVER u AS c, sum(p * p) OVER u AS q0, sum(p * p) OVER a - sum(p * p) OVER u AS q1, max(bin) OVER a AS last FROM p WINDOW u AS (PARTITION BY image_id ORDER BY bin), a AS (PARTITION BY image_id)), s AS (SELECT image_id, bin, CASE WHEN bin < last AND q1 > 1e-12 THEN round(-ln(q0 * q1) + 2 * ln(c * (1 - c)), 9) END AS score FROM r), m AS (SELECT image_id, max(score) AS best, max(bin) AS last FROM s GROUP BY 1) SELECT m.image_id, coalesce(min(s.bin), any_value(m.last))::INT AS threshold FROM m LEFT JOIN s ON s.image_id = m.image_id AND s.score = m.best GROUP BY 1"
+SQL["threshold_triangle"] = C._H + f", g AS (SELECT image_id, min(bin) AS lo, max(bin) AS hi, max(n) AS height FROM h GROUP BY 1), t AS (SELECT g.*, (SELECT min(bin) FROM h WHERE h.image_id = g.image_id AND h.n = g.height) AS top FROM g), k AS (SELECT *, top - lo < hi - top AS flip, CASE WHEN top - lo < hi - top THEN 255 - hi ELSE lo END AS lo2, CASE WHEN top - lo < hi - top THEN 255 - top ELSE top END AS top2 FROM t), d AS (SELECT k.image_id, flip, lo2, s.k AS far, height::DOUBLE / sqrt(height * height + (top2 - lo2) * (top2 - lo2)) * s.k - (top2 - lo2)::DOUBLE / sqrt(height * height + (top2 - lo2) * (top2 - lo2)) * coalesce(h.n, 0) AS d FROM k JOIN range(0, 256) AS s(k) ON s.k < greatest(top2 - lo2, 1) LEFT JOIN h ON h.image_id = k.image_id AND h.bin = CASE WHEN flip THEN 255 - (lo2 + s.k) ELSE lo2 + s.k END), b AS (SELECT image_id, any_value(flip) AS flip, any_value(lo2) AS lo2, arg_max(far, (round(d, 9), -far)) AS far FROM d GROUP BY 1) {_AS_PIXEL.format('CASE WHEN flip THEN 255 - (lo2 + far) ELSE lo2 + far END', 'b')}"
+SQL["threshold_multiotsu"] = C._H + ", c AS MATERIALIZED (SELECT image_id, bin, sum(n) OVER u AS w, sum(n * bin) OVER u AS s, sum(n) OVER a AS wa, sum(n * bin) OVER a AS sa FROM h WINDOW u AS (PARTITION BY image_id ORDER BY bin), a AS (PARTITION BY image_id)), p AS (SELECT a.image_id, a.bin AS t1, b.bin AS t2, a.s * a.s / a.w + (b.s - a.s) * (b.s - a.s) / (b.w - a.w) + (b.sa - b.s) * (b.sa - b.s) / (b.wa - b.w) AS score FROM c a JOIN c b ON b.image_id = a.image_id AND b.bin > a.bin WHERE b.w < b.wa), m AS (SELECT image_id, arg_max({'a': t1, 'b': t2}, (round(score, 6), -t2, -t1)) AS t FROM p GROUP BY 1) SELECT image_id, 0 AS y, k.x::INT AS x, round((CASE k.x WHEN 0 THEN t.a ELSE t.b END)::DOUBLE, 6) AS v FROM m, (VALUES (0), (1)) AS k(x)"
+SQL["threshold_li"] = f"WITH RECURSIVE {T.PX}, i AS (SELECT image_id, min(v) AS base, list(v) AS vs FROM px GROUP BY 1), z AS (SELECT image_id, base, list_transform(vs, lambda e: e - base) AS vs FROM i), o AS (SELECT image_id, base, vs, list_sort(list_distinct(vs)) AS u FROM z), g AS (SELECT image_id, base, vs, list_min(list_transform(range(1, len(u)), lambda k: u[k + 1] - u[k])) / 2 AS tol, list_avg(vs) AS t FROM o), r AS (SELECT image_id, base, vs, tol, t, -2 * tol AS last, 0 AS k FROM g UNION ALL SELECT image_id, base, vs, tol, CASE WHEN mb = 0 OR mf = mb THEN t ELSE (mb - mf) / (ln(mb) - ln(mf)) END, t, k + 1 FROM (SELECT *, list_avg(list_filter(vs, lambda e: e > t)) AS mf, list_avg(list_filter(vs, lambda e: e <= t)) AS mb FROM r WHERE abs(t - last) > tol AND k < 500)), f AS (SELECT image_id, base + arg_max(t, k) AS t FROM r GROUP BY image_id, base) {_AS_PIXEL.format('t', 'f')}"
+SQL["equalize_hist"] = f"WITH {T.PX}, b AS MATERIALIZED (SELECT image_id, least(floor((v + 1) / 2 * 64), 63)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY 1, 2), c AS MATERIALIZED (SELECT i.image_id, g.k AS bin, (SELECT coalesce(sum(n), 0) FROM b WHERE b.image_id = i.image_id AND b.bin <= g.k) / (SELECT sum(n) FROM b WHERE b.image_id = i.image_id) AS c FROM (SELECT DISTINCT image_id FROM b) i, range(0, 64) AS g(k)), a AS (SELECT image_id, y, x, (v + 1) / (2.0::DOUBLE / 64) - 0.5 AS p FROM px), l AS (SELECT *, least(greatest(floor(p), 0), 63)::INT AS k FROM a) SELECT l.image_id, l.y, l.x, round(c.c + (d.c - c.c) * least(greatest(l.p - l.k, 0), 1), 6) AS v FROM l JOIN c ON c.image_id = l.image_id AND c.bin = l.k JOIN c d ON d.image_id = l.image_id AND d.bin = least(l.k + 1, 63)"
+SQL["match_histograms"] = f"WITH {T.PX}, {T.QX}, o AS (SELECT image_id, q AS v, sum(count(*)) OVER (PARTITION BY image_id ORDER BY q) / sum(count(*)) OVER (PARTITION BY image_id) AS q FROM qx GROUP BY image_id, q), r AS (SELECT q AS v, sum(count(*)) OVER (ORDER BY q) / sum(count(*)) OVER () AS q FROM qx GROUP BY q), s AS MATERIALIZED (SELECT v AS v1, q AS q1, coalesce(lag(v) OVER (ORDER BY q), v) AS v0, coalesce(lag(q) OVER (ORDER BY q), 0) AS q0 FROM r), m AS (SELECT o.image_id, o.v, v0 + (v1 - v0) * (o.q - q0) / (q1 - q0) AS t FROM o JOIN s ON o.q > s.q0 AND o.q <= s.q1) SELECT qx.image_id, qx.y, qx.x, round(m.t, 6) + 0.0 AS v FROM qx JOIN m ON m.image_id = qx.image_id AND m.v = qx.q"
+
+# Regions ---------------------------------------------------------------------------------------------
+
+_PI = "3.141592653589793::DOUBLE"
+_TABLE = f"""g AS (SELECT image_id, label, count(*) AS n, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, avg(y) AS cy, avg(x) AS cx, min(v) AS lo, max(v) AS hi, avg(v) AS mean, sum(y * y) / count(*) AS yy, sum(x * x) / count(*) AS xx, sum(x * y) / count(*) AS xy FROM lab WHERE label <> 0 GROUP BY 1, 2),
+e AS (SELECT *, (y1 - y0) * (x1 - x0) AS box, xx - cx * cx AS a, yy - cy * cy AS c, cx * cy - xy AS b FROM g), w AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS e0, greatest((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b), 0) AS e1 FROM e)
+SELECT image_id, label, n AS area, y0 AS bbox_0, x0 AS bbox_1, y1 AS bbox_2, x1 AS bbox_3, box AS bbox_area, round(n / box, 6) AS extent, round(cy, 6) AS centroid_0, round(cx, 6) AS centroid_1, round(sqrt(4 * n / {_PI}), 6) AS equivalent_diameter, round(lo, 6) + 0.0 AS min_intensity, round(hi, 6) + 0.0 AS max_intensity, round(mean, 6) + 0.0 AS mean_intensity, round(a, 6) + 0.0 AS inertia_0_0, round(b, 6) + 0.0 AS inertia_0_1, round(c, 6) + 0.0 AS inertia_1_1,
+ round(e0, 6) + 0.0 AS inertia_eigval_0, round(e1, 6) + 0.0 AS inertia_eigval_1, round(4 * sqrt(e0), 6) + 0.0 AS major_axis_length, round(4 * sqrt(e1), 6) + 0.0 AS minor_axis_length, round(CASE WHEN e0 > 0 THEN sqrt(greatest(1 - e1 / e0, 0)) ELSE 0 END, 6) + 0.0 AS eccentricity, round(CASE WHEN abs(a - c) < 1e-12 THEN CASE WHEN b < -1e-12 THEN -{_PI} / 4 ELSE {_PI} / 4 END WHEN abs(b) < 1e-12 THEN CASE WHEN c < a THEN -{_PI} / 2 ELSE 0 END ELSE 0.5 * atan2(-2 * b, c - a) END, 6) + 0.0 AS orientation FROM w"""
+C.register("regionprops_all", lambda spark, sf: C.rounded(C.regions.region_table(C._labelled(spark, sf))), f"{_FULL}, {_TABLE}")
+_OTSU = f"""WITH RECURSIVE {T.PX}, {T.step('px', 'sm', T.BOX).replace(' AS (', ' AS MATERIALIZED (', 1)}, qx AS MATERIALIZED (SELECT *, least(greatest(floor((v + 1) / 2 * 255.5), 0), 255)::INT AS q FROM sm), h AS (SELECT image_id, q AS bin, count(*) AS n FROM qx GROUP BY 1, 2)""" + C._RUN + """, sc AS (SELECT image_id, bin, round(w0 * (wa - w0) * (s0 / w0 - (sa - s0) / (wa - w0)) * (s0 / w0 - (sa - s0) / (wa - w0)), 6) AS score FROM r WHERE wa > w0), best AS (SELECT image_id, max(score) AS score FROM sc GROUP BY 1), cut AS MATERIALIZED (SELECT b.image_id, min(sc.bin) AS t FROM best b JOIN sc ON sc.image_id = b.image_id AND sc.score = b.score GROUP BY 1),
+mx AS MATERIALIZED (SELECT qx.image_id, y, x, v FROM qx JOIN cut USING (image_id) WHERE q > t), rr AS (SELECT image_id, y, x, y * 8 + x AS root FROM mx UNION SELECT n.image_id, n.y, n.x, rr.root FROM rr JOIN mx n ON n.image_id = rr.image_id AND abs(n.y - rr.y) + abs(n.x - rr.x) = 1 WHERE rr.root < n.y * 8 + n.x), lab AS (SELECT image_id, y, x, v, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, y, x, min(root) AS root FROM rr GROUP BY 1, 2, 3) JOIN mx USING (image_id, y, x)), """
+C.register("smooth_threshold_label_measure", lambda spark, sf: C.rounded(C.flagship(spark, sf)), _OTSU + _TABLE)
+SQL["moments"] = _FULL + " SELECT image_id, label, " + ", ".join(f"sum(pow(y, {i}) * pow(x, {j}))::DOUBLE AS m_{i}_{j}" for i in range(4) for j in range(4) if i + j <= 3) + " FROM lab WHERE label > 0 GROUP BY 1, 2"
+SQL["region_moments"] = SQL["region_moments_weighted"].replace("px.v + 1 AS w", "1::DOUBLE AS w")
+_M = f"WITH {T.PX}, t AS (SELECT image_id, y::DOUBLE AS y, x::DOUBLE AS x, v + 1 AS w FROM px), c AS (SELECT image_id, sum(w) AS m, sum(w * y) / sum(w) AS cy, sum(w * x) / sum(w) AS cx FROM t GROUP BY 1), d AS (SELECT image_id, m, w, y - cy AS a, x - cx AS b FROM t JOIN c USING (image_id)), n AS (SELECT image_id, " + ", ".join(f"sum(w * pow(a, {i}) * pow(b, {j})) / pow(abs(any_value(m)), {(i + j) / 2 + 1}) AS nu_{i}_{j}" for i in range(4) for j in range(4) if 2 <= i + j <= 3) + " FROM d GROUP BY 1)"
+SQL["moments_hu"] = _M + SQL["region_moments_weighted"].split("FROM g),\n")[1].join([",\n", ""]).split("SELECT image_id, label")[0] + " SELECT image_id, 0 AS y, k.x::INT AS x, round([" + ", ".join(f"hu_{k}" for k in range(7)) + "][k.x + 1], 6) + 0.0 AS v FROM i, range(0, 7) AS k(x)"
+
+# Signals -----------------------------------------------------------------------------------------------
+
+_SIGNAL = "SELECT image_id, t::INT AS t, round({0}, 6) + 0.0 AS v FROM {1}"
+SQL["oaconvolve"] = f"WITH {C._S} SELECT d.image_id, d.t, round(0.5 * d.v + 0.25 * coalesce(a.v, 0) + 0.25 * coalesce(b.v, 0), 6) + 0.0 AS v FROM d LEFT JOIN d a ON a.image_id = d.image_id AND a.t = d.t - 1 LEFT JOIN d b ON b.image_id = d.image_id AND b.t = d.t + 1"
+_K720 = "k AS MATERIALIZED (SELECT e.k AS e, sum(CASE WHEN u.k IN (0, 360) THEN 1 ELSE 2 END * sin(2 * pi() * u.k * e.k / 720)) / 720 AS s FROM range(0, 361) AS u(k), range(0, 720) AS e(k) GROUP BY 1)"
+SQL["hilbert_envelope"] = f"WITH {C._S}, {_K720}, w AS MATERIALIZED (SELECT * FROM d WHERE v <> 0), h AS (SELECT w.image_id, g.t AS t, sum(w.v * k.s) AS s FROM w CROSS JOIN range(0, 720) AS g(t) JOIN k ON k.e = (g.t - w.t + 720) % 720 GROUP BY 1, 2) SELECT d.image_id, d.t, round(sqrt(d.v * d.v + coalesce(h.s, 0) * coalesce(h.s, 0)), 6) + 0.0 AS v FROM d LEFT JOIN h USING (image_id, t)"
+# Half as many samples: frequencies to 179, the one at 180 from its negative half alone, read at even places.
+SQL["resample"] = f"WITH {C._S}, k AS MATERIALIZED (SELECT e.k AS e, (sum(CASE WHEN u.k = 0 THEN 1 WHEN u.k = 180 THEN 2 ELSE 2 END * cos(2 * pi() * u.k * e.k / 720))) / 720 AS s FROM range(0, 181) AS u(k), range(0, 720) AS e(k) GROUP BY 1), w AS MATERIALIZED (SELECT * FROM d WHERE v <> 0), h AS (SELECT w.image_id, g.t AS t, sum(w.v * k.s) AS s FROM w CROSS JOIN range(0, 360) AS g(t) JOIN k ON k.e = (2 * g.t - w.t + 720) % 720 GROUP BY 1, 2), u3 AS (SELECT DISTINCT image_id FROM d) SELECT u3.image_id, g.t::INT AS t, round(coalesce(h.s, 0), 6) + 0.0 AS v FROM u3 CROSS JOIN range(0, 360) AS g(t) LEFT JOIN h ON h.image_id = u3.image_id AND h.t = g.t"
+_I0 = "list_sum(list_transform(range(0, 30), lambda k: pow({0} / 2, 2 * k) / pow(factorial(k::INT)::DOUBLE, 2)))"
+_SINC3 = "CASE WHEN j = 30 THEN 1 ELSE sin(pi() * (j - 30) / 3) / (pi() * (j - 30) / 3) END"
+SQL["resample_poly"] = f"WITH {C._S}, raw AS MATERIALIZED (SELECT a.k AS j, ({_SINC3.replace('j', 'a.k')}) * {_I0.format('(5 * sqrt(greatest(1 - pow((a.k - 30) / 30.0::DOUBLE, 2), 0)))')} AS h FROM range(0, 61) AS a(k)), k AS MATERIALIZED (SELECT j, 2 * h / (SELECT sum(h) FROM raw) AS h FROM raw), w AS MATERIALIZED (SELECT * FROM d WHERE v <> 0), c AS (SELECT w.image_id, (2 * w.t + k.j - 30) // 3 AS t, sum(w.v * k.h) AS s FROM w CROSS JOIN k WHERE (2 * w.t + k.j - 30) % 3 = 0 GROUP BY 1, 2), u3 AS (SELECT DISTINCT image_id FROM d) SELECT u3.image_id, g.t::INT AS t, round(coalesce(c.s, 0), 6) + 0.0 AS v FROM u3 CROSS JOIN range(0, 480) AS g(t) LEFT JOIN c ON c.image_id = u3.image_id AND c.t = g.t"

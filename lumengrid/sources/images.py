@@ -18,9 +18,12 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.lit("2024-01-01").cast("timestamp")
     hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(first)) / 3600).cast("int")
     sums = e.groupBy(F.col("user_id").alias("image_id"), hour.alias("t")).agg(F.sum("value").alias("v")).where("t between 0 and 719")
-    # At most 720 hours a user, so the collected list is bounded.
-    m = sums.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("m"))
-    return m.select("image_id", F.array(F.lit(720)).alias("shape"), F.transform(F.sequence(F.lit(0), F.lit(719)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("img"))
+    # At most 720 hours a user, so the collected list is bounded; each entry brings the zeros before it.
+    m = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("m"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = F.concat(F.array(F.lit(-1)), F.transform(F.slice("m", F.lit(1), F.size("m") - 1), lambda e: e["t"]))
+    filled = F.flatten(F.zip_with("m", before, lambda e, t: F.concat(zeros(e["t"] - t - 1), F.array(e["v"]))))
+    return m.select("image_id", F.array(F.lit(720)).alias("shape"), F.concat(filled, zeros(719 - F.element_at("m", F.lit(-1))["t"])).alias("img"))
 
 
 def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
