@@ -260,7 +260,7 @@ def deltaE_cie76(p: Column, q: Column) -> Column:
     return F.sqrt(sum((a - b) * (a - b) for a, b in zip(_parts(p), _parts(q))))
 
 
-def _dH2(p: Column, q: Column) -> Column:
+def get_dH2(p: Column, q: Column) -> Column:
     """Squared hue difference, without cancellation."""
     a1, b1, a2, b2 = p["b"], p["c"], q["b"], q["c"]
     c1, c2 = F.hypot(a1, b1), F.hypot(a2, b2)
@@ -271,7 +271,7 @@ def deltaE_ciede94(p: Column, q: Column, kL=1, kC=1, kH=1, k1=0.045, k2=0.015) -
     c1, c2 = F.hypot(p["b"], p["c"]), F.hypot(q["b"], q["c"])
     dl, dc = (p["a"] - q["a"]) / kL, (c1 - c2) / (kC * (1 + k1 * c1))
     sh = kH * (1 + k2 * c1)
-    return F.sqrt(F.greatest(dl * dl + dc * dc + _dH2(p, q) / (sh * sh), F.lit(0.0)))
+    return F.sqrt(F.greatest(dl * dl + dc * dc + get_dH2(p, q) / (sh * sh), F.lit(0.0)))
 
 
 def deltaE_cmc(p: Column, q: Column, kL=1, kC=1) -> Column:
@@ -285,7 +285,7 @@ def deltaE_cmc(p: Column, q: Column, kL=1, kC=1) -> Column:
     sc = 0.638 + 0.0638 * c1 / (1 + 0.0131 * c1)
     sh = sc * (f * t + 1 - f)
     sq = lambda v: v * v
-    return F.sqrt(F.greatest(sq((lum - q["a"]) / (kL * sl)) + sq((c1 - c2) / (kC * sc)) + _dH2(p, q) / sq(sh), F.lit(0.0)))
+    return F.sqrt(F.greatest(sq((lum - q["a"]) / (kL * sl)) + sq((c1 - c2) / (kC * sc)) + get_dH2(p, q) / sq(sh), F.lit(0.0)))
 
 
 def deltaE_ciede2000(p: Column, q: Column, kL=1, kC=1, kH=1) -> Column:

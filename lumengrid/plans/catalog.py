@@ -315,7 +315,8 @@ def _channels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RGB = "c AS (SELECT l_suppkey, l_quantity / 50 AS r, abs(l_discount) * 5 AS g, abs(l_tax) * 10 AS b FROM lineitem)"
-_MEAN = "SELECT l_suppkey, round(avg(c0), 6) + 0.0 AS c0, round(avg(c1), 6) + 0.0 AS c1, round(avg(c2), 6) + 0.0 AS c2 FROM o GROUP BY 1"
+# Means of the channels and of their squares, so that errors in single rows don't cancel.
+_MEAN = "SELECT l_suppkey, " + ", ".join(f"round(avg(c{k}), 6) + 0.0 AS c{k}, round(avg(c{k}::DOUBLE * c{k}), 6) + 0.0 AS q{k}" for k in range(3)) + " FROM o GROUP BY 1"
 
 
 def _matrix_sql(mat, shift=(0, 0, 0)) -> str:
@@ -326,8 +327,8 @@ def _matrix_sql(mat, shift=(0, 0, 0)) -> str:
 def on_colours(name: str, convert, sql: str | None = None) -> None:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         out = _channels(spark, sf).select("l_suppkey", convert(F.col("rgb")).alias("o"))
-        mean = lambda c, k: (F.round(F.avg(F.col("o")[c]), 6) + F.lit(0.0)).alias(f"c{k}")
-        return out.groupBy("l_suppkey").agg(mean("a", 0), mean("b", 1), mean("c", 2))
+        mean = lambda c, name: (F.round(F.avg(c), 6) + F.lit(0.0)).alias(name)
+        return out.groupBy("l_suppkey").agg(*[x for k, c in enumerate("abc") for x in (mean(F.col("o")[c], f"c{k}"), mean(F.col("o")[c] * F.col("o")[c], f"q{k}"))])
 
     register(name, query, sql)
 
@@ -342,11 +343,6 @@ on_colours("rgb2xyz", color.rgb2xyz, f"WITH {_RGB}, {_LIN}, {_XYZ}, o AS (SELECT
 on_colours("rgb2lab", color.rgb2lab, f"WITH {_RGB}, {_LIN}, {_XYZ}, {_LAB} {_MEAN}")
 for _name, _to, _mat, _add in (("rgb2yuv", color.rgb2yuv, color.YUV_FROM_RGB, (0, 0, 0)), ("rgb2yiq", color.rgb2yiq, color.YIQ_FROM_RGB, (0, 0, 0)), ("rgb2ypbpr", color.rgb2ypbpr, color.YPBPR_FROM_RGB, (0, 0, 0)), ("rgb2ycbcr", color.rgb2ycbcr, color.YCBCR_FROM_RGB, (16, 128, 128)), ("rgb2ydbdr", color.rgb2ydbdr, color.YDBDR_FROM_RGB, (0, 0, 0))):
     on_colours(_name, _to, _matrix_sql(_mat, _add))
-_ID = ORACLE_SQL["hsv_round_trip"]
-for _name, _to, _back in (("yuv2rgb", color.rgb2yuv, color.yuv2rgb), ("yiq2rgb", color.rgb2yiq, color.yiq2rgb), ("ypbpr2rgb", color.rgb2ypbpr, color.ypbpr2rgb), ("ycbcr2rgb", color.rgb2ycbcr, color.ycbcr2rgb), ("ydbdr2rgb", color.rgb2ydbdr, color.ydbdr2rgb), ("lab2rgb", color.rgb2lab, color.lab2rgb), ("xyz2rgb", color.rgb2xyz, color.xyz2rgb)):
-    on_colours(_name, lambda x, a=_to, b=_back: color.let(a(x), b), _ID if _name not in ("lab2rgb", "xyz2rgb") else None)
-for _name, _to in (("rgb2luv", color.rgb2luv), ("rgb2rgbcie", color.rgb2rgbcie), ("rgb2hed", color.rgb2hed), ("hed2rgb", color.hed2rgb), ("lab2lch", lambda x: color.let(color.rgb2lab(x), color.lab2lch)), ("lch2lab", lambda x: color.let(color.let(color.rgb2lab(x), color.lab2lch), color.lch2lab)), ("luv2rgb", lambda x: color.let(color.rgb2luv(x), color.luv2rgb))):
-    on_colours(_name, _to)
 
 
 def _scalars(name: str, columns, sql: dict[str, str] | None) -> None:
@@ -361,17 +357,23 @@ def _scalars(name: str, columns, sql: dict[str, str] | None) -> None:
 _scalars("special_functions", lambda _a, _b: {"entr": scalar.entr(_a), "rel_entr": scalar.rel_entr(_a, _b), "kl_div": scalar.kl_div(_a, _b), "huber": scalar.huber(_b, _a), "pseudo_huber": scalar.pseudo_huber(_b, _a)}, {"entr": "-a * ln(a)", "rel_entr": "a * ln(a / b)", "kl_div": "a * ln(a / b) - a + b", "huber": "CASE WHEN a <= b THEN 0.5 * a * a ELSE b * (a - 0.5 * b) END", "pseudo_huber": "b * b * (sqrt(1 + (a / b) * (a / b)) - 1)"})
 _scalars("intensity_adjust", lambda _a, _b: {"gamma": scalar.adjust_gamma(_a, 2.2), "log": scalar.adjust_log(_a), "sigmoid": scalar.adjust_sigmoid(_a), "rescale": scalar.rescale_intensity(_a, 0.2, 0.8, 0.0, 1.0), "invert": scalar.invert(_a)}, {"gamma": "pow(a, 2.2)", "log": "log2(1 + a)", "sigmoid": "1 / (1 + exp(10 * (0.5 - a)))", "rescale": "(least(greatest(a, 0.2), 0.8) - 0.2) / (0.8::DOUBLE - 0.2::DOUBLE)", "invert": "1 - a"})
 _scalars("dtype_convert", lambda _a, _b: {"ubyte": scalar.img_as_ubyte(_a), "uint16": scalar.img_as_uint(_a), "int16": scalar.img_as_int(_a), "flag": scalar.img_as_bool(_a).cast("double")}, {"ubyte": "round_even(a * 255, 0)", "uint16": "round_even(a * 65535, 0)", "int16": "round_even(a * 32767, 0)", "flag": "(a > 0.5)::INT::DOUBLE"})
-_scalars("rgb2gray", lambda _a, _b: {"gray": 0.2125 * _a + 0.7154 * _b}, {"gray": "0.2125::DOUBLE * a + 0.7154::DOUBLE * b"})
 
 
-def _delta_e(spark: SparkSession, sf: str) -> DataFrame:
+def _lab_pairs(spark: SparkSession, sf: str) -> DataFrame:
     lab = lambda r, g, b: color.triple(r * 100, g * 200 - 100, b * 200 - 100)
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
     q, d, t = F.col("l_quantity") / 50, F.abs("l_discount") * 10, F.abs("l_tax") * 10
-    two = line.select("l_suppkey", lab(q, d, t).alias("p"), lab(1 - q, t, d).alias("o"))
+    return line.select("l_suppkey", lab(q, d, t).alias("p"), lab(1 - q, t, d).alias("o"))
+
+
+def _delta_e(spark: SparkSession, sf: str) -> DataFrame:
     p, o = F.col("p"), F.col("o")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return two.groupBy("l_suppkey").agg(mean(color.deltaE_cie76(p, o), "cie76"), mean(color.deltaE_ciede94(p, o), "ciede94"), mean(color.deltaE_ciede2000(p, o), "ciede2000"), mean(color.deltaE_cmc(p, o), "cmc"))
+    return _lab_pairs(spark, sf).groupBy("l_suppkey").agg(mean(color.deltaE_cie76(p, o), "cie76"), mean(color.deltaE_ciede94(p, o), "ciede94"), mean(color.deltaE_ciede2000(p, o), "ciede2000"), mean(color.deltaE_cmc(p, o), "cmc"))
+
+
+def hue_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return _lab_pairs(spark, sf).groupBy("l_suppkey").agg((F.round(F.avg(color.get_dH2(F.col("p"), F.col("o"))), 6) + F.lit(0.0)).alias("dh2"))
 
 
 register("delta_e", _delta_e)
@@ -417,7 +419,6 @@ per_image("moments_hu", lambda x: vision.image_moments_hu(x + 1))
 per_image("convex_area", lambda x: [geometry.convex_area(i > 0) for i in x])
 per_image("feret_diameter_max", lambda x: [geometry.feret_diameter_max(i > 0) for i in x])
 on_pairs("masked_registration", lambda a, b: vision.masked_registration(a, b, a > -0.2, b > -0.2).reshape(len(a), 1, 2))
-on_colours("adapt_rgb_hsv_value", lambda x: color.adapt_rgb(x, lambda v: v * v, "hsv_value"))
 on_colours("adapt_rgb_each_channel", lambda x: color.adapt_rgb(x, lambda v: v * v), f"WITH {_RGB}, o AS (SELECT l_suppkey, r * r AS c0, g * g AS c1, b * b AS c2 FROM c) {_MEAN}")
 register("label2rgb", lambda spark, sf: _labelled(spark, sf).select("image_id", "y", "x", color.label2rgb(F.col("label"), (F.col("v") + 1) / 2).alias("c")).select("image_id", "y", "x", *[F.round(f"c.{k}", 6).alias(k) for k in "abc"]))
 

@@ -215,3 +215,86 @@ SQL["resample"] = f"WITH {C._S}, k AS MATERIALIZED (SELECT e.k AS e, (sum(CASE W
 _I0 = "list_sum(list_transform(range(0, 30), lambda k: pow({0} / 2, 2 * k) / pow(factorial(k::INT)::DOUBLE, 2)))"
 _SINC3 = "CASE WHEN j = 30 THEN 1 ELSE sin(pi() * (j - 30) / 3) / (pi() * (j - 30) / 3) END"
 SQL["resample_poly"] = f"WITH {C._S}, raw AS MATERIALIZED (SELECT a.k AS j, ({_SINC3.replace('j', 'a.k')}) * {_I0.format('(5 * sqrt(greatest(1 - pow((a.k - 30) / 30.0::DOUBLE, 2), 0)))')} AS h FROM range(0, 61) AS a(k)), k AS MATERIALIZED (SELECT j, 2 * h / (SELECT sum(h) FROM raw) AS h FROM raw), w AS MATERIALIZED (SELECT * FROM d WHERE v <> 0), c AS (SELECT w.image_id, (2 * w.t + k.j - 30) // 3 AS t, sum(w.v * k.h) AS s FROM w CROSS JOIN k WHERE (2 * w.t + k.j - 30) % 3 = 0 GROUP BY 1, 2), u3 AS (SELECT DISTINCT image_id FROM d) SELECT u3.image_id, g.t::INT AS t, round(coalesce(c.s, 0), 6) + 0.0 AS v FROM u3 CROSS JOIN range(0, 480) AS g(t) LEFT JOIN c ON c.image_id = u3.image_id AND c.t = g.t"
+
+# Colours ---------------------------------------------------------------------------------------------
+
+color, F = C.color, C.F
+
+
+def _three(name: str, source: str, *values: str, names: str = "rgb") -> str:
+    return f"{name} AS MATERIALIZED (SELECT l_suppkey, {', '.join(f'({v})::DOUBLE AS {n}' for v, n in zip(values, names))} FROM {source})"
+
+
+def _times(matrix, names: str = "rgb", add=(0, 0, 0)) -> list[str]:
+    return [" + ".join(f"{float(w)!r}::DOUBLE * {n}" for w, n in zip(row, names)) + f" + {float(s)!r}::DOUBLE" for row, s in zip(matrix, add)]
+
+
+def _inverse(matrix) -> list[list[float]]:
+    return W._dense(W.solved([dict(enumerate(row)) for row in matrix], 3), 3)
+
+
+def _colours(*ctes: str, last: str) -> str:
+    return f"WITH {', '.join([C._RGB, *ctes])}, o AS (SELECT l_suppkey, {', '.join(f'{n} AS c{k}' for k, n in enumerate('rgb'))} FROM {last}) {C._MEAN}"
+
+
+for _name, _back, _matrix, _off in (("yuv2rgb", color.yuv2rgb, color.YUV_FROM_RGB, None), ("yiq2rgb", color.yiq2rgb, color.YIQ_FROM_RGB, None), ("ypbpr2rgb", color.ypbpr2rgb, color.YPBPR_FROM_RGB, None), ("ycbcr2rgb", color.ycbcr2rgb, color.YCBCR_FROM_RGB, (16, 128, 128)), ("ydbdr2rgb", color.ydbdr2rgb, color.YDBDR_FROM_RGB, None)):
+    _inv = _inverse(_matrix)
+    C.on_colours(_name, _back, _colours(_three("m", "c", *_times(_inv, add=[-sum(w * o for w, o in zip(row, _off or (0, 0, 0))) for row in _inv])), last="m"))
+_GAMMA = [f"least(greatest(CASE WHEN {n} > 0.0031308 THEN 1.055 * pow(greatest({n}, 0), 1 / 2.4::DOUBLE) - 0.055 ELSE {n} * 12.92 END, 0), 1)" for n in "rgb"]
+_LINEAR = [f"CASE WHEN {n} > 0.04045 THEN pow(({n} + 0.055) / 1.055, 2.4) ELSE {n} / 12.92 END" for n in "rgb"]
+_FROM_XYZ = lambda source: [_three("lin", source, *_times(_inverse(color.XYZ_FROM_RGB))), _three("gam", "lin", *_GAMMA)]
+_TO_XYZ = [_three("lin", "c", *_LINEAR), _three("xyz", "lin", *_times(color.XYZ_FROM_RGB))]
+C.on_colours("xyz2rgb", color.xyz2rgb, _colours(*_FROM_XYZ("c"), last="gam"))
+C.on_colours("rgb2rgbcie", color.rgb2rgbcie, _colours(*_TO_XYZ, _three("m", "xyz", *_times(color.RGB_CIE_FROM_XYZ)), last="m"))
+C.on_colours("rgbcie2rgb", lambda x: color.rgbcie2rgb(color.triple(x["a"] / 5, x["b"] / 5, x["c"] / 5)), _colours(_three("s", "c", "r / 5", "g / 5", "b / 5"), _three("m", "s", *_times(_inverse(color.RGB_CIE_FROM_XYZ))), *_FROM_XYZ("m"), last="gam"))
+_HUE = "floor(r * 6)"
+_P, _Q, _U = "b * (1 - g)", f"b * (1 - (r * 6 - {_HUE}) * g)", f"b * (1 - (1 - (r * 6 - {_HUE})) * g)"
+_SEXTANTS = (("b", _U, _P), (_Q, "b", _P), (_P, "b", _U), (_P, _Q, "b"), (_U, _P, "b"), ("b", _P, _Q))
+_HSV2RGB = [f"CASE {_HUE}::INT % 6 " + " ".join(f"WHEN {k} THEN {row[c]}" for k, row in enumerate(_SEXTANTS)) + " END" for c in range(3)]
+C.on_colours("hsv2rgb", color.hsv2rgb, _colours(_three("m", "c", *_HSV2RGB), last="m"))
+C.on_colours("convert_colorspace", lambda x: color.convert_colorspace(x, "HSV", "YUV"), _colours(_three("m", "c", *_HSV2RGB), _three("n", "m", *_times(color.YUV_FROM_RGB)), last="n"))
+_TO_HSV = C._HSV.replace("AS c0", "AS r").replace("AS c1", "AS g").replace("hi AS c2 FROM h", "hi AS b FROM h").replace("o AS (", "hsv AS (")
+C.on_colours("adapt_rgb_hsv_value", lambda x: color.adapt_rgb(x, lambda v: v * v, "hsv_value"), _colours(_TO_HSV, _three("w", "hsv", "r", "g", "b * b"), _three("m", "w", *_HSV2RGB), last="m"))
+_WX, _WY, _WZ = color.WHITE["D65", "2"]
+_U0, _V0 = 4 * _WX / (_WX + 15 * _WY + 3 * _WZ), 9 * _WY / (_WX + 15 * _WY + 3 * _WZ)
+_LUM = f"(CASE WHEN g / {_WY!r}::DOUBLE > 0.008856 THEN 116 * cbrt(g / {_WY!r}::DOUBLE) - 16 ELSE 903.3 * g / {_WY!r}::DOUBLE END)"
+C.on_colours("rgb2luv", color.rgb2luv, _colours(*_TO_XYZ, _three("m", "xyz", _LUM, f"13 * {_LUM} * (4 * r / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_U0!r}::DOUBLE)", f"13 * {_LUM} * (9 * g / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_V0!r}::DOUBLE)"), last="m"))
+_WIDE = lambda x: color.triple(x["a"] * 100, x["b"] * 100 - 25, x["c"] * 100 - 40)
+_WIDE_SQL = _three("s", "c", "r * 100", "g * 100 - 25", "b * 100 - 40")
+_CUBE = lambda t: f"(CASE WHEN {t} > 0.2068966 THEN pow({t}, 3) ELSE ({t} - 16.0 / 116) / 7.787 END)"
+_LAB_XYZ = _three("xyz", "s", f"{_CUBE('(g / 500 + (r + 16) / 116)')} * {_WX!r}::DOUBLE", f"{_CUBE('((r + 16) / 116)')} * {_WY!r}::DOUBLE", f"{_CUBE('greatest((r + 16) / 116 - b / 200, 0)')} * {_WZ!r}::DOUBLE")
+C.on_colours("lab2rgb", lambda x: color.let(_WIDE(x), color.lab2rgb), _colours(_WIDE_SQL, _LAB_XYZ, *_FROM_XYZ("xyz"), last="gam"))
+C.on_colours("lab2xyz", lambda x: color.let(_WIDE(x), lambda y: color.lab2xyz(y)), _colours(_WIDE_SQL, _LAB_XYZ, last="xyz"))
+_LUV_XYZ = [_three("uv", "s", f"CASE WHEN r > 7.999625 THEN pow((r + 16) / 116, 3) ELSE r / 903.3 END * {_WY!r}::DOUBLE", f"{_U0!r}::DOUBLE + g / (13 * r + 2.220446049250313e-16)", f"{_V0!r}::DOUBLE + b / (13 * r + 2.220446049250313e-16)"), _three("xyz", "uv", "9 * r * g / (4 * b)", "r", "r * (12 - 3 * g - 20 * b) / (4 * b)")]
+_LUV_IN = lambda x: color.triple(x["a"] * 100, x["b"] * 20 - 5, x["c"] * 20 - 8)
+_LUV_SQL = _three("s", "c", "r * 100", "g * 20 - 5", "b * 20 - 8")
+C.on_colours("luv2rgb", lambda x: color.let(_LUV_IN(x), color.luv2rgb), _colours(_LUV_SQL, *_LUV_XYZ, *_FROM_XYZ("xyz"), last="gam"))
+C.on_colours("lab2lch", lambda x: color.let(_WIDE(x), color.lab2lch), _colours(_WIDE_SQL, _three("m", "s", "r", "sqrt(g * g + b * b)", "CASE WHEN atan2(b, g) < 0 THEN atan2(b, g) + 2 * pi() ELSE atan2(b, g) END"), last="m"))
+C.on_colours("lch2lab", lambda x: color.lch2lab(color.triple(x["a"] * 100, x["b"] * 100, x["c"] * 7)), _colours(_three("m", "c", "r * 100", "g * 100 * cos(b * 7)", "g * 100 * sin(b * 7)"), last="m"))
+_DENS = [f"ln(greatest({n}, 1e-6)) / ln(1e-6)" for n in "rgb"]
+_UNMIX = [[row[j] for row in _inverse(color.RGB_FROM_HED)] for j in range(3)]
+C.on_colours("rgb2hed", color.rgb2hed, _colours(_three("d", "c", *_DENS), _three("m", "d", *[f"greatest({v}, 0)" for v in _times(_UNMIX)]), last="m"))
+_MIX = [[row[j] for row in color.RGB_FROM_HED] for j in range(3)]
+C.on_colours("hed2rgb", lambda x: color.hed2rgb(color.triple(x["a"] / 10, x["b"] / 10, x["c"] / 10)), _colours(_three("s", "c", "r / 10", "g / 10", "b / 10"), _three("m", "s", *[f"least(greatest(exp(ln(1e-6) * ({v})), 0), 1)" for v in _times(_MIX)]), last="m"))
+C.on_colours("rgba2rgb", lambda x: color.rgba2rgb(x, x["c"], (0.2, 0.5, 1.0)), _colours(_three("m", "c", *[f"least(greatest((1 - b) * {bg}::DOUBLE + b * {n}, 0), 1)" for n, bg in zip("rgb", (0.2, 0.5, 1.0))]), last="m"))
+_GRAY_SQL = "0.2125::DOUBLE * r + 0.7154::DOUBLE * g + 0.0721::DOUBLE * b"
+for _name, _gray, _wide in (("rgb2gray", color.rgb2gray, color.gray2rgb), ("rgb2grey", color.rgb2grey, color.grey2rgb)):
+    C.on_colours(_name, lambda x, a=_gray, b=_wide: color.let(a(x), b), _colours(_three("m", "c", _GRAY_SQL, _GRAY_SQL, _GRAY_SQL), last="m"))
+C.on_colours("gray2rgba", lambda x: color.let(color.gray2rgba(x["a"], x["b"]), lambda y: color.triple(y["a"], y["c"], y["alpha"])), _colours(_three("m", "c", "r", "r", "g"), last="m"))
+C.on_colours("get_xyz_coords", lambda x: color.let(color.rgb2xyz(x), lambda y: color.triple(*[y[k] / w for k, w in zip("abc", color.get_xyz_coords("d50", "10"))])), _colours(*_TO_XYZ, _three("m", "xyz", "r / 0.9672062750333777", "g", "b / 0.8142801513128616"), last="m"))
+_PAL = ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate(color.LABEL_COLOURS))
+SQL["label2rgb"] = _FULL + f", pal(k, r, g, b) AS (VALUES {_PAL}) SELECT image_id, y, x, " + ", ".join(f"round(CASE WHEN label = 0 THEN (v + 1) / 2 ELSE 0.3::DOUBLE * {c} + 0.7::DOUBLE * (v + 1) / 2 END, 6) AS {n}" for c, n in zip("rgb", "abc")) + " FROM lab LEFT JOIN pal ON pal.k = (label - 1) % 10"
+_H1, _H2 = (f"(CASE WHEN {a} = 0 AND {b} = 0 THEN 0 WHEN atan2({b}, {a}) < 0 THEN atan2({b}, {a}) + 2 * pi() ELSE atan2({b}, {a}) END)" for a, b in (("ap1", "b1"), ("ap2", "b2")))
+_DELTA = f"""WITH t AS (SELECT l_suppkey, l_quantity / 50 AS q, abs(l_discount) * 10 AS d, abs(l_tax) * 10 AS t FROM lineitem),
+a AS (SELECT l_suppkey, q * 100 AS l1, d * 200 - 100 AS a1, t * 200 - 100 AS b1, (1 - q) * 100 AS l2, t * 200 - 100 AS a2, d * 200 - 100 AS b2 FROM t),
+k AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, CASE WHEN atan2(b1, a1) < 0 THEN degrees(atan2(b1, a1)) + 360 ELSE degrees(atan2(b1, a1)) END AS h1 FROM a),
+m AS (SELECT *, 2 * (c1 * c2 - (a1 * a2 + b1 * b2)) AS dh2, 1 + 0.5 * (1 - sqrt(pow((c1 + c2) / 2, 7) / (pow((c1 + c2) / 2, 7) + pow(25.0::DOUBLE, 7)))) AS gg FROM k),
+n AS (SELECT *, a1 * gg AS ap1, a2 * gg AS ap2, CASE WHEN h1 BETWEEN 164 AND 345 THEN 0.56 + 0.2 * abs(cos(radians(h1 + 168))) ELSE 0.36 + 0.4 * abs(cos(radians(h1 + 35))) END AS ct, sqrt(pow(c1, 4) / (pow(c1, 4) + 1900)) AS cf, CASE WHEN l1 < 16 THEN 0.511 ELSE 0.040975 * l1 / (1 + 0.01765 * l1) END AS csl, 0.638 + 0.0638 * c1 / (1 + 0.0131 * c1) AS csc FROM m),
+p AS (SELECT *, sqrt(ap1 * ap1 + b1 * b1) AS cp1, sqrt(ap2 * ap2 + b2 * b2) AS cp2, {_H1} AS hp1, {_H2} AS hp2 FROM n),
+r AS (SELECT *, CASE WHEN cp1 * cp2 = 0 THEN 0 WHEN hp2 - hp1 > pi() THEN hp2 - hp1 - 2 * pi() WHEN hp2 - hp1 < -pi() THEN hp2 - hp1 + 2 * pi() ELSE hp2 - hp1 END AS dh, CASE WHEN cp1 * cp2 = 0 THEN hp1 + hp2 WHEN abs(hp2 - hp1) <= pi() THEN (hp1 + hp2) / 2 WHEN hp1 + hp2 < 2 * pi() THEN (hp1 + hp2) / 2 + pi() ELSE (hp1 + hp2) / 2 - pi() END AS hm, (cp1 + cp2) / 2 AS cm, (l1 + l2) / 2 AS lm FROM p),
+s AS (SELECT *, (l2 - l1) / (1 + 0.015 * (lm - 50) * (lm - 50) / sqrt(20 + (lm - 50) * (lm - 50))) AS x, (cp2 - cp1) / (1 + 0.045 * cm) AS y, 2 * sqrt(cp1 * cp2) * sin(dh / 2) / (1 + 0.015 * cm * (1 - 0.17 * cos(hm - pi() / 6) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + pi() / 30) - 0.2 * cos(4 * hm - 63 * pi() / 180))) AS z, -2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0::DOUBLE, 7))) * sin(radians(60 * exp(-pow((degrees(hm) - 275) / 25, 2)))) AS rt FROM r)
+SELECT l_suppkey, round(avg(sqrt((l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (b1 - b2) * (b1 - b2))), 6) AS cie76,
+ round(avg(sqrt(greatest((l1 - l2) * (l1 - l2) + pow((c1 - c2) / (1 + 0.045 * c1), 2) + dh2 / pow(1 + 0.015 * c1, 2), 0))), 6) AS ciede94, round(avg(sqrt(greatest(x * x + y * y + z * z + rt * y * z, 0))), 6) AS ciede2000,
+ round(avg(sqrt(greatest(pow((l1 - l2) / csl, 2) + pow((c1 - c2) / csc, 2) + dh2 / pow(csc * (cf * ct + 1 - cf), 2), 0))), 6) AS cmc FROM s GROUP BY 1"""
+SQL["delta_e"] = _DELTA
+C.register("get_dH2", C.hue_differences, _DELTA.split("SELECT l_suppkey, round(avg(sqrt((l1")[0] + "SELECT l_suppkey, round(avg(dh2), 6) + 0.0 AS dh2 FROM s GROUP BY 1")
