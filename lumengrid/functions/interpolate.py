@@ -243,7 +243,7 @@ def profile_line(x, src, dst, linewidth=1, order=0, mode="reflect", cval=0.0, re
 
 
 def interpn(points, values, xi, method="linear", bounds_error=True, fill_value=np.nan):
-    """Linear or nearest interpolation on a rectilinear grid."""
+    """Linear or nearest interpolation on a rectilinear grid; values may have further axes behind those of the grid."""
     xi = np.asarray(xi, float)
     where, part, bad = [], [], np.zeros(xi.shape[:-1], bool)
     for k, p in enumerate(points):
@@ -255,6 +255,7 @@ def interpn(points, values, xi, method="linear", bounds_error=True, fill_value=n
     if bounds_error and bad.any():
         raise ValueError("a requested point is out of bounds")
     values = np.asarray(values, float)
+    wide = lambda v: v.reshape(*v.shape, *[1] * (values.ndim - len(points)))
     if method == "nearest":
         out = values[tuple(np.where(f <= 0.5, i, i + 1) for i, f in zip(where, part))]
     else:
@@ -263,8 +264,8 @@ def interpn(points, values, xi, method="linear", bounds_error=True, fill_value=n
             w = 1.0
             for e, f in zip(edge, part):
                 w = w * (f if e else 1 - f)
-            out = out + w * values[tuple(i + e for i, e in zip(where, edge))]
-    return np.where(bad, fill_value, out) if fill_value is not None and not bounds_error else out
+            out = out + wide(w) * values[tuple(i + e for i, e in zip(where, edge))]
+    return np.where(wide(bad), fill_value, out) if fill_value is not None and not bounds_error else out
 
 
 class RegularGridInterpolator:

@@ -252,3 +252,14 @@ def star(a):
     c = a + a // 2
     y, x = np.mgrid[-c : c + 1, -c : c + 1]
     return (np.maximum(abs(y), abs(x)) <= a) | (abs(y) + abs(x) <= c)
+
+
+def default_selem(rank):
+    """The structuring element of morphology without one: a pixel and its direct neighbours."""
+    return generate_binary_structure(rank, 1)
+
+
+def pad_for_eccentric_selems(selem):
+    """The element with a row or column of zeros in front of each even side, so that it has a centre."""
+    s = np.asarray(selem, bool)
+    return np.pad(s, [(1 - n % 2, 0) for n in s.shape])

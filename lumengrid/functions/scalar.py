@@ -125,3 +125,11 @@ def boundary(i: Column, n: int, mode: str) -> Column:
     if mode in ("wrap", "grid-wrap"):
         return F.pmod(i, F.lit(n))
     return F.when((i >= 0) & (i < n), i).otherwise(-1)
+
+
+def img_as_float64(x: Column, logical: str) -> Column:
+    return img_as_float(x, logical)
+
+
+def img_as_float32(x: Column, logical: str) -> Column:
+    return img_as_float(x, logical).cast("float")

@@ -119,3 +119,33 @@ def pair_metrics(a: DataFrame, b: DataFrame, data_range: float) -> DataFrame:
     d = F.col("p") - F.col("q")
     g = j.groupBy("image_id").agg(F.avg(d * d).alias("mse"), F.avg(F.col("p") * F.col("p")).alias("_pp"))
     return g.select("image_id", "mse", (F.sqrt("mse") / F.sqrt(F.when(F.col("_pp") > 0, F.col("_pp")))).alias("nrmse"), (10 * F.log10(data_range * data_range / F.when(F.col("mse") > 0, F.col("mse")))).alias("psnr"))
+
+
+def _boxes(px: DataFrame, keys: list[str]) -> DataFrame:
+    return px.where("label != 0").groupBy(*keys).agg(F.min("y").alias("_y0"), F.min("x").alias("_x0"), F.max("y").alias("_y1"), F.max("x").alias("_x1"))
+
+
+def region_images(px: DataFrame, keys: list[str] = KEYS, value: str = "v") -> DataFrame:
+    """One row per pixel of every region's box: y and x in the box, ``image`` (inside the region), ``intensity_image`` (0 outside).
+
+    Work follows the boxes; no region is gathered in one row.
+    """
+    rows = F.explode(F.sequence("_y0", "_y1")).alias("_y")
+    cells = _boxes(px, keys).select(*keys, "_y0", "_x0", "_x1", rows).select(*keys, "_y0", "_x0", "_y", F.explode(F.sequence("_x0", "_x1")).alias("_x"))
+    own = px.where("label != 0").select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col(value).alias("_v"))
+    hit = cells.join(own, [*keys, "_y", "_x"], "left")
+    return hit.select(*keys, (F.col("_y") - F.col("_y0")).alias("y"), (F.col("_x") - F.col("_x0")).alias("x"), F.col("_v").isNotNull().alias("image"), F.coalesce("_v", F.lit(0.0)).alias("intensity_image"))
+
+
+def region_coords(px: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Each region's pixels as a sorted array of (y, x); for regions that fit one row."""
+    return px.where("label != 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("coords"))
+
+
+def local_centroids(px: DataFrame, keys: list[str] = KEYS, value: str = "v") -> DataFrame:
+    """Centroids within the region's box, plain and weighted by value (null where the values sum to 0)."""
+    v = F.col(value)
+    mass = F.when(F.sum(v) != 0, F.sum(v))
+    part = lambda c: [F.avg(c) - F.min(c), F.sum(v * F.col(c)) / mass - F.min(c)]
+    (a, p), (b, q) = part("y"), part("x")
+    return px.where("label != 0").groupBy(*keys).agg(a.alias("local_centroid_0"), b.alias("local_centroid_1"), p.alias("weighted_local_centroid_0"), q.alias("weighted_local_centroid_1"))
