@@ -295,18 +295,26 @@ class PiecewiseAffineTransform:
 TRANSFORMS["piecewise-affine"] = PiecewiseAffineTransform
 
 
+# Even and odd masks of B-spline subdivision by degree, from rows of Pascal's triangle.
+SUBDIVISION = {1: ([1, 1], [1, 1]), 2: ([3, 1], [1, 3]), 3: ([1, 6, 1], [0, 4, 4]), 4: ([5, 10, 1], [1, 10, 5]), 5: ([1, 15, 15, 1], [0, 6, 20, 6]), 6: ([7, 35, 21, 1], [1, 21, 35, 7]), 7: ([1, 28, 70, 28, 1], [0, 8, 56, 56, 8])}
+
+
 def subdivide_polygon(points, degree=2, preserve_ends=False):
-    """One round of B-spline subdivision."""
-    # Even and odd masks of each degree, the rows of Pascal's triangle dealt in turn.
-    masks = {1: ([1, 1], [2]), 2: ([3, 1], [1, 3]), 3: ([1, 6, 1], [4, 4]), 4: ([5, 10, 1], [1, 10, 5]), 5: ([1, 15, 15, 1], [6, 20, 6]), 6: ([7, 35, 21, 1], [1, 21, 35, 7]), 7: ([1, 28, 70, 28, 1], [8, 56, 56, 8])}
+    """One round of B-spline subdivision; a closed polygon stays closed."""
     p = np.asarray(points, float)
-    closed = np.allclose(p[0], p[-1])
-    if closed:
-        p = np.vstack([p[-degree:-1], p[:-1], p[:degree]]) if degree > 1 else p
-    even, odd = (np.stack([np.convolve(c, np.array(m) / 2**degree, "valid") for c in p.T], 1) for m in masks[degree])
-    n = min(len(even), len(odd))
-    out = np.empty((2 * n, 2))
-    out[::2], out[1::2] = even[:n], odd[:n]
+    closed = bool((p[0] == p[-1]).all())
+    p = p[:-1] if closed else p
+
+    def filtered(mask):
+        w = np.array(mask) / 2**degree
+        if not closed:
+            return np.stack([np.convolve(c, w, "valid") for c in p.T], 1)
+        at = np.arange(len(p))[:, None] + (len(w) - 1) // 2 - np.arange(len(w))
+        return np.einsum("ijk,j->ik", p[at % len(p)], w)
+
+    even, odd = map(filtered, SUBDIVISION[degree])
+    out = np.empty((len(even) + len(odd), 2))
+    out[::2], out[1::2] = odd, even
     if closed:
         return np.vstack([out, out[:1]])
     return np.vstack([p[:1], out, p[-1:]]) if preserve_ends else out

@@ -149,3 +149,9 @@ def local_centroids(px: DataFrame, keys: list[str] = KEYS, value: str = "v") ->
     part = lambda c: [F.avg(c) - F.min(c), F.sum(v * F.col(c)) / mass - F.min(c)]
     (a, p), (b, q) = part("y"), part("x")
     return px.where("label != 0").groupBy(*keys).agg(a.alias("local_centroid_0"), b.alias("local_centroid_1"), p.alias("weighted_local_centroid_0"), q.alias("weighted_local_centroid_1"))
+
+
+def label_rollup(px: DataFrame, keys: list[str] = KEYS, value: str = "v") -> DataFrame:
+    """Counts, sums and extrema per region, per image (null label) and over all (null image), in one pass."""
+    v = F.col(value)
+    return px.where("label != 0").rollup(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -25,14 +26,22 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lumengrid-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/lumengrid-engine/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="lumengrid-"))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 

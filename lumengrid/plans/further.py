@@ -320,10 +320,140 @@ def _piecewise():
     def kernel(x):
         t = geometry.PiecewiseAffineTransform()
         src = np.array([(-1.0, -1.0), (8.0, -1.0), (-1.0, 8.0), (8.0, 8.0), (3.3, 4.1)])
-        t.estimate(src, src @ np.array([[0.9, 0.05], [-0.1, 0.8]]) + (0.5, 0.7))
+        t.estimate(src, src @ np.array([[0.9, 0.05], [-0.1, 0.8]]) + (0.55, 0.7))
         return interpolate.warp(x, t)
 
     return kernel
 
 
-C.on_images("PiecewiseAffineTransform_estimate", _piecewise(), W.picture(W.points("f", f"SELECT y, x, 0.05::DOUBLE * x + 0.8::DOUBLE * y + 0.7 AS sy, 0.9::DOUBLE * x - 0.1::DOUBLE * y + 0.5 AS sx FROM {W.GRID}"), source="f"))
+C.on_images("PiecewiseAffineTransform_estimate", _piecewise(), W.picture(W.points("f", f"SELECT y, x, 0.05::DOUBLE * x + 0.8::DOUBLE * y + 0.7 AS sy, 0.9::DOUBLE * x - 0.1::DOUBLE * y + 0.55 AS sx FROM {W.GRID}"), source="f"))
+
+# Shapes of regions ------------------------------------------------------------------------------------------------------
+
+# Corners of a region's pixels that can lie on its hull: the outermost of each row of corners.
+_CORNERS = "w AS MATERIALIZED (SELECT g, y, min(x) AS lo, max(x) AS hi FROM (SELECT g, y + a.k AS y, x + b.k AS x FROM b, range(0, 2) AS a(k), range(0, 2) AS b(k)) GROUP BY 1, 2), e AS MATERIALIZED (SELECT DISTINCT g, y, x FROM (SELECT g, y, lo AS x FROM w UNION ALL SELECT g, y, hi AS x FROM w))"
+# Edges that leave every other corner on one side, or between their ends; the area is half the sum of their turns.
+_TURN3 = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
+_HULL = f"{_CORNERS}, h AS (SELECT p.g, p.x * q.y - q.x * p.y AS turn FROM e p JOIN e q ON q.g = p.g AND (q.y <> p.y OR q.x <> p.x) JOIN e r ON r.g = p.g GROUP BY p.g, p.x, p.y, q.x, q.y HAVING min({_TURN3}) >= 0 AND min(CASE WHEN {_TURN3} = 0 THEN (r.x - p.x) * (q.x - r.x) + (r.y - p.y) * (q.y - r.y) ELSE 0 END) >= 0), hull AS MATERIALIZED (SELECT g, sum(turn) / 2.0::DOUBLE AS convex_area FROM h GROUP BY 1), far AS MATERIALIZED (SELECT p.g, sqrt(max((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) AS feret FROM e p JOIN e q ON q.g = p.g GROUP BY 1)"
+_MASKS = f"WITH {T.PX}, i AS (SELECT DISTINCT image_id FROM px), b AS MATERIALIZED (SELECT image_id AS g, y, x FROM px WHERE v > 0), {_HULL} "
+SQL["convex_area"] = _MASKS + "SELECT i.image_id, 0 AS y, 0 AS x, round(coalesce(convex_area, 0), 6) AS v FROM i LEFT JOIN hull ON g = image_id"
+SQL["feret_diameter_max"] = _MASKS + "SELECT i.image_id, 0 AS y, 0 AS x, round(coalesce(feret, 0), 6) AS v FROM i LEFT JOIN far ON g = image_id"
+_NEAR8 = "abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1"
+SQL["region_shapes"] = f"""{_LAB}, b AS MATERIALIZED (SELECT image_id * 1000 + label AS g, y, x FROM lab WHERE label > 0), n AS MATERIALIZED (SELECT g, count(*) AS area FROM b GROUP BY 1), {_HULL},
+out AS MATERIALIZED (SELECT c.g, c.y, c.x, c.edge FROM (SELECT box.image_id * 1000 + box.label AS g, a.k::INT AS y, d.k::INT AS x, a.k IN (y0 - 1, y1 + 1) OR d.k IN (x0 - 1, x1 + 1) AS edge FROM box, range(-1, 9) AS a(k), range(-1, 9) AS d(k) WHERE a.k BETWEEN y0 - 1 AND y1 + 1 AND d.k BETWEEN x0 - 1 AND x1 + 1) c LEFT JOIN b USING (g, y, x) WHERE b.y IS NULL),
+flood AS (SELECT g, y, x FROM out WHERE edge UNION SELECT n.g, n.y, n.x FROM flood p JOIN out n ON n.g = p.g AND {_NEAR8}), inner_ AS (SELECT o.g, count(*) - (SELECT count(*) FROM flood f WHERE f.g = o.g) AS holes FROM out o GROUP BY 1),
+border AS MATERIALIZED (SELECT p.g, p.y, p.x FROM b p JOIN b n ON n.g = p.g AND abs(n.y - p.y) + abs(n.x - p.x) <= 1 GROUP BY ALL HAVING count(*) < 5),
+code AS (SELECT p.g, p.y, p.x, sum(CASE abs(n.y - p.y) + abs(n.x - p.x) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) AS c FROM (SELECT DISTINCT g, y + a.k AS y, x + d.k AS x FROM border, range(-1, 2) AS a(k), range(-1, 2) AS d(k)) p JOIN border n ON n.g = p.g AND {_NEAR8} GROUP BY ALL),
+round_ AS (SELECT g, sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2.0::DOUBLE) WHEN c IN (13, 23) THEN (1 + sqrt(2.0::DOUBLE)) / 2 ELSE 0 END) AS perimeter FROM code GROUP BY 1),
+touch AS (SELECT p.g, count(*) FILTER (WHERE abs(n.y - p.y) + abs(n.x - p.x) = 1) AS side, count(*) FILTER (WHERE abs(n.y - p.y) = 1 AND abs(n.x - p.x) = 1) AS diag FROM b p JOIN b n ON n.g = p.g AND {_NEAR8} AND (n.y <> p.y OR n.x <> p.x) GROUP BY 1),
+quad AS (SELECT p.g, p.y, p.x, count(*) AS n, max(CASE WHEN n.y = p.y AND n.x = p.x THEN 1 ELSE 0 END) AS a, max(CASE WHEN n.y = p.y + 1 AND n.x = p.x + 1 THEN 1 ELSE 0 END) AS d FROM (SELECT DISTINCT g, y - a.k AS y, x - c.k AS x FROM b, range(0, 2) AS a(k), range(0, 2) AS c(k)) p JOIN b n ON n.g = p.g AND n.y - p.y IN (0, 1) AND n.x - p.x IN (0, 1) GROUP BY ALL),
+euler AS (SELECT g, (count(*) FILTER (WHERE n = 1) - count(*) FILTER (WHERE n = 3) - 2 * count(*) FILTER (WHERE n = 2 AND a = d)) // 4 AS euler FROM quad GROUP BY 1)
+SELECT (n.g // 1000)::BIGINT AS image_id, (n.g % 1000)::BIGINT AS label, n.area, (n.area + holes)::BIGINT AS filled_area, round(convex_area, 6) AS convex_area, round(n.area / convex_area, 6) AS solidity, round(coalesce(perimeter, 0), 6) AS perimeter, round(pi() / 8 * (n.area * (4 + 4 * sqrt(0.5::DOUBLE)) - coalesce(side, 0) - coalesce(diag, 0) * sqrt(0.5::DOUBLE)), 6) AS perimeter_crofton, euler::BIGINT AS euler_number, round(feret, 6) AS feret_diameter_max
+FROM n JOIN hull USING (g) JOIN far USING (g) JOIN inner_ USING (g) LEFT JOIN round_ USING (g) LEFT JOIN touch USING (g) JOIN euler USING (g)"""
+
+# To a quarter of a pixel: the coarse shift first, then places around it.
+_COARSE = _CROSS.rsplit(" SELECT image_id, 0 AS y", 1)[0]
+_WAVE = "(2 * pi() * (CASE WHEN k.y < 4 THEN k.y ELSE k.y - 8 END * g.sy + CASE WHEN k.x < 4 THEN k.x ELSE k.x - 8 END * g.sx) / 8)"
+SQL["phase_cross_correlation"] = _COARSE + f", g AS MATERIALIZED (SELECT image_id, a.k AS iy, b.k AS ix, CASE WHEN s.y > 4 THEN s.y - 8 ELSE s.y END + (a.k - 3) / 4.0::DOUBLE AS sy, CASE WHEN s.x > 4 THEN s.x - 8 ELSE s.x END + (b.k - 3) / 4.0::DOUBLE AS sx FROM w, range(0, 6) AS a(k), range(0, 6) AS b(k)), z AS (SELECT g.image_id, g.iy, g.ix, g.sy, g.sx, pow(sum(k.a * cos({_WAVE}) - k.b * sin({_WAVE})), 2) + pow(sum(k.a * sin({_WAVE}) + k.b * cos({_WAVE})), 2) AS r FROM g JOIN n k ON k.image_id = g.image_id GROUP BY ALL), t AS (SELECT image_id, arg_max({{'y': sy, 'x': sx}}, (round(r, 6), -iy, -ix)) AS s FROM z GROUP BY 1) SELECT image_id, 0 AS y, o.x::INT AS x, round((CASE WHEN o.x = 0 THEN s.y ELSE s.x END)::DOUBLE, 6) + 0.0 AS v FROM t, (VALUES (0), (1)) AS o(x)"
+
+# Tables, windows and streams -----------------------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Images written as a table and read again."""
+    path = f"{scratch(spark)}/images"
+    images.write_images(embedding_images(spark, sf).select("image_id", "shape", "img"), path)
+    return pixels(images.read_images(spark, path))
+
+
+def _streamed(spark: SparkSession, sf: str, change, name: str) -> DataFrame:
+    """A query over the embeddings as they arrive in a stream, run until the input is used up."""
+    folder = scratch(spark)
+    source = f"{folder}/in"
+    embedding_images(spark, sf).select("image_id", "shape", "img").repartition(4).write.parquet(source)
+    arriving = stream.stream_images(spark, source, spark.read.parquet(source).schema, 2)
+    stream.write(change(arriving), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    """The last state of a running histogram, kept by batch."""
+    folder = scratch(spark)
+    source, out = f"{folder}/in", f"{folder}/out"
+    embedding_images(spark, sf).select("image_id", "shape", "img").repartition(4).write.parquet(source)
+    arriving = stream.stream_images(spark, source, spark.read.parquet(source).schema, 1)
+    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    stream.running_histogram(arriving, 16, -1.0, 1.0).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(out)
+    return kept.groupBy("bin").agg(F.max_by("n", "batch").alias("n"))
+
+
+from ..operators.runtime import scratch  # noqa: E402
+from ..sources import images  # noqa: E402
+from ..streaming import images as stream  # noqa: E402
+
+C.register("table_round_trip", _round_trip, f"WITH {T.PX} SELECT image_id, y, x, round(v, 6) + 0.0 AS v FROM px")
+C.register("stream_filter", lambda spark, sf: pixels(_streamed(spark, sf, lambda s: stream.filtered(s, filters.uniform_filter), "filter")), SQL["uniform_filter"])
+C.register("stream_histogram", _counted, f"WITH {T.PX} SELECT least(floor((v + 1) / 2.0 * 16), 15)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY 1")
+C.register("event_windows", lambda spark, sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "SELECT user_id, strftime(to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events GROUP BY 1, 2")
+C.register("event_sliding_windows", lambda spark, sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours", "3 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "SELECT user_id, strftime(to_timestamp((floor(epoch(ts) / 10800) - k) * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events, range(0, 2) AS g(k) GROUP BY 1, 2")
+C.register("event_sessions", lambda spark, sf: C.rounded(stream.event_sessions(_events(spark, sf), "2 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "WITH g AS (SELECT user_id, ts, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER u) < 7200 THEN 0 ELSE 1 END AS begins FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM s GROUP BY user_id, k")
+C.register("label_rollup", lambda spark, sf: C.rounded(regions.label_rollup(C._labelled(spark, sf))).fillna(-1, ["image_id", "label"]), _LAB + " SELECT coalesce(image_id, -1) AS image_id, coalesce(label, -1) AS label, count(*) AS n, round(sum(v), 6) + 0.0 AS sum, round(min(v), 6) + 0.0 AS minimum, round(max(v), 6) + 0.0 AS maximum FROM lab WHERE label > 0 GROUP BY ROLLUP (lab.image_id, lab.label)")
+
+# Edges by hysteresis, descriptors, local equalisation, polygons ----------------------------------------------------------------
+
+_SMOOTH = W.taps(W.bell(0.5), mode="constant")
+_BLEED = [sum(row.values()) for row in _SMOOTH]
+_EVEN = "g AS MATERIALIZED (SELECT image_id, y, x, v / (" + " * ".join(f"[{', '.join(f'{v!r}::DOUBLE' for v in _BLEED)}][{c} + 1]" for c in "yx") + " + 2.220446049250313e-16) AS v FROM s)"
+_AT = ", ".join(f"max(CASE WHEN q.y - p.y = {a} AND q.x - p.x = {b} THEN q.m END) AS m{'no'[a > 0] if a else 'z'}{'no'[b > 0] if b else 'z'}" for a in (-1, 0, 1) for b in (-1, 0, 1))
+_SAME_SIGN, _STEEP = "(gy >= 0) = (gx >= 0)", "abs(gy) >= abs(gx)"
+_W = f"CASE WHEN {_STEEP} THEN CASE WHEN gy = 0 THEN 0 ELSE abs(gx / gy) END ELSE abs(gy / gx) END"
+_END1 = f"CASE WHEN {_STEEP} THEN (1 - w) * moz + w * CASE WHEN {_SAME_SIGN} THEN moo ELSE mon END ELSE (1 - w) * mzo + w * CASE WHEN {_SAME_SIGN} THEN moo ELSE mno END END"
+_END2 = f"CASE WHEN {_STEEP} THEN (1 - w) * mnz + w * CASE WHEN {_SAME_SIGN} THEN mnn ELSE mno END ELSE (1 - w) * mzn + w * CASE WHEN {_SAME_SIGN} THEN mnn ELSE mon END END"
+SQL["canny"] = f"""WITH RECURSIVE {T.PX}, {W.both('px', 's', _SMOOTH)}, {_EVEN}, {W.both('g', 'gy', W.taps(_DIFF), W.taps(_TRI))}, {W.both('g', 'gx', W.taps(_TRI), W.taps(_DIFF))},
+m AS MATERIALIZED (SELECT image_id, y, x, gy.v AS gy, gx.v AS gx, sqrt(gy.v * gy.v + gx.v * gx.v) AS m FROM gy JOIN gx USING (image_id, y, x)),
+k AS MATERIALIZED (SELECT p.image_id, p.y, p.x, p.gy, p.gx, {_AT} FROM m p JOIN m q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.gy, p.gx),
+t AS MATERIALIZED (SELECT image_id, y, x, mzz AS v FROM (SELECT *, {_W} AS w FROM k) WHERE mzz > 0 AND mzz >= {_END1} AND mzz >= {_END2} AND mzz >= 0.05),
+r AS (SELECT image_id, y, x FROM t WHERE v >= 0.2 UNION SELECT n.image_id, n.y, n.x FROM r JOIN t n ON n.image_id = r.image_id AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1)
+SELECT px.image_id, px.y, px.x, CASE WHEN r.y IS NULL THEN 0.0 ELSE 1.0 END AS v FROM px LEFT JOIN r USING (image_id, y, x)"""
+_RING = ", ".join(f"({h + 1}, {a}, {b})" for h, (a, b) in enumerate(((0, 2), (2, 0), (0, -2), (-2, 0))))
+SQL["daisy"] = f"""WITH {T.PX}, {W.both('px', 'gy', W.slope(), _SAME)}, {W.both('px', 'gx', _SAME, W.slope())}, o AS MATERIALIZED (SELECT image_id * 10 + k AS image_id, y, x, sqrt(gy.v * gy.v + gx.v * gx.v) * exp(4 / pi() * (cos(atan2(gy.v, gx.v) - k * pi() / 2) - 1)) AS v FROM gy JOIN gx USING (image_id, y, x), range(0, 4) AS r(k)),
+{W.smooth('o', 'near', 0.25)}, {W.smooth('o', 'wide', 0.75)}, c AS (SELECT a.k AS py, b.k AS px FROM range(0, 2) AS a(k), range(0, 2) AS b(k)), d AS (SELECT n.image_id, py * 2 + px AS y, n.image_id % 10 AS x, n.v FROM near n JOIN c ON n.y = 2 + 2 * py AND n.x = 2 + 2 * px UNION ALL SELECT n.image_id, py * 2 + px, h * 4 + n.image_id % 10, n.v FROM wide n CROSS JOIN c JOIN (VALUES {_RING}) AS g(h, dy, dx) ON n.y = 2 + 2 * py + dy AND n.x = 2 + 2 * px + dx)
+SELECT image_id // 10 AS image_id, y::INT AS y, x::INT AS x, round(v / greatest(sum(v) OVER (PARTITION BY image_id // 10, y), 1e-12), 6) + 0.0 AS v FROM d"""
+C.on_images("equalize_adapthist", lambda x: vision.equalize_adapthist(x, 4), f"""WITH {T.PX}, q AS MATERIALIZED (SELECT image_id, y, x, floor((v - min(v) OVER i) / (max(v) OVER i - min(v) OVER i) * 255)::INT AS q, y // 4 AS ty, x // 4 AS tx FROM px WINDOW i AS (PARTITION BY image_id)), h AS MATERIALIZED (SELECT image_id, ty, tx, q, count(*) AS n FROM q GROUP BY ALL), o AS MATERIALIZED (SELECT image_id, ty, tx, sum(greatest(n - 1, 0)) / 256.0::DOUBLE AS share FROM h GROUP BY ALL),
+f AS (SELECT image_id, y, x, q, least(greatest((y + 0.5) / 4 - 0.5, 0), 1) AS fy, least(greatest((x + 0.5) / 4 - 0.5, 0), 1) AS fx FROM q), c AS (SELECT f.image_id, f.y, f.x, any_value(f.fy) AS fy, any_value(f.fx) AS fx, o.ty, o.tx, (count(h.q) + (any_value(f.q) + 1) * any_value(o.share)) / 16 AS c FROM f JOIN o USING (image_id) LEFT JOIN h ON h.image_id = o.image_id AND h.ty = o.ty AND h.tx = o.tx AND h.q <= f.q GROUP BY f.image_id, f.y, f.x, o.ty, o.tx)
+SELECT image_id, y, x, round(sum(c * CASE WHEN ty = 1 THEN fy ELSE 1 - fy END * CASE WHEN tx = 1 THEN fx ELSE 1 - fx END), 6) + 0.0 AS v FROM c GROUP BY image_id, y, x""")
+
+
+def _polygons(degree: int, closed: bool):
+    """A kernel: the first two rows of an image are the corners' coordinates; the new corners are two rows again."""
+    def kernel(x):
+        out = []
+        for img in x:
+            p = img[:2].T
+            out.append(geometry.subdivide_polygon(np.vstack([p, p[:1]]) if closed else p, degree).T)
+        return np.stack(out)
+
+    return kernel
+
+
+def _subdivision(degree: int, closed: bool) -> str:
+    even, odd = geometry.SUBDIVISION[degree]
+    rows: list[dict[int, float]] = []
+    n = 8 if closed else 8 - len(even) + 1
+    for k in range(n):
+        for mask in (odd, even):
+            row: dict[int, float] = {}
+            for j, w in enumerate(mask):
+                i = (k + (len(mask) - 1) // 2 - j) % 8 if closed else k + len(mask) - 1 - j
+                row[i] = row.get(i, 0.0) + w / 2**degree
+            rows.append(row)
+    return W.picture("c AS MATERIALIZED (SELECT * FROM px WHERE y < 2)", W.along("c", "f", "x", rows + rows[:1] if closed else rows), source="f")
+
+
+C.on_images("subdivide_polygon", _polygons(2, False), _subdivision(2, False))
+C.on_images("subdivide_polygon_closed", _polygons(3, True), _subdivision(3, True))

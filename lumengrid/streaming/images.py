@@ -35,3 +35,9 @@ def event_grid(events: DataFrame, width: str = "1 hour", slide: str | None = Non
 def write(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends to parquet, exactly once by the checkpoint; ends when the input is used up."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def event_sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Event values by user and session: rows nearer than the gap belong together."""
+    w = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.sum("value").alias("v"), F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "v", "n")
