@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry, morphology, vision
 from .regions import KEYS, moments
@@ -85,3 +86,31 @@ def region_shapes(labels: DataFrame, keep: list[str] = ["image_id"]) -> DataFram
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], *[pa.array(v, pa.int64() if t == "long" else pa.float64()) for v, t in zip(columns, kinds)]], names=[*keep, *names])
 
     return picked.mapInArrow(run, schema)
+
+
+def filled_images(labels: DataFrame, keep: list[str] = ["image_id"]) -> DataFrame:
+    """One row per pixel of every region's box (y and x in the box): whether it is in the region or in a hole of it.
+
+    Takes label images (shape, img), as ``region_shapes`` does.
+    """
+    ship(labels.sparkSession)
+    picked = labels.select(*keep, F.col("shape").cast("array<int>"), F.col("img").cast("array<double>"))
+    schema = picked.select(*keep).schema.add("label", T.LongType()).add("width", T.IntegerType()).add("filled", T.ArrayType(T.BooleanType()))
+
+    def run(batches):
+        for batch in batches:
+            who, rows = [], []
+            for cut, stack in stacks(batch.column("shape"), batch.column("img")):
+                for k, img in enumerate(stack if stack is not None else []):
+                    for label in np.unique(img[img != 0]).tolist():
+                        y, x = np.nonzero(img == label)
+                        mask = (img == label)[None, y.min() : y.max() + 1, x.min() : x.max() + 1]
+                        filled = morphology.binary_fill_holes(np.pad(mask, ((0, 0), (1, 1), (1, 1))), np.ones((3, 3), bool))[0, 1:-1, 1:-1]
+                        rows.append((int(label), filled.shape[1], filled.ravel().tolist()))
+                        who.append(cut.start + k)
+            columns = list(zip(*rows)) or [[], [], []]
+            index = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.bool_()))], names=[*keep, "label", "width", "filled"])
+
+    one = picked.mapInArrow(run, schema).select(*keep, "label", "width", F.posexplode("filled").alias("_p", "filled"))
+    return one.select(*keep, "label", F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"), (F.col("_p") % F.col("width")).cast("int").alias("x"), "filled")

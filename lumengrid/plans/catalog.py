@@ -179,15 +179,11 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
     def kernel(x: np.ndarray) -> np.ndarray:
         smooth = filters.uniform_filter(x)
-        q = np.clip(np.floor((smooth + 1) / 2 * 255.5), 0, 255)
-        return np.stack([smooth, q], 1)
-
-    both = map_images(images, kernel)
-    px = both.select("image_id", F.posexplode(F.arrays_zip(F.slice("img", 1, 64).alias("s"), F.slice("img", 65, 64).alias("q"))).alias("p", "z"))
-    hist = px.groupBy("image_id", F.col("z.q").cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    cut = both.join(histograms.threshold_otsu(hist), "image_id")
-    masked = cut.select("image_id", F.array(F.lit(2), F.lit(8), F.lit(8)).alias("shape"), F.concat(F.slice("img", 1, 64), F.transform(F.slice("img", 65, 64), lambda q: (q > F.col("threshold")).cast("double"))).alias("img"))
-    lab = map_images(masked, lambda x: np.stack([x[:, 0], morphology.label(x[:, 1])], 1))
+        q = np.clip(np.floor((smooth + 1) / 2 * 255.5), 0, 255).astype(int)
+        counts = np.stack([np.bincount(i.ravel(), minlength=256) for i in q])
+        return np.stack([smooth, morphology.label(q > vision.threshold_otsu(counts)[:, None, None])], 1)
+
+    lab = map_images(images, kernel)
     one = lab.select("image_id", F.posexplode(F.arrays_zip(F.slice("img", 1, 64).alias("v"), F.slice("img", 65, 64).alias("l"))).alias("p", "z"))
     table = one.select("image_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.col("z.v").alias("v"), F.col("z.l").cast("int").alias("label"))
     return regions.region_table(table)

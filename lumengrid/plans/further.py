@@ -457,3 +457,89 @@ def _subdivision(degree: int, closed: bool) -> str:
 
 C.on_images("subdivide_polygon", _polygons(2, False), _subdivision(2, False))
 C.on_images("subdivide_polygon_closed", _polygons(3, True), _subdivision(3, True))
+
+# Dense flow ------------------------------------------------------------------------------------------------------------------------
+
+_MIRROR5 = W.taps([0.2] * 5, mode="mirror")
+
+
+def _lucas_kanade(k: int) -> str:
+    """CTEs: one round of warping and solving, from flow ``fl<k>`` to ``fl<k + 1>``."""
+    at = lambda axis, flow: f"least(greatest(f.{axis} + f.{flow}, 0), 7)"
+    moved = f"mv{k} AS MATERIALIZED (SELECT f.image_id, f.y, f.x, sum(greatest(0, 1 - abs({at('y', 'vy')} - j.y)) * greatest(0, 1 - abs({at('x', 'vx')} - j.x)) * j.b) AS v FROM fl{k} f JOIN j ON j.image_id = f.image_id GROUP BY ALL)"
+    slopes = W.both(f"mv{k}", f"dy{k}", W.slope(), _SAME) + ", " + W.both(f"mv{k}", f"dx{k}", _SAME, W.slope())
+    error = f"er{k} AS MATERIALIZED (SELECT f.image_id, f.y, f.x, a.v AS gy, b.v AS gx, a.v * f.vy + b.v * f.vx + j.a - m.v AS e FROM fl{k} f JOIN dy{k} a USING (image_id, y, x) JOIN dx{k} b USING (image_id, y, x) JOIN mv{k} m USING (image_id, y, x) JOIN j USING (image_id, y, x))"
+    parts = {"yy": "gy * gy", "xy": "gy * gx", "xx": "gx * gx", "ye": "gy * e", "xe": "gx * e"}
+    means = ", ".join(f"p{n}{k} AS MATERIALIZED (SELECT image_id, y, x, {v} AS v FROM er{k}), {W.both(f'p{n}{k}', f'{n}{k}', _MIRROR5)}" for n, v in parts.items())
+    det = "(a.v * c.v - b.v * b.v)"
+    solved = f"fl{k + 1} AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN abs({det}) > 1e-14 THEN (c.v * d.v - b.v * e.v) / {det} ELSE 0 END AS vy, CASE WHEN abs({det}) > 1e-14 THEN (a.v * e.v - b.v * d.v) / {det} ELSE 0 END AS vx FROM yy{k} a JOIN xy{k} b USING (image_id, y, x) JOIN xx{k} c USING (image_id, y, x) JOIN ye{k} d USING (image_id, y, x) JOIN xe{k} e USING (image_id, y, x))"
+    return ", ".join([moved, slopes, error, means, solved])
+
+
+SQL["optical_flow_ilk"] = f"WITH {_PAIRS}, fl0 AS MATERIALIZED (SELECT image_id, y, x, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vx FROM j), {_lucas_kanade(0)}, {_lucas_kanade(1)} SELECT image_id, (y + 8 * k)::INT AS y, x, round(CASE WHEN k = 0 THEN vy ELSE vx END, 6) + 0.0 AS v FROM fl2, range(0, 2) AS g(k)"
+
+
+def _at(name: str, source: str, dy: int, dx: int) -> str:
+    return f"LEFT JOIN {source} {name} ON {name}.image_id = p.image_id AND {name}.y = p.y + {dy} AND {name}.x = p.x + {dx}"
+
+
+def _divergence(source: str, name: str) -> str:
+    """Backward differences of the dual field (p0, p1), the last ones from its neighbour alone, beside ``v``."""
+    part = lambda f, axis: f"CASE WHEN p.{axis} = 0 THEN p.{f} WHEN p.{axis} = 7 THEN -{f}b.{f} ELSE p.{f} - {f}b.{f} END"
+    return f"{name} AS MATERIALIZED (SELECT p.image_id, p.y, p.x, p.v, p.p0, p.p1, {part('p0', 'y')} + {part('p1', 'x')} AS div FROM {source} p {_at('p0b', source, -1, 0)} {_at('p1b', source, 0, -1)})"
+
+
+def _ascent(source: str, name: str, field: str, step: str, scale: str) -> str:
+    """One step of the dual field along the forward differences of ``field``."""
+    g0, g1 = (f"(CASE WHEN p.{axis} = 7 THEN 0 ELSE {n}.f - p.f END)" for n, axis in (("a", "y"), ("b", "x")))
+    fields = f"(SELECT *, {field} AS f FROM {source})"
+    return f"{name} AS MATERIALIZED (SELECT p.image_id, p.y, p.x, p.v, (p.p0 + {step} * {g0}) / (1 + {scale} * sqrt({g0} * {g0} + {g1} * {g1})) AS p0, (p.p1 + {step} * {g1}) / (1 + {scale} * sqrt({g0} * {g0} + {g1} * {g1})) AS p1 FROM {fields} p {_at('a', fields, 1, 0)} {_at('b', fields, 0, 1)})"
+
+
+_ROUNDS = 12
+_CHAMBOLLE = ["t0 AS MATERIALIZED (SELECT image_id, y, x, v, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS p1 FROM px)"]
+for _k in range(_ROUNDS):
+    _CHAMBOLLE.append(_divergence(f"t{_k}", f"d{_k}"))
+    if _k + 1 < _ROUNDS:
+        _CHAMBOLLE.append(_ascent(f"d{_k}", f"t{_k + 1}", "v + div", "0.25", "2.5"))
+C.on_images("denoise_tv_chambolle_steps", lambda x: vision.denoise_tv_chambolle(x, 0.1, 0.0, 12), W.picture(*_CHAMBOLLE, source=f"d{_ROUNDS - 1}", value="v + div"))
+
+
+def _total_variation(source: str, name: str) -> str:
+    """Two dual steps and the smoothed field of a table (image_id, y, x, v)."""
+    out = [f"{name}t0 AS MATERIALIZED (SELECT image_id, y, x, v, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS p1 FROM {source})"]
+    for k in range(2):
+        out += [_divergence(f"{name}t{k}", f"{name}d{k}"), _ascent(f"{name}d{k}", f"{name}t{k + 1}", "div + v / 0.3::DOUBLE", "0.25", "0.25")]
+    return ", ".join([*out, _divergence(f"{name}t2", f"{name}d2"), f"{name} AS MATERIALIZED (SELECT image_id, y, x, v + 0.3::DOUBLE * div AS v FROM {name}d2)"])
+
+
+def _tvl1_warp(k: int) -> str:
+    """One warp: components of the flow are images 2 i and 2 i + 1 of ``fw<k>``."""
+    median = lambda c, i: T.step(f"fw{k}", f"me{k}", T.ONE, "list_sort(list(q.v))[5]").replace(" AS (", " AS MATERIALIZED (", 1)
+    start = f"st{k} AS MATERIALIZED (SELECT a.image_id // 2 AS image_id, a.y, a.x, a.v AS vy, b.v AS vx FROM me{k} a JOIN me{k} b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x WHERE a.image_id % 2 = 0)"
+    at = lambda axis, flow: f"least(greatest(f.{axis} + f.{flow}, 0), 7)"
+    moved = f"tm{k} AS MATERIALIZED (SELECT f.image_id, f.y, f.x, sum(greatest(0, 1 - abs({at('y', 'vy')} - j.y)) * greatest(0, 1 - abs({at('x', 'vx')} - j.x)) * j.b) AS v FROM st{k} f JOIN j ON j.image_id = f.image_id GROUP BY ALL)"
+    slopes = W.both(f"tm{k}", f"ty{k}", W.slope(), _SAME) + ", " + W.both(f"tm{k}", f"tx{k}", _SAME, W.slope())
+    rest = f"re{k} AS MATERIALIZED (SELECT s.image_id, s.y, s.x, gy.v AS gy, gx.v AS gx, m.v - (gy.v * s.vy + gx.v * s.vx) - j.a AS rest FROM st{k} s JOIN ty{k} gy USING (image_id, y, x) JOIN tx{k} gx USING (image_id, y, x) JOIN tm{k} m USING (image_id, y, x) JOIN j USING (image_id, y, x))"
+    out, now = [median("v", 0), start, moved, slopes, rest, f"it{k}_0 AS MATERIALIZED (SELECT * FROM me{k})"], f"it{k}_0"
+    for i in range(3):
+        norm, rho = "(r.gy * r.gy + r.gx * r.gx)", "(r.rest + r.gy * a.v + r.gx * b.v)"
+        step = f"CASE WHEN abs({rho}) <= 4.5::DOUBLE * {norm} THEN -{rho} / CASE WHEN {norm} = 0 THEN 1 ELSE {norm} END ELSE -sign({rho}) * 4.5::DOUBLE END"
+        out.append(f"vv{k}_{i} AS MATERIALIZED (SELECT 2 * r.image_id + c.k AS image_id, r.y, r.x, CASE WHEN c.k = 0 THEN a.v + ({step}) * r.gy ELSE b.v + ({step}) * r.gx END AS v FROM re{k} r JOIN {now} a ON a.image_id = 2 * r.image_id AND a.y = r.y AND a.x = r.x JOIN {now} b ON b.image_id = 2 * r.image_id + 1 AND b.y = r.y AND b.x = r.x CROSS JOIN range(0, 2) AS c(k))")
+        now = f"it{k}_{i + 1}"
+        out.append(_total_variation(f"vv{k}_{i}", now))
+    return ", ".join([*out, f"fw{k + 1} AS MATERIALIZED (SELECT * FROM {now})"])
+
+
+SQL["optical_flow_tvl1"] = f"WITH {_PAIRS}, fw0 AS MATERIALIZED (SELECT 2 * image_id + k AS image_id, y, x, 0.0::DOUBLE AS v FROM j, range(0, 2) AS g(k)), {_tvl1_warp(0)}, {_tvl1_warp(1)} SELECT image_id // 2 AS image_id, (y + 8 * (image_id % 2))::INT AS y, x, round(v, 6) + 0.0 AS v FROM fw2"
+
+
+def _filled(spark: SparkSession, sf: str) -> DataFrame:
+    labels = map_images(embedding_images(spark, sf).select("image_id", "shape", "img"), lambda x: m.label(x > 0))
+    return shapes.filled_images(labels)
+
+
+C.register("filled_image", _filled, f"""{_LAB}, b AS MATERIALIZED (SELECT image_id * 1000 + label AS g, y, x FROM lab WHERE label > 0),
+cell AS MATERIALIZED (SELECT box.image_id * 1000 + box.label AS g, y0, x0, a.k::INT AS y, d.k::INT AS x, a.k IN (y0 - 1, y1 + 1) OR d.k IN (x0 - 1, x1 + 1) AS edge FROM box, range(-1, 9) AS a(k), range(-1, 9) AS d(k) WHERE a.k BETWEEN y0 - 1 AND y1 + 1 AND d.k BETWEEN x0 - 1 AND x1 + 1),
+out AS MATERIALIZED (SELECT c.* FROM cell c LEFT JOIN b USING (g, y, x) WHERE b.y IS NULL), flood AS (SELECT g, y, x FROM out WHERE edge UNION SELECT n.g, n.y, n.x FROM flood p JOIN out n ON n.g = p.g AND {_NEAR8})
+SELECT (c.g // 1000)::BIGINT AS image_id, (c.g % 1000)::BIGINT AS label, (c.y - c.y0)::INT AS y, (c.x - c.x0)::INT AS x, f.y IS NULL AS filled FROM cell c LEFT JOIN flood f ON f.g = c.g AND f.y = c.y AND f.x = c.x WHERE NOT c.edge""")
