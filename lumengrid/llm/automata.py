@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import forget, map_text
+from .common import forget, map_text, word_count
 
 #: Words of one shard: bounds the automaton that a task holds.
 SHARD_WORDS = 200_000
+#: Shards of a reference, at most: each is broadcast and streamed past every document.
+MOST_SHARDS = 50
 
 
 class SuffixAutomaton:
@@ -103,6 +105,9 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, keep: list[str
     shard is a shard of its own.  Null and empty texts keep nothing and lose
     nothing; an empty reference removes nothing.
     """
+    words = reference.select(F.sum(word_count(F.col("text")))).first()[0] or 0
+    if words > MOST_SHARDS * max(shard_words, SHARD_WORDS):
+        raise ValueError(f"a reference of {words} words is more than {MOST_SHARDS} shards; use substring.remove_repeats")
     shared = [docs.sparkSession.sparkContext.broadcast((a.next, a.link, a.length)) for a in _shards(reference, shard_words)]
 
     def make():

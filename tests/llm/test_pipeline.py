@@ -92,8 +92,12 @@ def fits(model, text):
     return max([mean(parts)] + ([mean(plain)] if plain else [])) >= P.LEAST_FIT
 
 
+def own_key(r):
+    return r.doc_id if r.doc_id is not None else ("source", r.source)
+
+
 def plain_passes(rows):
-    """Passes by doc_id and source, from the targets and the seeded order."""
+    """Passes by doc_id, or by source without one, from the targets and the seeded order."""
     size = lambda r: len(words(r.text))
     sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sources)}
@@ -108,18 +112,17 @@ def plain_passes(rows):
             target[s], left = 2.0 * whole[s], left - 2 * whole[s]
         free -= full
     target |= {s: level * weight[s] for s in free}
-    out = {}
+    group = {}
     for s in sources:
         order = lambda r: (hashlib.md5(":".join(["mix"] + ([str(r.doc_id)] if r.doc_id is not None else [])).encode()).hexdigest(), r.doc_id is not None, r.doc_id or 0, size(r))
-        at, due, group = 0, int(target[s]), {}
+        at, due = 0, int(target[s])
         for r in sorted((r for r in rows if r.source == s), key=order):
             n = size(r)
             taken = sum(min(max(due - p * whole[s] - at, 0), n) for p in (0, 1))
-            a, b = group.get(r.doc_id, (0, 0))
-            group[r.doc_id] = a + taken, b + n
+            a, b = group.get(own_key(r), (0, 0))
+            group[own_key(r)] = a + taken, b + n
             at += n
-        out |= {(i, s): int(a / b + 0.5) if b else 1 for i, (a, b) in group.items()}
-    return out
+    return {k: int(a / b + 0.5) if b else 1 for k, (a, b) in group.items()}
 
 
 def test_stages_keep_columns_and_take_effect(spark, docs):
@@ -148,7 +151,7 @@ def test_stages_keep_columns_and_take_effect(spark, docs):
         else:
             want = plain_passes(before)
             assert max(want.values()) == 2 and len(after) > len(before)
-            assert sorted(map(str, after)) == sorted(str(r) for r in before for _ in range(want[r.doc_id, r.source]))
+            assert sorted(map(str, after)) == sorted(str(r) for r in before for _ in range(want[own_key(r)]))
         now = out
     last = P.STAGES[-1][1](spark, now, SF)
     rows = sorted(last.collect(), key=lambda r: r.start)
