@@ -71,22 +71,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (whole passes; none, one or two).
 
-    Rows of one doc_id and source, repeated ones and those without a doc_id,
-    all take the same number of passes: their share of words, rounded.  Texts
-    without words take one.  A null source is a source.  Other columns are kept
-    as they are; an empty table stays empty.
+    Rows of one doc_id, repeated ones too, take the same number of passes:
+    their share of words, rounded; so do rows without a doc_id, by source.
+    Texts without words take one.  A null source is a source.  Other columns
+    are kept as they are; an empty table stays empty.
     """
-    key, own, passes, one = (free_name(docs, x) for x in ("_key", "_own", "_passes", "_pass"))
-    name = lambda: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    source = lambda: F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))
-    share = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size")).cast("int")).otherwise(1)
-    taken = mixing.mix(docs).groupBy(name().alias(key), source().alias(own)).agg(share.alias(passes))
-    named = docs.withColumn(key, name()).withColumn(own, source())
-    taken = stage(taken, "pipeline_passes")
+    key, passes, one = (free_name(docs, x) for x in ("_key", "_passes", "_pass"))
+    share = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.sum("size")).cast("int")).otherwise(1).alias(passes)
+    mixed = mixing.mix(docs)
+    taken = stage(mixed.where("doc_id is not null").groupBy("doc_id").agg(share), "pipeline_passes")
+    named = docs.where("doc_id is not null")
     if taken.count() <= BROADCAST_IDS:
-        out = named.join(F.broadcast(taken), [key, own])
+        named = named.join(F.broadcast(taken), "doc_id")
     else:
-        out = spread_join(named, taken, [key, own], ["text"], named.select(key, own))
+        named = spread_join(named, taken, ["doc_id"], ["text"], named.select("doc_id"))
+    sources = F.broadcast(mixed.where("doc_id is null").groupBy(F.col("source").alias(key)).agg(share))  # one row a source
+    nameless = docs.where("doc_id is null").join(sources, F.col("source").eqNullSafe(F.col(key)))
+    columns = [*map(quoted, docs.columns), F.col(passes)]
+    out = named.select(*columns).unionByName(nameless.select(*columns))
     return _same(out.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(passes)))), docs)
 
 
