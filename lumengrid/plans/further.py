@@ -543,3 +543,39 @@ C.register("filled_image", _filled, f"""{_LAB}, b AS MATERIALIZED (SELECT image_
 cell AS MATERIALIZED (SELECT box.image_id * 1000 + box.label AS g, y0, x0, a.k::INT AS y, d.k::INT AS x, a.k IN (y0 - 1, y1 + 1) OR d.k IN (x0 - 1, x1 + 1) AS edge FROM box, range(-1, 9) AS a(k), range(-1, 9) AS d(k) WHERE a.k BETWEEN y0 - 1 AND y1 + 1 AND d.k BETWEEN x0 - 1 AND x1 + 1),
 out AS MATERIALIZED (SELECT c.* FROM cell c LEFT JOIN b USING (g, y, x) WHERE b.y IS NULL), flood AS (SELECT g, y, x FROM out WHERE edge UNION SELECT n.g, n.y, n.x FROM flood p JOIN out n ON n.g = p.g AND {_NEAR8})
 SELECT (c.g // 1000)::BIGINT AS image_id, (c.g % 1000)::BIGINT AS label, (c.y - c.y0)::INT AS y, (c.x - c.x0)::INT AS x, f.y IS NULL AS filled FROM cell c LEFT JOIN flood f ON f.g = c.g AND f.y = c.y AND f.x = c.x WHERE NOT c.edge""")
+
+# Single thresholds, choices and polygons --------------------------------------------------------------------------------------------
+
+_BINS = 32
+_levels32 = lambda x: np.clip(np.floor((x + 1) / 2 * _BINS), 0, _BINS - 1).astype(int)
+
+
+def _valleys():
+    """A kernel: the valley between two peaks of each image's histogram, -1 without one."""
+    def kernel(x):
+        found = [vision.threshold_minimum(np.bincount(i.ravel(), minlength=32)) for i in np.clip(np.floor((x + 1) / 2 * 32), 0, 31).astype(int)]
+        return [-1 if v is None else v for v in found]
+
+    return kernel
+
+
+_NEXT = f"least(i + 1, {_BINS})"
+_PEAK = f"h[i] > h[greatest(i - 1, 1)] AND h[i] >= h[{_NEXT}] AND (h[i] > h[{_NEXT}] OR h[i] > h[CASE WHEN i = {_BINS} THEN 1 ELSE least(i + 2, {_BINS}) END])"
+_PEAKS = f"list_filter(range(1, {_BINS + 1}), lambda i: {_PEAK})"
+C.per_image("threshold_minimum", _valleys(), f"""WITH RECURSIVE {T.PX}, q AS (SELECT image_id, least(greatest(floor((v + 1) / 2 * {_BINS}), 0), {_BINS - 1})::INT AS b FROM px), c AS (SELECT i.image_id, list(coalesce(n, 0)::DOUBLE ORDER BY g.k) AS h FROM (SELECT DISTINCT image_id FROM q) i CROSS JOIN range(0, {_BINS}) AS g(k) LEFT JOIN (SELECT image_id, b, count(*) AS n FROM q GROUP BY 1, 2) n ON n.image_id = i.image_id AND n.b = g.k GROUP BY 1),
+r AS (SELECT image_id, h, 0 AS k, {_PEAKS} AS p FROM c UNION ALL SELECT image_id, h, k, {_PEAKS} FROM (SELECT image_id, list_transform(range(1, {_BINS + 1}), lambda i: (h[greatest(i - 1, 1)] + h[i] + h[{_NEXT}]) / 3) AS h, k + 1 AS k FROM r WHERE len(p) > 2 AND k < 10000)), f AS (SELECT image_id, arg_max(h, k) AS h, arg_max(p, k) AS p FROM r GROUP BY 1)
+SELECT image_id, 0 AS y, 0 AS x, (CASE WHEN len(p) = 2 THEN p[1] - 1 + list_position(h[p[1]:p[2]], list_min(h[p[1]:p[2]])) - 1 ELSE -1 END)::DOUBLE AS v FROM f""")
+C.per_image("try_all_threshold", lambda x: np.nan_to_num(np.stack(list(vision.try_all_threshold((x + 1) / 2).values()), 1).astype(float), nan=-1.0))
+C.per_image("calibrate_denoiser", lambda x: np.stack(vision.calibrate_denoiser(x, filters.gaussian_filter, [{"sigma": 0.3}, {"sigma": 0.6}, {"sigma": 1.2}], 2), 1))
+
+
+def _simplified():
+    """A kernel: which points of each image's first row, as a line over its columns, stay under a tolerance."""
+    def kernel(x):
+        line = [np.stack([np.arange(8.0), i[0] * 10], 1) for i in x]
+        return [np.isin(np.arange(8.0), geometry.approximate_polygon(p, 0.8)[:, 0]).astype(float) for p in line]
+
+    return kernel
+
+
+C.per_image("approximate_polygon", _simplified())
