@@ -130,7 +130,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"
     rows.  Other columns are ignored, whatever their names.
     """
     bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if (bench.select(F.sum(F.regexp_count("text", F.lit(WORDS)) + 1)).first()[0] or 0) > block_words:
+    size = F.greatest(F.regexp_count("text", F.lit(WORDS)) + 1, F.octet_length("text") / 16)  # long runs of other characters count too
+    if (bench.select(F.sum(size)).first()[0] or 0) > block_words:
         return _joined(docs, bench, keep, into, window, gram)
     rows = bench.collect()  # at most block_words words
     shared = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))

@@ -130,3 +130,9 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix"
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Range-sorts the documents by training position; untaken ones come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def passes_in_order(mixed: DataFrame) -> DataFrame:
+    """One row per document and pass (0, 1, ...), range-sorted by the pass's training position."""
+    out = mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("pass", "position"))
+    return out.orderBy("position", "doc_id", "pass")
