@@ -73,13 +73,14 @@ def convolve1d(x, weights, axis=-1, mode="reflect", cval=0.0, origin=0):
 
 
 def _axes(x, value):
+    """One value per image axis: sizes, origins and boundary modes may be given for all axes or each."""
     return [value] * (x.ndim - 1) if np.isscalar(value) or value is None else list(value)
 
 
 def _padded(x, shape, mode, cval, origin):
     p = x
-    for axis, (size, o) in enumerate(zip(shape, _axes(x, origin)), 1):
-        p = extend(p, axis, *_reach(size, o), mode, cval)
+    for axis, (size, o, way) in enumerate(zip(shape, _axes(x, origin), _axes(x, mode)), 1):
+        p = extend(p, axis, *_reach(size, o), way, cval)
     return p
 
 
@@ -109,9 +110,9 @@ def uniform_filter1d(x, size=3, axis=-1, mode="reflect", cval=0.0, origin=0):
 def uniform_filter(x, size=3, mode="reflect", cval=0.0, origin=0):
     """A moving sum per axis: cost doesn't follow the size."""
     out = np.asarray(x, float)
-    for axis, (s, o) in enumerate(zip(_axes(x, size), _axes(x, origin)), 1):
+    for axis, (s, o, way) in enumerate(zip(_axes(x, size), _axes(x, origin), _axes(x, mode)), 1):
         if s > 1:
-            p = extend(out, axis, *_reach(s, o), mode, cval)
+            p = extend(out, axis, *_reach(s, o), way, cval)
             if s <= 8:
                 out = sum(_window(p, axis, k, x.shape[axis]) for k in range(s)) / s
             else:
@@ -139,18 +140,19 @@ def gaussian_filter1d(x, sigma=1.0, axis=-1, order=0, mode="reflect", cval=0.0,
 
 def gaussian_filter(x, sigma=1.0, order=0, mode="reflect", cval=0.0, truncate=4.0):
     out = np.asarray(x, float)
-    for axis, (s, o) in enumerate(zip(_axes(x, sigma), _axes(x, order)), 1):
+    for axis, (s, o, way) in enumerate(zip(_axes(x, sigma), _axes(x, order), _axes(x, mode)), 1):
         if s > 1e-15:
-            out = gaussian_filter1d(out, s, axis, o, mode, cval, truncate)
+            out = gaussian_filter1d(out, s, axis, o, way, cval, truncate)
     return out
 
 
 def directional(x, axis, smooth, edge=(-1, 0, 1), mode="reflect", cval=0.0):
     """Derivative along one image axis, smoothing along the others."""
-    out = correlate1d(x, edge, axis + 1, mode, cval)
+    modes = _axes(x, mode)
+    out = correlate1d(x, edge, axis + 1, modes[axis], cval)
     for other in range(1, x.ndim):
         if other != axis + 1:
-            out = correlate1d(out, smooth, other, mode, cval)
+            out = correlate1d(out, smooth, other, modes[other - 1], cval)
     return out
 
 
@@ -197,8 +199,8 @@ def _footprint(x, size, footprint):
 def _extreme(x, pick, size, footprint, mode, cval, origin, offsets=None):
     if footprint is None:
         out = x
-        for axis, (s, o) in enumerate(zip(_axes(x, size), _axes(x, origin)), 1):
-            p = extend(out, axis, *_reach(s, o), mode, cval)
+        for axis, (s, o, way) in enumerate(zip(_axes(x, size), _axes(x, origin), _axes(x, mode)), 1):
+            p = extend(out, axis, *_reach(s, o), way, cval)
             out = _window(p, axis, 0, x.shape[axis])
             for k in range(1, s):
                 out = pick(out, _window(p, axis, k, x.shape[axis]))

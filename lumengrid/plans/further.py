@@ -579,3 +579,45 @@ def _simplified():
 
 
 C.per_image("approximate_polygon", _simplified())
+
+# Parameters: fill values, origins, modes by axis, volumes ------------------------------------------------------------------------------
+
+f = filters
+C.on_images("uniform_filter_cval", lambda x: f.uniform_filter(x, 3, "constant", 0.5), T.pixels(T.step("px", "f", T.ONE, "(sum(q.v) + 0.5 * (9 - count(*))) / 9", "constant")))
+C.on_images("median_filter_cval", lambda x: f.median_filter(x, 3, None, "constant", -1.0), T.pixels(T.step("px", "f", T.ONE, "list_sort(list_concat(list(q.v), list_transform(range(0, 9 - count(*)), lambda k: -1.0::DOUBLE)))[5]", "constant")))
+C.on_images("maximum_filter_cval", lambda x: f.maximum_filter(x, 3, None, "constant", 0.1), T.pixels(T.step("px", "f", T.ONE, "CASE WHEN count(*) < 9 THEN greatest(max(q.v), 0.1) ELSE max(q.v) END", "constant")))
+C.on_images("uniform_filter_axis_modes", lambda x: f.uniform_filter(x, (3, 5), ("nearest", "wrap")), W.separable(W.taps([1 / 3] * 3, mode="nearest"), W.taps([0.2] * 5, mode="wrap")))
+C.on_images("gaussian_filter_axis_modes", lambda x: f.gaussian_filter(x, (0.7, 1.2), 0, ("mirror", "constant")), W.separable(W.taps(W.bell(0.7), mode="mirror"), W.taps(W.bell(1.2), mode="constant")))
+C.on_images("sobel_axis_modes", lambda x: f.sobel(x, 0, ("wrap", "nearest")), W.separable(W.taps(_DIFF, mode="wrap"), W.taps(_TRI, mode="nearest")))
+C.on_images("correlate1d_origin", lambda x: f.correlate1d(x, [1, -2, 4], 1, origin=1), T.linear([(-2, 0, 1), (-1, 0, -2), (0, 0, 4)]))
+C.on_images("convolve_origin", lambda x: f.convolve(x, [[1.0, 2.0, 0.5]], origin=(0, -1)), T.linear([(0, 0, 1), (0, -1, 2), (0, -2, 0.5)]))
+C.on_images("minimum_filter_origin", lambda x: f.minimum_filter(x, 3, origin=(1, -1)), T.pixels(T.step("px", "f", [(a, b, 1) for a in (-2, -1, 0) for b in (0, 1, 2)], "min(q.v)")))
+C.on_images("rank_filter_origin", lambda x: f.rank_filter(x, 4, (3, 3), None, "mirror", 0.0, (0, 1)), T.pixels(T.step("px", "f", [(a, b, 1) for a in (-1, 0, 1) for b in (-2, -1, 0)], "list_sort(list(q.v))[5]", "mirror")))
+
+_CUBES = f"c AS MATERIALIZED (SELECT image_id, y * 8 + x AS p, (y * 8 + x) // 16 AS a, ((y * 8 + x) // 4) % 4 AS b, (y * 8 + x) % 4 AS c, v FROM (WITH {T.PX} SELECT * FROM px))"
+_REACH3 = ", ".join(f"({o}, {k}, {W.fold(o + k, 4, 'reflect')})" for o in range(4) for k in (-1, 0, 1))
+
+
+def _stencil(name: str, kernel, value: str) -> None:
+    """A 3x3x3 window over the embeddings as 4x4x4 volumes, reflected at the faces."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        cubes = embedding_images(spark, sf).select("image_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "img")
+        return map_images(cubes, kernel).select("image_id", F.posexplode("img").alias("p", "_v")).select("image_id", "p", (F.round("_v", 6) + F.lit(0.0)).alias("v"))
+
+    C.register(name, query, f"WITH {_CUBES}, t(o, k, i) AS (VALUES {_REACH3}) SELECT p.image_id, p.p::INT AS p, round({value}, 6) + 0.0 AS v FROM c p JOIN t ta ON ta.o = p.a JOIN t tb ON tb.o = p.b JOIN t tc ON tc.o = p.c JOIN c q ON q.image_id = p.image_id AND q.a = ta.i AND q.b = tb.i AND q.c = tc.i GROUP BY 1, 2")
+
+
+_stencil("uniform_filter_3d", f.uniform_filter, "sum(q.v) / 27")
+_stencil("median_filter_3d", f.median_filter, "list_sort(list(q.v))[14]")
+_stencil("sobel_3d", lambda x: f.sobel(x, 1), "sum(q.v * tb.k * (2 - abs(ta.k)) * (2 - abs(tc.k)))")
+_stencil("laplace_3d", f.laplace, "sum(q.v * CASE abs(ta.k) + abs(tb.k) + abs(tc.k) WHEN 0 THEN -6 WHEN 1 THEN 1 ELSE 0 END)")
+_stencil("grey_erosion_3d", lambda x: m.grey_erosion(x, 3), "min(q.v)")
+_stencil("grey_dilation_3d", lambda x: m.grey_dilation(x, footprint=m.generate_binary_structure(3, 2)), "max(CASE WHEN abs(ta.k) + abs(tb.k) + abs(tc.k) <= 2 THEN q.v END)")
+
+
+def _label_volumes(spark: SparkSession, sf: str) -> DataFrame:
+    cubes = embedding_images(spark, sf).select("image_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "img")
+    return map_images(cubes, lambda x: m.label(x > 0)).select("image_id", F.posexplode("img").alias("p", "_v")).select("image_id", "p", F.col("_v").cast("int").alias("label"))
+
+
+C.register("label_3d", _label_volumes, f"WITH RECURSIVE {_CUBES}, mx AS MATERIALIZED (SELECT * FROM c WHERE v > 0), r AS (SELECT image_id, a, b, c, p, p AS root FROM mx UNION SELECT n.image_id, n.a, n.b, n.c, n.p, r.root FROM r JOIN mx n ON n.image_id = r.image_id AND abs(n.a - r.a) + abs(n.b - r.b) + abs(n.c - r.c) = 1 WHERE r.root < n.p), l AS (SELECT image_id, p, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, p, min(root) AS root FROM r GROUP BY 1, 2)) SELECT c.image_id, c.p::INT AS p, coalesce(l.label, 0)::INT AS label FROM c LEFT JOIN l ON l.image_id = c.image_id AND l.p = c.p")
