@@ -86,11 +86,23 @@ for _name, _smooth in (("sobel", f.SOBEL), ("scharr", f.SCHARR), ("prewitt", f.P
     on_images(_name, lambda x, s=_smooth: f.edge_magnitude(x, s), _magnitude(_smooth))
     on_images(f"{_name}_h", lambda x, s=_smooth: f._edge(x, 0, s), T.linear(T.outer([(k, w / 2) for k, w in _EDGE], [(k, w / sum(_smooth)) for k, w in _tap(_smooth)])))
     on_images(f"{_name}_v", lambda x, s=_smooth: f._edge(x, 1, s), T.linear(T.outer([(k, w / sum(_smooth)) for k, w in _tap(_smooth)], [(k, w / 2) for k, w in _EDGE])))
-on_images("farid", f.farid, T.two(T.step("px", "a", T.outer(_tap(f.FARID_EDGE), _tap(f.FARID_SMOOTH))), T.step("px", "b", T.outer(_tap(f.FARID_SMOOTH), _tap(f.FARID_EDGE))), "sqrt((a.v * a.v + b.v * b.v) / 2)"))
+on_images(
+    "farid",
+    f.farid,
+    T.two(T.step("px", "a", T.outer(_tap(f.FARID_EDGE), _tap(f.FARID_SMOOTH))), T.step("px", "b", T.outer(_tap(f.FARID_SMOOTH), _tap(f.FARID_EDGE))), "sqrt((a.v * a.v + b.v * b.v) / 2)"),
+)
 on_images("roberts", f.roberts, T.two(T.step("px", "a", [(0, 0, 1), (1, 1, -1)]), T.step("px", "b", [(1, 0, 1), (0, 1, -1)]), "sqrt(a.v * a.v + b.v * b.v) / sqrt(2.0)"))
-on_images("gaussian_gradient_magnitude", lambda x: f.gaussian_gradient_magnitude(x, 0.7), T.two(T.step("px", "a", T.outer(_g(0.7, 1), _g(0.7))), T.step("px", "b", T.outer(_g(0.7), _g(0.7, 1))), "sqrt(a.v * a.v + b.v * b.v)"))
+on_images(
+    "gaussian_gradient_magnitude",
+    lambda x: f.gaussian_gradient_magnitude(x, 0.7),
+    T.two(T.step("px", "a", T.outer(_g(0.7, 1), _g(0.7))), T.step("px", "b", T.outer(_g(0.7), _g(0.7, 1))), "sqrt(a.v * a.v + b.v * b.v)"),
+)
 on_images("unsharp_mask", lambda x: f.unsharp_mask(x, 0.7, 2.0), T.two(T.step("px", "a", T.outer(_g(0.7), _g(0.7))), T.step("px", "b", [(0, 0, 1)]), "p.v + 2.0 * (p.v - a.v)"))
-on_images("gradient", lambda x: f.gradient(x, 1), f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round((b.v - a.v) / (b.y - a.y), 6) + 0.0 AS v FROM px p JOIN px a ON a.image_id = p.image_id AND a.x = p.x AND a.y = greatest(p.y - 1, 0) JOIN px b ON b.image_id = p.image_id AND b.x = p.x AND b.y = least(p.y + 1, 7)")
+on_images(
+    "gradient",
+    lambda x: f.gradient(x, 1),
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round((b.v - a.v) / (b.y - a.y), 6) + 0.0 AS v FROM px p JOIN px a ON a.image_id = p.image_id AND a.x = p.x AND a.y = greatest(p.y - 1, 0) JOIN px b ON b.image_id = p.image_id AND b.x = p.x AND b.y = least(p.y + 1, 7)",
+)
 on_images("wiener_local", f.wiener_local)
 on_images("gabor", lambda x: f.gabor(x, 0.3)[0])
 on_images("lpi_filter", lambda x: signal.through_fft(x, lambda s: s * signal.ir2tf(np.full((3, 3), 1 / 9), x.shape[1:])), T.linear(T.BOX, "wrap"))
@@ -143,8 +155,16 @@ on_images("find_boundaries", lambda x: m.find_boundaries(m.label(x > 0)))
 _MASK = "mx AS (SELECT image_id, y, x FROM px WHERE v > 0)"
 _REACH = "r AS (SELECT image_id, y, x, y * 8 + x AS root FROM mx UNION SELECT n.image_id, n.y, n.x, r.root FROM r JOIN mx n ON n.image_id = r.image_id AND abs(n.y - r.y) + abs(n.x - r.x) = 1 WHERE r.root < n.y * 8 + n.x)"
 _LABELS = f"WITH RECURSIVE {T.PX}, {_MASK}, {_REACH}, l AS (SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, y, x, min(root) AS root FROM r GROUP BY 1, 2, 3))"
-on_images("label", lambda x: m.label(x > 0), f"{_LABELS} SELECT px.image_id, px.y, px.x, coalesce(l.label, 0)::DOUBLE AS v FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x")
-on_images("apply_hysteresis_threshold", lambda x: m.hysteresis(x, 0.0, 0.2), f"{_LABELS} SELECT px.image_id, px.y, px.x, CASE WHEN max(CASE WHEN l.label IS NOT NULL THEN px.v END) OVER (PARTITION BY px.image_id, l.label) > 0.2 THEN 1.0 ELSE 0.0 END AS v FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x")
+on_images(
+    "label",
+    lambda x: m.label(x > 0),
+    f"{_LABELS} SELECT px.image_id, px.y, px.x, coalesce(l.label, 0)::DOUBLE AS v FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x",
+)
+on_images(
+    "apply_hysteresis_threshold",
+    lambda x: m.hysteresis(x, 0.0, 0.2),
+    f"{_LABELS} SELECT px.image_id, px.y, px.x, CASE WHEN max(CASE WHEN l.label IS NOT NULL THEN px.v END) OVER (PARTITION BY px.image_id, l.label) > 0.2 THEN 1.0 ELSE 0.0 END AS v FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x",
+)
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,30 +221,107 @@ def _hist(spark: SparkSession, sf: str) -> DataFrame:
     return levels(spark, sf).groupBy("image_id", F.col("q").alias("bin")).agg(F.count("*").alias("n"))
 
 
-register("histogram", lambda spark, sf: histograms.histogram(image_pixels(spark, sf), 16, -1.0, 1.0), f"WITH {T.PX} SELECT image_id, least(floor((v + 1) / 2.0 * 16), 15)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY 1, 2")
-register("cumulative_distribution", lambda spark, sf: histograms.cumulative_distribution(_hist(spark, sf)).select("image_id", "bin", "n", F.round("cdf", 9).alias("cdf")), _H + " SELECT image_id, bin, n, round(sum(n) OVER (PARTITION BY image_id ORDER BY bin) / sum(n) OVER (PARTITION BY image_id), 9) AS cdf FROM h")
-register("threshold_otsu", lambda spark, sf: histograms.threshold_otsu(_hist(spark, sf)), _H + _RUN + ", c AS (SELECT image_id, bin, round(w0 * (wa - w0) * (s0 / w0 - (sa - s0) / (wa - w0)) * (s0 / w0 - (sa - s0) / (wa - w0)), 6) AS score FROM r WHERE wa > w0), m AS (SELECT image_id, max(score) AS score FROM c GROUP BY 1), b AS (SELECT c.image_id, min(c.bin) AS t FROM c JOIN m ON c.image_id = m.image_id AND c.score = m.score GROUP BY 1) SELECT h.image_id, coalesce(min(b.t), max(h.bin)) AS threshold FROM h LEFT JOIN b ON b.image_id = h.image_id GROUP BY 1")
-register("threshold_isodata", lambda spark, sf: histograms.threshold_isodata(_hist(spark, sf)), _H + _RUN + ", c AS (SELECT image_id, bin, coalesce(nb, bin + 1) AS nb, CASE WHEN wa > w0 THEN floor((s0 / w0 + (sa - s0) / (wa - w0)) / 2) END AS t FROM r) SELECT image_id, coalesce(min(CASE WHEN t >= bin AND t < nb THEN t END), max(bin))::INT AS threshold FROM c GROUP BY 1")
+register(
+    "histogram",
+    lambda spark,
+    sf: histograms.histogram(image_pixels(spark, sf), 16, -1.0, 1.0),
+    f"WITH {T.PX} SELECT image_id, least(floor((v + 1) / 2.0 * 16), 15)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY 1, 2",
+)
+register(
+    "cumulative_distribution",
+    lambda spark,
+    sf: histograms.cumulative_distribution(_hist(spark, sf)).select("image_id", "bin", "n", F.round("cdf", 9).alias("cdf")),
+    _H + " SELECT image_id, bin, n, round(sum(n) OVER (PARTITION BY image_id ORDER BY bin) / sum(n) OVER (PARTITION BY image_id), 9) AS cdf FROM h",
+)
+register(
+    "threshold_otsu",
+    lambda spark,
+    sf: histograms.threshold_otsu(_hist(spark, sf)),
+    _H + _RUN + ", c AS (SELECT image_id, bin, round(w0 * (wa - w0) * (s0 / w0 - (sa - s0) / (wa - w0)) * (s0 / w0 - (sa - s0) / (wa - w0)), 6) AS score FROM r WHERE wa > w0), m AS (SELECT image_id, max(score) AS score FROM c GROUP BY 1), b AS (SELECT c.image_id, min(c.bin) AS t FROM c JOIN m ON c.image_id = m.image_id AND c.score = m.score GROUP BY 1) SELECT h.image_id, coalesce(min(b.t), max(h.bin)) AS threshold FROM h LEFT JOIN b ON b.image_id = h.image_id GROUP BY 1",
+)
+register(
+    "threshold_isodata",
+    lambda spark,
+    sf: histograms.threshold_isodata(_hist(spark, sf)),
+    _H + _RUN + ", c AS (SELECT image_id, bin, coalesce(nb, bin + 1) AS nb, CASE WHEN wa > w0 THEN floor((s0 / w0 + (sa - s0) / (wa - w0)) / 2) END AS t FROM r) SELECT image_id, coalesce(min(CASE WHEN t >= bin AND t < nb THEN t END), max(bin))::INT AS threshold FROM c GROUP BY 1",
+)
 register("threshold_yen", lambda spark, sf: histograms.threshold_yen(_hist(spark, sf)))
-register("threshold_mean", lambda spark, sf: histograms.threshold_mean(image_pixels(spark, sf)).select("image_id", (F.round("threshold", 9) + F.lit(0.0)).alias("threshold")), f"WITH {T.PX} SELECT image_id, round(avg(v), 9) + 0.0 AS threshold FROM px GROUP BY 1")
-register("shannon_entropy", lambda spark, sf: histograms.shannon_entropy(levels(spark, sf)).select("image_id", F.round("entropy", 9).alias("entropy")), _H + ", p AS (SELECT image_id, n / sum(n) OVER (PARTITION BY image_id) AS p FROM h) SELECT image_id, round(-sum(p * ln(p)) / ln(2.0), 9) AS entropy FROM p GROUP BY 1")
+register(
+    "threshold_mean",
+    lambda spark,
+    sf: histograms.threshold_mean(image_pixels(spark, sf)).select("image_id", (F.round("threshold", 9) + F.lit(0.0)).alias("threshold")),
+    f"WITH {T.PX} SELECT image_id, round(avg(v), 9) + 0.0 AS threshold FROM px GROUP BY 1",
+)
+register(
+    "shannon_entropy",
+    lambda spark,
+    sf: histograms.shannon_entropy(levels(spark, sf)).select("image_id", F.round("entropy", 9).alias("entropy")),
+    _H + ", p AS (SELECT image_id, n / sum(n) OVER (PARTITION BY image_id) AS p FROM h) SELECT image_id, round(-sum(p * ln(p)) / ln(2.0), 9) AS entropy FROM p GROUP BY 1",
+)
 register("equalize_hist", lambda spark, sf: histograms.equalize_hist(image_pixels(spark, sf), 64, -1.0, 1.0).select("image_id", "y", "x", F.round("eq", 6).alias("v")))
-register("match_histograms", lambda spark, sf: histograms.match_histograms(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("double").alias("v")), levels(spark, sf).select(F.col("q").cast("double").alias("v"))).select("image_id", "y", "x", (F.round("matched", 6) + F.lit(0.0)).alias("v")))
+register(
+    "match_histograms",
+    lambda spark,
+    sf: histograms.match_histograms(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("double").alias("v")), levels(spark, sf).select(F.col("q").cast("double").alias("v"))).select("image_id", "y", "x", (F.round("matched", 6) + F.lit(0.0)).alias("v")),
+)
 for _name, _kernel in (("threshold_li", vision.threshold_li), ("threshold_multiotsu", lambda x: [vision.threshold_multiotsu(np.bincount(q, minlength=256)) for q in np.clip(np.floor((x.reshape(len(x), -1) + 1) / 2 * 255.5), 0, 255).astype(int)]), ("threshold_triangle", lambda x: [vision.threshold_triangle(np.bincount(q, minlength=256)) for q in np.clip(np.floor((x.reshape(len(x), -1) + 1) / 2 * 255.5), 0, 255).astype(int)])):
     per_image(_name, _kernel)
 for _name, _kernel in (("threshold_local", lambda x: vision.threshold_local(x, 3, "mean")), ("threshold_niblack", lambda x: vision.threshold_niblack(x, 3)), ("threshold_sauvola", lambda x: vision.threshold_sauvola(x, 3)), ("equalize_adapthist", vision.equalize_adapthist)):
-    on_images(_name, _kernel, T.linear(T.BOX) if _name == "threshold_local" else T.pixels(T.step("px", "f", [(a, b, 1) for a, b, _ in T.BOX], "avg(q.v) - 0.2 * sqrt(greatest(avg(q.v * q.v) - avg(q.v) * avg(q.v), 0))", "mirror")) if _name == "threshold_niblack" else None)
+    on_images(
+        _name,
+        _kernel,
+        T.linear(T.BOX) if _name == "threshold_local" else T.pixels(T.step("px", "f", [(a, b, 1) for a, b, _ in T.BOX], "avg(q.v) - 0.2 * sqrt(greatest(avg(q.v * q.v) - avg(q.v) * avg(q.v), 0))", "mirror")) if _name == "threshold_niblack" else None,
+    )
 
 # Pixel windows, blocks, pairs ------------------------------------------------------
 
-register("integral_image", lambda spark, sf: regions.integral_image(image_pixels(spark, sf)).select("image_id", "y", "x", (F.round("integral", 6) + F.lit(0.0)).alias("v")), f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(sum(q.v), 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y <= p.y AND q.x <= p.x GROUP BY 1, 2, 3")
-register("block_reduce", lambda spark, sf: regions.block_reduce(image_pixels(spark, sf), (2, 4), F.max).select("image_id", "y", "x", F.round("v", 6).alias("v")), f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 4)::INT AS x, round(max(v), 6) AS v FROM px GROUP BY ALL")
-on_images("downscale_local_mean", lambda x: interpolate.downscale_local_mean(x, (2, 2)), f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(v), 6) + 0.0 AS v FROM px GROUP BY ALL")
-register("rank_order", lambda spark, sf: regions.rank_order(levels(spark, sf), "image_id", "q").select("image_id", "y", "x", "rank"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY q) - 1 AS rank FROM qx")
-register("map_array", lambda spark, sf: regions.map_array(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v")), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("in_val"), F.col("p_size").alias("out_val"))).select("image_id", "y", "x", F.col("v").cast("int").alias("v")), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, coalesce(p_size, 0)::INT AS v FROM qx LEFT JOIN part ON p_partkey = q")
-register("relabel_sequential", lambda spark, sf: regions.relabel_sequential(levels(spark, sf).withColumn("label", F.floor(F.col("q") / 8).cast("int"))).select("image_id", "y", "x", "new_label"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, CASE WHEN q // 8 = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY image_id ORDER BY q // 8) END AS new_label FROM qx")
-register("join_segmentations", lambda spark, sf: regions.join_segmentations(levels(spark, sf).withColumn("a", (F.col("q") > 127).cast("int")).withColumn("b", F.floor(F.col("y") / 4).cast("int")), "a", "b").select("image_id", "y", "x", "joint"), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY (q > 127)::INT, y // 4) AS joint FROM qx")
-register("remove_small_objects", lambda spark, sf: regions.remove_small_objects(_labelled(spark, sf), 4).select("image_id", "y", "x", "label"), _LABELS + " SELECT px.image_id, px.y, px.x, CASE WHEN l.label IS NULL OR count(l.label) OVER (PARTITION BY px.image_id, l.label) < 4 THEN 0 ELSE l.label END AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x")
+register(
+    "integral_image",
+    lambda spark,
+    sf: regions.integral_image(image_pixels(spark, sf)).select("image_id", "y", "x", (F.round("integral", 6) + F.lit(0.0)).alias("v")),
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(sum(q.v), 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y <= p.y AND q.x <= p.x GROUP BY 1, 2, 3",
+)
+register(
+    "block_reduce",
+    lambda spark,
+    sf: regions.block_reduce(image_pixels(spark, sf), (2, 4), F.max).select("image_id", "y", "x", F.round("v", 6).alias("v")),
+    f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 4)::INT AS x, round(max(v), 6) AS v FROM px GROUP BY ALL",
+)
+on_images(
+    "downscale_local_mean",
+    lambda x: interpolate.downscale_local_mean(x, (2, 2)),
+    f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(v), 6) + 0.0 AS v FROM px GROUP BY ALL",
+)
+register(
+    "rank_order",
+    lambda spark,
+    sf: regions.rank_order(levels(spark, sf), "image_id", "q").select("image_id", "y", "x", "rank"),
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY q) - 1 AS rank FROM qx",
+)
+register(
+    "map_array",
+    lambda spark,
+    sf: regions.map_array(levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v")), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("in_val"), F.col("p_size").alias("out_val"))).select("image_id", "y", "x", F.col("v").cast("int").alias("v")),
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, coalesce(p_size, 0)::INT AS v FROM qx LEFT JOIN part ON p_partkey = q",
+)
+register(
+    "relabel_sequential",
+    lambda spark,
+    sf: regions.relabel_sequential(levels(spark, sf).withColumn("label", F.floor(F.col("q") / 8).cast("int"))).select("image_id", "y", "x", "new_label"),
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, CASE WHEN q // 8 = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY image_id ORDER BY q // 8) END AS new_label FROM qx",
+)
+register(
+    "join_segmentations",
+    lambda spark,
+    sf: regions.join_segmentations(levels(spark, sf).withColumn("a", (F.col("q") > 127).cast("int")).withColumn("b", F.floor(F.col("y") / 4).cast("int")), "a", "b").select("image_id", "y", "x", "joint"),
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY (q > 127)::INT, y // 4) AS joint FROM qx",
+)
+register(
+    "remove_small_objects",
+    lambda spark,
+    sf: regions.remove_small_objects(_labelled(spark, sf), 4).select("image_id", "y", "x", "label"),
+    _LABELS + " SELECT px.image_id, px.y, px.x, CASE WHEN l.label IS NULL OR count(l.label) OVER (PARTITION BY px.image_id, l.label) < 4 THEN 0 ELSE l.label END AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x",
+)
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +336,11 @@ def _pair_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return regions.pair_metrics(half(0), half(1), 2.0).select("image_id", *[F.round(c, 6).alias(c) for c in ("mse", "nrmse", "psnr")])
 
 
-register("image_metrics", _pair_metrics, f"WITH {T.PX}, j AS (SELECT (p.image_id // 2) AS image_id, p.v AS p, q.v AS q FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0), g AS (SELECT image_id, avg((p - q) * (p - q)) AS mse, avg(p * p) AS pp FROM j GROUP BY 1) SELECT image_id, round(mse, 6) AS mse, round(sqrt(mse) / sqrt(pp), 6) AS nrmse, round(10 * log10(4.0 / mse), 6) AS psnr FROM g")
+register(
+    "image_metrics",
+    _pair_metrics,
+    f"WITH {T.PX}, j AS (SELECT (p.image_id // 2) AS image_id, p.v AS p, q.v AS q FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0), g AS (SELECT image_id, avg((p - q) * (p - q)) AS mse, avg(p * p) AS pp FROM j GROUP BY 1) SELECT image_id, round(mse, 6) AS mse, round(sqrt(mse) / sqrt(pp), 6) AS nrmse, round(10 * log10(4.0 / mse), 6) AS psnr FROM g",
+)
 on_pairs = lambda name, kernel: register(name, lambda spark, sf: pixels(map_pairs(_pairs(spark, sf), kernel, ["image_id"])))
 on_pairs("structural_similarity", lambda a, b: vision.structural_similarity(a, b, 3).reshape(-1, 1, 1))
 on_pairs("phase_cross_correlation", lambda a, b: vision.phase_cross_correlation(a, b, 4).reshape(len(a), 1, 2))
@@ -248,8 +349,16 @@ on_pairs("optical_flow_tvl1", lambda a, b: vision.optical_flow_tvl1(a, b, warps=
 
 # Gathers, spectra, features, restoration -------------------------------------------
 
-on_images("shift_nearest", lambda x: interpolate.shift(x, (1, -2), 0, "nearest"), f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = greatest(p.y - 1, 0) AND q.x = least(p.x + 2, 7)")
-on_images("shift_linear", lambda x: interpolate.shift(x, (0.25, 0), 1, "nearest"), f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(0.75 * p.v + 0.25 * q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = greatest(p.y - 1, 0) AND q.x = p.x")
+on_images(
+    "shift_nearest",
+    lambda x: interpolate.shift(x, (1, -2), 0, "nearest"),
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = greatest(p.y - 1, 0) AND q.x = least(p.x + 2, 7)",
+)
+on_images(
+    "shift_linear",
+    lambda x: interpolate.shift(x, (0.25, 0), 1, "nearest"),
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(0.75 * p.v + 0.25 * q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = greatest(p.y - 1, 0) AND q.x = p.x",
+)
 for _name, _kernel in {
     "shift_cubic": lambda x: interpolate.shift(x, (0.5, 0.5), 3, "mirror"), "zoom": lambda x: interpolate.zoom(x, 2, 1), "rotate": lambda x: interpolate.rotate(x, 30, False, 1), "affine_transform": lambda x: interpolate.affine_transform(x, [[1, 0.1], [0.1, 1]], 0, None, 1),
     "map_coordinates": lambda x: interpolate.map_coordinates(x, np.indices((8, 8)) * 0.9, 3, "mirror"), "spline_filter": interpolate.spline_filter, "warp": lambda x: interpolate.warp(x, [[1, 0, 0.5], [0, 1, -0.5], [0, 0, 1]]), "warp_polar": interpolate.warp_polar, "swirl": lambda x: interpolate.swirl(x, strength=2, radius=5),
@@ -262,12 +371,24 @@ for _name, _kernel in {
     "morphological_chan_vese": lambda x: vision.morphological_chan_vese(x, 5), "morphological_geodesic_active_contour": lambda x: vision.morphological_geodesic_active_contour(vision.inverse_gaussian_gradient(x, 10, 1), 5), "random_noise": vision.random_noise,
 }.items():
     on_images(_name, _kernel)
-on_images("fourier_shift", lambda x: signal.through_fft(x, lambda s: signal.fourier_shift(s, (1, 2))), f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = (p.y + 7) % 8 AND q.x = (p.x + 6) % 8")
+on_images(
+    "fourier_shift",
+    lambda x: signal.through_fft(x, lambda s: signal.fourier_shift(s, (1, 2))),
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x, round(q.v, 6) + 0.0 AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = (p.y + 7) % 8 AND q.x = (p.x + 6) % 8",
+)
 on_images("convolve2d", lambda x: signal.convolve2d(x, np.ones((3, 3)), "same"), T.linear(T.ONE, "constant"))
-on_images("correlate_valid", lambda x: signal.correlate(x, np.ones((3, 3)), "valid", "direct"), T.linear(T.ONE, "constant").replace("FROM f", "FROM (SELECT image_id, (y - 1)::INT AS y, (x - 1)::INT AS x, v FROM f WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6)"))
+on_images(
+    "correlate_valid",
+    lambda x: signal.correlate(x, np.ones((3, 3)), "valid", "direct"),
+    T.linear(T.ONE, "constant").replace("FROM f", "FROM (SELECT image_id, (y - 1)::INT AS y, (x - 1)::INT AS x, v FROM f WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6)"),
+)
 per_image("perimeter", lambda x: vision.perimeter(x > 0))
 per_image("perimeter_crofton", lambda x: vision.perimeter_crofton(x > 0))
-per_image("euler_number", lambda x: vision.euler_number(x > 0, 1), f"WITH {T.PX}, b AS (SELECT image_id, y, x FROM px WHERE v > 0), i AS (SELECT DISTINCT image_id FROM px), v AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1), e AS (SELECT a.image_id, count(*) AS n FROM b a JOIN b c ON a.image_id = c.image_id AND (c.y = a.y AND c.x = a.x + 1 OR c.x = a.x AND c.y = a.y + 1) GROUP BY 1), f AS (SELECT a.image_id, count(*) AS n FROM b a JOIN b c ON c.image_id = a.image_id AND c.y = a.y + 1 AND c.x = a.x JOIN b d ON d.image_id = a.image_id AND d.y = a.y AND d.x = a.x + 1 JOIN b g ON g.image_id = a.image_id AND g.y = a.y + 1 AND g.x = a.x + 1 GROUP BY 1) SELECT i.image_id, 0 AS y, 0 AS x, (coalesce(v.n, 0) - coalesce(e.n, 0) + coalesce(f.n, 0))::DOUBLE AS v FROM i LEFT JOIN v USING (image_id) LEFT JOIN e USING (image_id) LEFT JOIN f USING (image_id)")
+per_image(
+    "euler_number",
+    lambda x: vision.euler_number(x > 0, 1),
+    f"WITH {T.PX}, b AS (SELECT image_id, y, x FROM px WHERE v > 0), i AS (SELECT DISTINCT image_id FROM px), v AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1), e AS (SELECT a.image_id, count(*) AS n FROM b a JOIN b c ON a.image_id = c.image_id AND (c.y = a.y AND c.x = a.x + 1 OR c.x = a.x AND c.y = a.y + 1) GROUP BY 1), f AS (SELECT a.image_id, count(*) AS n FROM b a JOIN b c ON c.image_id = a.image_id AND c.y = a.y + 1 AND c.x = a.x JOIN b d ON d.image_id = a.image_id AND d.y = a.y AND d.x = a.x + 1 JOIN b g ON g.image_id = a.image_id AND g.y = a.y + 1 AND g.x = a.x + 1 GROUP BY 1) SELECT i.image_id, 0 AS y, 0 AS x, (coalesce(v.n, 0) - coalesce(e.n, 0) + coalesce(f.n, 0))::DOUBLE AS v FROM i LEFT JOIN v USING (image_id) LEFT JOIN e USING (image_id) LEFT JOIN f USING (image_id)",
+)
 
 
 def _peaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +403,11 @@ def _peaks(spark: SparkSession, sf: str) -> DataFrame:
     return pixels(map_images(images, kernel)).where("v > 0").select("image_id", "y", "x")
 
 
-register("peak_local_max", _peaks, f"WITH {T.PX}, n AS (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo FROM px) SELECT p.image_id, p.y, p.x FROM n p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v, p.lo HAVING p.v = max(q.v) AND p.v > p.lo")
+register(
+    "peak_local_max",
+    _peaks,
+    f"WITH {T.PX}, n AS (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo FROM px) SELECT p.image_id, p.y, p.x FROM n p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v, p.lo HAVING p.v = max(q.v) AND p.v > p.lo",
+)
 
 
 def _signal(name: str, kernel, sql: str | None = None) -> None:
@@ -294,8 +419,16 @@ def _signal(name: str, kernel, sql: str | None = None) -> None:
 
 
 _S = "s AS (SELECT user_id AS image_id, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600)::INT AS t, sum(value) AS v FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT image_id FROM s WHERE t BETWEEN 0 AND 719), d AS (SELECT u.image_id, g.t::INT AS t, coalesce(s.v, 0) AS v FROM u CROSS JOIN range(0, 720) AS g(t) LEFT JOIN s ON s.image_id = u.image_id AND s.t = g.t)"
-_signal("signal_convolve", lambda x: signal.convolve(x, [1.0, 2.0, 3.0], "full", "direct"), f"WITH {_S}, k(j, w) AS (VALUES (0, 1.0), (1, 2.0), (2, 3.0)) SELECT image_id, (t + j)::INT AS t, round(sum(v * w), 6) + 0.0 AS v FROM d CROSS JOIN k GROUP BY 1, 2")
-_signal("upfirdn", lambda x: signal.upfirdn([1.0, 1.0, 0.5], x, 2, 3), f"WITH {_S}, k(j, w) AS (VALUES (0, 1.0), (1, 1.0), (2, 0.5)), f AS (SELECT image_id, t * 2 + j AS n, sum(v * w) AS v FROM d CROSS JOIN k GROUP BY 1, 2), u2 AS (SELECT DISTINCT image_id FROM d) SELECT u2.image_id, g.t::INT AS t, round(coalesce(f.v, 0), 6) + 0.0 AS v FROM u2 CROSS JOIN range(0, 481) AS g(t) LEFT JOIN f ON f.image_id = u2.image_id AND f.n = g.t * 3 WHERE g.t * 3 <= 719 * 2 + 2")
+_signal(
+    "signal_convolve",
+    lambda x: signal.convolve(x, [1.0, 2.0, 3.0], "full", "direct"),
+    f"WITH {_S}, k(j, w) AS (VALUES (0, 1.0), (1, 2.0), (2, 3.0)) SELECT image_id, (t + j)::INT AS t, round(sum(v * w), 6) + 0.0 AS v FROM d CROSS JOIN k GROUP BY 1, 2",
+)
+_signal(
+    "upfirdn",
+    lambda x: signal.upfirdn([1.0, 1.0, 0.5], x, 2, 3),
+    f"WITH {_S}, k(j, w) AS (VALUES (0, 1.0), (1, 1.0), (2, 0.5)), f AS (SELECT image_id, t * 2 + j AS n, sum(v * w) AS v FROM d CROSS JOIN k GROUP BY 1, 2), u2 AS (SELECT DISTINCT image_id FROM d) SELECT u2.image_id, g.t::INT AS t, round(coalesce(f.v, 0), 6) + 0.0 AS v FROM u2 CROSS JOIN range(0, 481) AS g(t) LEFT JOIN f ON f.image_id = u2.image_id AND f.n = g.t * 3 WHERE g.t * 3 <= 719 * 2 + 2",
+)
 _signal("hilbert_envelope", signal.envelope)
 _signal("resample", lambda x: signal.resample(x, 360))
 _signal("resample_poly", lambda x: signal.resample_poly(x, 2, 3))
@@ -350,9 +483,24 @@ def _scalars(name: str, columns, sql: dict[str, str] | None) -> None:
     register(name, query, text)
 
 
-_scalars("special_functions", lambda _a, _b: {"entr": scalar.entr(_a), "rel_entr": scalar.rel_entr(_a, _b), "kl_div": scalar.kl_div(_a, _b), "huber": scalar.huber(_b, _a), "pseudo_huber": scalar.pseudo_huber(_b, _a)}, {"entr": "-a * ln(a)", "rel_entr": "a * ln(a / b)", "kl_div": "a * ln(a / b) - a + b", "huber": "CASE WHEN a <= b THEN 0.5 * a * a ELSE b * (a - 0.5 * b) END", "pseudo_huber": "b * b * (sqrt(1 + (a / b) * (a / b)) - 1)"})
-_scalars("intensity_adjust", lambda _a, _b: {"gamma": scalar.adjust_gamma(_a, 2.2), "log": scalar.adjust_log(_a), "sigmoid": scalar.adjust_sigmoid(_a), "rescale": scalar.rescale_intensity(_a, 0.2, 0.8, 0.0, 1.0), "invert": scalar.invert(_a)}, {"gamma": "pow(a, 2.2)", "log": "log2(1 + a)", "sigmoid": "1 / (1 + exp(10 * (0.5 - a)))", "rescale": "(least(greatest(a, 0.2), 0.8) - 0.2) / (0.8::DOUBLE - 0.2::DOUBLE)", "invert": "1 - a"})
-_scalars("dtype_convert", lambda _a, _b: {"ubyte": scalar.img_as_ubyte(_a), "uint16": scalar.img_as_uint(_a), "int16": scalar.img_as_int(_a), "flag": scalar.img_as_bool(_a).cast("double")}, {"ubyte": "round_even(a * 255, 0)", "uint16": "round_even(a * 65535, 0)", "int16": "round_even(a * 32767, 0)", "flag": "(a > 0.5)::INT::DOUBLE"})
+_scalars(
+    "special_functions",
+    lambda _a,
+    _b: {"entr": scalar.entr(_a), "rel_entr": scalar.rel_entr(_a, _b), "kl_div": scalar.kl_div(_a, _b), "huber": scalar.huber(_b, _a), "pseudo_huber": scalar.pseudo_huber(_b, _a)},
+    {"entr": "-a * ln(a)", "rel_entr": "a * ln(a / b)", "kl_div": "a * ln(a / b) - a + b", "huber": "CASE WHEN a <= b THEN 0.5 * a * a ELSE b * (a - 0.5 * b) END", "pseudo_huber": "b * b * (sqrt(1 + (a / b) * (a / b)) - 1)"},
+)
+_scalars(
+    "intensity_adjust",
+    lambda _a,
+    _b: {"gamma": scalar.adjust_gamma(_a, 2.2), "log": scalar.adjust_log(_a), "sigmoid": scalar.adjust_sigmoid(_a), "rescale": scalar.rescale_intensity(_a, 0.2, 0.8, 0.0, 1.0), "invert": scalar.invert(_a)},
+    {"gamma": "pow(a, 2.2)", "log": "log2(1 + a)", "sigmoid": "1 / (1 + exp(10 * (0.5 - a)))", "rescale": "(least(greatest(a, 0.2), 0.8) - 0.2) / (0.8::DOUBLE - 0.2::DOUBLE)", "invert": "1 - a"},
+)
+_scalars(
+    "dtype_convert",
+    lambda _a,
+    _b: {"ubyte": scalar.img_as_ubyte(_a), "uint16": scalar.img_as_uint(_a), "int16": scalar.img_as_int(_a), "flag": scalar.img_as_bool(_a).cast("double")},
+    {"ubyte": "round_even(a * 255, 0)", "uint16": "round_even(a * 65535, 0)", "int16": "round_even(a * 32767, 0)", "flag": "(a > 0.5)::INT::DOUBLE"},
+)
 
 
 def _lab_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,11 +533,35 @@ def _stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("label", "n", "sum", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "standard_deviation", "median", "com_y", "com_x")], "minimum", "maximum", "min_y", "min_x", "max_y", "max_x")
 
 
-register("label_stats", _stats, "WITH t AS (SELECT l_suppkey AS label, l_orderkey AS y, l_linenumber AS x, l_quantity AS v FROM lineitem) SELECT label, count(*) AS n, sum(v) AS sum, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(stddev_pop(v), 6) AS standard_deviation, round(median(v), 6) AS median, round(sum(v * y) / sum(v), 6) AS com_y, round(sum(v * x) / sum(v), 6) AS com_x, min(v) AS minimum, max(v) AS maximum, (min({'v': v, 'y': y, 'x': x})).y AS min_y, (min({'v': v, 'y': y, 'x': x})).x AS min_x, (min({'v': -v, 'y': y, 'x': x})).y AS max_y, (min({'v': -v, 'y': y, 'x': x})).x AS max_x FROM t GROUP BY 1")
-register("labeled_comprehension", lambda spark, sf: regions.labeled_comprehension(_line_pixels(spark, sf), F.max("v") - F.min("v"), ["label"], "spread"), "SELECT l_suppkey AS label, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY 1")
-register("histogramdd", lambda spark, sf: histograms.histogramdd(spark.read.parquet(f"{sf}/lineitem.parquet"), {"l_quantity": (5, 0.0, 50.0), "l_extendedprice": (4, 0.0, 100000.0)}), "SELECT least(floor(l_quantity / 50.0 * 5), 4)::INT AS bin_l_quantity, least(floor(l_extendedprice / 100000.0 * 4), 3)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1, 2")
-register("labelled_histogram", lambda spark, sf: histograms.histogram(spark.read.parquet(f"{sf}/lineitem.parquet"), 10, 0.0, 50.0, "l_suppkey", "l_quantity"), "SELECT l_suppkey, least(floor(l_quantity / 50.0 * 10), 9)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 2")
-register("ravel_multi_index", lambda spark, sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", scalar.ravel_multi_index([F.col("o_orderkey") - 100, F.col("o_custkey")], [7, 11]).alias("flat")), "SELECT o_orderkey, (((o_orderkey - 100) % 7 + 7) % 7) * 11 + o_custkey % 11 AS flat FROM orders")
+register(
+    "label_stats",
+    _stats,
+    "WITH t AS (SELECT l_suppkey AS label, l_orderkey AS y, l_linenumber AS x, l_quantity AS v FROM lineitem) SELECT label, count(*) AS n, sum(v) AS sum, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(stddev_pop(v), 6) AS standard_deviation, round(median(v), 6) AS median, round(sum(v * y) / sum(v), 6) AS com_y, round(sum(v * x) / sum(v), 6) AS com_x, min(v) AS minimum, max(v) AS maximum, (min({'v': v, 'y': y, 'x': x})).y AS min_y, (min({'v': v, 'y': y, 'x': x})).x AS min_x, (min({'v': -v, 'y': y, 'x': x})).y AS max_y, (min({'v': -v, 'y': y, 'x': x})).x AS max_x FROM t GROUP BY 1",
+)
+register(
+    "labeled_comprehension",
+    lambda spark,
+    sf: regions.labeled_comprehension(_line_pixels(spark, sf), F.max("v") - F.min("v"), ["label"], "spread"),
+    "SELECT l_suppkey AS label, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY 1",
+)
+register(
+    "histogramdd",
+    lambda spark,
+    sf: histograms.histogramdd(spark.read.parquet(f"{sf}/lineitem.parquet"), {"l_quantity": (5, 0.0, 50.0), "l_extendedprice": (4, 0.0, 100000.0)}),
+    "SELECT least(floor(l_quantity / 50.0 * 5), 4)::INT AS bin_l_quantity, least(floor(l_extendedprice / 100000.0 * 4), 3)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1, 2",
+)
+register(
+    "labelled_histogram",
+    lambda spark,
+    sf: histograms.histogram(spark.read.parquet(f"{sf}/lineitem.parquet"), 10, 0.0, 50.0, "l_suppkey", "l_quantity"),
+    "SELECT l_suppkey, least(floor(l_quantity / 50.0 * 10), 9)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 2",
+)
+register(
+    "ravel_multi_index",
+    lambda spark,
+    sf: spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", scalar.ravel_multi_index([F.col("o_orderkey") - 100, F.col("o_custkey")], [7, 11]).alias("flat")),
+    "SELECT o_orderkey, (((o_orderkey - 100) % 7 + 7) % 7) * 11 + o_custkey % 11 AS flat FROM orders",
+)
 
 # Tiles, overlays, descriptors ---------------------------------------------------------
 
@@ -416,7 +588,11 @@ per_image("convex_area", lambda x: [geometry.convex_area(i > 0) for i in x])
 per_image("feret_diameter_max", lambda x: [geometry.feret_diameter_max(i > 0) for i in x])
 on_pairs("masked_registration", lambda a, b: vision.masked_registration(a, b, a > -0.2, b > -0.2).reshape(len(a), 1, 2))
 on_colours("adapt_rgb_each_channel", lambda x: color.adapt_rgb(x, lambda v: v * v), f"WITH {_RGB}, o AS (SELECT l_suppkey, r * r AS c0, g * g AS c1, b * b AS c2 FROM c) {_MEAN}")
-register("label2rgb", lambda spark, sf: _labelled(spark, sf).select("image_id", "y", "x", color.label2rgb(F.col("label"), (F.col("v") + 1) / 2).alias("c")).select("image_id", "y", "x", *[F.round(f"c.{k}", 6).alias(k) for k in "abc"]))
+register(
+    "label2rgb",
+    lambda spark,
+    sf: _labelled(spark, sf).select("image_id", "y", "x", color.label2rgb(F.col("label"), (F.col("v") + 1) / 2).alias("c")).select("image_id", "y", "x", *[F.round(f"c.{k}", 6).alias(k) for k in "abc"]),
+)
 
 # Region shapes, views, slices ----------------------------------------------------------
 
@@ -449,24 +625,71 @@ def _shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("region_shapes", _shapes)
-register("crop", lambda spark, sf: views.crop(image_pixels(spark, sf), ((1, 2), (2, 1)), (8, 8)), f"WITH {T.PX} SELECT image_id, y - 1 AS y, x - 2 AS x, v FROM px WHERE y BETWEEN 1 AND 5 AND x BETWEEN 2 AND 6")
+register(
+    "crop",
+    lambda spark,
+    sf: views.crop(image_pixels(spark, sf), ((1, 2), (2, 1)), (8, 8)),
+    f"WITH {T.PX} SELECT image_id, y - 1 AS y, x - 2 AS x, v FROM px WHERE y BETWEEN 1 AND 5 AND x BETWEEN 2 AND 6",
+)
 register("view_as_blocks", lambda spark, sf: views.view_as_blocks(image_pixels(spark, sf), (2, 4)), f"WITH {T.PX} SELECT image_id, y // 2 AS by, x // 4 AS bx, y % 2 AS y, x % 4 AS x, v FROM px")
-register("view_as_windows", lambda spark, sf: views.view_as_windows(image_pixels(spark, sf), (3, 2), (8, 8), 2), f"WITH {T.PX} SELECT image_id, a.k AS wy, b.k AS wx, y - 2 * a.k AS y, x - 2 * b.k AS x, v FROM px, range(0, 3) AS a(k), range(0, 4) AS b(k) WHERE y BETWEEN 2 * a.k AND 2 * a.k + 2 AND x BETWEEN 2 * b.k AND 2 * b.k + 1")
-register("apply_along_axis", lambda spark, sf: pixels(views.apply_along_axis(embedding_images(spark, sf).select("image_id", "shape", "img"), np.sort, 1)), f"WITH {T.PX} SELECT image_id, y, (row_number() OVER (PARTITION BY image_id, y ORDER BY v) - 1)::INT AS x, round(v, 6) + 0.0 AS v FROM px")
-register("is_low_contrast", lambda spark, sf: views.is_low_contrast(image_pixels(spark, sf), 0.55), f"WITH {T.PX} SELECT image_id, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) < 0.55 AS low_contrast FROM px GROUP BY image_id")
+register(
+    "view_as_windows",
+    lambda spark,
+    sf: views.view_as_windows(image_pixels(spark, sf), (3, 2), (8, 8), 2),
+    f"WITH {T.PX} SELECT image_id, a.k AS wy, b.k AS wx, y - 2 * a.k AS y, x - 2 * b.k AS x, v FROM px, range(0, 3) AS a(k), range(0, 4) AS b(k) WHERE y BETWEEN 2 * a.k AND 2 * a.k + 2 AND x BETWEEN 2 * b.k AND 2 * b.k + 1",
+)
+register(
+    "apply_along_axis",
+    lambda spark,
+    sf: pixels(views.apply_along_axis(embedding_images(spark, sf).select("image_id", "shape", "img"), np.sort, 1)),
+    f"WITH {T.PX} SELECT image_id, y, (row_number() OVER (PARTITION BY image_id, y ORDER BY v) - 1)::INT AS x, round(v, 6) + 0.0 AS v FROM px",
+)
+register(
+    "is_low_contrast",
+    lambda spark,
+    sf: views.is_low_contrast(image_pixels(spark, sf), 0.55),
+    f"WITH {T.PX} SELECT image_id, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) < 0.55 AS low_contrast FROM px GROUP BY image_id",
+)
 register("intensity_range", lambda spark, sf: views.intensity_range(image_pixels(spark, sf)), f"WITH {T.PX} SELECT image_id, min(v) AS low, max(v) AS high FROM px GROUP BY image_id")
-register("entropy", lambda spark, sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), base=2).select("image_id", F.round("entropy", 9).alias("entropy")), f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(2.0), 9) AS entropy FROM p GROUP BY image_id")
-register("relative_entropy", lambda spark, sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), F.col("x") + 1).select("image_id", F.round("entropy", 9).alias("entropy")), f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p, (x + 1) / sum(x + 1) OVER (PARTITION BY image_id) AS r FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN p * ln(p / r) ELSE 0 END), 9) AS entropy FROM p GROUP BY image_id")
-register("histogram2d", lambda spark, sf: views.histogram2d(spark.read.parquet(f"{sf}/lineitem.parquet"), ("l_quantity", 7, 1.0, 50.0), ("l_extendedprice", 9, 0.0, 90000.0), ["l_returnflag"]), "SELECT l_returnflag, least(floor((l_quantity - 1.0::DOUBLE) / 49.0::DOUBLE * 7), 6)::INT AS bin_l_quantity, least(floor(l_extendedprice / 90000.0::DOUBLE * 9), 8)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 0 AND 90000 GROUP BY 1, 2, 3")
+register(
+    "entropy",
+    lambda spark,
+    sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), base=2).select("image_id", F.round("entropy", 9).alias("entropy")),
+    f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(2.0), 9) AS entropy FROM p GROUP BY image_id",
+)
+register(
+    "relative_entropy",
+    lambda spark,
+    sf: views.entropy(levels(spark, sf), ["image_id"], F.col("q"), F.col("x") + 1).select("image_id", F.round("entropy", 9).alias("entropy")),
+    f"WITH {T.PX}, {T.QX}, p AS (SELECT image_id, q / sum(q) OVER (PARTITION BY image_id) AS p, (x + 1) / sum(x + 1) OVER (PARTITION BY image_id) AS r FROM qx) SELECT image_id, round(sum(CASE WHEN p > 0 THEN p * ln(p / r) ELSE 0 END), 9) AS entropy FROM p GROUP BY image_id",
+)
+register(
+    "histogram2d",
+    lambda spark,
+    sf: views.histogram2d(spark.read.parquet(f"{sf}/lineitem.parquet"), ("l_quantity", 7, 1.0, 50.0), ("l_extendedprice", 9, 0.0, 90000.0), ["l_returnflag"]),
+    "SELECT l_returnflag, least(floor((l_quantity - 1.0::DOUBLE) / 49.0::DOUBLE * 7), 6)::INT AS bin_l_quantity, least(floor(l_extendedprice / 90000.0::DOUBLE * 9), 8)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 0 AND 90000 GROUP BY 1, 2, 3",
+)
 on_images("convolve_separable", lambda x: f.convolve_separable(x, (0.25, 0.5, 0.25)), T.linear(T.outer(_tap((0.25, 0.5, 0.25)), _tap((0.25, 0.5, 0.25)))))
-on_images("smooth_with_function_and_mask", lambda x: f.smooth_with_function_and_mask(x, lambda a: f.correlate(a, np.full((3, 3), 1 / 9)), x > 0), T.pixels(T.step("px", "f", T.BOX, "sum(CASE WHEN q.v > 0 THEN w * q.v ELSE 0 END) / (sum(CASE WHEN q.v > 0 THEN w ELSE 0 END) + 2.220446049250313e-16)")))
+on_images(
+    "smooth_with_function_and_mask",
+    lambda x: f.smooth_with_function_and_mask(x, lambda a: f.correlate(a, np.full((3, 3), 1 / 9)), x > 0),
+    T.pixels(T.step("px", "f", T.BOX, "sum(CASE WHEN q.v > 0 THEN w * q.v ELSE 0 END) / (sum(CASE WHEN q.v > 0 THEN w ELSE 0 END) + 2.220446049250313e-16)")),
+)
 on_images("sobel_masked", lambda x: f.masked_edges(lambda a: f.edge_magnitude(a, f.SOBEL), x, x > -0.2))
-on_images("correlate2d", lambda x: signal.correlate2d(x, [[1.0, 2, 0], [0, -1, 3], [0.5, 0, 1]], "same"), T.linear([(-1, -1, 1), (-1, 0, 2), (0, 0, -1), (0, 1, 3), (1, -1, 0.5), (1, 1, 1)], "constant"))
+on_images(
+    "correlate2d",
+    lambda x: signal.correlate2d(x, [[1.0, 2, 0], [0, -1, 3], [0.5, 0, 1]], "same"),
+    T.linear([(-1, -1, 1), (-1, 0, 2), (0, 0, -1), (0, 1, 3), (1, -1, 0.5), (1, 1, 1)], "constant"),
+)
 _box = lambda r, c: ((abs(r) <= 1) & (abs(c) <= 1)) / 9
 on_images("lpi_forward", lambda x: signal.LPIFilter2D(_box)(x), T.pixels(T.step("px", "f", T.BOX, "sum(w * q.v)", "constant"), value="abs(v)"))
 on_images("lpi_inverse", lambda x: signal.LPIFilter2D(_box).inverse(x))
 on_images("lpi_wiener", lambda x: signal.LPIFilter2D(_box).wiener(x))
 on_images("hessian_ridges", lambda x: vision.hessian_ridges(x, (1,)))
 on_images("hessian_eigenvalues", lambda x: vision.compute_hessian_eigenvalues(x, 1.0, "abs")[1])
-on_images("dilation_star", lambda x: m.grey_dilation(x, footprint=m.star(2)), T.chain("max", taps=[(a, b, 1) for a in range(-3, 4) for b in range(-3, 4) if max(abs(a), abs(b)) <= 2 or abs(a) + abs(b) <= 3]))
+on_images(
+    "dilation_star",
+    lambda x: m.grey_dilation(x, footprint=m.star(2)),
+    T.chain("max", taps=[(a, b, 1) for a in range(-3, 4) for b in range(-3, 4) if max(abs(a), abs(b)) <= 2 or abs(a) + abs(b) <= 3]),
+)
 on_images("erosion_ellipse", lambda x: m.grey_erosion(x, footprint=m.ellipse(2, 1)), T.chain("min", taps=[(a, b, 1) for a in (-1, 0, 1) for b in range(-2, 3) if a * a / 4 + b * b / 9 < 1]))

@@ -246,7 +246,11 @@ _FROM_XYZ = lambda source: [_three("lin", source, *_times(_inverse(color.XYZ_FRO
 _TO_XYZ = [_three("lin", "c", *_LINEAR), _three("xyz", "lin", *_times(color.XYZ_FROM_RGB))]
 C.on_colours("xyz2rgb", color.xyz2rgb, _colours(*_FROM_XYZ("c"), last="gam"))
 C.on_colours("rgb2rgbcie", color.rgb2rgbcie, _colours(*_TO_XYZ, _three("m", "xyz", *_times(color.RGB_CIE_FROM_XYZ)), last="m"))
-C.on_colours("rgbcie2rgb", lambda x: color.rgbcie2rgb(color.triple(x["a"] / 5, x["b"] / 5, x["c"] / 5)), _colours(_three("s", "c", "r / 5", "g / 5", "b / 5"), _three("m", "s", *_times(_inverse(color.RGB_CIE_FROM_XYZ))), *_FROM_XYZ("m"), last="gam"))
+C.on_colours(
+    "rgbcie2rgb",
+    lambda x: color.rgbcie2rgb(color.triple(x["a"] / 5, x["b"] / 5, x["c"] / 5)),
+    _colours(_three("s", "c", "r / 5", "g / 5", "b / 5"), _three("m", "s", *_times(_inverse(color.RGB_CIE_FROM_XYZ))), *_FROM_XYZ("m"), last="gam"),
+)
 _HUE = "floor(r * 6)"
 _P, _Q, _U = "b * (1 - g)", f"b * (1 - (r * 6 - {_HUE}) * g)", f"b * (1 - (1 - (r * 6 - {_HUE})) * g)"
 _SEXTANTS = (("b", _U, _P), (_Q, "b", _P), (_P, "b", _U), (_P, _Q, "b"), (_U, _P, "b"), ("b", _P, _Q))
@@ -258,7 +262,11 @@ C.on_colours("adapt_rgb_hsv_value", lambda x: color.adapt_rgb(x, lambda v: v * v
 _WX, _WY, _WZ = color.WHITE["D65", "2"]
 _U0, _V0 = 4 * _WX / (_WX + 15 * _WY + 3 * _WZ), 9 * _WY / (_WX + 15 * _WY + 3 * _WZ)
 _LUM = f"(CASE WHEN g / {_WY!r}::DOUBLE > 0.008856 THEN 116 * cbrt(g / {_WY!r}::DOUBLE) - 16 ELSE 903.3 * g / {_WY!r}::DOUBLE END)"
-C.on_colours("rgb2luv", color.rgb2luv, _colours(*_TO_XYZ, _three("m", "xyz", _LUM, f"13 * {_LUM} * (4 * r / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_U0!r}::DOUBLE)", f"13 * {_LUM} * (9 * g / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_V0!r}::DOUBLE)"), last="m"))
+C.on_colours(
+    "rgb2luv",
+    color.rgb2luv,
+    _colours(*_TO_XYZ, _three("m", "xyz", _LUM, f"13 * {_LUM} * (4 * r / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_U0!r}::DOUBLE)", f"13 * {_LUM} * (9 * g / (r + 15 * g + 3 * b + 2.220446049250313e-16) - {_V0!r}::DOUBLE)"), last="m"),
+)
 _WIDE = lambda x: color.triple(x["a"] * 100, x["b"] * 100 - 25, x["c"] * 100 - 40)
 _WIDE_SQL = _three("s", "c", "r * 100", "g * 100 - 25", "b * 100 - 40")
 _CUBE = lambda t: f"(CASE WHEN {t} > 0.2068966 THEN pow({t}, 3) ELSE ({t} - 16.0 / 116) / 7.787 END)"
@@ -269,19 +277,35 @@ _LUV_XYZ = [_three("uv", "s", f"CASE WHEN r > 7.999625 THEN pow((r + 16) / 116,
 _LUV_IN = lambda x: color.triple(x["a"] * 100, x["b"] * 20 - 5, x["c"] * 20 - 8)
 _LUV_SQL = _three("s", "c", "r * 100", "g * 20 - 5", "b * 20 - 8")
 C.on_colours("luv2rgb", lambda x: color.let(_LUV_IN(x), color.luv2rgb), _colours(_LUV_SQL, *_LUV_XYZ, *_FROM_XYZ("xyz"), last="gam"))
-C.on_colours("lab2lch", lambda x: color.let(_WIDE(x), color.lab2lch), _colours(_WIDE_SQL, _three("m", "s", "r", "sqrt(g * g + b * b)", "CASE WHEN atan2(b, g) < 0 THEN atan2(b, g) + 2 * pi() ELSE atan2(b, g) END"), last="m"))
+C.on_colours(
+    "lab2lch",
+    lambda x: color.let(_WIDE(x), color.lab2lch),
+    _colours(_WIDE_SQL, _three("m", "s", "r", "sqrt(g * g + b * b)", "CASE WHEN atan2(b, g) < 0 THEN atan2(b, g) + 2 * pi() ELSE atan2(b, g) END"), last="m"),
+)
 C.on_colours("lch2lab", lambda x: color.lch2lab(color.triple(x["a"] * 100, x["b"] * 100, x["c"] * 7)), _colours(_three("m", "c", "r * 100", "g * 100 * cos(b * 7)", "g * 100 * sin(b * 7)"), last="m"))
 _DENS = [f"ln(greatest({n}, 1e-6)) / ln(1e-6)" for n in "rgb"]
 _UNMIX = [[row[j] for row in _inverse(color.RGB_FROM_HED)] for j in range(3)]
 C.on_colours("rgb2hed", color.rgb2hed, _colours(_three("d", "c", *_DENS), _three("m", "d", *[f"greatest({v}, 0)" for v in _times(_UNMIX)]), last="m"))
 _MIX = [[row[j] for row in color.RGB_FROM_HED] for j in range(3)]
-C.on_colours("hed2rgb", lambda x: color.hed2rgb(color.triple(x["a"] / 10, x["b"] / 10, x["c"] / 10)), _colours(_three("s", "c", "r / 10", "g / 10", "b / 10"), _three("m", "s", *[f"least(greatest(exp(ln(1e-6) * ({v})), 0), 1)" for v in _times(_MIX)]), last="m"))
-C.on_colours("rgba2rgb", lambda x: color.rgba2rgb(x, x["c"], (0.2, 0.5, 1.0)), _colours(_three("m", "c", *[f"least(greatest((1 - b) * {bg}::DOUBLE + b * {n}, 0), 1)" for n, bg in zip("rgb", (0.2, 0.5, 1.0))]), last="m"))
+C.on_colours(
+    "hed2rgb",
+    lambda x: color.hed2rgb(color.triple(x["a"] / 10, x["b"] / 10, x["c"] / 10)),
+    _colours(_three("s", "c", "r / 10", "g / 10", "b / 10"), _three("m", "s", *[f"least(greatest(exp(ln(1e-6) * ({v})), 0), 1)" for v in _times(_MIX)]), last="m"),
+)
+C.on_colours(
+    "rgba2rgb",
+    lambda x: color.rgba2rgb(x, x["c"], (0.2, 0.5, 1.0)),
+    _colours(_three("m", "c", *[f"least(greatest((1 - b) * {bg}::DOUBLE + b * {n}, 0), 1)" for n, bg in zip("rgb", (0.2, 0.5, 1.0))]), last="m"),
+)
 _GRAY_SQL = "0.2125::DOUBLE * r + 0.7154::DOUBLE * g + 0.0721::DOUBLE * b"
 for _name, _gray, _wide in (("rgb2gray", color.rgb2gray, color.gray2rgb), ("rgb2grey", color.rgb2grey, color.grey2rgb)):
     C.on_colours(_name, lambda x, a=_gray, b=_wide: color.let(a(x), b), _colours(_three("m", "c", _GRAY_SQL, _GRAY_SQL, _GRAY_SQL), last="m"))
 C.on_colours("gray2rgba", lambda x: color.let(color.gray2rgba(x["a"], x["b"]), lambda y: color.triple(y["a"], y["c"], y["alpha"])), _colours(_three("m", "c", "r", "r", "g"), last="m"))
-C.on_colours("get_xyz_coords", lambda x: color.let(color.rgb2xyz(x), lambda y: color.triple(*[y[k] / w for k, w in zip("abc", color.get_xyz_coords("d50", "10"))])), _colours(*_TO_XYZ, _three("m", "xyz", "r / 0.9672062750333777", "g", "b / 0.8142801513128616"), last="m"))
+C.on_colours(
+    "get_xyz_coords",
+    lambda x: color.let(color.rgb2xyz(x), lambda y: color.triple(*[y[k] / w for k, w in zip("abc", color.get_xyz_coords("d50", "10"))])),
+    _colours(*_TO_XYZ, _three("m", "xyz", "r / 0.9672062750333777", "g", "b / 0.8142801513128616"), last="m"),
+)
 _PAL = ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate(color.LABEL_COLOURS))
 SQL["label2rgb"] = _FULL + f", pal(k, r, g, b) AS (VALUES {_PAL}) SELECT image_id, y, x, " + ", ".join(f"round(CASE WHEN label = 0 THEN (v + 1) / 2 ELSE 0.3::DOUBLE * {c} + 0.7::DOUBLE * (v + 1) / 2 END, 6) AS {n}" for c, n in zip("rgb", "abc")) + " FROM lab LEFT JOIN pal ON pal.k = (label - 1) % 10"
 _H1, _H2 = (f"(CASE WHEN {a} = 0 AND {b} = 0 THEN 0 WHEN atan2({b}, {a}) < 0 THEN atan2({b}, {a}) + 2 * pi() ELSE atan2({b}, {a}) END)" for a, b in (("ap1", "b1"), ("ap2", "b2")))

@@ -25,7 +25,11 @@ _second = lambda x, axis, mode, cval: filters.correlate1d(x, [1, -2, 1], axis, m
 C.on_images("generic_laplace", lambda x: filters.generic_laplace(x, _second), SQL["laplace"])
 _sobel = lambda x, axis, mode, cval: filters.sobel(x, axis - 1, mode, cval)
 _DIFF, _TRI, _SAME = [-1, 0, 1], [1, 2, 1], [{k: 1.0} for k in range(8)]
-C.on_images("generic_gradient_magnitude", lambda x: filters.generic_gradient_magnitude(x, _sobel), T.two(W.both("px", "a", W.taps(_DIFF), W.taps(_TRI)), W.both("px", "b", W.taps(_TRI), W.taps(_DIFF)), "sqrt(a.v * a.v + b.v * b.v)"))
+C.on_images(
+    "generic_gradient_magnitude",
+    lambda x: filters.generic_gradient_magnitude(x, _sobel),
+    T.two(W.both("px", "a", W.taps(_DIFF), W.taps(_TRI)), W.both("px", "b", W.taps(_TRI), W.taps(_DIFF)), "sqrt(a.v * a.v + b.v * b.v)"),
+)
 _FE, _FS = list(filters.FARID_EDGE), list(filters.FARID_SMOOTH)
 C.on_images("farid_h", filters.farid_h, W.separable(W.taps(_FE), W.taps(_FS)))
 C.on_images("farid_v", filters.farid_v, W.separable(W.taps(_FS), W.taps(_FE)))
@@ -33,8 +37,16 @@ C.on_images("roberts_pos_diag", filters.roberts_pos_diag, T.linear([(1, 1, 1), (
 C.on_images("roberts_neg_diag", filters.roberts_neg_diag, T.linear([(1, 0, 1), (0, 1, -1)]))
 _SD = math.sqrt(math.log(2) / 2) / math.pi * 3 / 0.45
 _R = math.ceil(3 * _SD)
-C.on_images("gabor_kernel", lambda x: filters.correlate(x, filters.gabor_kernel(0.45).imag), T.linear([(a, b, math.exp(-0.5 * (a * a + b * b) / _SD**2) / (2 * math.pi * _SD**2) * math.sin(2 * math.pi * 0.45 * b)) for a in range(-_R, _R + 1) for b in range(-_R, _R + 1)]))
-C.on_images("window", lambda x: x * signal.window_nd("hann", x.shape[1:]), f"WITH {T.PX} SELECT image_id, y, x, round(v * (0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)), 6) + 0.0 AS v FROM px")
+C.on_images(
+    "gabor_kernel",
+    lambda x: filters.correlate(x, filters.gabor_kernel(0.45).imag),
+    T.linear([(a, b, math.exp(-0.5 * (a * a + b * b) / _SD**2) / (2 * math.pi * _SD**2) * math.sin(2 * math.pi * 0.45 * b)) for a in range(-_R, _R + 1) for b in range(-_R, _R + 1)]),
+)
+C.on_images(
+    "window",
+    lambda x: x * signal.window_nd("hann", x.shape[1:]),
+    f"WITH {T.PX} SELECT image_id, y, x, round(v * (0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)), 6) + 0.0 AS v FROM px",
+)
 
 
 def _corner_peaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +59,11 @@ def _corner_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return pixels(map_images(embedding_images(spark, sf).select("image_id", "shape", "img"), kernel)).where("v > 0").select("image_id", "y", "x")
 
 
-C.register("corner_peaks", _corner_peaks, f"WITH {T.PX} SELECT p.image_id, p.y, p.x FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v HAVING p.v = max(q.v) AND p.v > 0")
+C.register(
+    "corner_peaks",
+    _corner_peaks,
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v HAVING p.v = max(q.v) AND p.v > 0",
+)
 
 # Grids, lines, integrals, pyramids -----------------------------------------------------------
 
@@ -74,10 +90,22 @@ def _grid_sql(method: str) -> str:
 _interpolator = lambda p, v, xi, method: interpolate.RegularGridInterpolator(p, v, method)(xi)
 for _name, _method, _call in (("RegularGridInterpolator", "linear", _interpolator), ("RegularGridInterpolator_nearest", "nearest", _interpolator), ("interpn", "linear", interpolate.interpn), ("interpn_nearest", "nearest", interpolate.interpn)):
     C.on_images(_name, _on_grid(_method, _call), _grid_sql(_method))
-C.on_images("profile_line", lambda x: interpolate.profile_line(x, (1, 1), (6, 4), 1, 1)[:, None, :], W.picture(W.points("f", f"SELECT 0 AS y, k::INT AS x, 1 + 5.0 * k / {math.ceil(math.hypot(5, 3) + 1) - 1} AS sy, 1 + 3.0 * k / {math.ceil(math.hypot(5, 3) + 1) - 1} AS sx FROM range(0, {math.ceil(math.hypot(5, 3) + 1)}) AS g(k)"), source="f"))
-C.on_images("pyramid_gaussian", lambda x: list(interpolate.pyramid_gaussian(x, 2))[2], W.separable(W.chained(W.chained(W.taps(W.bell(2 / 3)), W.tent([2 * o + 0.5 for o in range(4)], mode="reflect")), W.taps(W.bell(2 / 3), 4), W.tent([2 * o + 0.5 for o in range(2)], 4, "reflect"))))
+C.on_images(
+    "profile_line",
+    lambda x: interpolate.profile_line(x, (1, 1), (6, 4), 1, 1)[:, None, :],
+    W.picture(W.points("f", f"SELECT 0 AS y, k::INT AS x, 1 + 5.0 * k / {math.ceil(math.hypot(5, 3) + 1) - 1} AS sy, 1 + 3.0 * k / {math.ceil(math.hypot(5, 3) + 1) - 1} AS sx FROM range(0, {math.ceil(math.hypot(5, 3) + 1)}) AS g(k)"), source="f"),
+)
+C.on_images(
+    "pyramid_gaussian",
+    lambda x: list(interpolate.pyramid_gaussian(x, 2))[2],
+    W.separable(W.chained(W.chained(W.taps(W.bell(2 / 3)), W.tent([2 * o + 0.5 for o in range(4)], mode="reflect")), W.taps(W.bell(2 / 3), 4), W.tent([2 * o + 0.5 for o in range(2)], 4, "reflect"))),
+)
 C.on_images("get_pyramid", lambda x: vision.get_pyramid(x, 2.0, 10, 3)[0], SQL["pyramid_reduce"])
-C.on_images("warp_coords", lambda x: interpolate.map_coordinates(x, interpolate.warp_coords(lambda p: p[:, ::-1] * 0.9, (8, 8)), 1, "constant"), W.picture(W.points("f", f"SELECT y, x, 0.9::DOUBLE * x AS sy, 0.9::DOUBLE * y AS sx FROM {W.GRID}"), source="f"))
+C.on_images(
+    "warp_coords",
+    lambda x: interpolate.map_coordinates(x, interpolate.warp_coords(lambda p: p[:, ::-1] * 0.9, (8, 8)), 1, "constant"),
+    W.picture(W.points("f", f"SELECT y, x, 0.9::DOUBLE * x AS sy, 0.9::DOUBLE * y AS sx FROM {W.GRID}"), source="f"),
+)
 
 
 def _integrate(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +117,11 @@ def _integrate(spark: SparkSession, sf: str) -> DataFrame:
     return one.select("image_id", w["r0"].alias("r0"), w["c0"].alias("c0"), (F.round(geometry.integrate(F.col("s"), 8, w["r0"], w["c0"], w["r1"], w["c1"]), 6) + F.lit(0.0)).alias("total"))
 
 
-C.register("integrate", _integrate, f"WITH {T.PX} SELECT image_id, r0, c0, round(sum(v), 6) + 0.0 AS total FROM px JOIN (VALUES (0, 0, 7, 7), (2, 3, 5, 6), (0, 4, 3, 4)) AS w(r0, c0, r1, c1) ON y BETWEEN r0 AND r1 AND x BETWEEN c0 AND c1 GROUP BY ALL")
+C.register(
+    "integrate",
+    _integrate,
+    f"WITH {T.PX} SELECT image_id, r0, c0, round(sum(v), 6) + 0.0 AS total FROM px JOIN (VALUES (0, 0, 7, 7), (2, 3, 5, 6), (0, 4, 3, 4)) AS w(r0, c0, r1, c1) ON y BETWEEN r0 AND r1 AND x BETWEEN c0 AND c1 GROUP BY ALL",
+)
 
 # Unitary spectra -----------------------------------------------------------------------------------
 
@@ -112,7 +144,11 @@ for _name, _kernel, _text in (
 C.per_image("image_quad_norm", lambda x: signal.image_quad_norm(signal.ufftn(x)), f"WITH {T.PX} SELECT image_id, 0 AS y, 0 AS x, round(sum(v * v), 6) + 0.0 AS v FROM px GROUP BY 1")
 C.on_images("laplacian", lambda x: signal.through_fft(x, lambda s: s * signal.laplacian(2, (8, 8))[0]), T.linear([(0, 0, 4), (-1, 0, -1), (1, 0, -1), (0, -1, -1), (0, 1, -1)], "wrap"))
 _IR = [[0.0, 0.1, 0.0], [0.3, 0.4, 0.2], [0.0, 0.0, 0.1]]
-C.on_images("ir2tf", lambda x: signal.through_fft(x, lambda s: s * signal.ir2tf(np.array(_IR), (8, 8))), T.linear([(1 - a, 1 - b, w) for a, row in enumerate(_IR) for b, w in enumerate(row) if w], "wrap"))
+C.on_images(
+    "ir2tf",
+    lambda x: signal.through_fft(x, lambda s: s * signal.ir2tf(np.array(_IR), (8, 8))),
+    T.linear([(1 - a, 1 - b, w) for a, row in enumerate(_IR) for b, w in enumerate(row) if w], "wrap"),
+)
 C.on_images("choose_conv_method", lambda x: signal.convolve(x, np.ones((3, 3)), "same", signal.choose_conv_method(x, np.ones((3, 3)))), T.linear(T.ONE, "constant"))
 
 # Footprints ----------------------------------------------------------------------------------------
@@ -125,7 +161,12 @@ for _name, _shape, _taps in (
     ("generate_binary_structure", m.generate_binary_structure(2, 2), _cells(lambda a, b: True, 1)), ("iterate_structure", m.iterate_structure(m.generate_binary_structure(2, 1), 3), _cells(lambda a, b: abs(a) + abs(b) <= 3, 3)), ("default_selem", m.default_selem(2), _cells(lambda a, b: abs(a) + abs(b) <= 1, 1)),
     ("pad_for_eccentric_selems", m.pad_for_eccentric_selems(np.ones((2, 3), bool)), [(a, b, 1) for a in (0, 1) for b in (-1, 0, 1)]),
 ):
-    C.on_images(_name, lambda x, s=_shape: m.grey_dilation(x, footprint=s), T.chain("max", taps=[(a, b, w) for a, b, w in _taps] if _name != "pad_for_eccentric_selems" else [(-a, b, w) for a, b, w in _taps]))
+    C.on_images(
+        _name,
+        lambda x,
+        s=_shape: m.grey_dilation(x, footprint=s),
+        T.chain("max", taps=[(a, b, w) for a, b, w in _taps] if _name != "pad_for_eccentric_selems" else [(-a, b, w) for a, b, w in _taps]),
+    )
 
 
 def _volumes(name: str, kernel, reach: str) -> None:
@@ -134,7 +175,11 @@ def _volumes(name: str, kernel, reach: str) -> None:
         cubes = embedding_images(spark, sf).select("image_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "img")
         return map_images(cubes, kernel).select("image_id", F.posexplode("img").alias("p", "_v")).select("image_id", "p", (F.round("_v", 6) + F.lit(0.0)).alias("v"))
 
-    C.register(name, query, f"WITH c AS (SELECT image_id, y * 8 + x AS p, (y * 8 + x) // 16 AS a, ((y * 8 + x) // 4) % 4 AS b, (y * 8 + x) % 4 AS c, v FROM (WITH {T.PX} SELECT * FROM px)) SELECT p.image_id, p.p::INT AS p, round(max(q.v), 6) + 0.0 AS v FROM c p JOIN c q ON q.image_id = p.image_id AND {reach} GROUP BY 1, 2")
+    C.register(
+        name,
+        query,
+        f"WITH c AS (SELECT image_id, y * 8 + x AS p, (y * 8 + x) // 16 AS a, ((y * 8 + x) // 4) % 4 AS b, (y * 8 + x) % 4 AS c, v FROM (WITH {T.PX} SELECT * FROM px)) SELECT p.image_id, p.p::INT AS p, round(max(q.v), 6) + 0.0 AS v FROM c p JOIN c q ON q.image_id = p.image_id AND {reach} GROUP BY 1, 2",
+    )
 
 
 _A, _B, _D = "abs(q.a - p.a)", "abs(q.b - p.b)", "abs(q.c - p.c)"
@@ -147,7 +192,11 @@ _volumes("ball", lambda x: m.grey_dilation(x, footprint=m.ball(1)), f"{_A} * {_A
 _DISK = "CASE WHEN 3 - sqrt((y - 3.5) * (y - 3.5) + (x - 3.5) * (x - 3.5)) > 0 THEN v ELSE 0 END"
 for _name, _set in (("disk_level_set", vision.disk_level_set), ("circle_level_set", vision.circle_level_set)):
     C.on_images(_name, lambda x, s=_set: x * s(x.shape[1:]), f"WITH {T.PX} SELECT image_id, y, x, round({_DISK}, 6) + 0.0 AS v FROM px")
-C.on_images("checkerboard_level_set", lambda x: x * vision.checkerboard_level_set(x.shape[1:], 3), f"WITH {T.PX} SELECT image_id, y, x, round(CASE WHEN (y // 3 + x // 3) % 2 = 1 THEN v ELSE 0 END, 6) + 0.0 AS v FROM px")
+C.on_images(
+    "checkerboard_level_set",
+    lambda x: x * vision.checkerboard_level_set(x.shape[1:], 3),
+    f"WITH {T.PX} SELECT image_id, y, x, round(CASE WHEN (y // 3 + x // 3) % 2 = 1 THEN v ELSE 0 END, 6) + 0.0 AS v FROM px",
+)
 from .extras import _INVERSE, _curve  # noqa: E402
 
 C.on_images("sup_inf", vision.sup_inf, W.picture(_curve("px", "f", "min", "greatest"), source="f"))
@@ -156,19 +205,54 @@ C.on_images("inverse_gaussian_gradient", lambda x: vision.inverse_gaussian_gradi
 
 # Types and values -------------------------------------------------------------------------------------------
 
-C._scalars("img_as_float", lambda a, b: {"whole": scalar.img_as_float(F.floor(a * 255).cast("int"), "uint8"), "signed": scalar.img_as_float((F.floor(a * 65535) - 32768).cast("int"), "int16"), "same": scalar.img_as_float(a, "float64")}, {"whole": "floor(a * 255) / 255", "signed": "greatest((floor(a * 65535) - 32768) / 32767, -1)", "same": "a"})
+C._scalars(
+    "img_as_float",
+    lambda a,
+    b: {"whole": scalar.img_as_float(F.floor(a * 255).cast("int"), "uint8"), "signed": scalar.img_as_float((F.floor(a * 65535) - 32768).cast("int"), "int16"), "same": scalar.img_as_float(a, "float64")},
+    {"whole": "floor(a * 255) / 255", "signed": "greatest((floor(a * 65535) - 32768) / 32767, -1)", "same": "a"},
+)
 C._scalars("img_as_float32", lambda a, b: {"v": scalar.img_as_float32(F.floor(a * 255).cast("int"), "uint8").cast("double")}, {"v": "(floor(a * 255) / 255)::FLOAT::DOUBLE"})
 C._scalars("img_as_float64", lambda a, b: {"v": scalar.img_as_float64(F.floor(a * 255).cast("int"), "uint8")}, {"v": "floor(a * 255) / 255"})
-C._scalars("dtype_limits", lambda a, b: {k: F.lit(float(v)) + 0.0 * a for k, v in zip(("low", "high", "positive"), (*scalar.dtype_limits("int16"), scalar.dtype_limits("int16", True)[0]))}, {"low": "-32768.0::DOUBLE", "high": "32767.0::DOUBLE", "positive": "0.0::DOUBLE"})
-C.register("ArrayMap", lambda spark, sf: views.ArrayMap([1, 5, 7, 200], [10.0, 50.0, 70.0, 2.5])(C.levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v"))).select("image_id", "y", "x", F.col("v").cast("double").alias("v")), f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, (CASE q WHEN 1 THEN 10 WHEN 5 THEN 50 WHEN 7 THEN 70 WHEN 200 THEN 2.5 ELSE 0 END)::DOUBLE AS v FROM qx")
-C.register("ndim", lambda spark, sf: embedding_images(spark, sf).select("image_id", F.size("shape").alias("ndim"), F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape")), "SELECT vec_id AS image_id, 2 AS ndim, '8x8' AS shape FROM embeddings")
+C._scalars(
+    "dtype_limits",
+    lambda a,
+    b: {k: F.lit(float(v)) + 0.0 * a for k, v in zip(("low", "high", "positive"), (*scalar.dtype_limits("int16"), scalar.dtype_limits("int16", True)[0]))},
+    {"low": "-32768.0::DOUBLE", "high": "32767.0::DOUBLE", "positive": "0.0::DOUBLE"},
+)
+C.register(
+    "ArrayMap",
+    lambda spark,
+    sf: views.ArrayMap([1, 5, 7, 200], [10.0, 50.0, 70.0, 2.5])(C.levels(spark, sf).select("image_id", "y", "x", F.col("q").cast("long").alias("v"))).select("image_id", "y", "x", F.col("v").cast("double").alias("v")),
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, (CASE q WHEN 1 THEN 10 WHEN 5 THEN 50 WHEN 7 THEN 70 WHEN 200 THEN 2.5 ELSE 0 END)::DOUBLE AS v FROM qx",
+)
+C.register(
+    "ndim",
+    lambda spark,
+    sf: embedding_images(spark, sf).select("image_id", F.size("shape").alias("ndim"), F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape")),
+    "SELECT vec_id AS image_id, 2 AS ndim, '8x8' AS shape FROM embeddings",
+)
 
 # Regions as images, moments of coordinates ----------------------------------------------------------------------
 
 _LAB = C._LABELS + ", lab AS MATERIALIZED (SELECT px.image_id, px.y, px.x, px.v, coalesce(l.label, 0) AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x), box AS MATERIALIZED (SELECT image_id, label, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM lab WHERE label > 0 GROUP BY 1, 2)"
-C.register("region_images", lambda spark, sf: C.rounded(regions.region_images(C._labelled(spark, sf))), _LAB + " SELECT b.image_id, b.label, p.y - b.y0 AS y, p.x - b.x0 AS x, p.label = b.label AS image, round(CASE WHEN p.label = b.label THEN p.v ELSE 0 END, 6) + 0.0 AS intensity_image FROM box b JOIN lab p ON p.image_id = b.image_id AND p.y BETWEEN b.y0 AND b.y1 AND p.x BETWEEN b.x0 AND b.x1")
-C.register("region_coords", lambda spark, sf: regions.region_coords(C._labelled(spark, sf)).select("image_id", "label", F.array_join(F.transform("coords", lambda c: F.concat_ws(":", c["y"].cast("string"), c["x"].cast("string"))), ",").alias("coords")), _LAB + " SELECT image_id, label, string_agg(y || ':' || x, ',' ORDER BY y, x) AS coords FROM lab WHERE label > 0 GROUP BY 1, 2")
-C.register("local_centroid", lambda spark, sf: C.rounded(regions.local_centroids(C._labelled(spark, sf).withColumn("v", F.col("v") + 1))), _LAB + " SELECT l.image_id, l.label, round(avg(l.y) - any_value(y0), 6) + 0.0 AS local_centroid_0, round(avg(l.x) - any_value(x0), 6) + 0.0 AS local_centroid_1, round(sum((v + 1) * (y - y0)) / sum(v + 1), 6) + 0.0 AS weighted_local_centroid_0, round(sum((v + 1) * (x - x0)) / sum(v + 1), 6) + 0.0 AS weighted_local_centroid_1 FROM lab l JOIN box b USING (image_id, label) GROUP BY 1, 2")
+C.register(
+    "region_images",
+    lambda spark,
+    sf: C.rounded(regions.region_images(C._labelled(spark, sf))),
+    _LAB + " SELECT b.image_id, b.label, p.y - b.y0 AS y, p.x - b.x0 AS x, p.label = b.label AS image, round(CASE WHEN p.label = b.label THEN p.v ELSE 0 END, 6) + 0.0 AS intensity_image FROM box b JOIN lab p ON p.image_id = b.image_id AND p.y BETWEEN b.y0 AND b.y1 AND p.x BETWEEN b.x0 AND b.x1",
+)
+C.register(
+    "region_coords",
+    lambda spark,
+    sf: regions.region_coords(C._labelled(spark, sf)).select("image_id", "label", F.array_join(F.transform("coords", lambda c: F.concat_ws(":", c["y"].cast("string"), c["x"].cast("string"))), ",").alias("coords")),
+    _LAB + " SELECT image_id, label, string_agg(y || ':' || x, ',' ORDER BY y, x) AS coords FROM lab WHERE label > 0 GROUP BY 1, 2",
+)
+C.register(
+    "local_centroid",
+    lambda spark,
+    sf: C.rounded(regions.local_centroids(C._labelled(spark, sf).withColumn("v", F.col("v") + 1))),
+    _LAB + " SELECT l.image_id, l.label, round(avg(l.y) - any_value(y0), 6) + 0.0 AS local_centroid_0, round(avg(l.x) - any_value(x0), 6) + 0.0 AS local_centroid_1, round(sum((v + 1) * (y - y0)) / sum(v + 1), 6) + 0.0 AS weighted_local_centroid_0, round(sum((v + 1) * (x - x0)) / sum(v + 1), 6) + 0.0 AS weighted_local_centroid_1 FROM lab l JOIN box b USING (image_id, label) GROUP BY 1, 2",
+)
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,10 +261,25 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ORDERS = [(i, j) for i in range(4) for j in range(4) if i + j <= 3]
-C.register("moments_coords", lambda spark, sf: C.rounded(regions.moments(_points(spark, sf), 3, ["label"]), 3), "SELECT l_suppkey AS label, " + ", ".join(f"round(sum(pow(l_quantity, {i}) * pow(l_linenumber * 3, {j}))::DOUBLE, 3) + 0.0 AS m_{i}_{j}" for i, j in _ORDERS) + " FROM lineitem GROUP BY 1")
+C.register(
+    "moments_coords",
+    lambda spark,
+    sf: C.rounded(regions.moments(_points(spark, sf), 3, ["label"]), 3),
+    "SELECT l_suppkey AS label, " + ", ".join(f"round(sum(pow(l_quantity, {i}) * pow(l_linenumber * 3, {j}))::DOUBLE, 3) + 0.0 AS m_{i}_{j}" for i, j in _ORDERS) + " FROM lineitem GROUP BY 1",
+)
 _C3 = [(i, j) for i, j in _ORDERS if i + j >= 2]
-C.register("moments_coords_central", lambda spark, sf: C.rounded(shapes.region_moments(_points(spark, sf), None, ["label"]).select("label", *[(F.col(f"mu_{i}_{j}") / F.col("m_0_0")).alias(f"mu_{i}_{j}") for i, j in _C3]), 3), "WITH t AS (SELECT l_suppkey AS label, l_quantity::DOUBLE AS y, (l_linenumber * 3)::DOUBLE AS x FROM lineitem), c AS (SELECT label, avg(y) AS cy, avg(x) AS cx FROM t GROUP BY 1) SELECT label, " + ", ".join(f"round(avg(pow(y - cy, {i}) * pow(x - cx, {j})), 3) + 0.0 AS mu_{i}_{j}" for i, j in _C3) + " FROM t JOIN c USING (label) GROUP BY 1")
-C.register("inertia_tensor", lambda spark, sf: C.rounded(regions.region_table(C._labelled(spark, sf)).select("image_id", "label", "inertia_0_0", "inertia_0_1", "inertia_1_1", "inertia_eigval_0", "inertia_eigval_1")), f"SELECT image_id, label, inertia_0_0, inertia_0_1, inertia_1_1, inertia_eigval_0, inertia_eigval_1 FROM ({SQL['regionprops_all']})")
+C.register(
+    "moments_coords_central",
+    lambda spark,
+    sf: C.rounded(shapes.region_moments(_points(spark, sf), None, ["label"]).select("label", *[(F.col(f"mu_{i}_{j}") / F.col("m_0_0")).alias(f"mu_{i}_{j}") for i, j in _C3]), 3),
+    "WITH t AS (SELECT l_suppkey AS label, l_quantity::DOUBLE AS y, (l_linenumber * 3)::DOUBLE AS x FROM lineitem), c AS (SELECT label, avg(y) AS cy, avg(x) AS cx FROM t GROUP BY 1) SELECT label, " + ", ".join(f"round(avg(pow(y - cy, {i}) * pow(x - cx, {j})), 3) + 0.0 AS mu_{i}_{j}" for i, j in _C3) + " FROM t JOIN c USING (label) GROUP BY 1",
+)
+C.register(
+    "inertia_tensor",
+    lambda spark,
+    sf: C.rounded(regions.region_table(C._labelled(spark, sf)).select("image_id", "label", "inertia_0_0", "inertia_0_1", "inertia_1_1", "inertia_eigval_0", "inertia_eigval_1")),
+    f"SELECT image_id, label, inertia_0_0, inertia_0_1, inertia_1_1, inertia_eigval_0, inertia_eigval_1 FROM ({SQL['regionprops_all']})",
+)
 
 # Registration ------------------------------------------------------------------------------------------------------
 
@@ -195,12 +294,27 @@ def _on_pairs(name: str, kernel, sql: str | None = None) -> None:
 
 _on_pairs("register_translation", lambda a, b: vision.register_translation(a, b).reshape(len(a), 1, 2), _CROSS)
 _MASKED = f"WITH {_PAIRS}, s AS MATERIALIZED (SELECT p.image_id, p.y - q.y + 7 AS y, p.x - q.x + 7 AS x, sum(p.a) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS sa, sum(q.b) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS sb, sum(p.a * p.a) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS saa, sum(q.b * q.b) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS sbb, sum(p.a * q.b) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS sab, count(*) FILTER (WHERE p.a > -0.2 AND q.b > -0.2) AS n FROM j p JOIN j q ON q.image_id = p.image_id GROUP BY ALL), c AS MATERIALIZED (SELECT image_id, y, x, n, max(n) OVER (PARTITION BY image_id) AS most, sab - sa * sb / n AS top, sqrt(greatest(saa - sa * sa / n, 0) * greatest(sbb - sb * sb / n, 0)) AS bottom FROM s), f AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN bottom > 1e-9 AND n >= 0.3 * most THEN greatest(least(top / bottom, 1), -1) ELSE 0 END AS v FROM c)"
-_on_pairs("cross_correlate_masked", lambda a, b: vision.cross_correlate_masked(a, b, a > -0.2, b > -0.2), _MASKED + " SELECT image_id, y::INT AS y, x::INT AS x, round(coalesce(v, 0), 6) + 0.0 AS v FROM f")
+_on_pairs(
+    "cross_correlate_masked",
+    lambda a,
+    b: vision.cross_correlate_masked(a, b, a > -0.2, b > -0.2),
+    _MASKED + " SELECT image_id, y::INT AS y, x::INT AS x, round(coalesce(v, 0), 6) + 0.0 AS v FROM f",
+)
 _BEST = _MASKED + ", w AS (SELECT image_id, arg_max({'y': y, 'x': x}, (round(v, 9), -y, -x)) AS s FROM f GROUP BY 1) SELECT image_id, 0 AS y, g.x::INT AS x, (CASE WHEN g.x = 0 THEN s.y ELSE s.x END - 7)::DOUBLE AS v FROM w, (VALUES (0), (1)) AS g(x)"
 SQL["masked_registration"] = _BEST
 _on_pairs("masked_register_translation", lambda a, b: vision.masked_register_translation(a, b, a > -0.2, b > -0.2).reshape(len(a), 1, 2), _BEST)
-_on_pairs("resize_flow", lambda a, b: vision.resize_flow(np.stack([a, b], 1), (4, 4)).reshape(len(a), -1, 4), f"WITH {_PAIRS} SELECT image_id, (y // 2 + k * 4)::INT AS y, (x // 2)::INT AS x, round(0.5 * CASE WHEN k = 0 THEN a ELSE b END, 6) + 0.0 AS v FROM j, range(0, 2) AS g(k) WHERE y % 2 = 1 AND x % 2 = 1")
-_on_pairs("get_warp_points", lambda a, b: np.stack([vision.get_warp_points(np.indices((8, 8)), np.stack([p, q])).sum(0) for p, q in zip(a, b)]), f"WITH {_PAIRS} SELECT image_id, y, x, round(y + a + x + b, 6) + 0.0 AS v FROM j")
+_on_pairs(
+    "resize_flow",
+    lambda a,
+    b: vision.resize_flow(np.stack([a, b], 1), (4, 4)).reshape(len(a), -1, 4),
+    f"WITH {_PAIRS} SELECT image_id, (y // 2 + k * 4)::INT AS y, (x // 2)::INT AS x, round(0.5 * CASE WHEN k = 0 THEN a ELSE b END, 6) + 0.0 AS v FROM j, range(0, 2) AS g(k) WHERE y % 2 = 1 AND x % 2 = 1",
+)
+_on_pairs(
+    "get_warp_points",
+    lambda a,
+    b: np.stack([vision.get_warp_points(np.indices((8, 8)), np.stack([p, q])).sum(0) for p, q in zip(a, b)]),
+    f"WITH {_PAIRS} SELECT image_id, y, x, round(y + a + x + b, 6) + 0.0 AS v FROM j",
+)
 _added = lambda a, b, flow: flow + np.stack([a, b], 1)  # noqa: E731  a solver that only adds what it is given
 _on_pairs("coarse_to_fine", lambda a, b: vision.coarse_to_fine(a, b, _added, 3, 8)[:, 0], f"WITH {_PAIRS} SELECT image_id, y, x, round(a, 6) + 0.0 AS v FROM j")
 
@@ -259,8 +373,18 @@ def _scaled(fit: DataFrame) -> DataFrame:
 _TOP = max((v for row in _EPIPOLAR for v in row), key=abs)
 _MATCHED = "SELECT c_nationkey, " + ", ".join(f"round({_EPIPOLAR[i][j] / _TOP!r}::DOUBLE, 6) + 0.0 AS m_{i}_{j}" for i in range(3) for j in range(3)) + " FROM customer GROUP BY 1"
 C.register("FundamentalMatrixTransform_estimate", lambda spark, sf: C.rounded(_scaled(fits.fit_fundamental(_seen_twice(spark, sf), _KEY))), _MATCHED)
-C.register("FundamentalMatrixTransform_residuals", lambda spark, sf: fits.epipolar_residuals(_seen_twice(spark, sf), fits.fit_fundamental(_seen_twice(spark, sf), _KEY), _KEY).groupBy("c_nationkey").agg((F.max("residual") < 1e-6).alias("exact")), "SELECT DISTINCT c_nationkey, true AS exact FROM customer")
-C.register("EssentialMatrixTransform_estimate", lambda spark, sf: C.rounded(_singular(fits.fit_fundamental(_seen_twice(spark, sf), _KEY, True))), "SELECT DISTINCT c_nationkey, 0.0::DOUBLE AS determinant FROM customer")
+C.register(
+    "FundamentalMatrixTransform_residuals",
+    lambda spark,
+    sf: fits.epipolar_residuals(_seen_twice(spark, sf), fits.fit_fundamental(_seen_twice(spark, sf), _KEY), _KEY).groupBy("c_nationkey").agg((F.max("residual") < 1e-6).alias("exact")),
+    "SELECT DISTINCT c_nationkey, true AS exact FROM customer",
+)
+C.register(
+    "EssentialMatrixTransform_estimate",
+    lambda spark,
+    sf: C.rounded(_singular(fits.fit_fundamental(_seen_twice(spark, sf), _KEY, True))),
+    "SELECT DISTINCT c_nationkey, 0.0::DOUBLE AS determinant FROM customer",
+)
 
 
 def _singular(fit: DataFrame) -> DataFrame:
@@ -298,8 +422,18 @@ C.register("ProjectiveTransform_inverse", _apply(_HOMOGRAPHY, True), _apply_sql(
 C.register("ProjectiveTransform_add", _apply((geometry.AffineTransform(_AFFINE) + geometry.ProjectiveTransform(_HOMOGRAPHY)).params.tolist()), _apply_sql(_product(_HOMOGRAPHY, _AFFINE)))
 _PARTS = geometry.AffineTransform(scale=(1.2, 0.7), rotation=0.3, shear=0.2, translation=(4, -1))
 C.register("AffineTransform", _apply(_PARTS.params.tolist()), _apply_sql([[1.2 * math.cos(0.3), -0.7 * math.sin(0.5), 4], [1.2 * math.sin(0.3), 0.7 * math.cos(0.5), -1], [0, 0, 1]]))
-C.register("AffineTransform_properties", lambda spark, sf: C.rounded(fits.properties(fits.fit_projective(_moved(spark, sf, _PARTS.params.tolist()), _KEY, True), _KEY)), "SELECT DISTINCT c_nationkey, 1.2::DOUBLE AS scale_x, 0.7::DOUBLE AS scale_y, 0.3::DOUBLE AS rotation, 0.2::DOUBLE AS shear, 4.0::DOUBLE AS translation_x, -1.0::DOUBLE AS translation_y FROM customer")
-C.register("ProjectiveTransform_residuals", lambda spark, sf: C.rounded(fits.residuals(_moved(spark, sf, _HOMOGRAPHY).withColumn("u", F.col("u") + 0.3), spark.createDataFrame([(k, *[v for row in _HOMOGRAPHY for v in row]) for k in range(25)], f"c_nationkey int, {', '.join(f'{p} double' for p in fits.PARAMS)}"), _KEY).groupBy("c_nationkey").agg(F.avg("residual").alias("residual"))), "SELECT DISTINCT c_nationkey, 0.3::DOUBLE AS residual FROM customer")
+C.register(
+    "AffineTransform_properties",
+    lambda spark,
+    sf: C.rounded(fits.properties(fits.fit_projective(_moved(spark, sf, _PARTS.params.tolist()), _KEY, True), _KEY)),
+    "SELECT DISTINCT c_nationkey, 1.2::DOUBLE AS scale_x, 0.7::DOUBLE AS scale_y, 0.3::DOUBLE AS rotation, 0.2::DOUBLE AS shear, 4.0::DOUBLE AS translation_x, -1.0::DOUBLE AS translation_y FROM customer",
+)
+C.register(
+    "ProjectiveTransform_residuals",
+    lambda spark,
+    sf: C.rounded(fits.residuals(_moved(spark, sf, _HOMOGRAPHY).withColumn("u", F.col("u") + 0.3), spark.createDataFrame([(k, *[v for row in _HOMOGRAPHY for v in row]) for k in range(25)], f"c_nationkey int, {', '.join(f'{p} double' for p in fits.PARAMS)}"), _KEY).groupBy("c_nationkey").agg(F.avg("residual").alias("residual"))),
+    "SELECT DISTINCT c_nationkey, 0.3::DOUBLE AS residual FROM customer",
+)
 _SRC = [(0.0, 0.0), (7.0, 0.0), (0.0, 7.0), (7.0, 7.0)]
 _EST = geometry.estimate_transform("affine", np.array(_SRC), geometry.ProjectiveTransform(_AFFINE)(np.array(_SRC)))
 C.register("estimate_transform", _apply(_EST.params.tolist()), _apply_sql(_AFFINE))
@@ -312,7 +446,12 @@ def _bent(spark: SparkSession, sf: str) -> DataFrame:
     return _customers(spark, sf).select("c_nationkey", "x", "y", poly(_TERMS[0]).alias("u"), poly(_TERMS[1]).alias("v"))
 
 
-C.register("PolynomialTransform_estimate", lambda spark, sf: C.rounded(fits.fit_polynomial(_bent(spark, sf), _KEY)), "SELECT DISTINCT c_nationkey, " + ", ".join(f"{v!r}::DOUBLE AS {n}_{k}" for n, row in zip("ab", _TERMS) for k, v in enumerate(row)) + " FROM customer")
+C.register(
+    "PolynomialTransform_estimate",
+    lambda spark,
+    sf: C.rounded(fits.fit_polynomial(_bent(spark, sf), _KEY)),
+    "SELECT DISTINCT c_nationkey, " + ", ".join(f"{v!r}::DOUBLE AS {n}_{k}" for n, row in zip("ab", _TERMS) for k, v in enumerate(row)) + " FROM customer",
+)
 
 
 def _piecewise():
@@ -326,7 +465,11 @@ def _piecewise():
     return kernel
 
 
-C.on_images("PiecewiseAffineTransform_estimate", _piecewise(), W.picture(W.points("f", f"SELECT y, x, 0.05::DOUBLE * x + 0.8::DOUBLE * y + 0.7 AS sy, 0.9::DOUBLE * x - 0.1::DOUBLE * y + 0.55 AS sx FROM {W.GRID}"), source="f"))
+C.on_images(
+    "PiecewiseAffineTransform_estimate",
+    _piecewise(),
+    W.picture(W.points("f", f"SELECT y, x, 0.05::DOUBLE * x + 0.8::DOUBLE * y + 0.7 AS sy, 0.9::DOUBLE * x - 0.1::DOUBLE * y + 0.55 AS sx FROM {W.GRID}"), source="f"),
+)
 
 # Shapes of regions ------------------------------------------------------------------------------------------------------
 
@@ -399,10 +542,30 @@ from ..streaming import images as stream  # noqa: E402
 C.register("table_round_trip", _round_trip, f"WITH {T.PX} SELECT image_id, y, x, round(v, 6) + 0.0 AS v FROM px")
 C.register("stream_filter", lambda spark, sf: pixels(_streamed(spark, sf, lambda s: stream.filtered(s, filters.uniform_filter), "filter")), SQL["uniform_filter"])
 C.register("stream_histogram", _counted, f"WITH {T.PX} SELECT least(floor((v + 1) / 2.0 * 16), 15)::INT AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY 1")
-C.register("event_windows", lambda spark, sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "SELECT user_id, strftime(to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events GROUP BY 1, 2")
-C.register("event_sliding_windows", lambda spark, sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours", "3 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "SELECT user_id, strftime(to_timestamp((floor(epoch(ts) / 10800) - k) * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events, range(0, 2) AS g(k) GROUP BY 1, 2")
-C.register("event_sessions", lambda spark, sf: C.rounded(stream.event_sessions(_events(spark, sf), "2 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))), "WITH g AS (SELECT user_id, ts, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER u) < 7200 THEN 0 ELSE 1 END AS begins FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM s GROUP BY user_id, k")
-C.register("label_rollup", lambda spark, sf: C.rounded(regions.label_rollup(C._labelled(spark, sf))).fillna(-1, ["image_id", "label"]), _LAB + " SELECT coalesce(image_id, -1) AS image_id, coalesce(label, -1) AS label, count(*) AS n, round(sum(v), 6) + 0.0 AS sum, round(min(v), 6) + 0.0 AS minimum, round(max(v), 6) + 0.0 AS maximum FROM lab WHERE label > 0 GROUP BY ROLLUP (lab.image_id, lab.label)")
+C.register(
+    "event_windows",
+    lambda spark,
+    sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))),
+    "SELECT user_id, strftime(to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events GROUP BY 1, 2",
+)
+C.register(
+    "event_sliding_windows",
+    lambda spark,
+    sf: C.rounded(stream.event_grid(_events(spark, sf), "6 hours", "3 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))),
+    "SELECT user_id, strftime(to_timestamp((floor(epoch(ts) / 10800) - k) * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM events, range(0, 2) AS g(k) GROUP BY 1, 2",
+)
+C.register(
+    "event_sessions",
+    lambda spark,
+    sf: C.rounded(stream.event_sessions(_events(spark, sf), "2 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))),
+    "WITH g AS (SELECT user_id, ts, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER u) < 7200 THEN 0 ELSE 1 END AS begins FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 6) + 0.0 AS v, count(*) AS n FROM s GROUP BY user_id, k",
+)
+C.register(
+    "label_rollup",
+    lambda spark,
+    sf: C.rounded(regions.label_rollup(C._labelled(spark, sf))).fillna(-1, ["image_id", "label"]),
+    _LAB + " SELECT coalesce(image_id, -1) AS image_id, coalesce(label, -1) AS label, count(*) AS n, round(sum(v), 6) + 0.0 AS sum, round(min(v), 6) + 0.0 AS minimum, round(max(v), 6) + 0.0 AS maximum FROM lab WHERE label > 0 GROUP BY ROLLUP (lab.image_id, lab.label)",
+)
 
 # Edges by hysteresis, descriptors, local equalisation, polygons ----------------------------------------------------------------
 
@@ -584,15 +747,27 @@ C.per_image("approximate_polygon", _simplified())
 
 f = filters
 C.on_images("uniform_filter_cval", lambda x: f.uniform_filter(x, 3, "constant", 0.5), T.pixels(T.step("px", "f", T.ONE, "(sum(q.v) + 0.5 * (9 - count(*))) / 9", "constant")))
-C.on_images("median_filter_cval", lambda x: f.median_filter(x, 3, None, "constant", -1.0), T.pixels(T.step("px", "f", T.ONE, "list_sort(list_concat(list(q.v), list_transform(range(0, 9 - count(*)), lambda k: -1.0::DOUBLE)))[5]", "constant")))
-C.on_images("maximum_filter_cval", lambda x: f.maximum_filter(x, 3, None, "constant", 0.1), T.pixels(T.step("px", "f", T.ONE, "CASE WHEN count(*) < 9 THEN greatest(max(q.v), 0.1) ELSE max(q.v) END", "constant")))
+C.on_images(
+    "median_filter_cval",
+    lambda x: f.median_filter(x, 3, None, "constant", -1.0),
+    T.pixels(T.step("px", "f", T.ONE, "list_sort(list_concat(list(q.v), list_transform(range(0, 9 - count(*)), lambda k: -1.0::DOUBLE)))[5]", "constant")),
+)
+C.on_images(
+    "maximum_filter_cval",
+    lambda x: f.maximum_filter(x, 3, None, "constant", 0.1),
+    T.pixels(T.step("px", "f", T.ONE, "CASE WHEN count(*) < 9 THEN greatest(max(q.v), 0.1) ELSE max(q.v) END", "constant")),
+)
 C.on_images("uniform_filter_axis_modes", lambda x: f.uniform_filter(x, (3, 5), ("nearest", "wrap")), W.separable(W.taps([1 / 3] * 3, mode="nearest"), W.taps([0.2] * 5, mode="wrap")))
 C.on_images("gaussian_filter_axis_modes", lambda x: f.gaussian_filter(x, (0.7, 1.2), 0, ("mirror", "constant")), W.separable(W.taps(W.bell(0.7), mode="mirror"), W.taps(W.bell(1.2), mode="constant")))
 C.on_images("sobel_axis_modes", lambda x: f.sobel(x, 0, ("wrap", "nearest")), W.separable(W.taps(_DIFF, mode="wrap"), W.taps(_TRI, mode="nearest")))
 C.on_images("correlate1d_origin", lambda x: f.correlate1d(x, [1, -2, 4], 1, origin=1), T.linear([(-2, 0, 1), (-1, 0, -2), (0, 0, 4)]))
 C.on_images("convolve_origin", lambda x: f.convolve(x, [[1.0, 2.0, 0.5]], origin=(0, -1)), T.linear([(0, 0, 1), (0, -1, 2), (0, -2, 0.5)]))
 C.on_images("minimum_filter_origin", lambda x: f.minimum_filter(x, 3, origin=(1, -1)), T.pixels(T.step("px", "f", [(a, b, 1) for a in (-2, -1, 0) for b in (0, 1, 2)], "min(q.v)")))
-C.on_images("rank_filter_origin", lambda x: f.rank_filter(x, 4, (3, 3), None, "mirror", 0.0, (0, 1)), T.pixels(T.step("px", "f", [(a, b, 1) for a in (-1, 0, 1) for b in (-2, -1, 0)], "list_sort(list(q.v))[5]", "mirror")))
+C.on_images(
+    "rank_filter_origin",
+    lambda x: f.rank_filter(x, 4, (3, 3), None, "mirror", 0.0, (0, 1)),
+    T.pixels(T.step("px", "f", [(a, b, 1) for a in (-1, 0, 1) for b in (-2, -1, 0)], "list_sort(list(q.v))[5]", "mirror")),
+)
 
 _CUBES = f"c AS MATERIALIZED (SELECT image_id, y * 8 + x AS p, (y * 8 + x) // 16 AS a, ((y * 8 + x) // 4) % 4 AS b, (y * 8 + x) % 4 AS c, v FROM (WITH {T.PX} SELECT * FROM px))"
 _REACH3 = ", ".join(f"({o}, {k}, {W.fold(o + k, 4, 'reflect')})" for o in range(4) for k in (-1, 0, 1))
@@ -604,7 +779,11 @@ def _stencil(name: str, kernel, value: str) -> None:
         cubes = embedding_images(spark, sf).select("image_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), "img")
         return map_images(cubes, kernel).select("image_id", F.posexplode("img").alias("p", "_v")).select("image_id", "p", (F.round("_v", 6) + F.lit(0.0)).alias("v"))
 
-    C.register(name, query, f"WITH {_CUBES}, t(o, k, i) AS (VALUES {_REACH3}) SELECT p.image_id, p.p::INT AS p, round({value}, 6) + 0.0 AS v FROM c p JOIN t ta ON ta.o = p.a JOIN t tb ON tb.o = p.b JOIN t tc ON tc.o = p.c JOIN c q ON q.image_id = p.image_id AND q.a = ta.i AND q.b = tb.i AND q.c = tc.i GROUP BY 1, 2")
+    C.register(
+        name,
+        query,
+        f"WITH {_CUBES}, t(o, k, i) AS (VALUES {_REACH3}) SELECT p.image_id, p.p::INT AS p, round({value}, 6) + 0.0 AS v FROM c p JOIN t ta ON ta.o = p.a JOIN t tb ON tb.o = p.b JOIN t tc ON tc.o = p.c JOIN c q ON q.image_id = p.image_id AND q.a = ta.i AND q.b = tb.i AND q.c = tc.i GROUP BY 1, 2",
+    )
 
 
 _stencil("uniform_filter_3d", f.uniform_filter, "sum(q.v) / 27")
@@ -620,4 +799,8 @@ def _label_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return map_images(cubes, lambda x: m.label(x > 0)).select("image_id", F.posexplode("img").alias("p", "_v")).select("image_id", "p", F.col("_v").cast("int").alias("label"))
 
 
-C.register("label_3d", _label_volumes, f"WITH RECURSIVE {_CUBES}, mx AS MATERIALIZED (SELECT * FROM c WHERE v > 0), r AS (SELECT image_id, a, b, c, p, p AS root FROM mx UNION SELECT n.image_id, n.a, n.b, n.c, n.p, r.root FROM r JOIN mx n ON n.image_id = r.image_id AND abs(n.a - r.a) + abs(n.b - r.b) + abs(n.c - r.c) = 1 WHERE r.root < n.p), l AS (SELECT image_id, p, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, p, min(root) AS root FROM r GROUP BY 1, 2)) SELECT c.image_id, c.p::INT AS p, coalesce(l.label, 0)::INT AS label FROM c LEFT JOIN l ON l.image_id = c.image_id AND l.p = c.p")
+C.register(
+    "label_3d",
+    _label_volumes,
+    f"WITH RECURSIVE {_CUBES}, mx AS MATERIALIZED (SELECT * FROM c WHERE v > 0), r AS (SELECT image_id, a, b, c, p, p AS root FROM mx UNION SELECT n.image_id, n.a, n.b, n.c, n.p, r.root FROM r JOIN mx n ON n.image_id = r.image_id AND abs(n.a - r.a) + abs(n.b - r.b) + abs(n.c - r.c) = 1 WHERE r.root < n.p), l AS (SELECT image_id, p, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, p, min(root) AS root FROM r GROUP BY 1, 2)) SELECT c.image_id, c.p::INT AS p, coalesce(l.label, 0)::INT AS label FROM c LEFT JOIN l ON l.image_id = c.image_id AND l.p = c.p",
+)
