@@ -306,7 +306,7 @@ C.on_colours(
     lambda x: color.let(color.rgb2xyz(x), lambda y: color.triple(*[y[k] / w for k, w in zip("abc", color.get_xyz_coords("d50", "10"))])),
     _colours(*_TO_XYZ, _three("m", "xyz", "r / 0.9672062750333777", "g", "b / 0.8142801513128616"), last="m"),
 )
-_PAL = ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate(color.LABEL_COLOURS))
+_PAL = ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate([(1, 0, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 0.502, 0), (0.294, 0, 0.51), (1, 0.549, 0), (0, 1, 1), (1, 0.753, 0.796), (0.604, 0.804, 0.196)]))
 SQL["label2rgb"] = _FULL + f", pal(k, r, g, b) AS (VALUES {_PAL}) SELECT image_id, y, x, " + ", ".join(f"round(CASE WHEN label = 0 THEN (v + 1) / 2 ELSE 0.3::DOUBLE * {c} + 0.7::DOUBLE * (v + 1) / 2 END, 6) AS {n}" for c, n in zip("rgb", "abc")) + " FROM lab LEFT JOIN pal ON pal.k = (label - 1) % 10"
 _H1, _H2 = (f"(CASE WHEN {a} = 0 AND {b} = 0 THEN 0 WHEN atan2({b}, {a}) < 0 THEN atan2({b}, {a}) + 2 * pi() ELSE atan2({b}, {a}) END)" for a, b in (("ap1", "b1"), ("ap2", "b2")))
 _DELTA = f"""WITH t AS (SELECT l_suppkey, l_quantity / 50 AS q, abs(l_discount) * 10 AS d, abs(l_tax) * 10 AS t FROM lineitem),
