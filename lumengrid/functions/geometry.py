@@ -226,23 +226,34 @@ def convex_hull(points):
     return np.array(half(p) + half(p[::-1]))
 
 
+def _half_points(mask):
+    """The middles of the sides of a mask's pixels."""
+    return (np.argwhere(mask)[:, None, :] + np.array([[0.5, 0], [-0.5, 0], [0, 0.5], [0, -0.5]])).reshape(-1, 2)
+
+
+def convex_image(mask):
+    """The pixels whose centres lie in (or on) the hull of the pixels' side middles."""
+    mask = np.asarray(mask, bool)
+    if not mask.any():
+        return mask
+    h = convex_hull(_half_points(mask))
+    y, x = np.indices(mask.shape)
+    inside = np.ones(mask.shape, bool)
+    for p, q in zip(h, np.roll(h, -1, 0)):
+        inside &= (q[0] - p[0]) * (x - p[1]) - (q[1] - p[1]) * (y - p[0]) >= -1e-9
+    return inside
+
+
 def convex_area(mask) -> float:
-    """Area of the hull of a mask's pixel squares."""
-    at = np.argwhere(mask)
-    if not len(at):
-        return 0.0
-    corners = (at[:, None, :] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2)
-    h = convex_hull(corners)
-    x, y = h.T
-    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+    """Number of pixels of the convex image."""
+    return float(convex_image(mask).sum())
 
 
 def feret_diameter_max(mask) -> float:
-    """Greatest distance between corners of a mask's pixels, over the hull only."""
-    at = np.argwhere(mask)
-    if not len(at):
+    """Greatest distance between points of the convex image's outline, half a pixel from its centres."""
+    if not np.any(mask):
         return 0.0
-    h = convex_hull((at[:, None, :] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2))
+    h = convex_hull(_half_points(convex_image(mask)))
     return float(np.sqrt(((h[:, None] - h[None]) ** 2).sum(-1)).max())
 
 

@@ -89,13 +89,13 @@ def region_shapes(labels: DataFrame, keep: list[str] = ["image_id"]) -> DataFram
 
 
 def filled_images(labels: DataFrame, keep: list[str] = ["image_id"]) -> DataFrame:
-    """One row per pixel of every region's box (y and x in the box): whether it is in the region or in a hole of it.
+    """One row per pixel of every region's box (y and x in the box): ``filled`` if it is in the region or in a hole of it, ``convex`` if in its convex image.
 
     Takes label images (shape, img), as ``region_shapes`` does.
     """
     ship(labels.sparkSession)
     picked = labels.select(*keep, F.col("shape").cast("array<int>"), F.col("img").cast("array<double>"))
-    schema = picked.select(*keep).schema.add("label", T.LongType()).add("width", T.IntegerType()).add("filled", T.ArrayType(T.BooleanType()))
+    schema = picked.select(*keep).schema.add("label", T.LongType()).add("width", T.IntegerType()).add("filled", T.ArrayType(T.BooleanType())).add("convex", T.ArrayType(T.BooleanType()))
 
     def run(batches):
         for batch in batches:
@@ -106,11 +106,11 @@ def filled_images(labels: DataFrame, keep: list[str] = ["image_id"]) -> DataFram
                         y, x = np.nonzero(img == label)
                         mask = (img == label)[None, y.min() : y.max() + 1, x.min() : x.max() + 1]
                         filled = morphology.binary_fill_holes(np.pad(mask, ((0, 0), (1, 1), (1, 1))), np.ones((3, 3), bool))[0, 1:-1, 1:-1]
-                        rows.append((int(label), filled.shape[1], filled.ravel().tolist()))
+                        rows.append((int(label), filled.shape[1], filled.ravel().tolist(), geometry.convex_image(mask[0]).ravel().tolist()))
                         who.append(cut.start + k)
-            columns = list(zip(*rows)) or [[], [], []]
+            columns = list(zip(*rows)) or [[], [], [], []]
             index = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.bool_()))], names=[*keep, "label", "width", "filled"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in keep], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.list_(pa.bool_())) for c in columns[2:]]], names=[*keep, "label", "width", "filled", "convex"])
 
-    one = picked.mapInArrow(run, schema).select(*keep, "label", "width", F.posexplode("filled").alias("_p", "filled"))
-    return one.select(*keep, "label", F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"), (F.col("_p") % F.col("width")).cast("int").alias("x"), "filled")
+    one = picked.mapInArrow(run, schema).select(*keep, "label", "width", F.posexplode(F.arrays_zip("filled", "convex")).alias("_p", "_z"))
+    return one.select(*keep, "label", F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"), (F.col("_p") % F.col("width")).cast("int").alias("x"), "_z.filled", "_z.convex")

@@ -473,11 +473,15 @@ C.on_images(
 
 # Shapes of regions ------------------------------------------------------------------------------------------------------
 
-# Corners of a region's pixels that can lie on its hull: the outermost of each row of corners.
-_CORNERS = "w AS MATERIALIZED (SELECT g, y, min(x) AS lo, max(x) AS hi FROM (SELECT g, y + a.k AS y, x + b.k AS x FROM b, range(0, 2) AS a(k), range(0, 2) AS b(k)) GROUP BY 1, 2), e AS MATERIALIZED (SELECT DISTINCT g, y, x FROM (SELECT g, y, lo AS x FROM w UNION ALL SELECT g, y, hi AS x FROM w))"
-# Edges that leave every other corner on one side, or between their ends; the area is half the sum of their turns.
+# Middles of the sides of a region's pixels, in half pixels, the outermost of each row: all that can lie on its hull.
+_SIDES = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(a, b)"
+_OUTER = "SELECT g, y, min(x) AS lo, max(x) AS hi FROM (SELECT g, 2 * y + d.a AS y, 2 * x + d.b AS x FROM {0}, " + _SIDES + ") GROUP BY 1, 2"
+_ENDS = "SELECT DISTINCT g, y, x FROM (SELECT g, y, lo AS x FROM {0} UNION ALL SELECT g, y, hi AS x FROM {0})"
+# Edges that leave every other point on one side, or between their ends; a pixel is in the hull if it is on that side of all.
 _TURN3 = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
-_HULL = f"{_CORNERS}, h AS (SELECT p.g, p.x * q.y - q.x * p.y AS turn FROM e p JOIN e q ON q.g = p.g AND (q.y <> p.y OR q.x <> p.x) JOIN e r ON r.g = p.g GROUP BY p.g, p.x, p.y, q.x, q.y HAVING min({_TURN3}) >= 0 AND min(CASE WHEN {_TURN3} = 0 THEN (r.x - p.x) * (q.x - r.x) + (r.y - p.y) * (q.y - r.y) ELSE 0 END) >= 0), hull AS MATERIALIZED (SELECT g, sum(turn) / 2.0::DOUBLE AS convex_area FROM h GROUP BY 1), far AS MATERIALIZED (SELECT p.g, sqrt(max((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) AS feret FROM e p JOIN e q ON q.g = p.g GROUP BY 1)"
+_HULL = f"""w AS MATERIALIZED ({_OUTER.format('b')}), e AS MATERIALIZED ({_ENDS.format('w')}), side_ AS MATERIALIZED (SELECT p.g, p.y AS py, p.x AS px, q.y AS qy, q.x AS qx FROM e p JOIN e q ON q.g = p.g AND (q.y <> p.y OR q.x <> p.x) JOIN e r ON r.g = p.g GROUP BY p.g, p.x, p.y, q.x, q.y HAVING min({_TURN3}) >= 0 AND min(CASE WHEN {_TURN3} = 0 THEN (r.x - p.x) * (q.x - r.x) + (r.y - p.y) * (q.y - r.y) ELSE 0 END) >= 0),
+conv AS MATERIALIZED (SELECT c.g, c.y, c.x FROM (SELECT k.g, a.k::INT AS y, d.k::INT AS x FROM (SELECT g, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM b GROUP BY 1) k, range(0, 8) AS a(k), range(0, 8) AS d(k) WHERE a.k BETWEEN y0 AND y1 AND d.k BETWEEN x0 AND x1) c JOIN side_ s ON s.g = c.g GROUP BY ALL HAVING min((qx - px) * (2 * c.y - py) - (qy - py) * (2 * c.x - px)) >= 0),
+hull AS MATERIALIZED (SELECT g, count(*)::DOUBLE AS convex_area FROM conv GROUP BY 1), cw AS MATERIALIZED ({_OUTER.format('conv')}), ce AS MATERIALIZED ({_ENDS.format('cw')}), far AS MATERIALIZED (SELECT p.g, sqrt(max((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) / 2 AS feret FROM ce p JOIN ce q ON q.g = p.g GROUP BY 1)"""
 _MASKS = f"WITH {T.PX}, i AS (SELECT DISTINCT image_id FROM px), b AS MATERIALIZED (SELECT image_id AS g, y, x FROM px WHERE v > 0), {_HULL} "
 SQL["convex_area"] = _MASKS + "SELECT i.image_id, 0 AS y, 0 AS x, round(coalesce(convex_area, 0), 6) AS v FROM i LEFT JOIN hull ON g = image_id"
 SQL["feret_diameter_max"] = _MASKS + "SELECT i.image_id, 0 AS y, 0 AS x, round(coalesce(feret, 0), 6) AS v FROM i LEFT JOIN far ON g = image_id"
@@ -702,10 +706,10 @@ def _filled(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.filled_images(labels)
 
 
-C.register("filled_image", _filled, f"""{_LAB}, b AS MATERIALIZED (SELECT image_id * 1000 + label AS g, y, x FROM lab WHERE label > 0),
+C.register("filled_convex_images", _filled, f"""{_LAB}, b AS MATERIALIZED (SELECT image_id * 1000 + label AS g, y, x FROM lab WHERE label > 0), {_HULL},
 cell AS MATERIALIZED (SELECT box.image_id * 1000 + box.label AS g, y0, x0, a.k::INT AS y, d.k::INT AS x, a.k IN (y0 - 1, y1 + 1) OR d.k IN (x0 - 1, x1 + 1) AS edge FROM box, range(-1, 9) AS a(k), range(-1, 9) AS d(k) WHERE a.k BETWEEN y0 - 1 AND y1 + 1 AND d.k BETWEEN x0 - 1 AND x1 + 1),
 out AS MATERIALIZED (SELECT c.* FROM cell c LEFT JOIN b USING (g, y, x) WHERE b.y IS NULL), flood AS (SELECT g, y, x FROM out WHERE edge UNION SELECT n.g, n.y, n.x FROM flood p JOIN out n ON n.g = p.g AND {_NEAR8})
-SELECT (c.g // 1000)::BIGINT AS image_id, (c.g % 1000)::BIGINT AS label, (c.y - c.y0)::INT AS y, (c.x - c.x0)::INT AS x, f.y IS NULL AS filled FROM cell c LEFT JOIN flood f ON f.g = c.g AND f.y = c.y AND f.x = c.x WHERE NOT c.edge""")
+SELECT (c.g // 1000)::BIGINT AS image_id, (c.g % 1000)::BIGINT AS label, (c.y - c.y0)::INT AS y, (c.x - c.x0)::INT AS x, f.y IS NULL AS filled, v.y IS NOT NULL AS convex FROM cell c LEFT JOIN flood f ON f.g = c.g AND f.y = c.y AND f.x = c.x LEFT JOIN conv v ON v.g = c.g AND v.y = c.y AND v.x = c.x WHERE NOT c.edge""")
 
 # Single thresholds, choices and polygons --------------------------------------------------------------------------------------------
 

@@ -165,7 +165,9 @@ def test_vision():
 def test_hulls_triangles_and_moments():
     square = np.zeros((8, 8), bool)
     square[2:5, 1:7] = True
-    assert geometry.convex_area(square) == 18 and math.isclose(geometry.feret_diameter_max(square), math.hypot(3, 6))
+    assert geometry.convex_area(square) == 18 and math.isclose(geometry.feret_diameter_max(square), math.hypot(2, 6))
+    corner = np.eye(4, dtype=bool) | (np.arange(4) == 0)[:, None]
+    assert geometry.convex_area(corner) == 10 and (geometry.convex_image(corner) == np.triu(np.ones((4, 4), bool))).all()
     p = np.random.default_rng(4).random((20, 2)) * 10
     t = geometry.PiecewiseAffineTransform()
     assert t.estimate(p, 2 * p + 1)
