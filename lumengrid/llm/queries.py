@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, dedup, htmltext, langid, mixing, ngram_join, pseudonyms, secrets, substring, tokens
+from . import clustering, decontamination, dedup, htmltext, langid, mixing, ngram_join, pseudonyms, secrets, substring, tokens, warc, whitening
 
 #: Setting that names the secret key of the pseudonyms.
 PSEUDONYM_SETTING = "spark.lumengrid.pseudonym.key"
@@ -78,7 +78,21 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.replace_personal_data(_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_language_id, op5_token_output, op6_html_extraction, op7_ngram_join, op8_substring_dedup, op9_decontaminate, op10_pseudonyms)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(_table(spark, sf_dir, "pages"))
+    captures = warc.assemble(warc.read_records(warc.archive_files(spark, folder), payloads=False))
+    return warc.page_captures(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_secret_scan, op4_language_id, op5_token_output, op6_html_extraction, op7_ngram_join, op8_substring_dedup, op9_decontaminate, op10_pseudonyms, op11_centroid_clusters, op12_warc_captures, op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -148,3 +162,26 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit,
        sha256(coalesce(i.ids, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id""",
 }
+
+def _cluster_twin(rounds: int = 3, k: int = 16) -> str:
+    """k-means on whole numbers: every vector against every centroid, round by round."""
+    out = rf"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < {k}),"""
+    for r in range(rounds + 1):
+        out += rf"""
+f{r} AS (SELECT vec_id, kept.v, c.c, list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{r} c),
+a{r} AS (SELECT vec_id, v, min(struct_pack(d := d, c := c)) AS best FROM f{r} GROUP BY vec_id, v),"""
+        if r < rounds:
+            out += rf"""
+s{r} AS (SELECT best.c AS c, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{r}) GROUP BY 1, 2),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN
+  (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM s{r} GROUP BY c) m ON m.c = c{r}.c),"""
+    return out.rstrip(",") + rf"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+ORACLE_SQL["op11_centroid_clusters"] = _cluster_twin()
