@@ -13,9 +13,8 @@ import numpy as np
 MODES = ("reflect", "grid-mirror", "mirror", "nearest", "grid-wrap", "wrap", "constant", "grid-constant")
 
 
-def boundary_index(n: int, lo: int, hi: int, mode: str) -> np.ndarray:
-    """Source index of positions -lo to n + hi - 1; -1 stands for the constant."""
-    i = np.arange(-lo, n + hi)
+def boundary_at(i: np.ndarray, n: int, mode: str) -> np.ndarray:
+    """Source index of any whole positions of an axis of length n; -1 stands for the constant."""
     if mode in ("reflect", "grid-mirror"):
         i = np.where(i < 0, -1 - i, i) % (2 * n)
         return np.minimum(i, 2 * n - 1 - i)
@@ -33,6 +32,11 @@ def boundary_index(n: int, lo: int, hi: int, mode: str) -> np.ndarray:
     raise ValueError(f"unknown boundary mode {mode!r}")
 
 
+def boundary_index(n: int, lo: int, hi: int, mode: str) -> np.ndarray:
+    """Source index of positions -lo to n + hi - 1; -1 stands for the constant."""
+    return boundary_at(np.arange(-lo, n + hi), n, mode)
+
+
 def extend(x: np.ndarray, axis: int, lo: int, hi: int, mode: str = "reflect", cval: float = 0.0) -> np.ndarray:
     index = boundary_index(x.shape[axis], lo, hi, mode)
     out = np.take(x, np.maximum(index, 0), axis)

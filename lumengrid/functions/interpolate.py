@@ -62,6 +62,21 @@ def _fold(c, n, mode):
     return c
 
 
+def axis_taps(c, n, order, mode, pad=0):
+    """(weights, positions) of the ``order`` + 1 samples of an axis that each real coordinate draws on; -1 stands for the constant.
+
+    ``pad`` samples were put in front of and behind the axis.
+    """
+    c = _fold(c, n, mode) + pad
+    if order == 0:
+        first, taps = np.floor(c + 0.5).astype(int), [np.ones(c.shape)]
+    else:
+        first = (np.floor(c) - order // 2 if order % 2 else np.floor(c + 0.5) - order // 2).astype(int)
+        taps = [bspline(c - (first + j), order) for j in range(order + 1)]
+    edge = {"constant": "nearest", "wrap": "mirror"}.get(mode, mode) if not pad else "nearest" if mode != "grid-constant" else "grid-constant"
+    return taps, [nf.boundary_at(first + j, n + 2 * pad, edge) for j in range(len(taps))]
+
+
 def map_coordinates(x, coords, order=3, mode="constant", cval=0.0, prefilter=True):
     """Values at real coordinates (axes first; the same for every image of the stack)."""
     coords = np.asarray(coords, float)
@@ -76,23 +91,9 @@ def map_coordinates(x, coords, order=3, mode="constant", cval=0.0, prefilter=Tru
     outside = np.zeros(dims, bool)
     parts = []
     for k, n in enumerate(shape):
-        c = coords[k]
         if mode == "constant":
-            outside |= (c < 0) | (c > n - 1)
-        c = _fold(c, n, mode) + pad
-        if order == 0:
-            first, taps = np.floor(c + 0.5).astype(int), [np.ones(dims)]
-        else:
-            first = (np.floor(c) - order // 2 if order % 2 else np.floor(c + 0.5) - order // 2).astype(int)
-            taps = [bspline(c - (first + j), order) for j in range(order + 1)]
-        width = n + 2 * pad
-        at = []
-        for j in range(len(taps)):
-            i = first + j
-            lo, hi = max(0, -int(i.min(initial=0))), max(0, int(i.max(initial=0)) - width + 1)
-            table = nf.boundary_index(width, lo, hi, {"constant": "nearest", "wrap": "mirror"}.get(mode, mode) if not pad else "nearest" if mode != "grid-constant" else "grid-constant")
-            at.append(table[i + lo])
-        parts.append((taps, at))
+            outside |= (coords[k] < 0) | (coords[k] > n - 1)
+        parts.append(axis_taps(coords[k], n, order, mode, pad))
     out = np.zeros((x.shape[0], *dims))
     for combo in itertools.product(*[range(len(t)) for t, _ in parts]):
         weight, index, lost = 1.0, [], np.zeros(dims, bool)

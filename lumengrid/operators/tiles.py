@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morphology
 from ..functions.filters import extend
+from .grid import arrays
 from .runtime import cut, map_images, ship, stacks
 
 SCHEMA = "image_id long, rows int, cols int, ty int, tx int, shape array<int>, img array<double>"
@@ -30,13 +31,13 @@ def split(images: DataFrame, side: int, halo: int, mode: str = "reflect") -> Dat
             for cut, stack in stacks(batch.column("shape"), batch.column("img")):
                 if stack is None:
                     continue
-                rows, cols = stack.shape[1:]
+                n, rows, cols = stack.shape
                 p = extend(extend(stack, 1, halo, halo, mode), 2, halo, halo, mode)
-                for k in range(len(stack)):
-                    for y in range(0, rows, side):
-                        for x in range(0, cols, side):
-                            part = p[k, y : min(y + side, rows) + 2 * halo, x : min(x + side, cols) + 2 * halo]
-                            yield pa.RecordBatch.from_pylist([{"image_id": ids[cut.start + k].as_py(), "rows": rows, "cols": cols, "ty": y, "tx": x, "shape": list(part.shape), "img": part.ravel().tolist()}], pa.schema([("image_id", pa.int64()), ("rows", pa.int32()), ("cols", pa.int32()), ("ty", pa.int32()), ("tx", pa.int32()), ("shape", pa.list_(pa.int32())), ("img", pa.list_(pa.float64()))]))
+                same = lambda v: pa.array(np.full(n, v, np.int32))
+                for y in range(0, rows, side):
+                    for x in range(0, cols, side):
+                        part = p[:, y : min(y + side, rows) + 2 * halo, x : min(x + side, cols) + 2 * halo]
+                        yield pa.RecordBatch.from_arrays([ids.slice(cut.start, n).cast(pa.int64()), same(rows), same(cols), same(y), same(x), arrays([np.array(part.shape[1:])] * n, pa.int32()), arrays(list(part), pa.float64())], names=["image_id", "rows", "cols", "ty", "tx", "shape", "img"])
 
     return images.select("image_id", F.col("shape").cast("array<int>"), F.col("img").cast("array<double>")).mapInArrow(run, SCHEMA)
 
