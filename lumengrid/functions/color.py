@@ -229,12 +229,11 @@ def ydbdr2rgb(x: Column) -> Column:
 
 
 def separate_stains(x: Column, conv=None) -> Column:
-    """Optical densities against log(1e-6), unmixed; negative stains are 0."""
+    """Optical densities against log(1e-6), unmixed; stains may be negative."""
     conv = _inverse(RGB_FROM_HED) if conv is None else conv
     base = F.log(F.lit(1e-6))
     dens = [F.log(F.greatest(v, F.lit(1e-6))) / base for v in _parts(x)]
-    mixed = [sum(dens[k] * conv[k][j] for k in range(3)) for j in range(3)]
-    return triple(*[F.greatest(v, F.lit(0.0)) for v in mixed])
+    return triple(*[sum(dens[k] * conv[k][j] for k in range(3)) for j in range(3)])
 
 
 def combine_stains(x: Column, conv=RGB_FROM_HED) -> Column:

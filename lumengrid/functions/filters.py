@@ -295,8 +295,13 @@ def roberts_diagonals(x):
     return convolve(x, [[1, 0], [0, -1]]), convolve(x, [[0, 1], [-1, 0]])
 
 
-def unsharp_mask(x, radius=1.0, amount=1.0):
-    return x + amount * (x - gaussian_filter(x, radius, mode="reflect"))
+def unsharp_mask(x, radius=1.0, amount=1.0, preserve_range=False):
+    """The image plus what blurring takes away; held in [0, 1], or [-1, 1] for images with negative values, unless the range is preserved."""
+    out = x + amount * (x - gaussian_filter(x, radius, mode="reflect"))
+    if preserve_range:
+        return out
+    low = np.where((x < 0).reshape(len(x), -1).any(1), -1.0, 0.0).reshape(-1, *[1] * (x.ndim - 1))
+    return np.clip(out, low, 1.0)
 
 
 def difference_of_gaussians(x, low_sigma, high_sigma=None, mode="nearest", cval=0.0):

@@ -216,16 +216,30 @@ def remove_small_holes(x, area_threshold=64, connectivity=1):
     return ~remove_small_objects(~np.asarray(x, bool), area_threshold, connectivity)
 
 
-def find_boundaries(lab, connectivity=1, mode="thick"):
-    s = generate_binary_structure(lab.ndim - 1, connectivity)
-    hi, lo = nf.maximum_filter(lab, footprint=s, mode="nearest"), nf.minimum_filter(lab, footprint=s, mode="nearest")
-    edge = hi != lo
+def find_boundaries(lab, connectivity=1, mode="thick", background=0):
+    """Borders between labels: thick, inner (within objects), outer (outside them, and where two touch), or subpixel (between pixels, on the doubled grid)."""
+    rank = lab.ndim - 1
+    if mode == "subpixel":
+        pixels = (slice(None), *[slice(1, -1, 2)] * rank)
+        wide = np.full((len(lab), *[2 * n + 1 for n in lab.shape[1:]]), np.nan)
+        wide[pixels] = lab
+        for axis in range(1, rank + 1):  # the rim counts as background
+            for end in (0, -1):
+                np.moveaxis(wide, axis, 0)[end] = 0
+        views = np.lib.stride_tricks.sliding_window_view(wide, [3] * rank, tuple(range(1, rank + 1)))
+        views = views.reshape(*views.shape[: rank + 1], -1)
+        out = np.nanmax(views, -1) != np.nanmin(views, -1)
+        out[(slice(None), *[slice(None, None, 2)] * rank)] = False
+        return out
+    s, full = generate_binary_structure(rank, connectivity), generate_binary_structure(rank, rank)
+    spread = lambda f, x, foot: f(x, footprint=foot, mode="nearest")
+    edge = spread(nf.maximum_filter, lab, s) != spread(nf.minimum_filter, lab, s)
     if mode == "inner":
-        return edge & (lab != 0)
+        return edge & (lab != background)
     if mode == "outer":
-        inside = np.where(lab == 0, lab.max() + 1, lab)
-        lowest = nf.minimum_filter(inside, footprint=generate_binary_structure(lab.ndim - 1, lab.ndim - 1), mode="nearest")
-        return edge & ((lab == 0) | (lowest != hi))
+        hidden = np.where(lab == background, lab.max() + 1, lab)
+        touching = spread(nf.maximum_filter, lab, full) != spread(nf.minimum_filter, hidden, full)
+        return edge & ((lab == background) | touching)
     return edge
 
 

@@ -86,9 +86,10 @@ def relabel_sequential(px: DataFrame, key: str = "image_id", label: str = "label
 
 
 def join_segmentations(px: DataFrame, a: str, b: str, key: str = "image_id") -> DataFrame:
-    """The joint label of two segmentations, numbered from 1 in order of (a, b)."""
+    """The joint label of two segmentations, numbered from 1 in order of (a, b); where both are 0 it is 0."""
     pairs = px.select(key, a, b).distinct()
-    pairs = pairs.withColumn("joint", F.row_number().over(Window.partitionBy(key).orderBy(a, b)))
+    both = (F.col(a) == 0) & (F.col(b) == 0)
+    pairs = pairs.withColumn("joint", F.when(both, 0).otherwise(F.row_number().over(Window.partitionBy(key, both).orderBy(a, b))))
     return px.join(pairs, [key, a, b])
 
 
@@ -97,9 +98,19 @@ def remove_small_objects(px: DataFrame, min_size: int, key: str = "image_id", la
     return px.join(small.withColumn("_small", F.lit(True)), [key, label], "left").withColumn(label, F.when(F.col("_small"), 0).otherwise(F.col(label))).drop("_small")
 
 
-def block_reduce(px: DataFrame, block: tuple[int, int], agg=F.avg, value: str = "v") -> DataFrame:
-    """One value per block of pixels; cut blocks at the edge use what they have."""
-    return px.groupBy("image_id", F.floor(F.col("y") / block[0]).cast("int").alias("y"), F.floor(F.col("x") / block[1]).cast("int").alias("x")).agg(agg(value).alias(value))
+def block_reduce(px: DataFrame, block: tuple[int, int], agg=F.avg, value: str = "v", cval: float = 0.0) -> DataFrame:
+    """One value per block of pixels; blocks that the image's edge cuts are filled up with ``cval``.
+
+    Only the pixels that are missing are added, so the work stays with the image.
+    """
+    size = px.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    last = [F.ceil(F.col(n) / b) * b - 1 for n, b in zip("hw", block)]
+    run = lambda a, b: F.explode(F.when(a <= b, F.sequence(a.cast("int"), b.cast("int"))).otherwise(F.array().cast("array<int>")))
+    below = size.withColumn("y", run(F.col("h"), last[0])).withColumn("x", run(F.lit(0), last[1]))
+    beside = size.withColumn("x", run(F.col("w"), last[1])).withColumn("y", run(F.lit(0), F.col("h") - 1))
+    fill = below.select("image_id", "y", "x").unionByName(beside.select("image_id", "y", "x")).withColumn(value, F.lit(cval))
+    own = px.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value)).unionByName(fill)
+    return own.groupBy("image_id", F.floor(F.col("y") / block[0]).cast("int").alias("y"), F.floor(F.col("x") / block[1]).cast("int").alias("x")).agg(agg(value).alias(value))
 
 
 def integral_image(px: DataFrame, value: str = "v") -> DataFrame:

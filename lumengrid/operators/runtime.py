@@ -51,23 +51,29 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.r_[0, np.cumsum(size)]
 
 
-def stacks(shapes: pa.Array, images: pa.Array):
-    """(rows, stack): runs of neighbouring images of one shape as arrays."""
+def stacks(shapes: pa.Array, *images: pa.Array):
+    """(rows, stack): runs of neighbouring images of one shape as arrays; (rows, stack, stack...) for several columns.
+
+    A row counts only if each of its images fills its shape; one that doesn't,
+    or has no shape, comes by itself with None for every stack.
+    """
     sv, so = _lists(shapes)
-    iv, io = _lists(images)
+    parts = [_lists(i) for i in images]
     n, i = len(shapes), 0
     shape = lambda k: tuple(sv[so[k] : so[k + 1]].tolist())
+    own = [shape(k) for k in range(n)]
+    sizes = [int(np.prod(s)) if s else -1 for s in own]
+    whole = np.array([z >= 0 for z in sizes], bool)
+    for column, (_, io) in zip(images, parts):
+        whole &= (np.diff(io) == np.array(sizes)) & ~column.is_null().to_numpy(zero_copy_only=False)
     while i < n:
-        own, j = shape(i), i + 1
-        size = max(int(np.prod(own)), 1) if own else 0
-        while j < n and shape(j) == own and (j - i + 1) * size <= STACK:
-            j += 1
-        if own and io[j] - io[i] == (j - i) * size:
-            yield slice(i, j), iv[io[i] : io[j]].astype(float).reshape(j - i, *own)
+        j = i + 1
+        if not whole[i]:
+            yield slice(i, j), *[None] * len(images)
         else:
-            for k in range(i, j):
-                whole = own and io[k + 1] - io[k] == size
-                yield slice(k, k + 1), iv[io[k] : io[k + 1]].astype(float).reshape(1, *own) if whole else None
+            while j < n and whole[j] and own[j] == own[i] and (j - i + 1) * max(sizes[i], 1) <= STACK:
+                j += 1
+            yield slice(i, j), *[v[o[i] : o[j]].astype(float).reshape(j - i, *own[i]) for v, o in parts]
         i = j
 
 
@@ -111,7 +117,7 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], ke
 
 
 def map_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: list[str]) -> DataFrame:
-    """Like ``map_images`` for rows with two images of one shape: ``img`` and ``other``."""
+    """Like ``map_images`` for rows with two images of one shape, ``img`` and ``other``; null where either isn't whole."""
     ship(pairs.sparkSession)
     picked = pairs.select(*keep, F.col("shape").cast("array<int>"), F.col("img").cast("array<double>"), F.col("other").cast("array<double>"))
     out = picked.drop("other").schema
@@ -119,9 +125,8 @@ def map_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.nd
     def run(batches):
         for batch in batches:
             rows: list = [None] * len(batch)
-            two = zip(stacks(batch.column("shape"), batch.column("img")), stacks(batch.column("shape"), batch.column("other")))
-            for (cut, a), (_, b) in two:
-                if a is not None and b is not None:
+            for cut, a, b in stacks(batch.column("shape"), batch.column("img"), batch.column("other")):
+                if a is not None:
                     rows[cut] = list(kernel(a, b))
             shapes, values = _as_lists(rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], shapes, values], names=[*keep, "shape", "img"])

@@ -97,7 +97,7 @@ on_images(
     lambda x: f.gaussian_gradient_magnitude(x, 0.7),
     T.two(T.step("px", "a", T.outer(_g(0.7, 1), _g(0.7))), T.step("px", "b", T.outer(_g(0.7), _g(0.7, 1))), "sqrt(a.v * a.v + b.v * b.v)"),
 )
-on_images("unsharp_mask", lambda x: f.unsharp_mask(x, 0.7, 2.0), T.two(T.step("px", "a", T.outer(_g(0.7), _g(0.7))), T.step("px", "b", [(0, 0, 1)]), "p.v + 2.0 * (p.v - a.v)"))
+on_images("unsharp_mask", lambda x: f.unsharp_mask(x, 0.7, 2.0), T.two(T.step("px", "a", T.outer(_g(0.7), _g(0.7))), T.step("px", "b", [(0, 0, 1)]), "least(greatest(p.v + 2.0 * (p.v - a.v), CASE WHEN min(p.v) OVER (PARTITION BY p.image_id) < 0 THEN -1 ELSE 0 END), 1)"))
 on_images(
     "gradient",
     lambda x: f.gradient(x, 1),
@@ -287,6 +287,11 @@ register(
     sf: regions.block_reduce(image_pixels(spark, sf), (2, 4), F.max).select("image_id", "y", "x", F.round("v", 6).alias("v")),
     f"WITH {T.PX} SELECT image_id, (y // 2)::INT AS y, (x // 4)::INT AS x, round(max(v), 6) AS v FROM px GROUP BY ALL",
 )
+register(
+    "block_reduce_mean",
+    lambda spark, sf: regions.block_reduce(image_pixels(spark, sf), (3, 5), F.avg).select("image_id", "y", "x", (F.round("v", 6) + F.lit(0.0)).alias("v")),
+    f"WITH {T.PX} SELECT image_id, (y // 3)::INT AS y, (x // 5)::INT AS x, round(sum(v) / 15, 6) + 0.0 AS v FROM px GROUP BY ALL",
+)
 on_images(
     "downscale_local_mean",
     lambda x: interpolate.downscale_local_mean(x, (2, 2)),
@@ -314,7 +319,7 @@ register(
     "join_segmentations",
     lambda spark,
     sf: regions.join_segmentations(levels(spark, sf).withColumn("a", (F.col("q") > 127).cast("int")).withColumn("b", F.floor(F.col("y") / 4).cast("int")), "a", "b").select("image_id", "y", "x", "joint"),
-    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY (q > 127)::INT, y // 4) AS joint FROM qx",
+    f"WITH {T.PX}, {T.QX} SELECT image_id, y, x, CASE WHEN q <= 127 AND y < 4 THEN 0 ELSE dense_rank() OVER (PARTITION BY image_id, q <= 127 AND y < 4 ORDER BY (q > 127)::INT, y // 4) END::INT AS joint FROM qx",
 )
 register(
     "remove_small_objects",
@@ -581,7 +586,10 @@ def _tiled_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("tiled_label", _tiled_label, _LABELS + " SELECT image_id, y, x, label FROM l")
-on_images("mark_boundaries", lambda x: vision.mark_boundaries(x, morphology.label(x > 0)))
+on_images("mark_boundaries", lambda x: vision.mark_boundaries(x, morphology.label(x > 0)).reshape(len(x), x.shape[1], -1))
+on_images("mark_boundaries_outline", lambda x: vision.mark_boundaries(x, morphology.label(x > 0), (1, 0, 0), (0, 0, 1), "inner").reshape(len(x), x.shape[1], -1))
+on_images("find_boundaries_outer", lambda x: morphology.find_boundaries(morphology.label(x > 0), mode="outer"))
+on_images("find_boundaries_subpixel", lambda x: morphology.find_boundaries(morphology.label(x > 0), mode="subpixel"))
 on_images("daisy", lambda x: vision.daisy(x, 2, 2, 1, 4, 4).reshape(len(x), -1, 20))
 per_image("moments_hu", lambda x: vision.image_moments_hu(x + 1))
 per_image("convex_area", lambda x: [geometry.convex_area(i > 0) for i in x])

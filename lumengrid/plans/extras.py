@@ -77,17 +77,17 @@ _SLOPE, _SAME = W.slope(), [{k: 1.0} for k in range(8)]
 _HESSIAN = ", ".join([W.both("px", "g", _G1), W.both("g", "a", W.chained(_SLOPE, _SLOPE), _SAME), W.both("g", "b", _SLOPE, _SLOPE), W.both("g", "c", _SAME, W.chained(_SLOPE, _SLOPE))])
 _BIG, _SMALL = (f"(CASE WHEN abs({_HI}) {op} abs({_LO}) THEN {_HI} ELSE {_LO} END)" for op in (">=", "<"))
 _VESSEL = f"(CASE WHEN {_BIG} > 0 THEN exp(-pow({_SMALL} / {_BIG}, 2) / 0.5) * (1 - exp(-({_BIG} * {_BIG} + {_SMALL} * {_SMALL}) / 450)) ELSE 0 END)"
-_SUM1, _SUM2 = f"({_HI} + {_LO} / 3)", f"({_LO} + {_HI} / 3)"
 for _name, _value in {
     "hessian_matrix_det": _DET,
-    "shape_index": f"CASE WHEN {_HI} = {_LO} AND {_HI} + {_LO} = 0 THEN 0 ELSE 2 / pi() * atan(({_HI} + {_LO}) / ({_HI} - {_LO})) END",
-    "sato": f"greatest({_HI}, 0)",
-    "frangi": _VESSEL,
-    "hessian_ridges": f"CASE WHEN {_VESSEL} <= 0 THEN 1 ELSE {_VESSEL} END",
+    "shape_index": f"CASE WHEN {_HI} = {_LO} AND {_HI} + {_LO} = 0 THEN 0 ELSE 2 / pi() * atan(({_LO} + {_HI}) / ({_LO} - {_HI})) END",
     "hessian_eigenvalues": f"CASE WHEN abs({_LO}) <= abs({_HI}) THEN {_HI} ELSE {_LO} END",
 }.items():
     SQL[_name] = W.picture(_HESSIAN, _joined(_value, "a", "b", "c"), source="f")
-SQL["meijering"] = W.picture(_HESSIAN, _joined(f"greatest(CASE WHEN abs({_SUM1}) > abs({_SUM2}) THEN {_SUM1} ELSE {_SUM2} END, 0)", "a", "b", "c", by="m"), "f AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN max(v) OVER (PARTITION BY image_id) > 0 THEN v / max(v) OVER (PARTITION BY image_id) ELSE v END AS v FROM m)", source="f")
+# Ridges reflect the image at its edge, where features take it as 0.
+_CURVED = _HESSIAN.replace(W.both("px", "g", _G1), W.smooth("px", "g", 1.0))
+for _name, _value in {"sato": f"greatest({_HI}, 0)", "frangi": _VESSEL, "hessian_ridges": f"CASE WHEN {_VESSEL} <= 0 THEN 1 ELSE {_VESSEL} END"}.items():
+    SQL[_name] = W.picture(_CURVED, _joined(_value, "a", "b", "c"), source="f")
+SQL["meijering"] = W.picture(_CURVED, _joined(f"-1.5 * {_BIG}", "a", "b", "c", by="m"), "f AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN v < 0 THEN v / min(v) OVER (PARTITION BY image_id) ELSE 0 END AS v FROM m)", source="f")
 _PLAIN = ", ".join([W.both("px", "gy", _SLOPE, _SAME), W.both("px", "gx", _SAME, _SLOPE), W.both("px", "a", W.chained(_SLOPE, _SLOPE), _SAME), W.both("px", "b", _SLOPE, _SLOPE), W.both("px", "c", _SAME, W.chained(_SLOPE, _SLOPE))])
 SQL["corner_kitchen_rosenfeld"] = W.picture(_PLAIN, _joined("CASE WHEN gx.v * gx.v + gy.v * gy.v = 0 THEN 0 ELSE (c.v * gy.v * gy.v + a.v * gx.v * gx.v - 2 * b.v * gx.v * gy.v) / (gx.v * gx.v + gy.v * gy.v) END", "gy", "gx", "a", "b", "c"), source="f")
 _E = {(k, k): 1.0 for k in range(3)}
@@ -117,7 +117,13 @@ SQL["remove_small_holes"] = _HOLES + " SELECT px.image_id, px.y, px.x, CASE WHEN
 _FULL = C._LABELS + ", lab AS MATERIALIZED (SELECT px.image_id, px.y, px.x, px.v, coalesce(l.label, 0) AS label FROM px LEFT JOIN l ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x)"
 _BORDER = _FULL + ", e AS (SELECT p.image_id, p.y, p.x, p.v, max(q.label) <> min(q.label) AS edge FROM lab p JOIN lab q ON q.image_id = p.image_id AND abs(q.y - p.y) + abs(q.x - p.x) <= 1 GROUP BY ALL)"
 SQL["find_boundaries"] = _BORDER + " SELECT image_id, y, x, CASE WHEN edge THEN 1.0 ELSE 0.0 END AS v FROM e"
-SQL["mark_boundaries"] = _BORDER + " SELECT image_id, y, x, CASE WHEN edge THEN 1.0 ELSE round(v, 6) + 0.0 END AS v FROM e"
+_NEAR8 = "JOIN lab q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1"
+_OUTER = _BORDER + f", o AS MATERIALIZED (SELECT e.image_id, e.y, e.x, e.v, e.edge, p.label, e.edge AND (p.label = 0 OR t.touching) AS outside FROM e JOIN lab p USING (image_id, y, x) JOIN (SELECT p.image_id, p.y, p.x, max(q.label) <> min(CASE WHEN q.label = 0 THEN 1000 ELSE q.label END) AS touching FROM lab p {_NEAR8} GROUP BY ALL) t USING (image_id, y, x))"
+SQL["find_boundaries_outer"] = _OUTER + " SELECT image_id, y, x, CASE WHEN outside THEN 1.0 ELSE 0.0 END AS v FROM o"
+SQL["mark_boundaries"] = _OUTER + " SELECT image_id, y, (3 * x + c.k)::INT AS x, CASE WHEN outside THEN CASE WHEN c.k < 2 THEN 1.0 ELSE 0.0 END ELSE round(v, 6) + 0.0 END AS v FROM o, range(0, 3) AS c(k)"
+SQL["mark_boundaries_outline"] = _BORDER + f", i AS MATERIALIZED (SELECT e.image_id, e.y, e.x, e.v, e.edge AND p.label > 0 AS edge FROM e JOIN lab p USING (image_id, y, x)), z AS (SELECT p.image_id, p.y, p.x, p.v, p.edge, bool_or(q.edge) AS near FROM i p {_NEAR8.replace('lab q', 'i q')} GROUP BY ALL) SELECT image_id, y, (3 * x + c.k)::INT AS x, CASE WHEN edge THEN CASE WHEN c.k = 0 THEN 1.0 ELSE 0.0 END WHEN near THEN CASE WHEN c.k = 2 THEN 1.0 ELSE 0.0 END ELSE round(v, 6) + 0.0 END AS v FROM z, range(0, 3) AS c(k)"
+# Between pixels: what the surrounding pixels hold, and 0 beyond the edge.
+SQL["find_boundaries_subpixel"] = _FULL + ", w AS MATERIALIZED (SELECT px.image_id, a.k AS y, b.k AS x FROM (SELECT DISTINCT image_id FROM px) px, range(0, 15) AS a(k), range(0, 15) AS b(k)), n AS (SELECT w.image_id, w.y, w.x, max(CASE WHEN w.y IN (0, 14) OR w.x IN (0, 14) THEN greatest(q.label, 0) ELSE q.label END) AS hi, min(CASE WHEN w.y IN (0, 14) OR w.x IN (0, 14) THEN least(q.label, 0) ELSE q.label END) AS lo FROM w JOIN lab q ON q.image_id = w.image_id AND abs(2 * q.y - w.y) <= 1 AND abs(2 * q.x - w.x) <= 1 GROUP BY ALL) SELECT image_id, y::INT AS y, x::INT AS x, CASE WHEN hi <> lo AND (y % 2 = 1 OR x % 2 = 1) THEN 1.0 ELSE 0.0 END AS v FROM n"
 
 
 def _steps(first: str, step: str, times: int) -> str:
@@ -285,7 +291,7 @@ C.on_colours(
 C.on_colours("lch2lab", lambda x: color.lch2lab(color.triple(x["a"] * 100, x["b"] * 100, x["c"] * 7)), _colours(_three("m", "c", "r * 100", "g * 100 * cos(b * 7)", "g * 100 * sin(b * 7)"), last="m"))
 _DENS = [f"ln(greatest({n}, 1e-6)) / ln(1e-6)" for n in "rgb"]
 _UNMIX = [[row[j] for row in _inverse(color.RGB_FROM_HED)] for j in range(3)]
-C.on_colours("rgb2hed", color.rgb2hed, _colours(_three("d", "c", *_DENS), _three("m", "d", *[f"greatest({v}, 0)" for v in _times(_UNMIX)]), last="m"))
+C.on_colours("rgb2hed", color.rgb2hed, _colours(_three("d", "c", *_DENS), _three("m", "d", *_times(_UNMIX)), last="m"))
 _MIX = [[row[j] for row in color.RGB_FROM_HED] for j in range(3)]
 C.on_colours(
     "hed2rgb",

@@ -62,7 +62,7 @@ def _corner_peaks(spark: SparkSession, sf: str) -> DataFrame:
 C.register(
     "corner_peaks",
     _corner_peaks,
-    f"WITH {T.PX} SELECT p.image_id, p.y, p.x FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v HAVING p.v = max(q.v) AND p.v > 0",
+    f"WITH {T.PX} SELECT p.image_id, p.y, p.x FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x, p.v HAVING p.v = max(q.v) AND p.v > (SELECT min(v) FROM px l WHERE l.image_id = p.image_id)",
 )
 
 # Grids, lines, integrals, pyramids -----------------------------------------------------------
@@ -285,7 +285,7 @@ C.register(
 
 _PAIRS = f"{T.PX}, j AS MATERIALIZED (SELECT p.image_id // 2 AS image_id, p.y, p.x, p.v AS a, q.v AS b FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0)"
 _TURN = "(2 * pi() * (c.y * j.y + c.x * j.x) / 8)"
-_CROSS = f"WITH {_PAIRS}, f AS MATERIALIZED (SELECT j.image_id, c.y, c.x, sum(a * cos({_TURN})) AS ar, -sum(a * sin({_TURN})) AS ai, sum(b * cos({_TURN})) AS br, -sum(b * sin({_TURN})) AS bi FROM j CROSS JOIN {W.GRID} c GROUP BY ALL), k AS MATERIALIZED (SELECT image_id, y, x, ar * br + ai * bi AS re, ai * br - ar * bi AS im FROM f), n AS MATERIALIZED (SELECT image_id, y, x, re / greatest(sqrt(re * re + im * im), 2.220446049250313e-14) AS a, im / greatest(sqrt(re * re + im * im), 2.220446049250313e-14) AS b FROM k), r AS MATERIALIZED (SELECT j.image_id, c.y, c.x, sqrt(pow(sum(j.a * cos({_TURN}) - j.b * sin({_TURN})), 2) + pow(sum(j.a * sin({_TURN}) + j.b * cos({_TURN})), 2)) / 64 AS r FROM n j CROSS JOIN {W.GRID} c GROUP BY ALL), w AS (SELECT image_id, arg_max({{'y': y, 'x': x}}, (round(r, 9), -y, -x)) AS s FROM r GROUP BY 1) SELECT image_id, 0 AS y, g.x::INT AS x, (CASE WHEN g.x = 0 THEN CASE WHEN s.y > 4 THEN s.y - 8 ELSE s.y END ELSE CASE WHEN s.x > 4 THEN s.x - 8 ELSE s.x END END)::DOUBLE AS v FROM w, (VALUES (0), (1)) AS g(x)"
+_CROSS = f"WITH {_PAIRS}, f AS MATERIALIZED (SELECT j.image_id, c.y, c.x, sum(a * cos({_TURN})) AS ar, -sum(a * sin({_TURN})) AS ai, sum(b * cos({_TURN})) AS br, -sum(b * sin({_TURN})) AS bi FROM j CROSS JOIN {W.GRID} c GROUP BY ALL), k AS MATERIALIZED (SELECT image_id, y, x, ar * br + ai * bi AS re, ai * br - ar * bi AS im FROM f), n AS MATERIALIZED (SELECT image_id, y, x, re AS a, im AS b FROM k), r AS MATERIALIZED (SELECT j.image_id, c.y, c.x, sqrt(pow(sum(j.a * cos({_TURN}) - j.b * sin({_TURN})), 2) + pow(sum(j.a * sin({_TURN}) + j.b * cos({_TURN})), 2)) / 64 AS r FROM n j CROSS JOIN {W.GRID} c GROUP BY ALL), w AS (SELECT image_id, arg_max({{'y': y, 'x': x}}, (round(r, 9), -y, -x)) AS s FROM r GROUP BY 1) SELECT image_id, 0 AS y, g.x::INT AS x, (CASE WHEN g.x = 0 THEN CASE WHEN s.y > 4 THEN s.y - 8 ELSE s.y END ELSE CASE WHEN s.x > 4 THEN s.x - 8 ELSE s.x END END)::DOUBLE AS v FROM w, (VALUES (0), (1)) AS g(x)"
 
 
 def _on_pairs(name: str, kernel, sql: str | None = None) -> None:
@@ -588,12 +588,22 @@ t AS MATERIALIZED (SELECT image_id, y, x, mzz AS v FROM (SELECT *, {_W} AS w FRO
 r AS (SELECT image_id, y, x FROM t WHERE v >= 0.2 UNION SELECT n.image_id, n.y, n.x FROM r JOIN t n ON n.image_id = r.image_id AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1)
 SELECT px.image_id, px.y, px.x, CASE WHEN r.y IS NULL THEN 0.0 ELSE 1.0 END AS v FROM px LEFT JOIN r USING (image_id, y, x)"""
 _RING = ", ".join(f"({h + 1}, {a}, {b})" for h, (a, b) in enumerate(((0, 2), (2, 0), (0, -2), (-2, 0))))
-SQL["daisy"] = f"""WITH {T.PX}, {W.both('px', 'gy', W.slope(), _SAME)}, {W.both('px', 'gx', _SAME, W.slope())}, o AS MATERIALIZED (SELECT image_id * 10 + k AS image_id, y, x, sqrt(gy.v * gy.v + gx.v * gx.v) * exp(4 / pi() * (cos(atan2(gy.v, gx.v) - k * pi() / 2) - 1)) AS v FROM gy JOIN gx USING (image_id, y, x), range(0, 4) AS r(k)),
-{W.smooth('o', 'near', 0.25)}, {W.smooth('o', 'wide', 0.75)}, c AS (SELECT a.k AS py, b.k AS px FROM range(0, 2) AS a(k), range(0, 2) AS b(k)), d AS (SELECT n.image_id, py * 2 + px AS y, n.image_id % 10 AS x, n.v FROM near n JOIN c ON n.y = 2 + 2 * py AND n.x = 2 + 2 * px UNION ALL SELECT n.image_id, py * 2 + px, h * 4 + n.image_id % 10, n.v FROM wide n CROSS JOIN c JOIN (VALUES {_RING}) AS g(h, dy, dx) ON n.y = 2 + 2 * py + dy AND n.x = 2 + 2 * px + dx)
-SELECT image_id // 10 AS image_id, y::INT AS y, x::INT AS x, round(v / greatest(sum(v) OVER (PARTITION BY image_id // 10, y), 1e-12), 6) + 0.0 AS v FROM d"""
-C.on_images("equalize_adapthist", lambda x: vision.equalize_adapthist(x, 4), f"""WITH {T.PX}, q AS MATERIALIZED (SELECT image_id, y, x, floor((v - min(v) OVER i) / (max(v) OVER i - min(v) OVER i) * 255)::INT AS q, y // 4 AS ty, x // 4 AS tx FROM px WINDOW i AS (PARTITION BY image_id)), h AS MATERIALIZED (SELECT image_id, ty, tx, q, count(*) AS n FROM q GROUP BY ALL), o AS MATERIALIZED (SELECT image_id, ty, tx, sum(greatest(n - 1, 0)) / 256.0::DOUBLE AS share FROM h GROUP BY ALL),
-f AS (SELECT image_id, y, x, q, least(greatest((y + 0.5) / 4 - 0.5, 0), 1) AS fy, least(greatest((x + 0.5) / 4 - 0.5, 0), 1) AS fx FROM q), c AS (SELECT f.image_id, f.y, f.x, any_value(f.fy) AS fy, any_value(f.fx) AS fx, o.ty, o.tx, (count(h.q) + (any_value(f.q) + 1) * any_value(o.share)) / 16 AS c FROM f JOIN o USING (image_id) LEFT JOIN h ON h.image_id = o.image_id AND h.ty = o.ty AND h.tx = o.tx AND h.q <= f.q GROUP BY f.image_id, f.y, f.x, o.ty, o.tx)
-SELECT image_id, y, x, round(sum(c * CASE WHEN ty = 1 THEN fy ELSE 1 - fy END * CASE WHEN tx = 1 THEN fx ELSE 1 - fx END), 6) + 0.0 AS v FROM c GROUP BY image_id, y, x""")
+_AHEAD = [{o + 1: 1.0, o: -1.0} if o < 7 else {7: 0.0} for o in range(8)]
+SQL["daisy"] = f"""WITH {T.PX}, {W.both('px', 'gy', _AHEAD, _SAME)}, {W.both('px', 'gx', _SAME, _AHEAD)}, o AS MATERIALIZED (SELECT image_id * 10 + k AS image_id, y, x, sqrt(gy.v * gy.v + gx.v * gx.v) * exp(4 / pi() * cos(atan2(gy.v, gx.v) - (k * pi() / 2 - pi()))) AS v FROM gy JOIN gx USING (image_id, y, x), range(0, 4) AS r(k)),
+{W.smooth('o', 'near', 1.0)}, c AS (SELECT a.k AS py, b.k AS px FROM range(0, 2) AS a(k), range(0, 2) AS b(k)), d AS (SELECT n.image_id, py * 2 + px AS y, n.image_id % 10 AS x, n.v FROM near n JOIN c ON n.y = 2 + 2 * py AND n.x = 2 + 2 * px UNION ALL SELECT n.image_id, py * 2 + px, h * 4 + n.image_id % 10, n.v FROM near n CROSS JOIN c JOIN (VALUES {_RING}) AS g(h, dy, dx) ON n.y = 2 + 2 * py + dy AND n.x = 2 + 2 * px + dx)
+SELECT image_id // 10 AS image_id, y::INT AS y, x::INT AS x, round((v + 1e-10) / sum(v + 1e-10) OVER (PARTITION BY image_id // 10, y), 6) + 0.0 AS v FROM d"""
+C.on_images(
+    "equalize_adapthist",
+    lambda x: vision.equalize_adapthist(x, 4),
+    f"""WITH RECURSIVE {T.PX}, g AS MATERIALIZED (SELECT image_id, y, x, round_even(least(greatest(v, 0), 1) * 65535, 0) AS g FROM px), s AS MATERIALIZED (SELECT image_id, y, x, min(g) OVER i AS lo, max(g) OVER i AS hi, g FROM g WINDOW i AS (PARTITION BY image_id)),
+q AS MATERIALIZED (SELECT image_id, y, x, (CASE WHEN hi > lo THEN round_even((g - lo) / (hi - lo) * 16383, 0) ELSE least(g, 16383) END)::INT // 65 AS q FROM s),
+h0 AS MATERIALIZED (SELECT image_id, y // 4 AS ty, x // 4 AS tx, list_transform(range(0, 256), lambda k: list_contains(list(q), k)::INT) AS h, (16 - count(DISTINCT q))::INT AS spare FROM q GROUP BY ALL),
+r AS (SELECT *, 0 AS start FROM h0 UNION ALL SELECT image_id, ty, tx, h2, (spare - list_sum(h2) + list_sum(h))::INT, start + 1 FROM (SELECT *, list_transform(h, lambda v, i: CASE WHEN v < 1 AND i > start AND (i - 1 - start) % step = 0 THEN 1 ELSE v END) AS h2 FROM (SELECT *, greatest(1, (256 - list_sum(h))::INT // spare) AS step FROM r WHERE spare > 0))),
+t AS MATERIALIZED (SELECT image_id, ty, tx, h FROM r WHERE spare <= 0),
+e AS (SELECT q.image_id, q.y, q.x, q.q, least(greatest((y + 2) // 4 + a.k - 1, 0), 1) AS ty, least(greatest((x + 2) // 4 + c.k - 1, 0), 1) AS tx, abs(1 - a.k - ((y + 2) % 4) / 4.0::DOUBLE) * abs(1 - c.k - ((x + 2) % 4) / 4.0::DOUBLE) AS w FROM q, range(0, 2) AS a(k), range(0, 2) AS c(k)),
+f AS MATERIALIZED (SELECT e.image_id, e.y, e.x, floor(sum(w * floor(least(list_sum(t.h[1 : e.q + 1]) * 1023.9375::DOUBLE, 16383)))) AS v FROM e JOIN t USING (image_id, ty, tx) GROUP BY ALL)
+SELECT image_id, y, x, round(CASE WHEN max(v) OVER i > min(v) OVER i THEN (v - min(v) OVER i) / (max(v) OVER i - min(v) OVER i) ELSE v / 65535 END, 6) + 0.0 AS v FROM f WINDOW i AS (PARTITION BY image_id)""",
+)
 
 
 def _polygons(degree: int, closed: bool):
