@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from ..operators import grid
+from ..operators import grid, peaks
+from ..operators.runtime import pixels
 from ..operators.tiles import tile_pixels
 from ..sources.images import embedding_images
 from . import twins as T
@@ -56,3 +57,14 @@ on_tiles("tiled_affine_transform", lambda t: grid.affine_transform(t, SIDE, [[1,
 on_tiles("tiled_warp", lambda t: grid.warp(t, SIDE, np.array([[1, 0, 0.5], [0, 1, -0.5], [0, 0, 1]])), ORACLE_SQL["warp"])
 on_tiles("tiled_map_coordinates", lambda t: grid.gather(t, SIDE, lambda y, x, rows, cols: (0.9 * y, 0.9 * x), None, 3, "mirror"), ORACLE_SQL["map_coordinates"])
 on_tiles("tiled_spline_filter", lambda t: grid.spline_filter(t, SIDE), ORACLE_SQL["spline_filter"])
+
+register("tiled_peak_local_max", lambda spark, sf: peaks.peak_local_max(grid.split(_images(spark, sf), SIDE), SIDE).select("image_id", "y", "x"), ORACLE_SQL["peak_local_max"])
+register(
+    "ensure_spacing",
+    lambda spark, sf: peaks.ensure_spacing(pixels(_images(spark, sf), digits=None).where("v > 0"), 3, 2).select("image_id", "y", "x"),
+    f"""WITH RECURSIVE {T.PX}, p AS MATERIALIZED (SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) AS k FROM px WHERE v > 0),
+r AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::STRUCT(y INT, x INT)[] AS kept FROM px
+      UNION ALL SELECT r.image_id, r.k + 1, CASE WHEN len(list_filter(r.kept, lambda t: (t.y - p.y) * (t.y - p.y) + (t.x - p.x) * (t.x - p.x) < 9)) = 0 THEN list_append(r.kept, {{'y': p.y, 'x': p.x}}) ELSE r.kept END
+      FROM r JOIN p ON p.image_id = r.image_id AND p.k = r.k + 1)
+SELECT image_id, t.y, t.x FROM (SELECT image_id, unnest(arg_max(kept, k)) AS t FROM r GROUP BY image_id)""",
+)
