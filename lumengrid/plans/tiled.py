@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import filters
-from ..operators import grid, peaks
-from ..operators.runtime import pixels
+from ..functions import filters, morphology
+from ..operators import grid, peaks, tile_regions
+from ..operators.runtime import map_images, pixels
 from ..operators.tiles import tile_pixels
 from ..sources.images import embedding_images
+from . import extras, further  # noqa: F401  (their twins are used here)
 from . import twins as T
-from .catalog import ORACLE_SQL, register
+from .catalog import ORACLE_SQL, register, rounded
 
 #: Doesn't divide the images' side, so tiles at their edges are smaller.
 SIDE = 3
@@ -68,3 +69,11 @@ r AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::STRUCT(y INT, x INT)[] AS ke
       FROM r JOIN p ON p.image_id = r.image_id AND p.k = r.k + 1)
 SELECT image_id, t.y, t.x FROM (SELECT image_id, unnest(arg_max(kept, k)) AS t FROM r GROUP BY image_id)""",
 )
+
+
+def _region_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    labels = map_images(_images(spark, sf), lambda x: morphology.label(x > 0))
+    return rounded(tile_regions.region_shapes(grid.split(labels, SIDE), SIDE))
+
+
+register("tiled_region_shapes", _region_shapes, ORACLE_SQL["region_shapes"])
