@@ -22,13 +22,66 @@ def histogram(px: DataFrame, bins: int, lo: float, hi: float, key: str = "image_
     return px.where(v.between(lo, hi)).groupBy(key, b.alias("bin")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
 
-def histogramdd(px: DataFrame, columns: dict[str, tuple[int, float, float]], keys: list[str] = []) -> DataFrame:
-    """Counts over a grid: a bin column for each of the named columns (bins, lo, hi)."""
-    inside, cells = F.lit(True), []
-    for name, (bins, lo, hi) in columns.items():
-        inside &= F.col(name).between(lo, hi)
-        cells.append(F.least(F.floor((F.col(name) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int").alias(f"bin_{name}"))
-    return px.where(inside).groupBy(*keys, *cells).agg(F.count("*").alias("n"))
+#: Edges of one step of a lookup.
+FAN = 32
+
+
+def bin_of(v: Column, edges: list[float]) -> Column:
+    """The bin of a value between ascending edges, each closed below and the last one above too; null outside (nan as well).
+
+    A search tree of comparisons over every ``FAN``-th edge, then a count
+    within those: no join, and it stays in generated code.
+    """
+    e = [float(x) for x in edges]
+    if len(e) < 2 or any(a > b for a, b in zip(e, e[1:])):
+        raise ValueError("edges must ascend, and be two at least")
+
+    def reached(edges: list[float], lo: int, hi: int) -> Column:
+        """Number of edges at or below v, known to be in lo .. hi."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < edges[mid], reached(edges, lo, mid)).otherwise(reached(edges, mid + 1, hi))
+
+    if len(e) <= FAN * FAN:
+        at = reached(e, 0, len(e))
+    else:
+        parts = [e[k : k + FAN] for k in range(0, len(e), FAN)]
+        part = reached([p[0] for p in parts], 0, len(parts)) - 1
+        inner = F.get(F.array(*[F.array(*[F.lit(x) for x in p]) for p in parts]), part)
+        at = F.when(part < 0, 0).otherwise(part * FAN + F.size(F.filter(inner, lambda x: x <= v)))
+    last = len(e) - 2
+    return F.when((v >= e[0]) & (v < e[-1]), at - 1).when(v == e[-1], last).cast("int")
+
+
+def histogramdd(px: DataFrame, columns: dict[str, tuple[int, float, float] | list[float]], keys: list[str] = [], weight: Column | None = None, density: bool = False) -> DataFrame:
+    """Counts over a grid: a bin column for each of the named columns.
+
+    A column has equal bins, as a tuple (bins, lo, hi), or a list of ascending
+    edges.  ``weight`` is summed instead of counted; ``density`` divides by the
+    sum (of each key) and the size of the cell (a column ``density``).
+    """
+    cells, sizes = [], F.lit(1.0)
+    for name, bins in columns.items():
+        v = F.col(name)
+        if isinstance(bins, tuple):
+            n, lo, hi = bins
+            cell = F.when(v.between(lo, hi), F.least(F.floor((v - lo) / (hi - lo) * n), F.lit(n - 1))).cast("int")
+            size = F.lit((hi - lo) / n)
+        else:
+            cell = bin_of(v, bins)
+            size = F.get(F.array(*[F.lit(float(b) - float(a)) for a, b in zip(bins, bins[1:])]), F.col(f"bin_{name}"))
+        cells.append(cell.alias(f"bin_{name}"))
+        sizes = sizes * size
+    counted = px.select(*keys, *cells, (F.lit(1) if weight is None else weight).alias("_w"))
+    counted = counted.where(" and ".join(f"bin_{c} is not null" for c in columns)) if columns else counted
+    out = counted.groupBy(*keys, *[f"bin_{c}" for c in columns]).agg((F.count("*") if weight is None else F.sum("_w")).alias("n"))
+    if not density:
+        return out
+    # Cells are few: their sum by key is a second aggregation of the result.
+    whole = out.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    out = out.join(whole, keys) if keys else out.withColumn("_all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return out.withColumn("density", F.col("n") / F.col("_all") / sizes).drop("_all")
 
 
 def cumulative_distribution(hist: DataFrame, key: str = "image_id") -> DataFrame:
