@@ -48,53 +48,78 @@ def fingerprints(h: np.ndarray, whole: np.ndarray, run: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints, windows and short items of some benchmark items."""
+    """Fingerprints, distinct windows and short items of some benchmark items, and which items each window is of.
+
+    However many items share a window, it is one entry; its items are a list
+    kept once for all windows with the same items.
+    """
 
     def __init__(self, ids: list[str], texts: list[str], window: int, gram: int):
         data, offs = K.string_buffer(pa.array(texts, pa.large_string()))
         words = K.split_words(data, offs, K.ALNUM, lower=True)
         self.ids = ids
-        self.item = words.doc.astype(np.int32)
-        self.full = K.ngram_hashes(words, window)
-        g = K.ngram_hashes(words, gram)
-        at = fingerprints(g, self.full != 0, window - gram + 1)
-        at = at[np.argsort(g[at], kind="stable")]
-        self.hash, self.at = g[at], at
+        full, g = K.ngram_hashes(words, window), K.ngram_hashes(words, gram)
+        self.prints = np.unique(g[fingerprints(g, full != 0, window - gram + 1)])
+        self._lists: list[np.ndarray] = []
+        self._known: dict[bytes, int] = {}
+        item = words.doc.astype(np.int32)
+        self.windows, self.window_list = self._grouped(full[full != 0], item[full != 0])
         count = np.diff(words.first)
         self.short = {}
         for n in range(1, window):
             own = np.flatnonzero(count == n)
             if len(own):
-                h = K.ngram_hashes(words, n)[words.first[own]]
-                order = np.argsort(h, kind="stable")
-                self.short[n] = h[order], own[order].astype(np.int32)
-
-
-def _pairs(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (key, table row) of equal hashes; the table is sorted."""
-    lo, hi = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-    n = hi - lo
-    who = np.repeat(np.arange(len(keys)), n)
-    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                self.short[n] = self._grouped(K.ngram_hashes(words, n)[words.first[own]], own.astype(np.int32))
+        self._known = {}
+
+    def _grouped(self, h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, ascending, and the list of items of each: an item's number, or one behind all items."""
+        order = np.lexsort((item, h))
+        h, item = h[order], item[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])][: len(h)]
+        h, item = h[new], item[new]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        size = np.diff(np.r_[start, len(h)])
+        lists = item[start].astype(np.int64)
+        for k in np.flatnonzero(size > 1).tolist():
+            own = item[start[k] : start[k] + size[k]]
+            at = self._known.setdefault(own.tobytes(), len(self._lists))
+            if at == len(self._lists):
+                self._lists.append(own)
+            lists[k] = len(self.ids) + at
+        return h[start], lists
+
+    def items(self, lists: np.ndarray) -> np.ndarray:
+        """The distinct items of some lists."""
+        many = lists[lists >= len(self.ids)] - len(self.ids)
+        return np.unique(np.concatenate([lists[lists < len(self.ids)], *[self._lists[k] for k in many.tolist()]])).astype(np.int64)
+
+
+def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys an ascending table of distinct hashes has, and where."""
+    if not len(table):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    who = np.flatnonzero(table[at] == keys)
+    return who, at[who]
 
 
 def hits(words: K.Words, index: Index, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, length, item) of every matched window."""
-    out = []
+    """(first word, length, list of items) of every matched window, each once."""
     full, g = K.ngram_hashes(words, window), K.ngram_hashes(words, gram)
     at = fingerprints(g, full != 0, window - gram + 1)
-    who, row = _pairs(g[at], index.hash)
-    d, q = at[who], index.at[row]
-    for o in range(window - gram + 1):
-        ok = (d >= o) & (q >= o)
-        x, y = d[ok] - o, q[ok] - o
-        same = (full[x] == index.full[y]) & (full[x] != 0)
-        out.append((x[same], np.full(int(same.sum()), window), index.item[y[same]]))
-    for n, (table, item) in index.short.items():
+    at = at[_found(g[at], index.prints)[0]]
+    # The windows around a shared fingerprint, then those that agree in full.
+    x = np.unique((at[:, None] - np.arange(window - gram + 1)).ravel())
+    x = x[x >= 0]
+    x = x[full[x] != 0]
+    who, row = _found(full[x], index.windows)
+    out = [(x[who], np.full(len(who), window), index.window_list[row])]
+    for n, (table, lists) in index.short.items():
         h = K.ngram_hashes(words, n)
-        some = np.flatnonzero(np.isin(h, table))
-        who, row = _pairs(h[some], table)
-        out.append((some[who], np.full(len(who), n), item[row]))
+        some = np.flatnonzero(h)
+        who, row = _found(h[some], table)
+        out.append((some[who], np.full(len(who), n), lists[row]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -141,10 +166,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, keep: list[str] = ["doc_id"
 
         def work(data, offs, nulls):
             words = K.split_words(data, offs, K.ALNUM, lower=True)
-            start, length, item = hits(words, index, window, gram)
-            found: list[set] = [set() for _ in nulls]
-            for p in np.unique(words.doc[start].astype(np.int64) << 32 | item).tolist():
-                found[p >> 32].add(index.ids[p & 0xFFFFFFFF])
+            start, length, lists = hits(words, index, window, gram)
+            pair = np.unique(np.stack([words.doc[start].astype(np.int64), lists]), axis=1)
+            ends = np.searchsorted(pair[0], np.arange(len(nulls) + 1))
+            found = [{index.ids[k] for k in index.items(pair[1, a:b]).tolist()} if b > a else () for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             hit = _covered(start, length, len(words.start))
             n_hit = np.diff(np.r_[0, np.cumsum(hit)][words.first])
             doc, s, e = _ranges(hit, words)
@@ -193,20 +218,23 @@ def _joined(docs: DataFrame, bench: DataFrame, keep: list[str], into: str, windo
         return run
 
     theirs = items.select("item", "text").mapInArrow(prints("item"), "print long, item string").distinct()
-    ours = picked.select("doc", "text").mapInArrow(prints("doc"), "print long, doc string").distinct()
+    ours = stage(picked.select("doc", "text").mapInArrow(prints("doc"), "print long, doc string").distinct(), "bench_prints")
     pairs = stage(spread_join(ours, theirs, ["print"], ["doc"]).select("doc", "item").distinct(), "bench_pairs")
     # One text per key: copies meet in their own tasks before they move.
     texts = picked.join(pairs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
     wide = spread_join(pairs, texts, ["doc"], ["item"])
-    wide = spread_join(wide, items.withColumnRenamed("text", "item_text"), ["item"], ["doc"], pairs).select("doc", "item", "text", "item_text")
+    wide = spread_join(wide, items.withColumnRenamed("text", "item_text"), ["item"], ["doc"], pairs).select("doc", "item", "text", "item_text").sortWithinPartitions("item")
 
     @K.tidy
     def extend(batches):
+        index, known = None, None
         for batch in batches:
             out = []
             for doc, item, text, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if item != known:  # rows come by item: its index is built once
+                    index, known = Index([item], [own], window, gram), item
                 words = K.split_words(*K.string_buffer(pa.array([text], pa.large_string())), K.ALNUM, lower=True)
-                start, length, _ = hits(words, Index([item], [own], window, gram), window, gram)
+                start, length, _ = hits(words, index, window, gram)
                 if len(start):
                     _, s, e = _ranges(_covered(start, length, len(words.start)), words)
                     out.append((doc, item, [{"start": int(x), "end": int(y)} for x, y in zip(s, e)]))

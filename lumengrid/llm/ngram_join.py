@@ -82,10 +82,13 @@ def _class_hash(d: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def split_clashes(cls: np.ndarray, check: np.ndarray, clashes: dict[int, int]) -> np.ndarray:
-    """Gives sets that share a class, but not the second hash kept for it, a class of their own."""
-    if clashes:
+    """Gives sets that share a class, but not the second hash kept for it, another class, and so on until each fits its own."""
+    while clashes:
         keep = np.array([clashes.get(c, k) for c, k in zip(cls.view(np.int64).tolist(), check.view(np.int64).tolist())], np.int64)
-        cls = np.where(check.view(np.int64) == keep, cls, K.mix(cls ^ check))
+        away = check.view(np.int64) != keep
+        if not away.any():
+            break
+        cls = np.where(away, K.mix(cls ^ check), cls)
     return cls
 
 
@@ -243,18 +246,19 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     """Every row's description, one row per class, and the classes that two sets shared at first.
 
-    Of m sets m**2 / 2**65 pairs clash: none, or a few hundred among 10**11.
+    Sets that share a class are told apart by their second hash, round by round
+    until none share one; all rounds' classes stay known.  Of m sets
+    m**2 / 2**65 pairs clash: none, or a few hundred among 10**11.
     """
     clashes: dict[int, int] = {}
-    for _ in range(2):
+    while True:
         info = stage(describe(docs, n, clashes), "join_info")
         classes = info.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.count("*").alias("n_copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
         classes = stage(classes, "join_classes")
-        found = classes.where("lo != hi").select("cls", "lo").limit(100_000).collect()
+        found = {r[0]: r[1] for r in classes.where("lo != hi").select("cls", "lo").collect()}
         if not found:
-            break
-        clashes = dict(map(tuple, found))
-    return info.drop("check"), classes.drop("lo", "hi"), clashes
+            return info.drop("check"), classes.drop("lo", "hi"), clashes
+        clashes |= found
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, counters: int = COUNTERS, part_rows: int = PART_ROWS) -> DataFrame:

@@ -225,7 +225,8 @@ def _date(m: Column, key: str, back: bool) -> Column:
 def _email(m: Column, key: str, back: bool) -> Column:
     def run(x: Column) -> Column:
         tweak = lambda kind: F.concat_ws(":", F.lit(kind), F.lower(x["domain"]))
-        digits = F.when(F.length(x["digits"]) <= 36, permute_digits(F.substr(x["digits"], F.lit(1), F.lit(36)), key, tweak("d"), back)).otherwise(x["digits"])
+        parts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(x["digits"]) - 1) / 36), F.lit(0)).cast("int"))
+        digits = F.array_join(F.transform(parts, lambda i: permute_digits(F.substr(x["digits"], i * 36 + 1, F.lit(36)), key, tweak("d"), back)), "")
         return F.concat(refill(x["local"], digits, permute_letters(x["letters"], key, tweak("a"), back)), x["domain"])
 
     local = F.regexp_extract(m, "^[^@]+", 0)

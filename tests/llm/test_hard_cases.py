@@ -416,3 +416,66 @@ def test_crc_of_token_ids_is_of_four_bytes(spark):
 
     ids = Tokenizer.from_file(queries.tokenizer_path()).encode("one two", add_special_tokens=False).ids + [2]
     assert row.ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes()) and len(words("one two")) == 2
+
+
+def test_many_items_with_one_prompt_are_one_window():
+    """Work follows the text's windows, not the items that share them."""
+    rng = random.Random(4)
+    prompt = " ".join(f"prompt{k}" for k in range(13))
+    items = [f"{prompt} {' '.join('w%d' % rng.randrange(5000) for _ in range(8))}" for _ in range(3000)]
+    index = decontamination.Index([str(k) for k in range(3000)], items, 10, 5)
+    text = " ".join([prompt] * 400)
+    w = K.split_words(*K.string_buffer(pa.array([text])), K.ALNUM, lower=True)
+    start, length, lists = decontamination.hits(w, index, 10, 5)
+    assert len(start) == 400 * 4 and len(set(start.tolist())) == len(start) and len(set(lists.tolist())) == 1
+    assert len(index.items(np.unique(lists))) == 3000
+
+
+def test_items_that_share_some_windows(spark):
+    rng = random.Random(6)
+    prompt = [f"p{k}" for k in range(13)]
+    items = [(k, " ".join(prompt[: 10 + k % 4] + ["w%d" % rng.randrange(300) for _ in range(k % 7)])) for k in range(60)] + [(60, "short one"), (61, "short one"), (62, None)]
+    docs = [(1, " ".join(["x", *prompt, "y"])), (2, " ".join(prompt[:11])), (3, "a short one here"), (4, " ".join(prompt[:9])), (5, None)] + [(10 + k, f"a {t} b") for k, (_, t) in enumerate(items[:20])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.hits.n_hit, list(r.hits["items"])) for r in decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    for doc, text in docs:
+        w = words(text, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        hit, found = set(), set()
+        for item, other in items:
+            o = words(other, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+            n = min(10, len(o))
+            own = {tuple(o[k : k + n]) for k in range(len(o) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1):
+                if n and tuple(w[k : k + n]) in own:
+                    hit |= set(range(k, k + n))
+                    found.add(str(item))
+        assert got[doc] == (len(hit), sorted(found)), doc
+
+
+def test_classes_split_until_none_is_shared(spark, monkeypatch):
+    """Four sets of one class need three rounds; every round's classes stay known."""
+    cls, check = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    clashes, rounds = {}, 0
+    while True:
+        out = ngram_join.split_clashes(cls, check, clashes)
+        found = {}
+        for c in np.unique(out):
+            some = check[out == c]
+            if len(some) > 1:
+                found[int(c.view(np.int64))] = int(some.min())
+        if not found:
+            break
+        clashes |= found
+        rounds += 1
+    assert len(np.unique(out)) == 4 and rounds >= 1 and out[0] == 5
+
+
+def test_a_long_run_of_digits_in_an_address(spark):
+    digits = "".join(str(k * 7 % 10) for k in range(100))
+    texts = [f"write to a{digits}b@example.com now", "a@example.com", "a1@example.com"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = [r[0] for r in df.select(pseudonyms.pseudonymise(F.col("text"), "k")).collect()]
+    changed = re.search(r"a?(\d{100})", out[0]).group(1)
+    assert changed != digits and changed[36:72] != digits[36:72] and changed[72:] != digits[72:]
+    back = spark.createDataFrame([(t,) for t in out], "text string").select(pseudonyms.pseudonymise(F.col("text"), "k", True)).collect()
+    assert [r[0] for r in back] == texts
