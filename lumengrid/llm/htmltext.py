@@ -22,6 +22,7 @@ import html
 import re
 from collections import OrderedDict, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ COPY = 0.5
 FAINT = 0.1
 #: Elements nest so deep at most, as in browsers; deeper ones lie side by side.
 DEPTH = 512
-#: Children matched by the longest common sequence; longer lists by next occurrence.
+#: Cells of a table for a longest common sequence; longer lists are halved until they fit.
 TABLE = 20_000
 #: Bytes of pivots that may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -209,24 +210,42 @@ class Tree:
         return hashlib.md5("|".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:12]
 
 
+def _reach(p: list[str], q: list[str]) -> np.ndarray:
+    """Length of the longest common sequence of p and every head of q, by bit-parallel rows."""
+    places: dict[str, int] = {}
+    for k, label in enumerate(q):
+        places[label] = places.get(label, 0) | 1 << k
+    full = (1 << len(q)) - 1
+    row = full
+    for label in p:
+        hit = row & places.get(label, 0)
+        row = (row + hit | row - hit) & full
+    bits = np.unpackbits(np.frombuffer((~row & full).to_bytes(len(q) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.r_[0, np.cumsum(bits[: len(q)], dtype=np.int64)]
+
+
 def _common(p: list[str], q: list[str]) -> list[tuple[int, int]]:
-    """Matching places of two label lists, in order: the longest sequence, or a greedy one for long lists."""
-    if not p or not q or set(p).isdisjoint(q):
-        return []
+    """Matching places of two label lists, in order: a longest common sequence, in memory that follows the lists."""
+    out, todo = [], [(0, len(p), 0, len(q))]
+    while todo:
+        a, b, c, d = todo.pop()
+        own, other = p[a:b], q[c:d]
+        if not own or not other or set(own).isdisjoint(other):
+            continue
+        if len(own) * len(other) <= TABLE:
+            out += [(a + s, c + t) for s, t in _table(own, other)]
+        elif len(own) == 1:
+            out.append((a, c + other.index(own[0])))
+        else:
+            mid = len(own) // 2
+            cut = int((_reach(own[:mid], other) + _reach(own[:mid - 1 : -1], other[::-1])[::-1]).argmax())
+            todo += [(a + mid, b, c + cut, d), (a, a + mid, c, c + cut)]
+    return out
+
+
+def _table(p: list[str], q: list[str]) -> list[tuple[int, int]]:
+    """The same for short lists, by the whole table."""
     out = []
-    if len(p) * len(q) > TABLE:
-        places, t = defaultdict(list), 0
-        for k in range(len(q) - 1, -1, -1):
-            places[q[k]].append(k)  # the next one last
-        for s, label in enumerate(p):
-            later = places.get(label)
-            while later and later[-1] < t:
-                later.pop()
-            if later:
-                t = later.pop()
-                out.append((s, t))
-                t += 1
-        return out
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for s in range(len(p) - 1, -1, -1):
         row, below, label = best[s], best[s + 1], p[s]

@@ -479,3 +479,34 @@ def test_a_long_run_of_digits_in_an_address(spark):
     assert changed != digits and changed[36:72] != digits[36:72] and changed[72:] != digits[72:]
     back = spark.createDataFrame([(t,) for t in out], "text string").select(pseudonyms.pseudonymise(F.col("text"), "k", True)).collect()
     assert [r[0] for r in back] == texts
+
+
+def test_long_lists_of_children_keep_their_longest_match(monkeypatch):
+    rng = random.Random(2)
+    assert len(htmltext._common(["x", *"b" * 300], [*"b" * 300, "x"])) == 300
+    for _ in range(60):
+        p, q = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+        want = len(htmltext._table(p, q)) if p and q else 0
+        monkeypatch.setattr(htmltext, "TABLE", 6)
+        got = htmltext._common(p, q)
+        monkeypatch.undo()
+        assert len(got) == want and all(p[s] == q[t] for s, t in got)
+        assert got == sorted(got) and len({s for s, _ in got}) == len({t for _, t in got}) == len(got)
+    p, q = ([rng.choice("ab") for _ in range(20_000)] for _ in range(2))
+    began = time.time()
+    assert len(htmltext._common(p, q)) > 14_000 and time.time() - began < 30
+
+
+def test_articles_without_a_tag_of_their_own_come_through_the_wrapper(spark):
+    """Only alignment tells article from notice: same tags, no names, no semantic elements."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("w%d" % rng.randrange(4000) for _ in range(n))
+    notice, links = say(40), [say(3) for _ in range(6)]
+    rows, want = [], {}
+    for k in range(24):
+        parts = [say(rng.randrange(30, 60)) for _ in range(rng.randrange(3, 6))]
+        body = "".join(f"<p>{t}</p>" for t in parts)
+        rows.append((k, f"http://site.example/{k}", f"<html><body><div>{''.join(f'<p>{t}</p>' for t in links)}</div><div><p>{notice}</p></div><div>{body}</div><div><p>{links[0]} {links[1]}</p></div></body></html>"))
+        want[k] = " ".join(parts)
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
