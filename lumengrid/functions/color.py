@@ -396,6 +396,12 @@ def get_xyz_coords(illuminant: str, observer: str) -> tuple[float, float, float]
         raise ValueError(f"unknown white point {illuminant}, {observer}") from None
 
 
+def palette(number: Column) -> Column:
+    """The named colours in order of name, over and over: struct (name, r, g, b) of a whole number."""
+    rows = [F.struct(F.lit(n).alias("name"), *[F.lit(float(v)).alias(c) for c, v in zip("rgb", color_dict[n])]) for n in sorted(color_dict)]
+    return F.get(F.array(*rows), F.pmod(number, F.lit(len(rows))).cast("int"))
+
+
 def is_rgb_like(shape) -> bool:
     """Whether a shape is that of an image with three or four channels."""
     return len(shape) == 3 and shape[-1] in (3, 4)

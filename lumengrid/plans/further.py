@@ -832,4 +832,8 @@ _CSS = (
     "skyblue 87ceeb slateblue 6a5acd slategray 708090 slategrey 708090 snow fffafa springgreen 00ff7f steelblue 4682b4 tan d2b48c teal 008080 thistle d8bfd8 tomato ff6347 turquoise 40e0d0 violet ee82ee wheat f5deb3 white ffffff whitesmoke f5f5f5 yellow ffff00 yellowgreen 9acd32"
 )
 _CODES = ", ".join(f"('{n}', '0x{c[:2]}', '0x{c[2:4]}', '0x{c[4:]}')" for n, c in zip(_CSS.split()[::2], _CSS.split()[1::2]))
-C.register("color_dict", lambda spark, sf: spark.createDataFrame([(n, *map(float, v)) for n, v in color.color_dict.items()], "name string, r double, g double, b double"), f"SELECT name, round(r::INT / 255, 3) AS r, round(g::INT / 255, 3) AS g, round(b::INT / 255, 3) AS b FROM (VALUES {_CODES}) AS t(name, r, g, b)")
+C.register(
+    "color_dict",
+    lambda spark, sf: spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", color.palette(F.col("s_suppkey")).alias("c")).select("s_suppkey", "c.name", "c.r", "c.g", "c.b"),
+    f"WITH t(name, r, g, b) AS (VALUES {_CODES}), n AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS k, count(*) OVER () AS m FROM t) SELECT s_suppkey, name, round(r::INT / 255, 3) AS r, round(g::INT / 255, 3) AS g, round(b::INT / 255, 3) AS b FROM supplier JOIN n ON k = s_suppkey % m",
+)
