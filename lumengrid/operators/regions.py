@@ -93,6 +93,18 @@ def join_segmentations(px: DataFrame, a: str, b: str, key: str = "image_id") ->
     return px.join(pairs, [key, a, b])
 
 
+def clear_border(px: DataFrame, buffer: int = 0, label: str = "label", background: int = 0, size: DataFrame | None = None) -> DataFrame:
+    """Labels that come within ``buffer`` pixels of the image's edge become background, wherever they reach.
+
+    Images are as large as their pixels say, or as ``size`` (image_id, rows,
+    cols) does.  Only the labels found at the edge are joined back.
+    """
+    size = px.groupBy("image_id").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols")) if size is None else size.select("image_id", "rows", "cols")
+    near = (F.col("y") <= buffer) | (F.col("x") <= buffer) | (F.col("y") >= F.col("rows") - 1 - buffer) | (F.col("x") >= F.col("cols") - 1 - buffer)
+    gone = px.where(F.col(label) != background).join(size, "image_id").where(near).select("image_id", label).distinct().withColumn("_gone", F.lit(True))
+    return px.join(gone, ["image_id", label], "left").withColumn(label, F.when(F.col("_gone"), F.lit(background)).otherwise(F.col(label))).drop("_gone")
+
+
 def remove_small_objects(px: DataFrame, min_size: int, key: str = "image_id", label: str = "label") -> DataFrame:
     small = px.where(F.col(label) != 0).groupBy(key, label).agg(F.count("*").alias("_n")).where(F.col("_n") < min_size).drop("_n")
     return px.join(small.withColumn("_small", F.lit(True)), [key, label], "left").withColumn(label, F.when(F.col("_small"), 0).otherwise(F.col(label))).drop("_small")

@@ -7,11 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import histograms, labelled
+from ..functions import geometry, vision
+from ..operators import histograms, labelled, regions
 from ..operators.runtime import scratch
 from ..streaming import images as stream
 from ..streaming import stateful
-from .catalog import _LABELS, _labelled, register, rounded
+from . import further
+from . import weights as W
+from .catalog import _LABELS, ORACLE_SQL, _labelled, on_pairs, register, rounded
 
 # Uneven bins ---------------------------------------------------------------------------------
 
@@ -85,6 +88,25 @@ register(
     f"{_PIXELS} SELECT image_id, label, ((max(y) - min(y) + 1) * (max(x) - min(x) + 1))::BIGINT AS box FROM p GROUP BY 1, 2",
 )
 
+# Similarity, borders, transforms ----------------------------------------------------------------
+
+on_pairs("structural_similarity_gaussian", lambda a, b: vision.structural_similarity(a, b, gaussian_weights=True, sigma=0.5, sample_covariance=False).reshape(-1, 1, 1))
+_G = [math.exp(-(k * k) / 0.5) for k in range(-2, 3)]
+ORACLE_SQL["structural_similarity_gaussian"] = f"""WITH {W.PX}, j AS (SELECT p.image_id // 2 AS image_id, p.y, p.x, p.v AS a, q.v AS b FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0),
+g(d, w) AS (VALUES {', '.join(f'({k}, {v / sum(_G)!r}::DOUBLE)' for k, v in zip(range(-2, 3), _G))}),
+m AS (SELECT c.image_id, c.y, c.x, sum(g.w * h.w * w.a) AS ua, sum(g.w * h.w * w.b) AS ub, sum(g.w * h.w * w.a * w.a) AS aa, sum(g.w * h.w * w.b * w.b) AS bb, sum(g.w * h.w * w.a * w.b) AS ab FROM j c CROSS JOIN g CROSS JOIN g h JOIN j w ON w.image_id = c.image_id AND w.y = c.y + g.d AND w.x = c.x + h.d WHERE c.y BETWEEN 2 AND 5 AND c.x BETWEEN 2 AND 5 GROUP BY ALL)
+SELECT image_id, 0 AS y, 0 AS x, round(avg((2 * ua * ub + 0.0004::DOUBLE) * (2 * (ab - ua * ub) + 0.0036::DOUBLE) / ((ua * ua + ub * ub + 0.0004::DOUBLE) * (aa - ua * ua + bb - ub * ub + 0.0036::DOUBLE))), 6) + 0.0 AS v FROM m GROUP BY image_id"""
+
+register(
+    "clear_border",
+    lambda spark, sf: regions.clear_border(_labelled(spark, sf)).select("image_id", "y", "x", F.col("label").cast("long").alias("label")),
+    f"{_PIXELS}, e AS (SELECT DISTINCT image_id, label FROM p WHERE y IN (0, 7) OR x IN (0, 7)) SELECT p.image_id, p.y, p.x, CASE WHEN e.label IS NULL THEN p.label ELSE 0 END AS label FROM p LEFT JOIN e ON e.image_id = p.image_id AND e.label = p.label",
+)
+
+_SIMILAR, _RIGID = ([[k * math.cos(0.4), -k * math.sin(0.4), 3.0], [k * math.sin(0.4), k * math.cos(0.4), -2.0], [0.0, 0.0, 1.0]] for k in (1.5, 1.0))
+register("SimilarityTransform", further._apply(geometry.SimilarityTransform(scale=1.5, rotation=0.4, translation=(3, -2)).params.tolist()), further._apply_sql(_SIMILAR))
+register("EuclideanTransform", further._apply(geometry.EuclideanTransform(rotation=0.4, translation=(3, -2)).params.tolist()), further._apply_sql(_RIGID))
+
 # State and late rows -------------------------------------------------------------------------
 
 GAP, LATE = 6 * 3_600_000, "2 hours"

@@ -166,3 +166,52 @@ def test_lengths_that_only_add_up_are_not_whole():
     shapes, images = pa.array([[2, 2]] * 3), pa.array([[1.0] * 3, [2.0] * 5, [3.0] * 4])
     assert [(c, s is None) for c, s in runtime.stacks(shapes, images)] == [(slice(0, 1), True), (slice(1, 2), True), (slice(2, 3), False)]
     assert [s is None for _, s in runtime.stacks(pa.array([None, [], [0, 3]], pa.list_(pa.int32())), pa.array([[], [1.0], []], pa.list_(pa.float64())))] == [True, True, False]
+
+
+def test_li_leaves_out_what_is_not_finite():
+    clean = np.random.default_rng(1).random((1, 6, 6))
+    t = vision.threshold_li(clean)[0]
+    dirty = clean.copy()
+    dirty[0, 0, 0] = N
+    rest = clean.ravel()[1:].reshape(1, 5, 7)
+    assert np.isclose(vision.threshold_li(dirty)[0], vision.threshold_li(rest)[0])
+    dirty[0, 0, 0] = np.inf
+    assert np.isclose(vision.threshold_li(dirty)[0], vision.threshold_li(rest)[0])
+    assert np.isnan(vision.threshold_li(np.full((1, 3, 3), N))[0]) and vision.threshold_li(np.full((1, 3, 3), 4.0))[0] == 4
+    assert vision.threshold_li(np.array([[[np.inf, -np.inf]]]))[0] == 0
+    assert abs(vision.threshold_li(clean, initial_guess=0.9)[0] - t) < 0.2 and abs(vision.threshold_li(clean, initial_guess=np.median)[0] - t) < 0.2
+    with pytest.raises(ValueError):
+        vision.threshold_li(clean, initial_guess=7.0)
+
+
+def test_similarity_with_channels_and_weights():
+    rng = np.random.default_rng(2)
+    a = rng.random((2, 14, 15, 3))
+    b = a + 0.1 * rng.random(a.shape)
+    each = [vision.structural_similarity(a[..., c], b[..., c]) for c in range(3)]
+    assert np.allclose(vision.structural_similarity(a, b, multichannel=True), np.mean(each, 0))
+    assert vision.structural_similarity(a, b, multichannel=True, full=True).shape == a.shape
+    assert np.allclose(vision.structural_similarity(a[..., 0], a[..., 0], gaussian_weights=True), 1)
+    with pytest.raises(ValueError):
+        vision.structural_similarity(a[:, :5, :, 0], b[:, :5, :, 0])
+
+
+def test_features_with_other_edges_look_at_the_padded_image():
+    x = np.random.default_rng(3).random((1, 9, 9))
+    for mode, pad in (("nearest", "edge"), ("reflect", "symmetric")):
+        wide = np.pad(x, ((0, 0), (12, 12), (12, 12)), mode=pad)
+        smooth = filters.gaussian_filter(wide, 1.0)[:, 12:-12, 12:-12]
+        gy, gx = np.gradient(smooth, axis=1), np.gradient(smooth, axis=2)
+        want = np.gradient(gy, axis=1) * np.gradient(gx, axis=2) - np.gradient(gy, axis=2) ** 2
+        assert np.allclose(vision.hessian_matrix_det(x, 1.0, mode), want)
+    assert not np.allclose(vision.corner_harris(x, mode="nearest"), vision.corner_harris(x))
+
+
+def test_labels_at_the_edge_are_cleared(spark):
+    values = [[0, 1, 1, 0, 0], [0, 0, 1, 0, 0], [0, 2, 0, 3, 0], [0, 2, 0, 3, 0], [0, 0, 0, 0, 0]]
+    px = table(spark, "label", values)
+    for buffer, kept in ((0, {2.0, 3.0}), (1, set())):
+        got = regions.clear_border(px, buffer).collect()
+        assert {r.label for r in got} - {0.0} == kept and len(got) == 25
+    size = spark.createDataFrame([(1, 9, 9)], "image_id long, rows int, cols int")
+    assert {r.label for r in regions.clear_border(px.where("label > 0"), 0, size=size).collect()} == {0.0, 2.0, 3.0}
