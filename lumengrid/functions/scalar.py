@@ -44,27 +44,72 @@ def dtype_limits(logical: str, clip_negative: bool = False) -> tuple[float, floa
 
 
 def img_as_float(x: Column, logical: str) -> Column:
-    """Integer image values to floats: unsigned to 0..1, signed to -1..1."""
+    """Integer image values to floats: unsigned to 0..1; signed to -1..1, the middle between two numbers at 0."""
     lo, hi = DTYPE_RANGE[logical]
     if logical.startswith("float"):
         return x.cast("double")
-    return x.cast("double") / hi if lo == 0 else F.greatest(x.cast("double") / hi, F.lit(-1.0))
+    return x.cast("double") / hi if lo == 0 else (x.cast("double") + 0.5) * (2 / (hi - lo))
 
 
-def _to_unsigned(x: Column, hi: int) -> Column:
-    return F.rint(clip(x * hi, 0.0, float(hi)))
+def _from_float(x: Column, logical: str, uniform: bool = False) -> Column:
+    """Values of -1..1 to whole numbers: nearest, or (``uniform``) to as many intervals of one size."""
+    lo, hi = DTYPE_RANGE[logical]
+    if uniform:
+        return clip(F.floor(x * ((hi - lo + 1) / (1 if lo == 0 else 2))), lo, hi)
+    return clip(F.rint(x * float(hi) if lo == 0 else x * ((hi - lo) / 2) - 0.5), float(lo), float(hi))
+
+
+def _scaled(x: Column, n: int, m: int, most: Column | None) -> Column:
+    """Whole numbers of n bits to m bits: cut off, or repeated; as they are if the greatest, ``most``, fits."""
+    if n == m:
+        return x
+    if n > m:
+        cut = F.shiftright(x, n - m)
+        return cut if most is None else F.when(most < 2**m, x).otherwise(cut)
+    wide = -(-m // n) * n
+    return F.shiftright(x * F.lit((2**wide - 1) // (2**n - 1)).cast("long"), wide - m)
+
+
+def convert(x: Column, source: str, target: str, uniform: bool = False, most: Column | None = None) -> Column:
+    """Image values of one logical type as another: floats (-1..1), whole numbers of 8 to 32 bits, or bool.
+
+    Unsigned numbers scale from 0..max, signed ones keep their sign; negative
+    values become 0 in unsigned types.  ``most`` is the image's greatest value:
+    where that fits the target, narrowing leaves the values as they are.
+    """
+    if source == target:
+        return x
+    if target == "bool":
+        return img_as_bool(x, source)
+    if source == "bool":
+        return x.cast("double") if target.startswith("float") else x.cast("long") * DTYPE_RANGE[target][1]
+    if target.startswith("float"):
+        return img_as_float(x, source)
+    if source.startswith("float"):
+        return _from_float(x, target, uniform).cast("long")
+    n, m = (int(t.lstrip("uint")) for t in (source, target))
+    if max(n, m) > 32:
+        raise ValueError("whole numbers of more than 32 bits are not converted")
+    x, signed, into = x.cast("long"), source[0] == "i", target[0] == "i"
+    if not signed:
+        return _scaled(x, n, m - into, most)
+    if not into:
+        return F.greatest(_scaled(x, n - 1, m, most), F.lit(0).cast("long"))
+    if n > m:
+        return _scaled(x, n - 1, m - 1, most)
+    return _scaled(x - DTYPE_RANGE[source][0], n, m, most) + DTYPE_RANGE[target][0]
 
 
 def img_as_ubyte(x: Column) -> Column:
-    return _to_unsigned(x, 255).cast("int")
+    return _from_float(x, "uint8").cast("int")
 
 
 def img_as_uint(x: Column) -> Column:
-    return _to_unsigned(x, 65535).cast("int")
+    return _from_float(x, "uint16").cast("int")
 
 
 def img_as_int(x: Column) -> Column:
-    return clip(F.rint(x * 32767), -32768.0, 32767.0).cast("int")
+    return _from_float(x, "int16").cast("int")
 
 
 def img_as_bool(x: Column, logical: str = "float64") -> Column:

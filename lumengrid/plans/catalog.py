@@ -504,7 +504,7 @@ _scalars(
     "dtype_convert",
     lambda _a,
     _b: {"ubyte": scalar.img_as_ubyte(_a), "uint16": scalar.img_as_uint(_a), "int16": scalar.img_as_int(_a), "flag": scalar.img_as_bool(_a).cast("double")},
-    {"ubyte": "round_even(a * 255, 0)", "uint16": "round_even(a * 65535, 0)", "int16": "round_even(a * 32767, 0)", "flag": "(a > 0.5)::INT::DOUBLE"},
+    {"ubyte": "round_even(a * 255, 0)", "uint16": "round_even(a * 65535, 0)", "int16": "round_even(a * 32767.5 - 0.5, 0)", "flag": "(a > 0.5)::INT::DOUBLE"},
 )
 
 

@@ -209,7 +209,13 @@ C._scalars(
     "img_as_float",
     lambda a,
     b: {"whole": scalar.img_as_float(F.floor(a * 255).cast("int"), "uint8"), "signed": scalar.img_as_float((F.floor(a * 65535) - 32768).cast("int"), "int16"), "same": scalar.img_as_float(a, "float64")},
-    {"whole": "floor(a * 255) / 255", "signed": "greatest((floor(a * 65535) - 32768) / 32767, -1)", "same": "a"},
+    {"whole": "floor(a * 255) / 255", "signed": "(floor(a * 65535) - 32768 + 0.5) * 2 / 65535", "same": "a"},
+)
+C._scalars(
+    "convert_whole_numbers",
+    lambda a,
+    b: {k: scalar.convert(x, s, t) / (1 << 16 if t == "uint32" else 1) for k, x, s, t in (("u8_i16", F.floor(a * 255), "uint8", "int16"), ("u8_u32", F.floor(a * 255), "uint8", "uint32"), ("i16_u8", F.floor(a * 65535) - 32768, "int16", "uint8"), ("i16_i8", F.floor(a * 65535) - 32768, "int16", "int8"), ("i8_i16", F.floor(a * 255) - 128, "int8", "int16"))},
+    {"u8_i16": "floor(floor(a * 255) * 257 / 2)::BIGINT", "u8_u32": "floor(a * 255) * 16843009 / 65536", "i16_u8": "greatest(floor((floor(a * 65535) - 32768) / 128), 0)::BIGINT", "i16_i8": "floor((floor(a * 65535) - 32768) / 256)::BIGINT", "i8_i16": "(floor(a * 255) * 257 - 32768)::BIGINT"},
 )
 C._scalars("img_as_float32", lambda a, b: {"v": scalar.img_as_float32(F.floor(a * 255).cast("int"), "uint8").cast("double")}, {"v": "(floor(a * 255) / 255)::FLOAT::DOUBLE"})
 C._scalars("img_as_float64", lambda a, b: {"v": scalar.img_as_float64(F.floor(a * 255).cast("int"), "uint8")}, {"v": "floor(a * 255) / 255"})

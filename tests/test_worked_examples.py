@@ -215,3 +215,49 @@ def test_labels_at_the_edge_are_cleared(spark):
         assert {r.label for r in got} - {0.0} == kept and len(got) == 25
     size = spark.createDataFrame([(1, 9, 9)], "image_id long, rows int, cols int")
     assert {r.label for r in regions.clear_border(px.where("label > 0"), 0, size=size).collect()} == {0.0, 2.0, 3.0}
+
+
+def lattice(v, source, target, most):
+    """The rules of conversion between whole numbers, one value at a time."""
+    n, m = int(source.lstrip("uint")), int(target.lstrip("uint"))
+
+    def scale(v, n, m):
+        if n > m:
+            return v if most < 2**m else v // 2 ** (n - m)
+        wide = n
+        while wide < m:
+            wide += n
+        return v * ((2**wide - 1) // (2**n - 1)) // 2 ** (wide - m)
+
+    if source[0] == "u":
+        return scale(v, n, m if target[0] == "u" else m - 1)
+    if target[0] == "u":
+        return max(scale(v, n - 1, m), 0)
+    return scale(v, n - 1, m - 1) if n > m else scale(v + 2 ** (n - 1), n, m) - 2 ** (m - 1)
+
+
+def test_conversions_between_whole_numbers(spark):
+    from lumengrid.functions import scalar
+
+    kinds = ["uint8", "int8", "uint16", "int16", "uint32", "int32"]
+    for source in kinds:
+        lo, hi = scalar.DTYPE_RANGE[source]
+        values = sorted({lo, lo + 1, -1 if lo else 0, 0, 1, 2, 100, 127, hi // 2, hi - 1, hi} | {int(v) for v in np.random.default_rng(0).integers(lo, hi, 20)})
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        targets = [t for t in kinds if t != source]
+        got = df.select("v", *[scalar.convert(F.col("v"), source, t).alias(t) for t in targets], *[scalar.convert(F.col("v"), source, t, most=F.lit(100)).alias(t + "_") for t in targets]).collect()
+        for r in got:
+            for t in targets:
+                assert r[t] == lattice(r.v, source, t, 2**99), (source, t, r.v)
+                if r.v <= 100:
+                    assert r[t + "_"] == lattice(r.v, source, t, 100), (source, t, r.v)
+
+
+def test_conversions_to_and_from_floats(spark):
+    from lumengrid.functions import scalar
+
+    df = spark.createDataFrame([(-1.0,), (-0.5,), (0.0,), (0.25,), (1.0,)], "v double")
+    got = [tuple(r) for r in df.select(scalar.img_as_int(F.col("v")), scalar.img_as_ubyte(F.col("v")), scalar.convert(F.col("v"), "float64", "uint8", True), scalar.convert(F.col("v"), "float64", "int8")).collect()]
+    assert got == [(-32768, 0, 0, -128), (-16384, 0, 0, -64), (0, 0, 0, 0), (8191, 64, 64, 31), (32767, 255, 255, 127)]
+    back = spark.createDataFrame([(-128,), (0,), (127,)], "v int").select(scalar.img_as_float(F.col("v"), "int8").alias("f")).collect()
+    assert np.allclose([r.f for r in back], [-1, 1 / 255, 1])
