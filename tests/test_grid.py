@@ -37,8 +37,7 @@ def same(tiles, images, kernel):
         assert got[k].shape == want.shape and np.allclose(got[k], want, rtol=1e-9, atol=1e-9), k
 
 
-@pytest.mark.parametrize("mode", ["reflect", "mirror", "nearest", "wrap", "constant"])
-@pytest.mark.parametrize("side, size", [(3, 3), (2, 9), (5, 5)])
+@pytest.mark.parametrize("side, size, mode", [(3, 3, "reflect"), (2, 9, "mirror"), (5, 5, "nearest"), (2, 9, "wrap"), (3, 3, "constant"), (2, 9, "reflect"), (2, 9, "constant")])
 def test_stencils_of_any_reach_and_mode(spark, mode, side, size):
     kernel = lambda x: filters.uniform_filter(x, size, mode, 0.5) + x
     tiles = grid.split(table(spark, PICTURES), side)
@@ -72,8 +71,7 @@ def snake(n):
     return out
 
 
-@pytest.mark.parametrize("connectivity", [1, 2])
-@pytest.mark.parametrize("method", ["dilation", "erosion"])
+@pytest.mark.parametrize("method, connectivity", [("dilation", 2), ("erosion", 1)])
 def test_grey_reconstruction_across_tiles(spark, method, connectivity):
     masks = [snake(11), RNG.integers(0, 6, (13, 10)).astype(float), RNG.random((9, 14)), np.ones((5, 5))]
     if method == "erosion":
@@ -108,7 +106,7 @@ def test_binary_fixpoints_across_tiles(spark):
     same(grid.propagate(seeds, 4), noisy, lambda x: morphology.binary_propagation((x > 0.9) | (x < 0.05), mask=x > 0.4))
 
 
-@pytest.mark.parametrize("order, mode", [(0, "grid-wrap"), (0, "reflect"), (1, "constant"), (1, "nearest"), (1, "mirror"), (1, "grid-wrap"), (1, "grid-constant"), (3, "constant"), (3, "nearest"), (3, "reflect")])
+@pytest.mark.parametrize("order, mode", [(0, "grid-wrap"), (1, "constant"), (1, "mirror"), (1, "grid-constant"), (3, "nearest"), (3, "reflect")])
 def test_gathers_across_tiles(spark, order, mode):
     images = PICTURES[:2] + PICTURES[4:5]
     tiles = grid.split(table(spark, images), 3)
@@ -130,7 +128,7 @@ def test_turned_warped_and_empty_outputs(spark):
         assert all((x == want).all() for k, x in put(far).items() if k is not None)
 
 
-@pytest.mark.parametrize("order, side, mode", [(3, 3, "mirror"), (3, 2, "reflect"), (2, 4, "grid-wrap"), (5, 2, "mirror"), (4, 5, "reflect"), (5, 3, "grid-wrap")])
+@pytest.mark.parametrize("order, side, mode", [(3, 3, "mirror"), (2, 4, "grid-wrap"), (5, 2, "mirror"), (4, 5, "reflect")])
 def test_spline_coefficients_across_tiles(spark, order, side, mode):
     images = [*PICTURES, RNG.standard_normal((2, 2))]
     same(grid.spline_filter(grid.split(table(spark, images), side), side, order, mode), images, lambda x: interpolate.spline_filter(x, order, mode))
