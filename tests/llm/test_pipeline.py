@@ -192,5 +192,5 @@ def test_queries_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert set(e.oracle_sql()) <= names
