@@ -7,6 +7,8 @@ by tag and class.  Text that stays equal at a matched place votes for
 template, text that varies for content; votes of all pages are summed by node
 of the pivot.  The deepest container that holds most of the varying text is
 the content region, and slots in it that stay constant are template too.
+Pages that also repeat what varies between the others are copies of the pivot
+and don't count.
 
 What an element is called only breaks ties: text in links, menus, adverts and
 the like counts a tenth when the region is chosen, and containers inside the
@@ -31,12 +33,17 @@ from pyspark.sql import types as T
 from . import textkernel as K
 from .common import ship, spread_join, stage
 
-#: A constant slot of the region is template if this share of the voters, and so many, have its text.
-SHARE, LEAST = 0.8, 3
+#: A constant slot of the region is template if this share of the voters have its text.
+SHARE = 0.8
 #: The region holds this share of the varying text; a named container in it stays from this share of the region on.
 REGION, NAMED = 0.75, 0.3
-#: A page with this share of its text equal to the pivot's is a copy of it and doesn't vote.
-COPY = 0.5
+#: Voters are told apart by how much of the pivot's text they repeat, in so many steps.
+STEPS = 16
+#: The voters that repeat least, this share of them, show which of the pivot's text varies;
+#: those that repeat this share of it are copies of the pivot and don't count.
+OTHERS, COPY = 0.1, 0.8
+#: A region whose text is constant beyond this share is an article copied, not a template.
+CONSTANT = 0.9
 #: Weight of text in links and in elements named as furniture.
 FAINT = 0.1
 #: Elements nest so deep at most, as in browsers; deeper ones lie side by side.
@@ -344,32 +351,73 @@ def _has_main(top: Node, content: set[int]) -> bool:
     return False
 
 
-def votes_of(a: Tree, b: Tree) -> list[tuple[str, int, float]] | None:
-    """One page's votes on the pivot's nodes; None for a copy of the pivot.
+def votes_of(a: Tree, b: Tree) -> list[tuple[int, str, int, float]]:
+    """One page's votes on the pivot's nodes: (step, kind, node, value).
 
-    voter: 1.  text: the page repeats the pivot's text.  volume: varying text
-    under an element.
+    step: how much of the pivot's text the page repeats.  voter: 1.  text: the
+    page repeats the pivot's text.  volume: varying text under an element.
     """
     elements, texts = align(a, b)
     equal = [(p, q) for p, q in texts if a.texts[p] == b.texts[q]]
-    same = sum(b.size[q + 1] - b.size[q] for _, q in equal)
-    if same >= COPY * b.size[-1]:
-        return None
+    same = sum(a.size[p + 1] - a.size[p] for p, _ in equal)
+    step = int(STEPS * same / a.size[-1] + 1e-9) if a.size[-1] else 0
     varying, fixed = [0.0], {q for _, q in equal}
     for q in range(len(b.texts)):
         varying.append(varying[-1] + (0.0 if q in fixed else b.size[q + 1] - b.size[q]))
-    out = [("voter", 0, 1.0)] + [("text", p, 1.0) for p, _ in equal if not a.texts[p].isspace()]
+    out = [(step, "voter", 0, 1.0)] + [(step, "text", p, 1.0) for p, _ in equal if not a.texts[p].isspace()]
     for p, q in elements:
         node = b.nodes[q]
         if node.tag not in PARAGRAPHS and node.tag not in INLINE and not node.never:
-            out.append(("volume", p, varying[node.last] - varying[node.first]))
+            out.append((step, "volume", p, varying[node.last] - varying[node.first]))
     return out
 
 
-def choose(tree: Tree, votes: list[tuple[str, int, float]]) -> tuple[int, list[int], list[int]]:
+def others(tree: Tree, votes: list[tuple[int, str, int, float]]) -> set[int]:
+    """The steps whose voters are no copies of the pivot.
+
+    The lowest steps show which of the pivot's text varies between pages;
+    a step whose voters repeat most of that text too holds copies.
+    """
+    count, text = defaultdict(float), defaultdict(dict)
+    for step, kind, node, value in votes:
+        if kind == "voter":
+            count[step] += value
+        elif kind == "text":
+            text[step][node] = text[step].get(node, 0.0) + value
+    base, n = [], 0.0
+    for step in sorted(count):
+        if n < OTHERS * sum(count.values()):
+            base.append(step)
+            n += count[step]
+    size = np.diff(np.asarray(tree.size, float))
+    vary = size.copy()
+    for step in base:
+        for p, v in text[step].items():
+            vary[p] -= size[p] * v / n
+    whole = vary.sum()
+    agree = lambda step: sum(vary[p] * v for p, v in text[step].items()) / count[step]
+    return {step for step in count if step in base or agree(step) < COPY * whole}
+
+
+def whole_blocks(tree: Tree, texts: set[int]) -> list[int]:
+    """Those of ``texts`` whose block holds no other text: equal words within a varying paragraph are content."""
+    blocks = defaultdict(list)
+    for k, node in enumerate(tree.owner):
+        if not tree.texts[k].isspace():
+            while node.parent is not None and node.tag in INLINE:
+                node = node.parent
+            blocks[node.no].append(k)
+    return [k for block in blocks.values() if texts.issuperset(block) for k in block]
+
+
+def choose(tree: Tree, votes: list[tuple[int, str, int, float]]) -> tuple[int, list[int], list[int]]:
     """(region, template texts, named containers that are content) of a pivot from all votes."""
-    voters = sum(v for kind, _, v in votes if kind == "voter")
-    volume = {k: v for kind, k, v in votes if kind == "volume"}
+    plain, total = others(tree, votes), defaultdict(float)
+    for step, kind, node, value in votes:
+        if step in plain:
+            total[kind, node] += value
+    voters = total["voter", 0]
+    volume = {k: v for (kind, k), v in total.items() if kind == "volume"}
     whole = volume.get(0, 0.0)
     region = tree.nodes[0]
     for node in tree.nodes:  # parents come before their children
@@ -382,7 +430,12 @@ def choose(tree: Tree, votes: list[tuple[str, int, float]]) -> tuple[int, list[i
         region = above
     elif region.parent and region.parent.tag not in ("body", "html", "#root") and any(isinstance(c, Node) and c.tag in ("h1", "h2", "header") for c in region.parent.children):
         region = region.parent
-    template = [k for kind, k, v in votes if kind == "text" and v >= max(LEAST, SHARE * voters) and region.first <= k < region.last]
+    template = {k for (kind, k), v in total.items() if kind == "text" and v >= SHARE * voters and region.first <= k < region.last}
+    template = sorted(whole_blocks(tree, template))
+    # Few voters are little evidence: one may repeat half of the region, two two thirds of it.
+    constant = sum(tree.size[k + 1] - tree.size[k] for k in template)
+    if constant > min(CONSTANT, voters / (voters + 1)) * (tree.size[region.last] - tree.size[region.first]):
+        template = []
     own = volume.get(region.no, 0.0)
     # Named text is faint, so such a container has to hold about four fifths of the region's varying text.
     content = [x.no for x in tree.nodes if x.furniture and not x.never and x.no in volume and x is not region and volume[x.no] >= NAMED * own > 0]
@@ -447,18 +500,21 @@ def induce(rows: DataFrame) -> DataFrame:
             total: dict = defaultdict(float)
             for name, layout, pivot, source in zip(*(c.to_pylist() for c in batch.columns)):
                 if source != pivot:
-                    for kind, node, value in votes_of(known.get(pivot), Tree(source)) or ():
-                        total[name, layout, kind, node] += value
-            columns = list(zip(*total)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int32()), pa.array(list(total.values()), pa.float64())], names=["host", "layout", "kind", "node", "value"])
+                    for step, kind, node, value in votes_of(known.get(pivot), Tree(source)):
+                        total[name, layout, step, kind, node] += value
+            columns = list(zip(*total)) or [[], [], [], [], []]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array(list(total.values()), pa.float64())], names=["host", "layout", "step", "kind", "node", "value"])
 
-    votes = paired.mapInArrow(vote, "host string, layout string, kind string, node int, value double")
-    votes = votes.groupBy("host", "layout", "kind", "node").agg(F.sum("value").alias("value")).groupBy("host", "layout").agg(F.collect_list(F.struct("kind", "node", "value")).alias("votes"))
+    votes = paired.mapInArrow(vote, "host string, layout string, step int, kind string, node int, value double")
+    votes = votes.groupBy("host", "layout", "step", "kind", "node").agg(F.sum("value").alias("value"))
+    # A list is at most STEPS votes per node of the pivot, however many pages vote.
+    votes = votes.groupBy("host", "layout").agg(F.collect_list(F.struct("step", "kind", "node", "value")).alias("votes"))
 
     @K.tidy
     def decide(batches):
         for batch in batches:
-            found = [choose(Tree(p), [(v["kind"], v["node"], v["value"]) for v in vs]) for p, vs in zip(batch.column("pivot").to_pylist(), batch.column("votes").to_pylist())]
+            found = [choose(Tree(p), [(v["step"], v["kind"], v["node"], v["value"]) for v in vs]) for p, vs in zip(batch.column("pivot").to_pylist(), batch.column("votes").to_pylist())]
             region, template, content = zip(*found) if found else ([], [], [])
             kept = [batch.column(c) for c in ("host", "layout", "pivot")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(region, pa.int32()), pa.array(template, pa.list_(pa.int32())), pa.array(content, pa.list_(pa.int32()))], names=["host", "layout", "pivot", "region", "template", "content"])
@@ -478,6 +534,7 @@ def read_page(source: str, wrapper: tuple | None, known: Pivots) -> str:
         if region in match:
             fixed = set(template)
             gone = {q for p, q in texts if p in fixed and a.texts[p] == b.texts[q]}
+            gone = set(whole_blocks(b, gone)) if gone else gone
             return main_text(b, b.nodes[match[region]], gone, {match[k] for k in content if k in match})
     return main_text(b)
 

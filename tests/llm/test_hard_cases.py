@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import html
 import re
 import time
 import zlib
@@ -510,3 +511,42 @@ def test_articles_without_a_tag_of_their_own_come_through_the_wrapper(spark):
         want[k] = " ".join(parts)
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def texts_of(pages, induced=True):
+    """Main texts of one group's pages, the first being its pivot, by votes of all of them."""
+    pivot = htmltext.Tree(pages[0])
+    votes = [v for p in pages if p != pages[0] for v in htmltext.votes_of(pivot, htmltext.Tree(p))]
+    wrapper = (pages[0], *htmltext.choose(pivot, votes)) if induced and votes else None
+    return [htmltext.read_page(p, wrapper, htmltext.Pivots()) for p in pages]
+
+
+def prose(rng, n):
+    return " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+
+
+@pytest.mark.parametrize("n, article, copies, gone", [(12, 60, 0, True), (2, 300, 0, True), (3, 300, 0, True), (2, 60, 0, False), (12, 60, 6, True), (12, 60, 9, True), (40, 200, 30, True), (2, 60, 2, False)])
+def test_a_notice_goes_and_copied_articles_stay(n, article, copies, gone):
+    rng = np.random.default_rng(n + article)
+    notice, shared = prose(rng, 120), [prose(rng, article // 3) for _ in range(2)]
+    bodies = [[*(shared if k < copies else [prose(rng, article // 3) for _ in range(2)]), prose(rng, article // 3)] for k in range(n)]
+    pages = ["<html><body><div><ul><li>Home<li>News</ul></div><div><p>" + "</p><p>".join([notice, *body]) + "</p></div></body></html>" for body in bodies]
+    for text, body in zip(texts_of(pages), bodies):
+        assert text.endswith(" ".join(body)) and (notice not in text) == gone
+
+
+def test_pages_without_semantic_tags_need_their_wrapper(spark):
+    """Given pages with every semantic tag made a div and without classes: exact by induction, and by it alone."""
+    groups = {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 800").select("url", "html").orderBy("page_id").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        true = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>|</?p>|</?h1>", " ", body))).split())
+        bare = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", r.html)
+        bare = re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", bare)
+        groups.setdefault((r.url.split("/")[2], htmltext.Tree(bare).layout()), []).append((bare, true))
+    groups = [g for g in groups.values() if len(g) > 2]
+    assert sum(map(len, groups)) > 700
+    for group in groups:
+        pages, true = map(list, zip(*group))
+        assert texts_of(pages) == true
+        assert all(a != b for a, b in zip(texts_of(pages, induced=False), true))
