@@ -28,6 +28,8 @@ from .common import stage, word_count
 
 #: Rows a (source, bucket) window holds on average, at most.
 BUCKET_ROWS = 65_536
+#: Equal rows beyond this number are unfolded by several tasks.
+UNFOLD_ROWS = 100_000
 #: Weights by rank of the source, and the shape of each weight's schedule as
 #: (time, multiple of the weight); every shape integrates to 1.
 CYCLE = (3.0, 1.0, 2.0)
@@ -87,7 +89,20 @@ def invert_schedule(segments: Column, total: Column, part: Column) -> Column:
     return F.when(part.isNotNull(), F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
 
 
-def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix", schedules=cyclic_schedules) -> DataFrame:
+def unfold(rows: DataFrame, count: str, name: str, run: int = UNFOLD_ROWS) -> DataFrame:
+    """``count`` rows for each row, numbered from 0 in ``name``.
+
+    Counts above ``run`` are cut into runs first, which are dealt over tasks, so
+    no array and no task follows a count.
+    """
+    n = F.col(count)
+    few = rows.where(n <= run).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    many = rows.where(n > run).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / run))))
+    many = many.repartition("_run").withColumn(name, F.explode(F.sequence(F.col("_run") * run, F.least((F.col("_run") + 1) * run, n) - 1)))
+    return few.unionByName(many.drop("_run"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix", schedules=cyclic_schedules, run: int = UNFOLD_ROWS) -> DataFrame:
     """One row per document: what the mix takes of it, and when.
 
     Columns: doc_id, source, size (words), source_size, target, taken (words,
@@ -116,7 +131,7 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, seed: str = "mix"
     buckets = buckets.join(plan.drop("_rows"), "sk").withColumn("base", F.coalesce(F.sum("_size").over(base), F.lit(0)))
     inner = Window.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("_in", F.coalesce(F.sum("_all").over(inner), F.lit(0))).join(buckets.drop("_size"), ["sk", "bucket"])
-    out = out.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("_same").cast("int"))).alias("_nth", "_"))
+    out = unfold(out, "_same", "_nth", run)
     due = F.floor("target").cast("long")
     at = F.col("base") + F.col("_in") + F.col("_nth") * F.col("size")
     taken = lambda p: F.least(F.greatest(due - F.col("source_size") * p - at, F.lit(0)), F.col("size"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import attach, ship, stage
+from .common import PART_ROWS, attach, ship, spread_join, stage
 
 WINDOW, GRAM = 13, 7
 BROADCAST_KEYS = 8_000_000
@@ -94,7 +94,8 @@ def _second(words: K.Words) -> np.ndarray:
     place = np.arange(len(pair)) - np.repeat(a, b - a)[: len(pair)]
     with np.errstate(over="ignore"):
         total = np.r_[_U(0), np.cumsum(K.mix(pair + K.mix(place.astype(_U))))]
-        return total[np.maximum(b - 1, a)] - total[np.minimum(a, len(pair))]
+        a, b = np.minimum(a, len(pair)), np.minimum(np.maximum(b - 1, a), len(pair))  # a last document may have no words
+        return total[b] - total[a]
 
 
 def _slices(batch, at: int):
@@ -108,7 +109,7 @@ def _slices(batch, at: int):
         yield i, j, words, ids[i:j], null[i:j], K.sequence_hash(words)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = BROADCAST_KEYS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = BROADCAST_KEYS, per_part: int = PART_ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, text (kept words).
 
     Kept words are joined by one space.  Null and empty texts have no words.
@@ -186,9 +187,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     least = stage(least.where("first < last").select("hash", F.col("check").alias("same"), "first", "n"), "substring_windows")
     gone = attach(found, least, "hash", "n").where("doc_id > first and check = same").select("doc_id", "hash")
     marks = gone.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes")).join(copies.groupBy("doc_id").agg(F.collect_set("key").alias("copies")), "doc_id", "full")
-    # Rows without a doc_id match nothing; dealt by text, they don't share a task.
-    keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-    joined = keyed.join(marks.withColumnRenamed("doc_id", "_key").withColumn("_null", F.lit(False)), ["_key", "_null"], "left").select("doc_id", "text", "hashes", "copies")
+    # Rows without a doc_id match nothing; they and rows of a frequent doc_id are dealt by text and input partition.
+    keyed = docs.withColumn("_from", F.spark_partition_id()).withColumn("_null", F.col("doc_id").isNull())
+    keyed = keyed.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text", "_from")))
+    marks = marks.select(F.col("doc_id").alias("_key"), F.lit(False).alias("_null"), "hashes", "copies")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("_key"), F.lit(False).alias("_null"))
+    joined = spread_join(keyed, marks, ["_key", "_null"], ["text", "_from"], ids, per_part, "left").select("doc_id", "text", "hashes", "copies")
 
     @K.tidy
     def result(batches):

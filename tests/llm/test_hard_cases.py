@@ -550,3 +550,19 @@ def test_pages_without_semantic_tags_need_their_wrapper(spark):
         pages, true = map(list, zip(*group))
         assert texts_of(pages) == true
         assert all(a != b for a, b in zip(texts_of(pages, induced=False), true))
+
+
+def test_equal_rows_unfold_in_runs(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10), ("d", 7)], "k string, n long")
+    got = mixing.unfold(rows, "n", "nth", 3).orderBy("k", "nth").collect()
+    assert [(r.k, r.nth) for r in got] == [(k, i) for k, n in (("a", 1), ("b", 3), ("c", 10), ("d", 7)) for i in range(n)]
+    docs = spark.createDataFrame([(None if k % 3 else k, "w " * (k % 7), "a" if k % 2 else "b") for k in range(200)], "doc_id long, text string, source string")
+    whole, cut = ([tuple(map(str, r)) for r in mixing.mix(docs, run=run).collect()] for run in (100, 2))
+    assert sorted(whole) == sorted(cut) and len(cut) == 200
+
+
+def test_rows_of_one_doc_id_are_dealt(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "head " + text)] + [(5, f"{k % 9} {text} {k}") for k in range(60)] + [(None, text)] * 5 + [(5, None), (6, text), (6, text)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 13, per_part=4).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute_repeats(rows, 13)
