@@ -92,3 +92,10 @@ def test_streams(spark, tmp_path):
 def test_pixels_view(spark):
     df = spark.createDataFrame([(1, [1, 2], [0.5, 0.25])], "image_id long, shape array<int>, img array<double>")
     assert [tuple(r) for r in pixels(df).collect()] == [(1, 0, 0, 0.5), (1, 0, 1, 0.25)]
+
+
+def test_images_of_too_few_levels_have_no_thresholds(spark, tmp_path):
+    rows = [(0, [0.5] * 64, 1), (1, [-0.5, 0.5] * 32, 1), (2, [-0.5, -0.5, 0.0, 0.5] * 16, 1), (3, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["threshold_multiotsu"](spark, str(tmp_path)).collect()
+    assert sorted((r.image_id, r.x, r.v) for r in got) == [(2, 0, 63.0), (2, 1, 127.0)]

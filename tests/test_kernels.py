@@ -162,6 +162,26 @@ def test_vision():
     assert vision.euler_number(square)[0] == 0
 
 
+def test_multiotsu_ties_take_the_smaller_levels():
+    # Level 134 before 133 by one unit in the last place only: the two cuts are equally good.
+    levels = [84, 94, 103, 104, 106, 106, 107, 107, 110, 111, 111, 112, 112, 113, 114, 117, 118, 118, 119, 119, 119, 121, 121, 122, 123, 123, 123, 124, 125, 125, 126, 127, 127, 129, 131, 131, 132, 132, 133, 134, 135, 136, 136, 137, 138, 138, 138, 139, 140, 140, 140, 141, 141, 141, 143, 144, 144, 146, 146, 147, 151, 152, 163, 171]
+    assert vision.threshold_multiotsu(np.bincount(levels, minlength=256)) == [114, 133]
+    even = np.bincount([10, 20, 30, 40], minlength=256)  # three equal sums: {10 20} {30} {40} and so on
+    assert vision.threshold_multiotsu(even) == [10, 20] and vision.threshold_multiotsu(even, 2) == [20] and vision.threshold_multiotsu(even, 4) == [10, 20, 30]
+    assert vision.threshold_multiotsu(even, 5) is None and vision.threshold_multiotsu(np.bincount([3, 3, 7], minlength=256)) is None
+
+
+def test_multiotsu_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        levels = np.sort(rng.choice(rng.choice(256, rng.integers(3, 9), False), 64))
+        at, n = np.unique(levels, return_counts=True)
+        if len(at) < 3:
+            continue
+        best = max((round(sum(float((at[i:j] * n[i:j]).sum()) ** 2 / n[i:j].sum() for i, j in ((0, a), (a, b), (b, len(at)))), 6), -at[b - 1], -at[a - 1]) for a in range(1, len(at)) for b in range(a + 1, len(at)))
+        assert vision.threshold_multiotsu(np.bincount(levels, minlength=256)) == [-best[2], -best[1]]
+
+
 def test_hulls_triangles_and_moments():
     square = np.zeros((8, 8), bool)
     square[2:5, 1:7] = True
