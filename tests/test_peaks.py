@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumengrid.functions import vision
 from lumengrid.operators import grid, peaks
@@ -33,6 +34,35 @@ def test_spacing_equals_the_greedy_rule(spark, p, spacing):
     assert peaks.ensure_spacing(spark.createDataFrame([], "image_id long, y int, x int, v double"), 3).collect() == []
 
 
+@pytest.mark.parametrize("p, block", [(2, 1 << 15), (math.inf, 250), (1, 30)])  # blocks that all fit, some that don't, almost none
+def test_spacing_across_blocks(spark, p, block):
+    images = {0: [(y, x, float(RNG.integers(0, 9))) for y, x in {(int(y), int(x)) for y, x in RNG.integers(-60, 90, (1200, 2))}]}
+    images[1] = [(y, x, float(RNG.integers(0, 99))) for y in range(20, 50) for x in range(10, 45)]  # full, over the corner of four blocks
+    images[2] = [(0, 2 * x, float(x)) for x in range(60)]  # a ramp through three blocks
+    rows = [(k, y, x, v) for k, own in images.items() for y, x, v in own] + [(2, 0, 4, -1.0), (1, 31, 31, -1.0)]
+    got = peaks.ensure_spacing(spark.createDataFrame(rows, "image_id long, y int, x int, v double").repartition(4), 3, p, block=block).collect()
+    for k, own in images.items():
+        assert sorted((r.y, r.x) for r in got if r.image_id == k) == greedy(own, 3, p), k
+
+
+def test_spacing_takes_one_pass_where_images_fit_a_block(spark, monkeypatch):
+    staged = []
+    stage = grid.stage
+    monkeypatch.setattr(grid, "stage", lambda df, *a: staged.append(1) or stage(df, *a))
+    rows = [(k, y, x, float((7 * y + 3 * x + k) % 11)) for k in range(20) for y in range(8) for x in range(8)]
+    got = peaks.ensure_spacing(spark.createDataFrame(rows, "image_id long, y int, x int, v double").repartition(3), 3, 2).collect()
+    for k in range(20):
+        assert sorted((r.y, r.x) for r in got if r.image_id == k) == greedy([r[1:] for r in rows if r[0] == k], 3, 2)
+    assert len(staged) == 1
+
+
+def test_spacing_of_other_types(spark):
+    df = spark.createDataFrame([(1.5, 2.0, 3), (float("nan"), 1.0, 2), (float("nan"), 1.0, 1), (1.0, 2.0, 2), (-7.0, 0.5, 9)], "y double, x double, v long")
+    for kind in ("long", "decimal(10, 2)", "float", "string"):
+        got = peaks.ensure_spacing(df.withColumn("v", F.col("v").cast(kind)), 1.5, 2, keys=[]).collect()
+        assert sorted(str((r.y, r.x)) for r in got) == ["(-7.0, 0.5)", "(1.5, 2.0)", "(nan, 1.0)"], kind
+
+
 def test_peaks_of_tiles_are_those_of_the_whole_image(spark):
     flat = np.zeros((9, 9))
     flat[1:3, 1:3] = 10
